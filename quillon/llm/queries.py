@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from quillon.llm import exact_dedup, mixing, packing, url_filter
+from quillon.llm import exact_dedup, jaccard_join, langid, mixing, packing, quality, url_filter
 
 QUERIES = {
+    "op1_langid": langid.op1_langid,
+    "op2_quality": quality.op2_quality,
     "op4_exact_dedup": exact_dedup.op4_exact_dedup,
+    "op5_jaccard_join": jaccard_join.op5_jaccard_join,
     "op7_url_filter": url_filter.op7_url_filter,
     "op8_packing": packing.op8_packing,
     "op9_mixing": mixing.op9_mixing,
