@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from quillon.llm import exact_dedup, jaccard_join, langid, mixing, packing, quality, url_filter
+from quillon.llm import embed_dedup, exact_dedup, jaccard_join, langid, mixing, packing, quality, url_filter
 
 QUERIES = {
     "op1_langid": langid.op1_langid,
     "op2_quality": quality.op2_quality,
+    "op3_embedding_dedup": embed_dedup.op3_embedding_dedup,
     "op4_exact_dedup": exact_dedup.op4_exact_dedup,
     "op5_jaccard_join": jaccard_join.op5_jaccard_join,
     "op7_url_filter": url_filter.op7_url_filter,
