@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quillon.llm import embed_dedup, exact_dedup, jaccard_join, langid, mixing, packing, quality, url_filter
+from quillon.llm import embed_dedup, exact_dedup, jaccard_join, langid, mixing, packing, pii, quality, suffix_dedup, url_filter
 
 QUERIES = {
     "op1_langid": langid.op1_langid,
@@ -10,9 +10,11 @@ QUERIES = {
     "op3_embedding_dedup": embed_dedup.op3_embedding_dedup,
     "op4_exact_dedup": exact_dedup.op4_exact_dedup,
     "op5_jaccard_join": jaccard_join.op5_jaccard_join,
+    "op6_suffix_dedup": suffix_dedup.op6_suffix_dedup,
     "op7_url_filter": url_filter.op7_url_filter,
     "op8_packing": packing.op8_packing,
     "op9_mixing": mixing.op9_mixing,
+    "op10_pii": pii.op10_pii,
 }
 
 ORACLES = {
