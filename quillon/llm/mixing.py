@@ -44,7 +44,7 @@ def targets(by_source: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: in
     # the sources with the least cap for their weight reach it first: level k has the first k capped
     line = Window.partitionBy(F.lit(1)).orderBy(F.col("cap") / F.col("w"), F.col("source").asc_nulls_last())
     before, everything = line.rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy(F.lit(1))
-    t = t.withColumn("level", (F.sum("source_size").over(everything) - F.coalesce(F.sum("cap").over(before), F.lit(0))) / (F.sum("w").over(everything) - F.coalesce(F.sum("w").over(before), F.lit(0))))
+    t = t.withColumn("level", (F.sum("source_size").over(everything) - F.coalesce(F.sum("cap").over(before), F.lit(0))) / (F.sum("w").over(everything) - F.coalesce(F.sum("w").over(before), F.lit(0))))  # never 0: its own weight is in it
     fits = F.when(F.col("level") * F.col("w") <= F.col("cap"), F.col("level"))
     t = t.withColumn("level", F.first(fits, ignorenulls=True).over(line.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
     share = F.least(F.col("cap").cast("double"), F.col("level") * F.col("w"))
@@ -64,9 +64,9 @@ def mix(docs: DataFrame, spark: SparkSession, seed: str = "mix", weights: tuple[
     bins = materialize(bins, spark)
     by_source = bins.groupBy("source").agg(F.sum("words").alias("source_size"))
     plan = targets(by_source, weights, most)
-    whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
+    whole = F.when(F.col("source_size") > 0, F.floor(F.try_divide("target", "source_size"))).otherwise(F.lit(0)).cast("long")
     plan = plan.withColumn("whole", whole).withColumn("rest", F.greatest(F.lit(0.0), F.col("target") - F.col("whole") * F.col("source_size")))
-    plan = plan.withColumn("p", F.when(F.col("source_size") > 0, F.col("rest") / F.col("source_size")).otherwise(F.lit(0.0)))
+    plan = plan.withColumn("p", F.coalesce(F.try_divide("rest", "source_size"), F.lit(0.0)))
     plan = materialize(plan, spark)
     # the bin in which a source's rest ends, and the words before it
     line = Window.partitionBy("source").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
@@ -77,7 +77,7 @@ def mix(docs: DataFrame, spark: SparkSession, seed: str = "mix", weights: tuple[
     rows = base.alias("b").join(cut.alias("c"), F.col("b.source").eqNullSafe(F.col("c.source"))).select("b.*", "source_size", "target", "whole", "rest", "p", "cut_bin", "before", F.shiftright("u", U_BITS - 12).alias("bin"))
     # Pareto rank inside the cut bin
     unit = (F.col("u") + 0.5) / float(1 << U_BITS)
-    rank = (unit / (1 - unit)) / (F.col("p") / (1 - F.col("p")))
+    rank = F.try_divide((unit / (1 - unit)) * (1 - F.col("p")), F.col("p"))  # null where no share is left
     order = Window.partitionBy("source").orderBy("rank", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
     edge = rows.where("bin = cut_bin").withColumn("rank", rank).withColumn("upto", F.col("before") + F.sum("size").over(order))
     first_out = edge.where("upto > rest").groupBy("source").agg(F.min(F.struct("rank", "doc_id", "size")).alias("out"))
