@@ -3,7 +3,7 @@
 A source with target T and size S takes floor(T/S) certain whole copies of every
 document. The rest, a share p of one further copy, is an order sample: a document with
 the keyed uniform number u has the rank (u / (1-u)) / (p / (1-p)), and documents
-are taken in rank order as long as they fit the words that are left; at the end one more document,
+are taken in rank order as long as they fit the words that are left (one that is longer than all of these is passed over); at the end one more document,
 the one whose size is nearest to the gap, closes it. Only the documents of one
 narrow bin of u for each source are sorted; a histogram of bins places all others.
 """
@@ -60,39 +60,40 @@ def mix(docs: DataFrame, spark: SparkSession, seed: str = "mix", weights: tuple[
     takes more than ``most`` copies. The same rows give the same result in any order and partitioning.
     """
     base = materialize(sized(docs, seed), spark)
-    bins = base.groupBy("source", F.shiftright("u", U_BITS - 12).alias("bin")).agg(F.sum("size").alias("words"))
-    bins = materialize(bins, spark)
-    by_source = bins.groupBy("source").agg(F.sum("words").alias("source_size"))
-    plan = targets(by_source, weights, most)
+    plan = targets(base.groupBy("source").agg(F.sum("size").alias("source_size")), weights, most)
     whole = F.when(F.col("source_size") > 0, F.floor(F.try_divide("target", "source_size"))).otherwise(F.lit(0)).cast("long")
     plan = plan.withColumn("whole", whole).withColumn("rest", F.greatest(F.lit(0.0), F.col("target") - F.col("whole") * F.col("source_size")))
     plan = plan.withColumn("p", F.coalesce(F.try_divide("rest", "source_size"), F.lit(0.0)))
     plan = materialize(plan, spark)
+    bin_of = F.shiftright("u", U_BITS - 12).alias("bin")
+    # a document longer than all that is left can't be in the sample
+    planned = base.alias("b").join(plan.alias("p"), F.col("b.source").eqNullSafe(F.col("p.source"))).select("b.*", "source_size", "target", "whole", "rest", "p", bin_of, (F.col("size") <= F.col("rest")).alias("fits"))
+    bins = materialize(planned.where("fits").groupBy("source", "bin").agg(F.sum("size").alias("words")), spark)
     # the bin in which a source's rest ends, and the words before it
     line = Window.partitionBy("source").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
     placed = bins.withColumn("before", F.coalesce(F.sum("words").over(line), F.lit(0)))
     cut = placed.alias("x").join(plan.alias("y"), F.col("x.source").eqNullSafe(F.col("y.source")))
     cut = cut.where("before <= rest AND before + words > rest").groupBy("y.source").agg(F.min_by("bin", "bin").alias("cut_bin"), F.min_by("before", "bin").alias("before"))
     cut = materialize(plan.alias("p").join(cut.alias("c"), F.col("p.source").eqNullSafe(F.col("c.source")), "left").select("p.*", F.coalesce("cut_bin", F.when(F.col("rest") > 0, F.lit(BINS)).otherwise(F.lit(-1))).alias("cut_bin"), F.coalesce("before", F.lit(0)).alias("before")), spark)
-    rows = base.alias("b").join(cut.alias("c"), F.col("b.source").eqNullSafe(F.col("c.source"))).select("b.*", "source_size", "target", "whole", "rest", "p", "cut_bin", "before", F.shiftright("u", U_BITS - 12).alias("bin"))
+    rows = planned.alias("b").join(cut.select("source", "cut_bin", "before").alias("c"), F.col("b.source").eqNullSafe(F.col("c.source"))).select("b.*", "cut_bin", "before")
     # Pareto rank inside the cut bin
     unit = (F.col("u") + 0.5) / float(1 << U_BITS)
     rank = F.try_divide((unit / (1 - unit)) * (1 - F.col("p")), F.col("p"))  # null where no share is left
     order = Window.partitionBy("source").orderBy("rank", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
-    edge = rows.where("bin = cut_bin").withColumn("rank", rank).withColumn("upto", F.col("before") + F.sum("size").over(order))
+    edge = rows.where("fits AND bin = cut_bin").withColumn("rank", rank).withColumn("upto", F.col("before") + F.sum("size").over(order))
     first_out = edge.where("upto > rest").groupBy("source").agg(F.min(F.struct("rank", "doc_id", "size")).alias("out"))
     filled = edge.alias("e").join(first_out.alias("f"), F.col("e.source").eqNullSafe(F.col("f.source")), "left").withColumn("in", F.col("out").isNull() | (F.struct("rank", "doc_id", "size") < F.col("out")))
     gap = filled.groupBy("e.source").agg((F.first("rest") - F.first("before") - F.sum(F.when(F.col("in"), F.col("e.size")).otherwise(0))).alias("gap"), F.min("out").alias("out")).select("source", "gap", F.col("out.rank").alias("out_rank"), F.col("out.doc_id").alias("out_id"), F.col("out.size").alias("out_size"))
     gap = materialize(gap, spark)
     # the document that comes nearest to the gap, of those that are not in
-    open_rows = rows.where("bin >= cut_bin AND size > 0").withColumn("rank", rank).alias("r").join(gap.alias("g"), F.col("r.source").eqNullSafe(F.col("g.source")))
-    open_rows = open_rows.where((F.col("bin") > F.col("cut_bin")) | (F.struct("rank", "doc_id", "size") >= F.struct(F.col("out_rank").alias("rank"), F.col("out_id").alias("doc_id"), F.col("out_size").alias("size"))))
+    open_rows = rows.where("(bin >= cut_bin OR NOT fits) AND size > 0").withColumn("rank", rank).alias("r").join(gap.alias("g"), F.col("r.source").eqNullSafe(F.col("g.source")))
+    open_rows = open_rows.where(~F.col("fits") | (F.col("bin") > F.col("cut_bin")) | (F.struct("rank", "doc_id", "size") >= F.struct(F.col("out_rank").alias("rank"), F.col("out_id").alias("doc_id"), F.col("out_size").alias("size"))))
     miss = F.abs(F.col("size") - F.col("gap"))
     last = open_rows.where(miss < F.col("gap")).groupBy("r.source").agg(F.min(F.struct(miss.alias("miss"), F.col("rank"), F.col("doc_id"), F.col("size"))).alias("x"))
     ends = gap.alias("g").join(last.alias("l"), F.col("g.source").eqNullSafe(F.col("l.source")), "left").select("g.*", F.col("x.doc_id").alias("last_id"), F.col("x.rank").alias("last_rank"))
     ends = materialize(ends, spark)
     out = rows.withColumn("rank", rank).alias("r").join(ends.alias("e"), F.col("r.source").eqNullSafe(F.col("e.source")), "left")
-    inside = (F.col("bin") < F.col("cut_bin")) | ((F.col("bin") == F.col("cut_bin")) & (F.col("out_rank").isNull() | (F.struct("rank", "doc_id", "size") < F.struct(F.col("out_rank").alias("rank"), F.col("out_id").alias("doc_id"), F.col("out_size").alias("size")))))
+    inside = F.col("fits") & ((F.col("bin") < F.col("cut_bin")) | ((F.col("bin") == F.col("cut_bin")) & (F.col("out_rank").isNull() | (F.struct("rank", "doc_id", "size") < F.struct(F.col("out_rank").alias("rank"), F.col("out_id").alias("doc_id"), F.col("out_size").alias("size"))))))
     closes = F.coalesce((F.col("rank") == F.col("last_rank")) & F.col("doc_id").eqNullSafe(F.col("last_id")) & ~inside, F.lit(False))
     copies = F.col("whole") + F.when((F.col("rest") > 0) & (inside | closes), 1).otherwise(0)
     copies = F.least(copies, F.lit(most)).cast("long")

@@ -61,13 +61,8 @@ def head_of(e: Column, kind: Column) -> Column:
     return F.when(kind == "secret", F.regexp_extract(e, rf"^(?:(?i:{_SECRET})\s*[=:]\s*[\"']?|gh[pousr]_|sk-|xox[abp]-)", 0)).when(kind == "person", F.regexp_extract(e, rf"^(?:{_TITLES}) ", 0)).when(kind == "cloud_key", F.substring(e, 1, 4)).when(kind == "iban", F.substring(e, 1, 2)).otherwise(F.lit(""))
 
 
-def body_of(e: Column, kind: Column) -> Column:
-    return F.substring(e, F.length(head_of(e, kind)) + 1, F.length(e))
-
-
-def canon(e: Column, kind: Column) -> Column:
+def canon(e: Column, kind: Column, body: Column) -> Column:
     """The form that all ways to write an entity share."""
-    body = body_of(e, kind)
     return F.when(kind.isin("phone", "card", "ssn"), F.regexp_replace(e, "[^0-9]", "")).when(kind == "iban", F.regexp_replace(e, " ", "")).when(kind.isin("email", "person"), F.lower(body)).otherwise(body)
 
 
@@ -108,30 +103,49 @@ def _numbers(e: Column, kind: Column, digest: Column) -> Column:
     return F.array_join(F.transform(F.sequence(F.lit(1), F.length(e)), lambda i: F.when(F.substring(e, i, F.lit(1)).rlike("[0-9]"), F.get(fresh, at(i) - 1).cast("string")).otherwise(F.substring(e, i, F.lit(1)))), "")
 
 
-def _name(e: Column, digest: Column) -> Column:
+def _name(head: Column, body: Column, digest: Column) -> Column:
     """Given names by the title's gender, surnames of three syllables; names in Cyrillic keep shape and ending."""
-    head = head_of(e, F.lit("person"))
-    words = F.split(F.substring(e, F.length(head) + 1, F.length(e)), " ")
+    words = F.split(body, " ")
     given = F.when(F.trim(head).isin(WOMEN), F.element_at(F.array(*map(F.lit, GIVEN_WOMEN)), _byte(digest, F.lit(1)) % 16 + 1)).otherwise(F.element_at(F.array(*map(F.lit, GIVEN_MEN)), _byte(digest, F.lit(1)) % 16 + 1))
     syllable = lambda k: F.element_at(F.array(*map(F.lit, SYLLABLES)), _byte(digest, F.lit(k)) % 16 + 1)
     surname = F.initcap(F.concat(*map(syllable, range(2, 6))))
     latin = F.when(F.size(words) > 1, F.concat(given, F.lit(" "), surname)).otherwise(surname)
-    body = F.array_join(words, " ")
     cyrillic = F.concat(_shaped(F.substring(body, F.lit(1), F.length(body) - 1), digest, F.lit(False)), F.substring(body, F.length(body), F.lit(1)))
     return F.concat(head, F.when(body.rlike("[а-яА-Я]"), cyrillic).otherwise(latin))
 
 
-def surrogate(e: Column, attempt: Column, key: str) -> Column:
-    kind = kind_of(e)
-    body = body_of(e, kind)
-    digest = F.sha2(F.concat_ws("\x1f", F.lit(key), kind, canon(e, kind), attempt.cast("string")), 512)
+def looked_at(e: Column) -> list:
+    """Steps that each add fields to an entity's struct, so that nothing is worked out twice."""
+    return [
+        lambda x: F.struct(x.alias("e"), kind_of(x).alias("kind")),
+        lambda x: F.struct(x["e"].alias("e"), x["kind"].alias("kind"), head_of(x["e"], x["kind"]).alias("head")),
+        lambda x: F.struct(x["e"].alias("e"), x["kind"].alias("kind"), x["head"].alias("head"), F.substring(x["e"], F.length(x["head"]) + 1, F.length(x["e"])).alias("body")),
+        lambda x: F.struct(x["e"].alias("e"), x["kind"].alias("kind"), x["head"].alias("head"), x["body"].alias("body"), canon(x["e"], x["kind"], x["body"]).alias("name")),
+    ]
+
+
+def described(found: Column) -> Column:
+    """An array of entities as structs of e, kind, head, body and name."""
+    for step in looked_at(found):
+        found = F.transform(found, step)
+    return found
+
+
+def surrogate(x: Column, attempt: Column, key: str) -> Column:
+    """The surrogate of a struct of ``described``."""
+    digest = F.sha2(F.concat_ws("\x1f", F.lit(key), x["kind"], x["name"], attempt.cast("string")), 512)
+    drawn = F.transform(F.array(F.struct(x.alias("x"), digest.alias("digest"), attempt.alias("attempt"))), lambda y: _drawn(y["x"]["e"], y["x"]["kind"], y["x"]["head"], y["x"]["body"], y["digest"], y["attempt"]))
+    return F.element_at(drawn, 1)
+
+
+def _drawn(e: Column, kind: Column, head: Column, body: Column, digest: Column, attempt: Column) -> Column:
     at, end = F.instr(e, "@"), F.length(F.regexp_extract(e, r"\.[A-Za-z]{2,}$", 0))
     more = F.when(attempt > 3, F.concat(*[_pick(_LOWER, _byte(digest, F.lit(60 + i))) for i in range(4)])).otherwise(F.lit(""))  # for short names that all collide
     email = F.concat(_shaped(F.substring(e, F.lit(1), at - 1), digest, F.lit(False)), more, F.lit("@"), _shaped(F.substring(e, at + 1, F.length(e) - at - end), F.sha2(digest, 512), F.lit(False)), F.substring(e, F.length(e) - end + 1, end))
     ip = F.concat_ws(".", (_byte(digest, F.lit(1)) % 223 + 1).cast("string"), *[_byte(digest, F.lit(i)).cast("string") for i in (2, 3, 4)])
-    hexes = body.rlike("^[0-9a-f]+$") | body.rlike("^[0-9A-F]+$")
-    plain = F.concat(head_of(e, kind), _shaped(body, digest, hexes & (kind == "secret")))
-    return F.when(kind == "email", email).when(kind == "ip", ip).when(kind.isin("phone", "card", "ssn"), _numbers(e, kind, digest)).when(kind == "person", _name(e, digest)).otherwise(plain)
+    hexes = body.rlike("^(?:[0-9a-f]+|[0-9A-F]+)$")
+    plain = F.concat(head, _shaped(body, digest, hexes & (kind == "secret")))
+    return F.when(kind == "email", email).when(kind == "ip", ip).when(kind.isin("phone", "card", "ssn"), _numbers(e, kind, digest)).when(kind == "person", _name(head, body, digest)).otherwise(plain)
 
 
 def entities(text: Column) -> Column:
@@ -139,22 +153,22 @@ def entities(text: Column) -> Column:
 
 
 def later_attempts(found: DataFrame, spark: SparkSession, key: str) -> DataFrame:
-    """(kind, name, attempt) of the canonical entities that attempt 0 doesn't serve, from ``found(kind, name, e)``."""
-    known = materialize(found.groupBy("kind", "name").agg(F.min("e").alias("e")), spark)
+    """(kind, name, attempt) of the canonical entities that attempt 0 doesn't serve, from ``found(x)``."""
+    known = materialize(found.groupBy(F.col("x.kind").alias("kind"), F.col("x.name").alias("name")).agg(F.min("x").alias("x")), spark)
     waiting, taken, redone = known, None, None
     for attempt in range(ATTEMPTS):
-        drawn = waiting.withColumn("s", canon(surrogate(F.col("e"), F.lit(attempt), key), F.col("kind")))
-        drawn = materialize(drawn, spark)
+        drawn = materialize(waiting.withColumn("s", surrogate(F.col("x"), F.lit(attempt), key)), spark)
+        drawn = drawn.withColumn("s", F.element_at(described(F.array("s")), 1)["name"])
         first = drawn.groupBy("kind", "s").agg(F.min("name").alias("name"))
         good = drawn.join(first, ["kind", "s", "name"]).join(known.select("kind", F.col("name").alias("s")), ["kind", "s"], "left_anti")
         if taken is not None:
             good = good.join(taken, ["kind", "s"], "left_anti")
-        good = materialize(good.select("kind", "s", "name", "e"), spark)
+        good = materialize(good.select("kind", "s", "name"), spark)
         taken = good.select("kind", "s") if taken is None else taken.union(good.select("kind", "s"))
         if attempt:
             now = good.select("kind", "name", F.lit(attempt).alias("attempt"))
             redone = now if redone is None else redone.union(now)
-        waiting = materialize(drawn.join(good.select("kind", "name"), ["kind", "name"], "left_anti").select("kind", "name", "e"), spark)
+        waiting = materialize(drawn.join(good.select("kind", "name"), ["kind", "name"], "left_anti").select("kind", "name", "x"), spark)
         if waiting.isEmpty():
             return redone if redone is not None else spark.createDataFrame([], "kind string, name string, attempt int")
     raise RuntimeError(f"surrogates still collide after {ATTEMPTS} attempts")
@@ -168,21 +182,22 @@ def replace_pii(docs: DataFrame, spark: SparkSession, key: str = "quillon") -> D
     rows stay, null ids stay null. An empty table gives an empty result; other columns are not read.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    seen = docs.select("doc_id", F.xxhash64("text").alias("h"), F.explode(entities(F.col("text"))).alias("e")).withColumn("kind", kind_of(F.col("e")))
-    seen = materialize(seen.withColumn("name", canon(F.col("e"), F.col("kind"))), spark)
+    seen = docs.select("doc_id", F.xxhash64("text").alias("h"), F.explode(described(entities(F.col("text")))).alias("x"))
+    seen = materialize(seen, spark)
     redone = later_attempts(seen, spark, key)
-    special = seen.join(redone, ["kind", "name"]).select("doc_id", "h", "e", surrogate(F.col("e"), F.col("attempt"), key).alias("s")).distinct()
+    special = seen.alias("a").join(redone.alias("b"), (F.col("a.x.kind") == F.col("b.kind")) & (F.col("a.x.name") == F.col("b.name")))
+    special = special.select("doc_id", "h", F.col("x.e").alias("e"), surrogate(F.col("x"), F.col("attempt"), key).alias("s")).distinct()
     special = special.groupBy("doc_id", "h").agg(F.map_from_entries(F.collect_list(F.struct("e", "s"))).alias("other"))
     special = materialize(special.select(F.col("doc_id").alias("_id"), F.col("h").alias("_h"), "other"), spark)
-    rows = docs.withColumn("found", entities(F.col("text"))).join(special, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_h")), "left")
-    new = F.transform("found", lambda e: F.coalesce(F.try_element_at(F.col("other"), e), surrogate(e, F.lit(0), key)))
+    rows = docs.withColumn("found", described(entities(F.col("text")))).join(special, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_h")), "left")
+    new = F.transform("found", lambda x: F.coalesce(F.try_element_at(F.col("other"), x["e"]), surrogate(x, F.lit(0), key)))
     between = F.split("text", ENTITY, -1)
     joined = F.array_join(F.flatten(F.zip_with(between, new, lambda a, b: F.array(a, F.coalesce(b, F.lit(""))))), "")
     return rows.select(
         "doc_id",
         F.when(F.size("found") > 0, joined).otherwise(F.col("text")).alias("text"),
         F.greatest(F.size("found"), F.lit(0)).cast("long").alias("n_entities"),
-        F.array_sort(F.array_distinct(F.transform("found", kind_of))).alias("kinds"),
+        F.array_sort(F.array_distinct(F.transform("found", lambda x: x["kind"]))).alias("kinds"),
     )
 
 

@@ -87,8 +87,9 @@ def test_the_rank_file_is_the_same_tokenizer(texts):
 
 
 def test_mixing(spark, docs, texts, empty, odd):
+    docs = docs.where("n_chars < 50000")  # a text of most of a source's words can't come near a part of them
     rows = mixing.mix(docs, spark).toPandas()
-    size = {i * 3 + 1: len(W.findall(t or "")) for i, t in enumerate(texts)}
+    size = {i * 3 + 1: len(W.findall(t or "")) for i, t in enumerate(texts) if len(t or "") < 50000}
     assert dict(zip(rows["doc_id"], rows["size"], strict=True)) == size
     source = {r.doc_id: r.source for r in docs.select("doc_id", "source").collect()}
     rows["source"] = rows["doc_id"].map(source).fillna("~null")
