@@ -10,7 +10,8 @@ first D + 1 elements, which finds the pairs among them. Sets near the lower end
 take part in the band below too.
 
 Documents with equal sets are one class. In a bucket (sketches that are equal) each member is paired
-with one pivot only, first inside a map task, then between tasks. Pairs are dropped if a
+with one pivot only, first inside a map task, then between tasks; for the first
+verification the pivot is the bucket's most central member. Pairs are dropped if a
 1024-bit parity sketch of the whole sets shows too large a difference, and the rest are
 verified on the texts: first the best pivot of each document; after that only
 pairs in different components of what has linked so far, in buckets that still
@@ -133,6 +134,19 @@ def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(v) for v in got], ["key", "x", "p"])
 
 
+def central_pairs(stars: DataFrame) -> DataFrame:
+    """(x, p, c): each member with the most central one of its buckets, and how many buckets say so.
+
+    A document's weight is the sum of its buckets' sizes: those in the middle of a group of near
+    copies share the most, and most of the group links with them.
+    """
+    sizes = stars.groupBy("key").agg((F.count(F.lit(1)) + 1).alias("size"), F.min("p").alias("first"))
+    members = stars.select("key", "x").union(sizes.select("key", "first"))
+    weight = members.join(sizes.select("key", "size"), "key").groupBy("x").agg(F.sum("size").alias("w"))
+    pivots = members.join(weight, "x").groupBy("key").agg(F.max(F.struct("w", -F.col("x"))).alias("top")).select("key", (-F.col("top")["col2"]).alias("p"))
+    return members.join(pivots, "key").where("x <> p").groupBy("x", "p").agg(F.count(F.lit(1)).alias("c"))
+
+
 def close_enough(a: str, b: str) -> Column:
     """Whether sizes and whole-set sketches of the rows aliased ``a`` and ``b`` leave a link possible."""
     differ = sum((F.bit_count(F.col(f"{a}.sketch")[i].bitwiseXOR(F.col(f"{b}.sketch")[i])) for i in range(WORDS)), F.lit(0))
@@ -202,7 +216,9 @@ def jaccard_components(docs: DataFrame, spark: SparkSession) -> DataFrame:
     described = sets.select("doc_id", "n", "sketch").dropDuplicates(["doc_id"])
     met = stars.groupBy("x", "p").agg(F.count(F.lit(1)).alias("c")).withColumns({"x0": F.col("x"), "p0": F.col("p")})
     met = materialize(rep_of(rep_of(met, "x"), "p").where("x <> p"), spark)
-    pairs = met.groupBy("x", "p").agg(F.sum("c").alias("c")).alias("m").join(described.alias("a"), F.col("m.x") == F.col("a.doc_id")).join(described.alias("b"), F.col("m.p") == F.col("b.doc_id"))
+    pairs = central_pairs(stars)
+    pairs = rep_of(rep_of(pairs, "x"), "p").where("x <> p")
+    pairs = pairs.groupBy("x", "p").agg(F.sum("c").alias("c")).alias("m").join(described.alias("a"), F.col("m.x") == F.col("a.doc_id")).join(described.alias("b"), F.col("m.p") == F.col("b.doc_id"))
     likely = pairs.where(close_enough("a", "b")).select("x", "p", "c")
     best = likely.groupBy("x").agg(F.max(F.struct("c", -F.col("p"))).alias("best")).select(F.col("x").alias("a"), (-F.col("best")["col2"]).alias("b"))
     tried = materialize(best.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), spark)
