@@ -27,9 +27,14 @@ def scratch_root(spark: SparkSession) -> str:
 
 
 def materialize(df: DataFrame, spark: SparkSession) -> DataFrame:
-    """``df`` written as a table in the shared folder and read back: a lost executor loses none of it."""
+    """``df`` written as a table in the shared folder and read back: a lost executor loses none of it.
+
+    What was shuffled on the way is garbage then; the driver is asked to collect it, so that the executors'
+    disks don't keep it until memory runs short.
+    """
     path = f"{scratch_root(spark)}/quillon-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 

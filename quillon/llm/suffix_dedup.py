@@ -8,8 +8,8 @@ place. A text is thus a parse, a sequence of phrases, and the corpus a dictionar
 
 Parse: a trigger met once holds no repeat. A trigger that has one phrase only, met more than
 once, holds nothing else. Only where a trigger has several phrases does their content count: the
-suffixes of the dictionary's phrases are put in order to a depth of 200 bytes, and neighbours in
-that suffix array that are equal are repeats. A trigger with very many phrases has its
+suffixes of the dictionary's phrases are ranked to a depth of 200 bytes by prefix doubling, as in
+building a suffix array, and strings of equal rank are repeats. A trigger with very many phrases has its
 suffixes counted by digest instead, dealt over all tasks. Results go back from phrases to the texts
 that hold them.
 """
@@ -33,7 +33,7 @@ TRIGGER = 16
 #: String starts handled at a time; a longer text is parsed in parts, whose phrases end there.
 PART = 1 << 19
 #: Phrases of one trigger that one task compares in memory; with more, their strings are dealt out.
-MOST_PHRASES = 2_000
+MOST_PHRASES = 16_000
 
 
 def parse(raw: np.ndarray, length: int = LENGTH) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
@@ -98,81 +98,113 @@ def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([longs(k[i : i + 200_000]), pa.array(d[i : i + 200_000]), pa.array(h[i : i + 200_000])], ["trigger", "d", "h"])
 
 
+def chosen(raw: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Trigger, print, start and end of the phrases whose trigger is wanted, one of each print, and how often it occurs."""
+    parts = []
+    for k, mark, first, last in parse(raw):
+        at = np.minimum(np.searchsorted(wanted, k), len(wanted) - 1)
+        hit = wanted[at] == k
+        parts.append((k[hit], mark[hit], first[hit], last[hit]))
+    k, mark, first, last = (np.concatenate(x) for x in zip(*parts, strict=True))
+    _, at, n = np.unique(key_of(k, mark), return_index=True, return_counts=True)
+    return k[at], mark[at], first[at], last[at], n
+
+
 def open_phrases(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(d, h, trigger, mark, n, phrase) of the phrases whose trigger has several."""
+    """(trigger, mark, n, phrase) of the phrases whose trigger has several."""
     for b in batches:
-        out: list[tuple] = []
-        size = 0
-        for d, h, t, many in zip(b.column("d").to_pylist(), b.column("h").to_pylist(), b.column("text"), b.column("many"), strict=True):
-            raw, seen = as_bytes(t), {}
-            wanted = np.sort(np.array(many.as_py() or [], dtype=np.int64).view(np.uint64))
+        out, phrases, size = [], [], 0
+        for i, t in enumerate(b.column("text")):
+            wanted = flat(b.column("many"), i)
             if not len(wanted):
                 continue
-            for k, mark, first, last in parse(raw):
-                at = np.minimum(np.searchsorted(wanted, k), len(wanted) - 1)
-                for i in np.flatnonzero(wanted[at] == k):
-                    key = (int(k[i]), int(mark[i]))
-                    if key in seen:
-                        seen[key][4] += 1
-                    else:
-                        phrase = raw[first[i] : last[i] + LENGTH - 1].tobytes()
-                        seen[key] = [d, h, k[i].astype(np.int64), mark[i].astype(np.int64), 1, phrase]
-                        size += len(phrase)
-            out += seen.values()
+            raw = t.as_buffer().to_pybytes()
+            k, mark, first, last, n = chosen(as_bytes(t), wanted)
+            out.append((k, mark, n))
+            got = [raw[x : y + LENGTH - 1] for x, y in zip(first.tolist(), last.tolist(), strict=True)]
+            phrases += got
+            size += sum(map(len, got))
             if size > 8 << 20:
-                yield phrase_batch(out)
-                out, size = [], 0
+                yield phrase_batch(out, phrases)
+                out, phrases, size = [], [], 0
         if out:
-            yield phrase_batch(out)
+            yield phrase_batch(out, phrases)
+
+
+def phrase_batch(rows: list, phrases: list[bytes]) -> pa.RecordBatch:
+    k, m, n = (np.concatenate(x) for x in zip(*rows, strict=True))
+    return pa.RecordBatch.from_arrays([longs(k), longs(m), pa.array(n.astype(np.int64)), pa.array(phrases, pa.binary())], ["trigger", "mark", "n", "phrase"])
 
 
-def phrase_batch(rows: list) -> pa.RecordBatch:
-    d, h, k, m, n, phrase = zip(*rows, strict=True)
-    return pa.RecordBatch.from_arrays([pa.array(d, pa.int64()), pa.array(h, pa.int64()), pa.array(k, pa.int64()), pa.array(m, pa.int64()), pa.array(n, pa.int64()), pa.array(phrase, pa.binary())], ["d", "h", "trigger", "mark", "n", "phrase"])
+def open_places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(trigger, mark, d, h): which texts hold those phrases."""
+    for b in batches:
+        rows = [(np.empty(0, dtype=np.uint64),) * 2 + (0,)]
+        for i, t in enumerate(b.column("text")):
+            wanted = flat(b.column("many"), i)
+            if len(wanted):
+                k, mark, *_ = chosen(as_bytes(t), wanted)
+                rows.append((k, mark, i))
+        k, m = (np.concatenate([r[j] for r in rows]) for j in (0, 1))
+        at = np.repeat([r[2] for r in rows], [len(r[0]) for r in rows])
+        d, h = (b.column(c).to_numpy(zero_copy_only=False)[at] if len(at) else np.empty(0, dtype=np.int64) for c in ("d", "h"))
+        yield pa.RecordBatch.from_arrays([longs(k), longs(m), pa.array(d, pa.int64()), pa.array(h, pa.int64())], ["trigger", "mark", "d", "h"])
+
+
+def ranked(first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    """Ranks of pairs of ranks, equal for equal pairs."""
+    return np.unique((first << np.uint64(32)) | second, return_inverse=True)[1].astype(np.uint64)
 
 
 def repeated_suffixes(phrases: list[bytes], counts: list[int]) -> list[np.ndarray]:
-    """For each of a trigger's distinct phrases, its string starts that a second place has as well."""
-    starts = np.array([len(p) - LENGTH + 1 for p in phrases])
-    flat = np.concatenate([np.lib.stride_tricks.sliding_window_view(np.frombuffer(p, dtype=np.uint8), LENGTH) for p in phrases])
-    order = np.argsort(flat.view(f"S{LENGTH}").ravel(), kind="stable")  # the suffix array to a depth of LENGTH
-    new = np.ones(len(order), dtype=bool)
-    for i in range(1, len(order), 65_536):
-        j = min(len(order), i + 65_536)
-        new[i:j] = (flat[order[i:j]] != flat[order[i - 1 : j - 1]]).any(axis=1)
-    kind = np.empty(len(order), dtype=np.int64)
-    kind[order] = np.cumsum(new) - 1
-    weight = np.bincount(kind, weights=np.repeat(counts, starts))
-    again = weight[kind] > 1.5
-    return [np.flatnonzero(x) for x in np.split(again, np.cumsum(starts)[:-1])]
+    """For each of the distinct phrases, the runs [from, to) of string starts that a second place has as well.
+
+    The suffixes are put in order by doubling: ranks to a depth of 4 bytes, then 8, 16 and so on to 128; two ranks
+    of 128 that overlap make one of LENGTH = 200. Strings of different triggers differ, so triggers can share a call.
+    """
+    sizes = np.array([len(p) for p in phrases])
+    b = np.frombuffer(b"".join(phrases) + bytes(LENGTH), dtype=np.uint8).astype(np.uint64)
+    rank, depth = (b[:-3] << np.uint64(24)) | (b[1:-2] << np.uint64(16)) | (b[2:-1] << np.uint64(8)) | b[3:], 4
+    while 2 * depth <= LENGTH:
+        rank = ranked(rank[:-depth], rank[depth:])
+        depth *= 2
+    ends = np.cumsum(sizes)
+    starts = sizes - LENGTH + 1
+    at = np.repeat(ends - sizes, starts) + np.arange(starts.sum()) - np.repeat(np.cumsum(starts) - starts, starts)
+    kind = ranked(rank[at], rank[at + LENGTH - depth]).astype(np.int64)
+    again = np.bincount(kind, weights=np.repeat(counts, starts))[kind] > 1.5
+    out, low = [], 0
+    for n in starts:
+        edge = np.flatnonzero(np.diff(np.concatenate(([False], again[low : low + n], [False])).view(np.int8)))
+        out.append(edge)
+        low += n
+    return out
 
 
 def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(trigger, mark, starts) from rows sorted by trigger; a trigger has at most MOST_PHRASES."""
-    now, marks, phrases, counts, out = None, [], [], [], []
+    """(trigger, mark, runs) from rows sorted by trigger; a trigger has at most MOST_PHRASES."""
+    keys, marks, phrases, counts, size = [], [], [], [], 0
 
-    def close() -> None:
-        if sum(counts) > 1 and len(phrases):
-            out.extend((now, m, s) for m, s in zip(marks, repeated_suffixes(phrases, counts), strict=True) if len(s))
+    def close() -> pa.RecordBatch:
+        runs = repeated_suffixes(phrases, counts) if phrases else []
+        return runs_batch([(k, m, r) for k, m, r in zip(keys, marks, runs, strict=True) if len(r)])
 
     for b in batches:
-        for k, m, n, p in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3), strict=True):
-            if k != now:
-                close()
-                now, marks, phrases, counts = k, [], [], []
+        for k, m, n, p in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
+            if size > 400_000 and k != keys[-1]:
+                yield close()
+                keys, marks, phrases, counts, size = [], [], [], [], 0
+            keys.append(k)
             marks.append(m)
-            phrases.append(p.as_py())
+            phrases.append(p)
             counts.append(n)
-        if len(out) > 5_000:
-            yield starts_batch(out)
-            out.clear()
-    close()
-    yield starts_batch(out)
+            size += len(p)
+    yield close()
 
 
-def starts_batch(rows: list) -> pa.RecordBatch:
+def runs_batch(rows: list) -> pa.RecordBatch:
     k, m, s = zip(*rows, strict=True) if rows else ((), (), ())
-    return pa.RecordBatch.from_arrays([pa.array(k, pa.int64()), pa.array(m, pa.int64()), pa.array([x.astype(np.int32) for x in s], pa.list_(pa.int32()))], ["trigger", "mark", "starts"])
+    return pa.RecordBatch.from_arrays([pa.array(k, pa.int64()), pa.array(m, pa.int64()), pa.array([x.astype(np.int32) for x in s], pa.list_(pa.int32()))], ["trigger", "mark", "runs"])
 
 
 def strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -184,8 +216,16 @@ def strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array([k] * len(got), pa.int64()), pa.array([m] * len(got), pa.int64()), pa.array([n] * len(got), pa.int64()), pa.array(range(len(got)), pa.int32()), pa.array(got, pa.binary())], ["trigger", "mark", "n", "at", "digest"])
 
 
-def removed(raw: np.ndarray, whole: np.ndarray, partly: dict[tuple[int, int], list[int]]) -> np.ndarray:
-    """Which bytes of a text are covered by strings that occur elsewhere; ``whole`` triggers repeat all their strings."""
+def key_of(trigger: np.ndarray, mark: np.ndarray) -> np.ndarray:
+    return mix(trigger * np.uint64(0x9E3779B97F4A7C15) + mark)
+
+
+def removed(raw: np.ndarray, whole: np.ndarray, keys: np.ndarray, bounds: np.ndarray, runs: np.ndarray) -> np.ndarray:
+    """Which bytes of a text are covered by strings that occur elsewhere.
+
+    ``whole`` triggers (sorted) repeat all their strings; of the phrases with sorted ``keys``, number i repeats
+    the starts in runs[bounds[i] : bounds[i + 1]].
+    """
     step = np.zeros(len(raw) + 1, dtype=np.int32)
     for k, mark, first, last in parse(raw):
         if len(whole):
@@ -193,28 +233,47 @@ def removed(raw: np.ndarray, whole: np.ndarray, partly: dict[tuple[int, int], li
             hit = whole[at] == k
             np.add.at(step, first[hit], 1)
             np.add.at(step, last[hit] + LENGTH - 1, -1)
-        if partly:
-            for i, key in enumerate(zip(k.view(np.int64).tolist(), mark.view(np.int64).tolist(), strict=True)):
-                if key in partly:
-                    s = first[i] + np.array(partly[key], dtype=np.int64)
-                    np.add.at(step, s, 1)
-                    np.add.at(step, s + LENGTH, -1)
+        if len(keys):
+            key = key_of(k, mark)
+            at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+            for i in np.flatnonzero(keys[at] == key):
+                r = first[i] + runs[bounds[at[i]] : bounds[at[i] + 1]]
+                np.add.at(step, r[0::2], 1)
+                np.add.at(step, r[1::2] + LENGTH - 1, -1)
     return np.cumsum(step[:-1]) > 0
 
 
+def flat(lists: pa.Array, i: int) -> np.ndarray:
+    """Element ``i`` of a list array of longs as unsigned numbers."""
+    x = lists[i]
+    return np.sort(x.values.to_numpy(zero_copy_only=False).view(np.uint64)) if x.is_valid and len(x.values) else np.empty(0, dtype=np.uint64)
+
+
 def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         rows = []
-        for t, w, part in zip(b.column("text"), b.column("whole"), b.column("partly"), strict=True):
-            raw = as_bytes(t)
-            whole = np.sort(np.array(w.as_py() or [], dtype=np.int64).view(np.uint64))
-            gone = removed(raw, whole, {(x["trigger"], x["mark"]): x["starts"] for x in part.as_py() or []})
+        for i, (t, part) in enumerate(zip(b.column("text"), b.column("partly"), strict=True)):
+            raw, keys, bounds, runs = as_bytes(t), np.empty(0, dtype=np.uint64), np.zeros(1, dtype=np.int64), np.empty(0, dtype=np.int64)
+            if part.is_valid and len(part.values):
+                k, m, r = (part.values.field(j) for j in range(3))
+                keys = key_of(k.to_numpy(zero_copy_only=False).view(np.uint64), m.to_numpy(zero_copy_only=False).view(np.uint64))
+                order, n, v = np.argsort(keys), r.value_lengths().to_numpy(zero_copy_only=False), r.flatten().to_numpy(zero_copy_only=False)
+                at = np.cumsum(n) - n
+                runs = np.concatenate([v[at[j] : at[j] + n[j]] for j in order]).astype(np.int64)
+                keys, bounds = keys[order], np.concatenate(([0], np.cumsum(n[order])))
+            gone = removed(raw, flat(b.column("whole"), i), keys, bounds, runs)
             spans = int(gone[0]) + int((gone[1:] & ~gone[:-1]).sum()) if len(gone) else 0
-            rows.append((int(gone.sum()), spans, hashlib.sha256(raw[~gone].tobytes()).hexdigest(), raw[~gone].tobytes()))
+            kept = raw[~gone].tobytes()
+            rows.append((int(gone.sum()), spans, hashlib.sha256(kept).hexdigest(), kept))
         n, spans, sha, kept = zip(*rows, strict=True) if rows else ((), (), (), ())
         yield pa.RecordBatch.from_arrays([b.column("d"), b.column("h"), pa.array(n, pa.int64()), pa.array(spans, pa.int64()), pa.array(sha, pa.string()), pa.array(kept, pa.binary())], ["d", "h", "n_removed", "n_spans", "kept_sha256", "kept"])
 
 
+def finish_lean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in finish(batches):
+        yield b.select(["d", "h", "n_removed", "n_spans", "kept_sha256"])
+
+
 def marked_texts(docs: DataFrame, spark: SparkSession) -> DataFrame:
     """(d, h, text, whole, many) of the distinct texts that hold a repeated trigger: its kinds of trigger."""
     met = docs.select("text").mapInArrow(triggers, "trigger long, mark long, n long").groupBy("trigger")
@@ -235,35 +294,40 @@ def marked_texts(docs: DataFrame, spark: SparkSession) -> DataFrame:
     return materialize(hashed.mapInArrow(likely, "d long, h long, text string").dropDuplicates(["d", "h"]).join(held, ["d", "h"]), spark)
 
 
-def repeats_removed(docs: DataFrame, spark: SparkSession) -> DataFrame:
+def repeats_removed(docs: DataFrame, spark: SparkSession, with_kept: bool = True) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (binary, null if nothing goes).
 
     Null text is empty; texts of fewer than 200 bytes lose nothing. Rows that repeat id and text
     are texts of their own that repeat each other, so both lose all; rows with a null id are handled by their text.
     An empty table gives an empty result; other columns are not read. Cut points can fall inside a
-    character, so what is kept is bytes.
+    character, so what is kept is bytes; without ``with_kept`` they stay on the executors.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     docs = docs.select("doc_id", F.coalesce("doc_id", F.lit(0)).alias("d"), F.xxhash64("text").alias("h"), "text")
     texts = marked_texts(docs, spark)
 
-    found = materialize(texts.select("d", "h", "text", "many").where(F.size("many") > 0).mapInArrow(open_phrases, "d long, h long, trigger long, mark long, n long, phrase binary"), spark)
+    opened = texts.select("d", "h", "text", "many").where(F.size("many") > 0)
+    found = opened.mapInArrow(open_phrases, "trigger long, mark long, n long, phrase binary")
     phrases = materialize(found.groupBy("trigger", "mark", "phrase").agg(F.sum("n").alias("n")), spark)
     crowded = phrases.groupBy("trigger").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > MOST_PHRASES).select("trigger")
     few = phrases.join(crowded, "trigger", "left_anti").select("trigger", "mark", "n", "phrase")
-    few = few.repartition(shuffle_width(spark), "trigger").sortWithinPartitions("trigger").mapInArrow(compare, "trigger long, mark long, starts array<int>")
+    few = few.repartition(shuffle_width(spark), "trigger").sortWithinPartitions("trigger").mapInArrow(compare, "trigger long, mark long, runs array<int>")
     dealt = phrases.join(crowded, "trigger", "left_semi").select("trigger", "mark", "n", "phrase").mapInArrow(strings, "trigger long, mark long, n long, at int, digest binary")
     again = dealt.groupBy("digest").agg(F.sum("n").alias("c")).where("c > 1").select("digest")
-    many = dealt.join(again, "digest").groupBy("trigger", "mark").agg(F.collect_set("at").alias("starts"))
-    starts = materialize(few.union(many), spark)
-    partly = found.select("d", "h", "trigger", "mark").join(starts, ["trigger", "mark"]).groupBy("d", "h").agg(F.collect_list(F.struct("trigger", "mark", "starts")).alias("partly"))
-
-    done = texts.join(partly, ["d", "h"], "left").select("d", "h", "text", "whole", "partly").mapInArrow(finish, "d long, h long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    many = dealt.join(again, "digest").groupBy("trigger", "mark").agg(F.flatten(F.collect_list(F.array(F.col("at"), F.col("at") + 1))).alias("runs"))
+    runs = materialize(few.union(many), spark)
+    held = opened.mapInArrow(open_places, "trigger long, mark long, d long, h long")
+    partly = materialize(held.join(runs, ["trigger", "mark"]).groupBy("d", "h").agg(F.collect_list(F.struct("trigger", "mark", "runs")).alias("partly")), spark)
+
+    joined = texts.join(partly, ["d", "h"], "left").select("d", "h", "text", "whole", "partly")
+    schema = "d long, h long, n_removed long, n_spans long, kept_sha256 string"
+    done = joined.mapInArrow(finish, schema + ", kept binary") if with_kept else joined.mapInArrow(finish_lean, schema)
     plain = docs.select("doc_id", "d", "h", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("sha"))
     out = plain.join(done, ["d", "h"], "left")
     none = F.lit(0).cast("long")
-    return out.select("doc_id", "n_bytes", F.coalesce("n_removed", none).alias("n_removed"), F.coalesce("n_spans", none).alias("n_spans"), F.coalesce("kept_sha256", "sha").alias("kept_sha256"), "kept")
+    columns = ["doc_id", "n_bytes", F.coalesce("n_removed", none).alias("n_removed"), F.coalesce("n_spans", none).alias("n_spans"), F.coalesce("kept_sha256", "sha").alias("kept_sha256")]
+    return out.select(*columns, *["kept"] * with_kept)
 
 
 def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repeats_removed(table(spark, sf_dir, "documents"), spark).drop("kept")
+    return repeats_removed(table(spark, sf_dir, "documents"), spark, with_kept=False)
