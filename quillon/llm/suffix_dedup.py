@@ -40,7 +40,7 @@ def parse(raw: np.ndarray, length: int = LENGTH) -> Iterator[tuple[np.ndarray, n
     """Phrases of a text's bytes, part by part: trigger, print, first and last + 1 string start."""
     for low in range(0, max(0, len(raw) - length + 1), PART):
         b = raw[low : low + PART + length - 1]
-        g = _BYTE[b]
+        g = code = _BYTE[b]
         n, step = len(b), 1
         while step < TRIGGER:
             g = g[:-step] * np.uint64(0x9E3779B97F4A7C15 + 2 * step) + g[step:]
@@ -58,7 +58,7 @@ def parse(raw: np.ndarray, length: int = LENGTH) -> Iterator[tuple[np.ndarray, n
         first = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
         last = np.append(first[1:], len(at))
         up, down = powers(n)
-        total = np.concatenate((np.zeros(1, dtype=np.uint64), np.cumsum(_BYTE[b] * up)))
+        total = np.concatenate((np.zeros(1, dtype=np.uint64), np.cumsum(code * up)))
         end = last + length - 1
         # where the trigger stands in the phrase is part of the print
         mark = mix((total[end] - total[first]) * down[first] ^ mix((end - first).astype(np.uint64) << np.uint64(20) | (at[first] - first).astype(np.uint64)))
@@ -80,8 +80,9 @@ def triggers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in b.column(0):
             got = list(parse(as_bytes(t)))
             if got:
-                pair, n = np.unique(np.stack([np.concatenate([x[0] for x in got]), np.concatenate([x[1] for x in got])]), axis=1, return_counts=True)
-                rows.append((pair[0], pair[1], n))
+                k, mark = (np.concatenate([x[j] for x in got]) for j in (0, 1))
+                _, at, n = np.unique(key_of(k, mark), return_index=True, return_counts=True)
+                rows.append((k[at], mark[at], n))
         if rows:
             k, p, n = (np.concatenate(x) for x in zip(*rows, strict=True))
             for i in range(0, len(k), 200_000):
@@ -151,27 +152,37 @@ def open_places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([longs(k), longs(m), pa.array(d, pa.int64()), pa.array(h, pa.int64())], ["trigger", "mark", "d", "h"])
 
 
-def ranked(first: np.ndarray, second: np.ndarray) -> np.ndarray:
-    """Ranks of pairs of ranks, equal for equal pairs."""
-    return np.unique((first << np.uint64(32)) | second, return_inverse=True)[1].astype(np.uint64)
+def ranks(values: np.ndarray) -> np.ndarray:
+    return np.unique(values, return_inverse=True)[1].astype(np.uint64)
 
 
 def repeated_suffixes(phrases: list[bytes], counts: list[int]) -> list[np.ndarray]:
     """For each of the distinct phrases, the runs [from, to) of string starts that a second place has as well.
 
-    The suffixes are put in order by doubling: ranks to a depth of 4 bytes, then 8, 16 and so on to 128; two ranks
-    of 128 that overlap make one of LENGTH = 200. Strings of different triggers differ, so triggers can share a call.
+    The suffixes are put in order by ranks of longer and longer prefixes, as a suffix array is built: a rank to a
+    depth of 8 bytes, then three of them for 24 and for 72, then three that overlap for LENGTH = 200; where
+    three ranks don't fit 64 bits, two at a time. Strings of different triggers differ, so triggers can share a call.
     """
     sizes = np.array([len(p) for p in phrases])
-    b = np.frombuffer(b"".join(phrases) + bytes(LENGTH), dtype=np.uint8).astype(np.uint64)
-    rank, depth = (b[:-3] << np.uint64(24)) | (b[1:-2] << np.uint64(16)) | (b[2:-1] << np.uint64(8)) | b[3:], 4
-    while 2 * depth <= LENGTH:
-        rank = ranked(rank[:-depth], rank[depth:])
-        depth *= 2
+    b = np.frombuffer(b"".join(phrases) + bytes(LENGTH), dtype=np.uint8)
+    rank, depth, parts = ranks(np.lib.stride_tricks.sliding_window_view(b, 8).copy().view(">u8").ravel().astype(np.uint64)), 8, 3
+    if len(rank) >= 1 << 21:
+        parts = 2
+    width = np.uint64(63 // parts)
+
+    def joined(at: slice | np.ndarray, shifts: list[int], n: int) -> np.ndarray:
+        out = np.zeros(n, dtype=np.uint64)
+        for s in shifts:
+            out = (out << width) | (rank[s : s + n] if isinstance(at, slice) else rank[at + s])
+        return ranks(out)
+
+    while parts * depth <= LENGTH:
+        rank, depth = joined(slice(None), [i * depth for i in range(parts)], len(rank) - (parts - 1) * depth), parts * depth
     ends = np.cumsum(sizes)
     starts = sizes - LENGTH + 1
     at = np.repeat(ends - sizes, starts) + np.arange(starts.sum()) - np.repeat(np.cumsum(starts) - starts, starts)
-    kind = ranked(rank[at], rank[at + LENGTH - depth]).astype(np.int64)
+    shifts = [*range(0, LENGTH - depth, depth), LENGTH - depth]
+    kind = joined(at, shifts, len(at)).astype(np.int64)
     again = np.bincount(kind, weights=np.repeat(counts, starts))[kind] > 1.5
     out, low = [], 0
     for n in starts:
