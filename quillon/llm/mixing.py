@@ -110,3 +110,26 @@ def mixed_rows(docs: DataFrame, spark: SparkSession, **kw) -> DataFrame:
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents"), spark)
+
+
+ORACLE = r"""
+WITH b AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
+  CAST('0x' || substr(md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 13) AS BIGINT) AS u FROM documents),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, 3 * CAST(sum(size) AS BIGINT) AS cap FROM b GROUP BY source),
+w AS (SELECT *, (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS w FROM s),
+l AS (SELECT *, CAST(sum(source_size) OVER () - coalesce(sum(cap) OVER (ORDER BY cap / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS DOUBLE)
+  / CAST(sum(w) OVER () - coalesce(sum(w) OVER (ORDER BY cap / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS DOUBLE) AS level FROM w),
+f AS (SELECT min_by(level, cap / w) AS level FROM l WHERE level * w <= cap),
+t AS (SELECT source, source_size, coalesce(least(CAST(cap AS DOUBLE), f.level * w), CAST(cap AS DOUBLE)) AS target FROM l LEFT JOIN f ON true),
+p AS (SELECT *, CASE WHEN source_size > 0 THEN CAST(floor(target / source_size) AS BIGINT) ELSE 0 END AS whole FROM t),
+r AS (SELECT *, greatest(0.0, target - whole * source_size) AS rest FROM p),
+x AS (SELECT b.*, source_size, target, whole, rest, (u + 0.5) / 4503599627370496.0 AS unit, CASE WHEN source_size > 0 THEN rest / source_size ELSE 0 END AS share FROM b JOIN r ON b.source IS NOT DISTINCT FROM r.source),
+k AS (SELECT *, CASE WHEN share <> 0 THEN (unit / (1 - unit)) * (1 - share) / share END AS rank FROM x),
+c AS (SELECT *, CASE WHEN size <= rest THEN sum(CASE WHEN size <= rest THEN size ELSE 0 END) OVER (PARTITION BY source ORDER BY rank, doc_id, size ROWS UNBOUNDED PRECEDING) END AS upto FROM k),
+o AS (SELECT source, min(row(rank, doc_id, size)) AS cut FROM c WHERE rest > 0 AND upto > rest GROUP BY source),
+i AS (SELECT c.*, o.cut IS NOT NULL AS short, rest > 0 AND size <= rest AND (o.cut IS NULL OR row(rank, doc_id, size) < o.cut) AS inside FROM c LEFT JOIN o ON c.source IS NOT DISTINCT FROM o.source),
+g AS (SELECT source, any_value(rest) - sum(CASE WHEN inside THEN size ELSE 0 END) AS gap FROM i WHERE short GROUP BY source),
+e AS (SELECT i.source, min(row(abs(size - gap), rank, doc_id, size)) AS best FROM i JOIN g ON i.source IS NOT DISTINCT FROM g.source WHERE NOT inside AND size > 0 AND abs(size - gap) < gap GROUP BY i.source),
+n AS (SELECT i.*, least(3, whole + CASE WHEN inside OR (rank = e.best[2] AND doc_id = e.best[3]) THEN 1 ELSE 0 END) AS copies FROM i LEFT JOIN e ON i.source IS NOT DISTINCT FROM e.source)
+SELECT doc_id, size, source_size, target, CAST(copies AS BIGINT) AS copies, CAST(copies * size AS BIGINT) AS taken FROM n
+"""

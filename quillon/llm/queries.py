@@ -20,4 +20,5 @@ QUERIES = {
 ORACLES = {
     "op4_exact_dedup": exact_dedup.ORACLE,
     "op7_url_filter": url_filter.ORACLE,
+    "op9_mixing": mixing.ORACLE,
 }
