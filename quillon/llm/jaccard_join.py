@@ -12,7 +12,7 @@ take part in the band below too.
 Documents with equal sets are one class. In a bucket (sketches that are equal) each member is paired
 with one pivot only, first inside a map task, then between tasks; for the first
 verification the pivot is the bucket's most central member. Pairs are dropped if a
-1024-bit parity sketch of the whole sets shows too large a difference, and the rest are
+1024-bit parity sketch of the whole sets, or a wider one of large sets, shows too large a difference, and the rest are
 verified on the texts: first the best pivot of each document; after that only
 pairs in different components of what has linked so far, in buckets that still
 hold several components. All pairs of a bucket inside one component are never made.
@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillon.llm.common import components, materialize, shuffle_width, table
-from quillon.llm.shingles import SKETCH_BITS, mix, set_print, shingles, sketch
+from quillon.llm.shingles import SKETCH_BITS, difference, mix, set_print, shingles, sketch
 from quillon.llm.url_filter import bloom_words, may_hold
 
 #: Elements of a block in a set at the upper end of its band.
@@ -66,7 +66,7 @@ def emitted(s: np.ndarray) -> np.ndarray:
 
 def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        n, f1, f2, sk = [], [], [], []
+        n, f1, f2, sk, wide = [], [], [], [], []
         for t in b.column(1):
             s = shingles(t.as_py() or "")
             x, y = set_print(s)
@@ -74,11 +74,12 @@ def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             f1.append(x)
             f2.append(y)
             sk.append(sketch(s))
+            wide.append(sketch(s, 1 << (2 * len(s) - 1).bit_length()).tobytes() if len(s) > SKETCH_BITS // 2 else None)
         longs = lambda v: pa.array(np.array(v, dtype=np.uint64).view(np.int64))
         flat = pa.array(np.concatenate(sk) if sk else np.empty(0, dtype=np.int64))
         yield pa.RecordBatch.from_arrays(
-            [b.column(0), pa.array(n, pa.int64()), longs(f1), longs(f2), pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1, dtype=np.int32) * WORDS), flat)],
-            ["doc_id", "n", "f1", "f2", "sketch"],
+            [b.column(0), pa.array(n, pa.int64()), longs(f1), longs(f2), pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1, dtype=np.int32) * WORDS), flat), pa.array(wide, pa.binary())],
+            ["doc_id", "n", "f1", "f2", "sketch", "wide"],
         )
 
 
@@ -154,6 +155,20 @@ def close_enough(a: str, b: str) -> Column:
     return (na * 5 >= nb * 4) & (nb * 5 >= na * 4) & (differ * 9 <= na + nb)
 
 
+def sifted(pairs: DataFrame, wide: DataFrame) -> DataFrame:
+    """``pairs(a, b)`` without those of two large sets whose wide sketches, two bits an element and more, differ too much."""
+    side = lambda k: wide.select(F.col("doc_id").alias(k), F.col("n").alias(f"n{k}"), F.col("wide").alias(f"w{k}"))
+    both = pairs.select("a", "b").join(side("a"), "a", "left").join(side("b"), "b", "left").select("a", "b", "na", "nb", "wa", "wb")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            n = list(zip(b.column("na").to_pylist(), b.column("nb").to_pylist(), b.column("wa"), b.column("wb"), strict=True))
+            words = lambda x: np.frombuffer(x.as_buffer(), dtype=np.int64)
+            yield b.filter(pa.array([x is None or y is None or 9 * difference(words(u), words(v)) <= x + y for x, y, u, v in n], pa.bool_())).select(["a", "b"])
+
+    return both.mapInArrow(run, "a long, b long")
+
+
 def texts_of(ids: DataFrame, docs: DataFrame, spark: SparkSession) -> DataFrame:
     """(id, text) of the wanted ids, written; a filter of at most 8 MB spares the shuffle of most other texts."""
     words = spark.sparkContext.broadcast(bloom_words(ids.select(F.col("id").alias("key")), spark, most_bytes=8 << 20))
@@ -197,7 +212,7 @@ def jaccard_components(docs: DataFrame, spark: SparkSession) -> DataFrame:
     a null component_id. Other columns are not read; an empty table gives an empty result.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    feats = materialize(docs.mapInArrow(describe, "doc_id long, n long, f1 long, f2 long, sketch array<long>"), spark)
+    feats = materialize(docs.mapInArrow(describe, "doc_id long, n long, f1 long, f2 long, sketch array<long>, wide binary"), spark)
     known = docs.where("doc_id IS NOT NULL")
     sets = feats.where("doc_id IS NOT NULL AND n > 0")
     lowest = sets.groupBy("n", "f1", "f2").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("c"))
@@ -221,7 +236,8 @@ def jaccard_components(docs: DataFrame, spark: SparkSession) -> DataFrame:
     pairs = pairs.groupBy("x", "p").agg(F.sum("c").alias("c")).alias("m").join(described.alias("a"), F.col("m.x") == F.col("a.doc_id")).join(described.alias("b"), F.col("m.p") == F.col("b.doc_id"))
     likely = pairs.where(close_enough("a", "b")).select("x", "p", "c")
     best = likely.groupBy("x").agg(F.max(F.struct("c", -F.col("p"))).alias("best")).select(F.col("x").alias("a"), (-F.col("best")["col2"]).alias("b"))
-    tried = materialize(best.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), spark)
+    large = sets.where("wide IS NOT NULL").select("doc_id", "n", "wide").dropDuplicates(["doc_id"])
+    tried = materialize(sifted(best.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), large), spark)
     links = verify(tried, known, spark)
     parts = materialize(components(links, spark), spark)
 
@@ -242,7 +258,7 @@ def jaccard_components(docs: DataFrame, spark: SparkSession) -> DataFrame:
     apart = (F.col("a.part") != F.col("b.part")) & ((F.col("b.part") == F.col("b.major")) | (F.col("a.id") > F.col("b.id")))
     more = held.where("part <> major").alias("a").join(held.alias("b"), (F.col("a.key") == F.col("b.key")) & apart & close_enough("a", "b"))
     more = more.select(F.greatest("a.id", "b.id").alias("a"), F.least("a.id", "b.id").alias("b")).distinct()
-    more = materialize(more.join(tried, ["a", "b"], "left_anti"), spark)
+    more = materialize(sifted(more.join(tried, ["a", "b"], "left_anti"), large), spark)
     links = links.union(verify(more, known, spark))
     parts = materialize(components(links, spark), spark)
 

@@ -82,7 +82,16 @@ def set_print(s: np.ndarray) -> tuple[int, int]:
     return a, b
 
 
-def sketch(s: np.ndarray) -> np.ndarray:
-    """Parity of the set's hashes in each of SKETCH_BITS cells: two sketches differ in at most as many bits as the sets in elements."""
-    odd = np.bincount((s & np.uint64(SKETCH_BITS - 1)).astype(np.int64), minlength=SKETCH_BITS) & 1
+def sketch(s: np.ndarray, bits: int = SKETCH_BITS) -> np.ndarray:
+    """Parity of the set's hashes in each of ``bits`` cells: two sketches differ in at most as many bits as the sets in elements."""
+    odd = np.bincount((s & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
+def difference(a: np.ndarray, b: np.ndarray) -> int:
+    """In how many bits two sketches differ, the larger one folded to the size of the other."""
+    while len(a) > len(b):
+        a = a[: len(a) // 2] ^ a[len(a) // 2 :]
+    while len(b) > len(a):
+        b = b[: len(b) // 2] ^ b[len(b) // 2 :]
+    return int(np.bitwise_count(a ^ b).sum())
