@@ -33,13 +33,18 @@ def sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return units_paragraph(spark, sf_dir).select("doc_id", (F.row_number().over(order) - 1).alias("sentence_ordinal"), "paragraph_idx", F.lit(0).alias("sentence_idx"), "text")
 
 
+def passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The questions without what they allow."""
+    items = table(spark, sf_dir, "benchmark", "item_id", "text")
+    return items.select(T.padded_id(F.lit("bench"), F.col("item_id")).alias("query_id"), F.when(F.col("item_id") % 10 < 7, "dev").otherwise("test").alias("split"), F.col("item_id").alias("source_row"), F.col("text").alias("question"), F.col("text").alias("golden_answer"), F.lit("bench").alias("dataset"))
+
+
 def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The passages, with the allowed documents in the order of their ids as text.
 
     Documents that hold a passage share its first four tokens in a row, which an equal join finds.
     """
-    items = table(spark, sf_dir, "benchmark", "item_id", "text")
-    q = items.select(T.padded_id(F.lit("bench"), F.col("item_id")).alias("query_id"), F.when(F.col("item_id") % 10 < 7, "dev").otherwise("test").alias("split"), F.col("item_id").alias("source_row"), F.col("text").alias("question"), F.col("text").alias("golden_answer"), F.lit("bench").alias("dataset"), T.tokens(F.col("text")).alias("t"))
+    q = passages(spark, sf_dir).withColumn("t", T.tokens(F.col("question")))
     docs = table(spark, sf_dir, "documents", "doc_id", "text", "source").select(F.col("doc_id").cast("string").alias("doc_id"), "source", T.tokens(F.col("text")).alias("d"))
     bucket = q.select("query_id", F.concat(F.lit("src"), F.col("source_row") % 20).alias("source")).join(docs.select("doc_id", "source"), "source").select("query_id", "doc_id")
     first = q.where(F.size("t") >= 4).select("query_id", F.array_join(F.slice("t", 1, 4), " ").alias("gram"), F.array_join("t", " ").alias("g"))
@@ -82,7 +87,7 @@ def judgments(spark: SparkSession, sf_dir: str) -> DataFrame:
 def anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The four best paragraphs of each question's best document; questions with fewer are left out."""
     top = ranked(spark, sf_dir).where("rank = 1").select("query_id", F.array("doc_id").alias("allowed_doc_ids"))
-    q = questions(spark, sf_dir).drop("allowed_doc_ids").join(top, "query_id")
+    q = passages(spark, sf_dir).join(top, "query_id")
     units = units_paragraph(spark, sf_dir)
     best = ranking.bm25(q, units).join(units.select("unit_id", "paragraph_idx"), "unit_id")
     whole = best.groupBy("query_id").agg(F.count(F.lit(1)).alias("n")).where("n = 4")

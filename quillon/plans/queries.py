@@ -104,7 +104,7 @@ def bm25_top4_document(spark: SparkSession, sf: str) -> DataFrame:
 @query("SELECT query_id, rank, unit_id, doc_id, round(score, 6) AS score FROM bp_top")
 def bm25_top4_paragraph(spark: SparkSession, sf: str) -> DataFrame:
     top = fixtures.ranked(spark, sf).where("rank = 1").select("query_id", F.array("doc_id").alias("allowed_doc_ids"))
-    q = fixtures.questions(spark, sf).drop("allowed_doc_ids").join(top, "query_id")
+    q = fixtures.passages(spark, sf).join(top, "query_id")
     return ranking.bm25(q, fixtures.units_paragraph(spark, sf)).withColumn("score", F.round("score", 6)).withColumn("rank", F.col("rank").cast("long"))
 
 
@@ -271,10 +271,10 @@ def paired_transition(spark: SparkSession, sf: str) -> DataFrame:
     return paired.transitions(paired.paired(fixtures.judgments(spark, sf), "bm25", "bm25_flat", "score"))
 
 
-@query(f"SELECT o_custkey, round({_P.format(w='w', l='l')}, 9) AS p_value FROM (SELECT o_custkey, count(*) FILTER (o_totalprice > 150000) AS w, count(*) FILTER (o_totalprice < 150000) AS l FROM orders GROUP BY o_custkey)")
+@query(f"SELECT o_custkey, round(ln({_P.format(w='w', l='l')}), 6) AS ln_p_value FROM (SELECT o_custkey, count(*) FILTER (o_totalprice > 150000) AS w, count(*) FILTER (o_totalprice < 150000) AS l FROM orders GROUP BY o_custkey)")
 def sign_test_by_customer(spark: SparkSession, sf: str) -> DataFrame:
     o = table(spark, sf, "orders", "o_custkey", "o_totalprice").groupBy("o_custkey").agg(metrics.count_if(F.col("o_totalprice") > 150000).alias("w"), metrics.count_if(F.col("o_totalprice") < 150000).alias("l"))
-    return o.select("o_custkey", F.round(sign_test(F.col("w"), F.col("l")), 9).alias("p_value"))
+    return o.select("o_custkey", F.round(F.log(sign_test(F.col("w"), F.col("l"))), 6).alias("ln_p_value"))
 
 
 # assembly --------------------------------------------------------------------------------------------
@@ -300,7 +300,7 @@ def union_missing_cols(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("SELECT query_id, source_row, CASE WHEN source_row % 5 < 3 AND source_row % 7 = 0 THEN 'new' ELSE 'old' END AS state FROM q WHERE source_row % 5 < 3 UNION ALL SELECT query_id, source_row, 'new' FROM q WHERE source_row % 5 >= 3")
 def upsert_latest(spark: SparkSession, sf: str) -> DataFrame:
-    q = fixtures.questions(spark, sf).select("query_id", "source_row")
+    q = fixtures.passages(spark, sf).select("query_id", "source_row")
     old = q.where("source_row % 5 < 3").withColumn("state", F.lit("old"))
     new = q.where("source_row % 5 >= 3 OR source_row % 7 = 0").withColumn("state", F.lit("new"))
     return assemble.upserted(old, new, keys=["query_id"])
@@ -308,14 +308,14 @@ def upsert_latest(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("SELECT query_id, source_row FROM q WHERE source_row % 5 >= 3 OR source_row % 7 = 0")
 def pending_anti(spark: SparkSession, sf: str) -> DataFrame:
-    q = fixtures.questions(spark, sf).select("query_id", "source_row")
+    q = fixtures.passages(spark, sf).select("query_id", "source_row")
     prior = q.where("source_row % 5 < 3").withColumn("error", F.when(F.col("source_row") % 7 == 0, "boom").otherwise(""))
     return assemble.pending(q, prior, ["query_id"], "error")
 
 
 @query("SELECT query_id FROM q WHERE EXISTS (SELECT 1 FROM q p WHERE p.source_row % 3 = 0 AND p.question = q.question AND p.golden_answer = q.golden_answer)")
 def cohort_semi(spark: SparkSession, sf: str) -> DataFrame:
-    q = fixtures.questions(spark, sf)
+    q = fixtures.passages(spark, sf)
     return assemble.cohort(q, q.where("source_row % 3 = 0")).select("query_id")
 
 
@@ -377,12 +377,12 @@ def dq_judgments(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("SELECT query_id, selection_key, row_number() OVER (ORDER BY selection_key, source_row, query_id) AS selection_rank FROM (SELECT *, sha256('pilot' || chr(10) || query_id) AS selection_key FROM q WHERE split = 'dev') QUALIFY selection_rank <= 100")
 def stable_sample_100(spark: SparkSession, sf: str) -> DataFrame:
-    return sampling.stable_sample(fixtures.questions(spark, sf), 100, "pilot").select("query_id", "selection_key", F.col("selection_rank").cast("long").alias("selection_rank"))
+    return sampling.stable_sample(fixtures.passages(spark, sf), 100, "pilot").select("query_id", "selection_key", F.col("selection_rank").cast("long").alias("selection_rank"))
 
 
 @query("SELECT sha256(string_agg(query_id || chr(9) || sha256(question), chr(10) ORDER BY source_row)) AS sha256, count(*) AS n_rows FROM q")
 def ordered_context_hash(spark: SparkSession, sf: str) -> DataFrame:
-    q = fixtures.questions(spark, sf).withColumn("h", T.sha256(F.col("question")))
+    q = fixtures.passages(spark, sf).withColumn("h", T.sha256(F.col("question")))
     return sampling.ordered_hash(q, "source_row", "query_id", "h")
 
 
