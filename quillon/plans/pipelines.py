@@ -56,9 +56,12 @@ def retrieve_external(questions: DataFrame, search: Callable[[str], answers.Repl
     return out.withColumn("retrieved_count", F.size("retrieved_items").cast("long")).drop("prompt", "reply", "input_tokens", "output_tokens")
 
 
-def import_neural(spark: SparkSession, path: str, members: dict[str, str], columns: dict[str, str], dataset: str = "dataset") -> DataFrame:
-    """Long retrieval rows of an archive: ``columns`` maps an arm to the column with its excerpts."""
-    df = assemble.ordinals(tables.archive(spark, path, members).withColumn("_o", F.monotonically_increasing_id()), dataset, "_o").drop("_o")
+def import_neural(spark: SparkSession, path: str, members: dict[str, str], columns: dict[str, str], order: str, dataset: str = "dataset") -> DataFrame:
+    """Long retrieval rows of an archive: ``columns`` maps an arm to the column with its excerpts.
+
+    Rows are numbered within their dataset by the column ``order``, never by their place in a file.
+    """
+    df = assemble.ordinals(tables.archive(spark, path, members), dataset, order)
     checks.require(checks.conditions(df, **{f"null_{c}": F.col(c).isNull() for c in (dataset, "question", "golden_answer")}))
     df = df.withColumn("query_id", T.padded_id(F.col(dataset), F.col("source_row")))
     return assemble.stacked(*[ranking.import_ranked(df, c, arm).drop(*columns.values()) for arm, c in columns.items()])
