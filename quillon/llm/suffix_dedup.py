@@ -90,13 +90,21 @@ def triggers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(trigger, d, h): which texts hold a trigger."""
+    """(trigger, mark, d, h): which texts hold a phrase, equal phrases of a text once."""
     for b in batches:
-        keys = [np.unique(np.concatenate(got)) if (got := [x[0] for x in parse(as_bytes(t))]) else np.empty(0, dtype=np.uint64) for t in b.column(2)]
-        n = [len(k) for k in keys]
-        k, d, h = np.concatenate(keys), np.repeat(b.column(0).to_numpy(), n), np.repeat(b.column(1).to_numpy(), n)
+        parts, n = [(np.empty(0, dtype=np.uint64),) * 2], []
+        for t in b.column(2):
+            if got := list(parse(as_bytes(t))):
+                k, mark = (np.concatenate([x[j] for x in got]) for j in (0, 1))
+                at = np.unique(key_of(k, mark), return_index=True)[1]
+                parts.append((k[at], mark[at]))
+                n.append(len(at))
+            else:
+                n.append(0)
+        k, m = (np.concatenate([p[j] for p in parts]) for j in (0, 1))
+        d, h = np.repeat(b.column(0).to_numpy(), n), np.repeat(b.column(1).to_numpy(), n)
         for i in range(0, len(k), 200_000):
-            yield pa.RecordBatch.from_arrays([longs(k[i : i + 200_000]), pa.array(d[i : i + 200_000]), pa.array(h[i : i + 200_000])], ["trigger", "d", "h"])
+            yield pa.RecordBatch.from_arrays([longs(k[i : i + 200_000]), longs(m[i : i + 200_000]), pa.array(d[i : i + 200_000]), pa.array(h[i : i + 200_000])], ["trigger", "mark", "d", "h"])
 
 
 def chosen(raw: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -137,21 +145,6 @@ def phrase_batch(rows: list, phrases: list[bytes]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([longs(k), longs(m), pa.array(n.astype(np.int64)), pa.array(phrases, pa.binary())], ["trigger", "mark", "n", "phrase"])
 
 
-def open_places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(trigger, mark, d, h): which texts hold those phrases."""
-    for b in batches:
-        rows = [(np.empty(0, dtype=np.uint64),) * 2 + (0,)]
-        for i, t in enumerate(b.column("text")):
-            wanted = flat(b.column("many"), i)
-            if len(wanted):
-                k, mark, *_ = chosen(as_bytes(t), wanted)
-                rows.append((k, mark, i))
-        k, m = (np.concatenate([r[j] for r in rows]) for j in (0, 1))
-        at = np.repeat([r[2] for r in rows], [len(r[0]) for r in rows])
-        d, h = (b.column(c).to_numpy(zero_copy_only=False)[at] if len(at) else np.empty(0, dtype=np.int64) for c in ("d", "h"))
-        yield pa.RecordBatch.from_arrays([longs(k), longs(m), pa.array(d, pa.int64()), pa.array(h, pa.int64())], ["trigger", "mark", "d", "h"])
-
-
 def ranks(values: np.ndarray) -> np.ndarray:
     return np.unique(values, return_inverse=True)[1].astype(np.uint64)
 
@@ -286,13 +279,14 @@ def finish_lean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def marked_texts(docs: DataFrame, spark: SparkSession) -> DataFrame:
-    """(d, h, text, whole, many) of the distinct texts that hold a repeated trigger: its kinds of trigger."""
+    """(d, h, text, whole, many) of the distinct texts that hold a repeated trigger: triggers with one phrase, phrases of the others."""
     met = docs.select("text").mapInArrow(triggers, "trigger long, mark long, n long").groupBy("trigger")
     met = met.agg(F.sum("n").alias("n"), F.min("mark").alias("a"), F.max("mark").alias("b")).where("n > 1")
     met = materialize(met.select("trigger", (F.col("a") != F.col("b")).alias("several")), spark)
-    held = docs.select("d", "h", "text").mapInArrow(places, "trigger long, d long, h long").join(met, "trigger")
-    sides = [F.collect_set(F.when(c, F.col("trigger"))).alias(name) for c, name in ((~F.col("several"), "whole"), (F.col("several"), "many"))]
-    held = materialize(held.groupBy("d", "h").agg(*sides), spark)  # arrays as long as one text has phrases
+    held = docs.select("d", "h", "text").mapInArrow(places, "trigger long, mark long, d long, h long").join(met, "trigger")
+    whole = F.collect_list(F.when(~F.col("several"), F.col("trigger"))).alias("whole")
+    many = F.collect_list(F.when(F.col("several"), F.struct("trigger", "mark"))).alias("many")
+    held = materialize(held.groupBy("d", "h").agg(whole, many), spark)  # arrays as long as one text has phrases
     words = spark.sparkContext.broadcast(bloom_words(held.select(F.xxhash64("d", "h").alias("key")), spark, most_bytes=8 << 20))
 
     def likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -317,7 +311,7 @@ def repeats_removed(docs: DataFrame, spark: SparkSession, with_kept: bool = True
     docs = docs.select("doc_id", F.coalesce("doc_id", F.lit(0)).alias("d"), F.xxhash64("text").alias("h"), "text")
     texts = marked_texts(docs, spark)
 
-    opened = texts.select("d", "h", "text", "many").where(F.size("many") > 0)
+    opened = texts.select("text", F.transform("many", lambda x: x["trigger"]).alias("many")).where(F.size("many") > 0)
     found = opened.mapInArrow(open_phrases, "trigger long, mark long, n long, phrase binary")
     phrases = materialize(found.groupBy("trigger", "mark", "phrase").agg(F.sum("n").alias("n")), spark)
     crowded = phrases.groupBy("trigger").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > MOST_PHRASES).select("trigger")
@@ -327,7 +321,7 @@ def repeats_removed(docs: DataFrame, spark: SparkSession, with_kept: bool = True
     again = dealt.groupBy("digest").agg(F.sum("n").alias("c")).where("c > 1").select("digest")
     many = dealt.join(again, "digest").groupBy("trigger", "mark").agg(F.flatten(F.collect_list(F.array(F.col("at"), F.col("at") + 1))).alias("runs"))
     runs = materialize(few.union(many), spark)
-    held = opened.mapInArrow(open_places, "trigger long, mark long, d long, h long")
+    held = texts.select("d", "h", F.explode("many").alias("x")).select("x.trigger", "x.mark", "d", "h")
     partly = materialize(held.join(runs, ["trigger", "mark"]).groupBy("d", "h").agg(F.collect_list(F.struct("trigger", "mark", "runs")).alias("partly")), spark)
 
     joined = texts.join(partly, ["d", "h"], "left").select("d", "h", "text", "whole", "partly")
