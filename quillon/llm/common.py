@@ -33,7 +33,7 @@ def materialize(df: DataFrame, spark: SparkSession) -> DataFrame:
     disks don't keep it until memory runs short.
     """
     path = f"{scratch_root(spark)}/quillon-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
