@@ -271,10 +271,10 @@ def paired_transition(spark: SparkSession, sf: str) -> DataFrame:
     return paired.transitions(paired.paired(fixtures.judgments(spark, sf), "bm25", "bm25_flat", "score"))
 
 
-@query(f"SELECT o_custkey, round(ln({_P.format(w='w', l='l')}), 6) AS ln_p_value FROM (SELECT o_custkey, count(*) FILTER (o_totalprice > 150000) AS w, count(*) FILTER (o_totalprice < 150000) AS l FROM orders GROUP BY o_custkey)")
+@query(f"SELECT o_custkey, round(ln({_P.format(w='w', l='l')}), 6) + 0.0 AS ln_p_value FROM (SELECT o_custkey, count(*) FILTER (o_totalprice > 150000) AS w, count(*) FILTER (o_totalprice < 150000) AS l FROM orders GROUP BY o_custkey)")
 def sign_test_by_customer(spark: SparkSession, sf: str) -> DataFrame:
     o = table(spark, sf, "orders", "o_custkey", "o_totalprice").groupBy("o_custkey").agg(metrics.count_if(F.col("o_totalprice") > 150000).alias("w"), metrics.count_if(F.col("o_totalprice") < 150000).alias("l"))
-    return o.select("o_custkey", F.round(F.log(sign_test(F.col("w"), F.col("l"))), 6).alias("ln_p_value"))
+    return o.select("o_custkey", (F.round(F.log(sign_test(F.col("w"), F.col("l"))), 6) + 0.0).alias("ln_p_value"))
 
 
 # assembly --------------------------------------------------------------------------------------------
