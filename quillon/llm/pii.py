@@ -45,6 +45,8 @@ ENTITY = "|".join(PATTERNS)
 #: No entity is found in a text without one of these.
 HINT = rf"[0-9@=:]|(?:{_TITLES}) "
 ATTEMPTS = 32
+#: The country code at the start of an international number's digits.
+COUNTRY = "^(?:[17]|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|[0-9]{3})"
 _LOWER, _UPPER = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 _CYR, _CYR_UP = "абвгдежзиклмнопрстуфхцчшэюя", "АБВГДЕЖЗИКЛМНОПРСТУФХЦЧШЭЮЯ"
 
@@ -64,7 +66,8 @@ def head_of(e: Column, kind: Column) -> Column:
 
 def canon(e: Column, kind: Column, body: Column) -> Column:
     """The form that all ways to write an entity share."""
-    return F.when(kind.isin("phone", "card", "ssn"), F.regexp_replace(e, "[^0-9]", "")).when(kind == "iban", F.regexp_replace(e, " ", "")).when(kind.isin("email", "person"), F.lower(body)).otherwise(body)
+    digits = F.regexp_replace(e, "[^0-9]", "")
+    return F.when(kind.isin("card", "ssn"), digits).when(kind == "phone", F.concat(F.when(e.startswith("+"), "+").otherwise(""), digits)).when(kind == "iban", F.regexp_replace(e, " ", "")).when(kind.isin("email", "person"), F.lower(body)).otherwise(body)
 
 
 def _byte(digest: Column, i: Column) -> Column:
@@ -90,11 +93,17 @@ def _shaped(value: Column, digest: Column, hexes: Column) -> Column:
     return F.when(F.length(value) > 0, F.array_join(F.transform(F.sequence(F.lit(1), F.length(value)), one), "")).otherwise(F.lit(""))
 
 
+def _spaced(fresh: Column, value: Column) -> Column:
+    """``fresh`` with the spaces of ``value``, whose other characters it has one for one."""
+    at = lambda i: F.length(F.replace(F.substring(value, F.lit(1), i), F.lit(" "), F.lit("")))
+    return F.array_join(F.transform(F.sequence(F.lit(1), F.length(value)), lambda i: F.when(F.substring(value, i, F.lit(1)) == " ", " ").otherwise(F.substring(fresh, at(i), F.lit(1)))), "")
+
+
 def _numbers(e: Column, kind: Column, digest: Column) -> Column:
     """A number in the format of ``e``: punctuation, country code and issuer digit stay, a card's check digit is right."""
     digits = F.regexp_replace(e, "[^0-9]", "")
     n = F.length(digits)
-    kept = F.when(kind == "card", 1).otherwise(F.length(F.regexp_extract(e, r"^\+([0-9]{1,3})[^0-9]", 1)))
+    kept = F.when(kind == "card", 1).when(e.startswith("+"), F.length(F.regexp_extract(digits, COUNTRY, 0))).otherwise(0)
     fresh = F.transform(F.sequence(F.lit(1), n), lambda i: F.when(i <= kept, F.substring(digits, i, F.lit(1)).cast("int")).when((i == kept + 1) & (kind == "phone"), _byte(digest, i) % 8 + 2).otherwise(_byte(digest, i) % 10))
     # the check digit: of the others, from the right, each first is doubled
     doubled = F.transform(F.slice(fresh, 1, F.greatest(n - 1, F.lit(1))), lambda d, i: F.when(F.pmod(n - i, F.lit(2)) == 0, F.when(d * 2 > 9, d * 2 - 9).otherwise(d * 2)).otherwise(d))
@@ -146,7 +155,8 @@ def _drawn(e: Column, kind: Column, head: Column, body: Column, digest: Column,
     ip = F.concat_ws(".", (_byte(digest, F.lit(1)) % 223 + 1).cast("string"), *[_byte(digest, F.lit(i)).cast("string") for i in (2, 3, 4)])
     hexes = body.rlike("^(?:[0-9a-f]+|[0-9A-F]+)$")
     plain = F.concat(head, _shaped(body, digest, hexes & (kind == "secret")))
-    return F.when(kind == "email", email).when(kind == "ip", ip).when(kind.isin("phone", "card", "ssn"), _numbers(e, kind, digest)).when(kind == "person", _name(head, body, digest)).otherwise(plain)
+    iban = F.concat(head, _spaced(_shaped(F.replace(body, F.lit(" "), F.lit("")), digest, F.lit(False)), body))
+    return F.when(kind == "email", email).when(kind == "ip", ip).when(kind.isin("phone", "card", "ssn"), _numbers(e, kind, digest)).when(kind == "person", _name(head, body, digest)).when(kind == "iban", iban).otherwise(plain)
 
 
 def entities(text: Column) -> Column:
@@ -155,21 +165,24 @@ def entities(text: Column) -> Column:
 
 def later_attempts(found: DataFrame, spark: SparkSession, key: str) -> DataFrame:
     """(kind, name, attempt) of the canonical entities that attempt 0 doesn't serve, from ``found(x)``."""
-    known = materialize(found.groupBy(F.col("x.kind").alias("kind"), F.col("x.name").alias("name")).agg(F.min("x").alias("x")), spark)
-    waiting, taken, redone = known, None, None
+    forms = materialize(found.select(F.col("x.kind").alias("kind"), F.col("x.name").alias("name"), "x").distinct(), spark)
+    known = forms.select("kind", F.col("name").alias("s")).distinct()
+    waiting, taken, redone = forms, None, None
     for attempt in range(ATTEMPTS):
-        drawn = materialize(waiting.withColumn("s", surrogate(F.col("x"), F.lit(attempt), key)), spark)
-        drawn = drawn.withColumn("s", F.element_at(described(F.array("s")), 1)["name"])
+        drawn = waiting.withColumn("s", surrogate(F.col("x"), F.lit(attempt), key))
+        drawn = materialize(drawn.select("kind", "name", F.element_at(described(F.array("s")), 1)["name"].alias("s")).distinct(), spark)
         first = drawn.groupBy("kind", "s").agg(F.min("name").alias("name"))
-        good = drawn.join(first, ["kind", "s", "name"]).join(known.select("kind", F.col("name").alias("s")), ["kind", "s"], "left_anti")
+        free = drawn.join(first, ["kind", "s", "name"]).join(known, ["kind", "s"], "left_anti")
         if taken is not None:
-            good = good.join(taken, ["kind", "s"], "left_anti")
-        good = materialize(good.select("kind", "s", "name"), spark)
+            free = free.join(taken, ["kind", "s"], "left_anti")
+        # a name is served when the surrogates of all its written forms are free
+        lost = materialize(drawn.join(free, ["kind", "s", "name"], "left_anti").select("kind", "name").distinct(), spark)
+        good = materialize(drawn.join(lost, ["kind", "name"], "left_anti").select("kind", "s", "name"), spark)
         taken = good.select("kind", "s") if taken is None else taken.union(good.select("kind", "s"))
         if attempt:
-            now = good.select("kind", "name", F.lit(attempt).alias("attempt"))
+            now = good.select("kind", "name", F.lit(attempt).alias("attempt")).distinct()
             redone = now if redone is None else redone.union(now)
-        waiting = materialize(drawn.join(good.select("kind", "name"), ["kind", "name"], "left_anti").select("kind", "name", "x"), spark)
+        waiting = materialize(waiting.join(lost, ["kind", "name"], "left_semi").select("kind", "name", "x"), spark)
         if waiting.isEmpty():
             return redone if redone is not None else spark.createDataFrame([], "kind string, name string, attempt int")
     raise RuntimeError(f"surrogates still collide after {ATTEMPTS} attempts")

@@ -148,3 +148,22 @@ def test_surrogates_stay_distinct(spark, monkeypatch):
     got = {r.doc_id: r.text for r in pii.replace_pii(df, spark).collect()}
     assert len(set(got.values())) == len(names) and all(got[i] == got[i + len(names)] for i in range(len(names)))
     assert not set(got.values()) & set(names)
+
+
+def test_surrogates_of_all_written_forms(spark):
+    """Compact and spaced forms of a number are one entity; the surrogates of all forms are checked."""
+    forms = [["+15551234567", "+1 555 123 4567", "+1 (555) 123-4567"], ["+442079460958", "+44 20 7946 0958"], ["+3531234567", "+353 1 234 567"], ["DE89370400440532013000", "DE89 3704 0044 0532 0130 00"], ["555-123-4567", "(555) 123-4567"]]
+    names = [f"{t} Kim {a}{b}" for t in ("Mr.", "Ms.") for a in "BCDFGHJKLM" for b in ("abc", "edf")]
+    texts = [f"x {e} y" for group in forms for e in group] + [f"{n}!" for n in names]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = [r.text for r in pii.replace_pii(df, spark).orderBy("doc_id").collect()]
+    at, seen = 0, set()
+    for group in forms:
+        new = {re.sub(r"[^A-Z0-9+]", "", g[2:-2]) for g in got[at : at + len(group)]}
+        assert len(new) == 1 and not new & {re.sub(r"[^A-Z0-9+]", "", e) for e in group}
+        assert [re.sub("[A-Z]", "A", re.sub("[0-9]", "0", g[2:-2])) for g in got[at : at + len(group)]] == [re.sub("[A-Z]", "A", re.sub("[0-9]", "0", e)) for e in group]
+        head = next((h for h in ("+1", "+44", "+353", "DE") if group[0].startswith(h)), "")
+        assert all(g[2:].startswith(head) for g in got[at : at + len(group)])
+        seen |= new
+        at += len(group)
+    assert len(seen) == len(forms) and len(set(got[at:])) == len(names)
