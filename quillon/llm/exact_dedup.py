@@ -38,6 +38,11 @@ def exact_dedup(docs: DataFrame, salts: int = 16) -> DataFrame:
     Rows of a very common text meet in the last join only as ids and digests, which
     adaptive execution splits.
     """
+    return verdicts(docs, salts).select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
+
+
+def verdicts(docs: DataFrame, salts: int = 16) -> DataFrame:
+    """One row per row of ``docs``: doc_id, keep_id, group_size, kept, and the text's digest and n_bytes."""
     ids = keyed(docs).select("doc_id", "digest", F.octet_length("norm").alias("n_bytes"))
     out = ids.join(duplicate_groups(docs, salts), ["digest", "n_bytes"], "left")
     keep = F.when(F.col("group_size").isNull(), F.col("doc_id")).otherwise(F.col("keep_id"))
@@ -46,14 +51,21 @@ def exact_dedup(docs: DataFrame, salts: int = 16) -> DataFrame:
         keep.alias("keep_id"),
         F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"),
         F.col("doc_id").eqNullSafe(keep).alias("kept"),
-        F.lower(F.hex("digest")).alias("text_sha256"),
+        "digest",
+        "n_bytes",
     )
 
 
 def keep_first(docs: DataFrame, salts: int = 16) -> DataFrame:
-    """The rows of ``docs``, all columns, without the later copies of a text."""
-    dropped = exact_dedup(docs, salts).where("NOT kept").select(F.col("doc_id").alias("_copy"))
-    return docs.join(dropped, F.col("doc_id").cast("long").eqNullSafe(F.col("_copy")), "left_anti")
+    """The rows of ``docs``, all columns, without the later copies of a text.
+
+    A verdict holds for an id and its text: null or repeated ids of other texts aren't touched by it.
+    """
+    dropped = verdicts(docs, salts).where("NOT kept").select(F.col("doc_id").alias("_copy"), F.col("digest").alias("_of"), F.col("n_bytes").alias("_long"))
+    text = F.regexp_replace(F.coalesce(F.col("text"), F.lit("")), SPACE, " ")
+    rows = docs.withColumn("_digest", F.unhex(F.sha2(text, 256))).withColumn("_n_bytes", F.octet_length(text))
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_copy")) & (F.col("_digest") == F.col("_of")) & (F.col("_n_bytes") == F.col("_long"))
+    return rows.join(dropped, same, "left_anti").select(*docs.columns)
 
 
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

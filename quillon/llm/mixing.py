@@ -59,6 +59,11 @@ def mix(docs: DataFrame, spark: SparkSession, seed: str = "mix", weights: tuple[
     are cut one by one. An empty table gives an empty result. Other columns are not read. No document
     takes more than ``most`` copies. The same rows give the same result in any order and partitioning.
     """
+    return mixed(docs, spark, seed, weights, most).drop("source")
+
+
+def mixed(docs: DataFrame, spark: SparkSession, seed: str = "mix", weights: tuple[int, ...] = (1, 2, 3), most: int = 3) -> DataFrame:
+    """The rows of ``mix`` with their source."""
     base = materialize(sized(docs, seed), spark)
     plan = targets(base.groupBy("source").agg(F.sum("size").alias("source_size")), weights, most)
     whole = F.when(F.col("source_size") > 0, F.floor(F.try_divide("target", "source_size"))).otherwise(F.lit(0)).cast("long")
@@ -90,21 +95,23 @@ def mix(docs: DataFrame, spark: SparkSession, seed: str = "mix", weights: tuple[
     open_rows = open_rows.where(~F.col("fits") | (F.col("bin") > F.col("cut_bin")) | (F.struct("rank", "doc_id", "size") >= F.struct(F.col("out_rank").alias("rank"), F.col("out_id").alias("doc_id"), F.col("out_size").alias("size"))))
     miss = F.abs(F.col("size") - F.col("gap"))
     last = open_rows.where(miss < F.col("gap")).groupBy("r.source").agg(F.min(F.struct(miss.alias("miss"), F.col("rank"), F.col("doc_id"), F.col("size"))).alias("x"))
-    ends = gap.alias("g").join(last.alias("l"), F.col("g.source").eqNullSafe(F.col("l.source")), "left").select("g.*", F.col("x.doc_id").alias("last_id"), F.col("x.rank").alias("last_rank"))
+    ends = gap.alias("g").join(last.alias("l"), F.col("g.source").eqNullSafe(F.col("l.source")), "left").select("g.*", F.col("x.doc_id").alias("last_id"), F.col("x.rank").alias("last_rank"), F.col("x.size").alias("last_size"))
     ends = materialize(ends, spark)
     out = rows.withColumn("rank", rank).alias("r").join(ends.alias("e"), F.col("r.source").eqNullSafe(F.col("e.source")), "left")
     inside = F.col("fits") & ((F.col("bin") < F.col("cut_bin")) | ((F.col("bin") == F.col("cut_bin")) & (F.col("out_rank").isNull() | (F.struct("rank", "doc_id", "size") < F.struct(F.col("out_rank").alias("rank"), F.col("out_id").alias("doc_id"), F.col("out_size").alias("size"))))))
-    closes = F.coalesce((F.col("rank") == F.col("last_rank")) & F.col("doc_id").eqNullSafe(F.col("last_id")) & ~inside, F.lit(False))
+    closes = F.coalesce((F.col("rank") == F.col("last_rank")) & F.col("doc_id").eqNullSafe(F.col("last_id")) & (F.col("size") == F.col("last_size")) & ~inside, F.lit(False))
     copies = F.col("whole") + F.when((F.col("rest") > 0) & (inside | closes), 1).otherwise(0)
     copies = F.least(copies, F.lit(most)).cast("long")
-    return out.select("doc_id", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
+    return out.select("doc_id", F.col("r.source").alias("source"), "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
 
 
 def mixed_rows(docs: DataFrame, spark: SparkSession, **kw) -> DataFrame:
     """The rows of ``docs``, each as often as the mix takes it; all columns stay."""
-    take = mix(docs, spark, **kw).groupBy(F.col("doc_id").alias("_id")).agg(F.max("copies").alias("_n"))
+    take = mixed(docs, spark, **kw).groupBy(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_size")).agg(F.max("copies").alias("_n"))
     names = docs.columns
-    joined = docs.join(take, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")))
+    size = F.coalesce(F.regexp_count(F.col("text"), F.lit(WORD)), F.lit(0)).cast("long")
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & F.col("source").cast("string").eqNullSafe(F.col("_source")) & (size == F.col("_size"))
+    joined = docs.join(take, same)
     return joined.where("_n > 0").withColumn("_k", F.explode(F.sequence(F.lit(1), F.col("_n")))).select(*names)
 
 

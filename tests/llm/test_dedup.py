@@ -52,6 +52,13 @@ def test_exact_dedup(docs, texts, empty, odd):
     assert len(rows) == 4 and sorted((r.doc_id or 0, r.group_size, r.kept) for r in rows) == [(0, 1, True), (0, 1, True), (1, 2, True), (1, 2, True)]
 
 
+def test_verdicts_hold_for_id_and_text(spark):
+    """A copy without an id, or with the id of another text, takes nothing else along."""
+    rows = [(1, "a copy"), (None, "a copy"), (None, "alone"), (2, "twice"), (3, "twice"), (3, "other text"), (None, "no ids"), (None, "no  ids")]
+    kept = exact_dedup.keep_first(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(((r.doc_id or 0), r.text) for r in kept) == [(0, "alone"), (0, "no  ids"), (0, "no ids"), (1, "a copy"), (2, "twice"), (3, "other text")]
+
+
 def shingle_set(t):
     w = W.findall("".join(c.lower() if "A" <= c <= "Z" else c for c in t or ""))
     return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set()

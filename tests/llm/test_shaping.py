@@ -117,6 +117,15 @@ def test_mixing(spark, docs, texts, empty, odd):
     assert mixing.mix(empty, spark).count() == 0 and mixing.mix(odd, spark).count() == 4
 
 
+def test_mixed_rows_without_ids(spark):
+    """Rows without an id come as often as the mix takes each of them, not as often as any of them."""
+    rows = [(None, "w " * n, s) for s, n in zip("aaaabbbbcccc", (3, 5, 7, 200, 11, 13, 17, 300, 19, 23, 29, 20), strict=True)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    want = sorted((r.size, r.source) for r in mixing.mixed(docs, spark).collect() for _ in range(r.copies))
+    assert sorted((len(r.text.split()), r.source) for r in mixing.mixed_rows(docs, spark).collect()) == want
+    assert 0 < len({size for size, _ in want}) < len(rows)
+
+
 def test_surrogates(spark, empty, odd):
     luhn = lambda s: sum(sum(divmod(int(c) * (1 + i % 2), 10)) for i, c in enumerate(reversed(s))) % 10 == 0
     texts = ["Mail Jo.Do7@mail8.example.com or jo.do7@MAIL8.example.com now", "Call +1 (988) 555-2485, +1 988-555-2485.", "card 4111 1111 1111 1111 and 4111111111111111", "from 144.35.254.1 to 144.35.254.2",
