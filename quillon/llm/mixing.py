@@ -4,7 +4,7 @@ A source with target T and size S takes floor(T/S) certain whole copies of every
 document. The rest, a share p of one further copy, is an order sample: a document with
 the keyed uniform number u has the rank (u / (1-u)) / (p / (1-p)), and documents
 are taken in rank order as long as they fit the words that are left (one that is longer than all of these is passed over); at the end one more document,
-the one whose size is nearest to the gap, closes it. Only the documents of one
+the one whose size is nearest to the gap, closes it, also where all that fit together stay under the rest. Only the documents of one
 narrow bin of u for each source are sorted; a histogram of bins places all others.
 """
 
@@ -74,12 +74,14 @@ def mixed(docs: DataFrame, spark: SparkSession, seed: str = "mix", weights: tupl
     # a document longer than all that is left can't be in the sample
     planned = base.alias("b").join(plan.alias("p"), F.col("b.source").eqNullSafe(F.col("p.source"))).select("b.*", "source_size", "target", "whole", "rest", "p", bin_of, (F.col("size") <= F.col("rest")).alias("fits"))
     bins = materialize(planned.where("fits").groupBy("source", "bin").agg(F.sum("size").alias("words")), spark)
-    # the bin in which a source's rest ends, and the words before it
+    # the bin in which a source's rest ends, and the words before it; all words that fit, where it ends in none
     line = Window.partitionBy("source").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
     placed = bins.withColumn("before", F.coalesce(F.sum("words").over(line), F.lit(0)))
     cut = placed.alias("x").join(plan.alias("y"), F.col("x.source").eqNullSafe(F.col("y.source")))
     cut = cut.where("before <= rest AND before + words > rest").groupBy("y.source").agg(F.min_by("bin", "bin").alias("cut_bin"), F.min_by("before", "bin").alias("before"))
-    cut = materialize(plan.alias("p").join(cut.alias("c"), F.col("p.source").eqNullSafe(F.col("c.source")), "left").select("p.*", F.coalesce("cut_bin", F.when(F.col("rest") > 0, F.lit(BINS)).otherwise(F.lit(-1))).alias("cut_bin"), F.coalesce("before", F.lit(0)).alias("before")), spark)
+    total = bins.groupBy("source").agg(F.sum("words").alias("words"))
+    ends = plan.alias("p").join(cut.alias("c"), F.col("p.source").eqNullSafe(F.col("c.source")), "left").join(total.alias("t"), F.col("p.source").eqNullSafe(F.col("t.source")), "left")
+    cut = materialize(ends.select("p.*", F.coalesce("cut_bin", F.when(F.col("rest") > 0, F.lit(BINS)).otherwise(F.lit(-1))).alias("cut_bin"), F.coalesce("before", "words", F.lit(0)).alias("before")), spark)
     rows = planned.alias("b").join(cut.select("source", "cut_bin", "before").alias("c"), F.col("b.source").eqNullSafe(F.col("c.source"))).select("b.*", "cut_bin", "before")
     # Pareto rank inside the cut bin
     unit = (F.col("u") + 0.5) / float(1 << U_BITS)
@@ -88,7 +90,9 @@ def mixed(docs: DataFrame, spark: SparkSession, seed: str = "mix", weights: tupl
     edge = rows.where("fits AND bin = cut_bin").withColumn("rank", rank).withColumn("upto", F.col("before") + F.sum("size").over(order))
     first_out = edge.where("upto > rest").groupBy("source").agg(F.min(F.struct("rank", "doc_id", "size")).alias("out"))
     filled = edge.alias("e").join(first_out.alias("f"), F.col("e.source").eqNullSafe(F.col("f.source")), "left").withColumn("in", F.col("out").isNull() | (F.struct("rank", "doc_id", "size") < F.col("out")))
-    gap = filled.groupBy("e.source").agg((F.first("rest") - F.first("before") - F.sum(F.when(F.col("in"), F.col("e.size")).otherwise(0))).alias("gap"), F.min("out").alias("out")).select("source", "gap", F.col("out.rank").alias("out_rank"), F.col("out.doc_id").alias("out_id"), F.col("out.size").alias("out_size"))
+    inner = filled.groupBy("e.source").agg(F.sum(F.when(F.col("in"), F.col("e.size")).otherwise(0)).alias("words"), F.min("out").alias("out"))
+    gap = cut.where("rest > 0").alias("c").join(inner.alias("i"), F.col("c.source").eqNullSafe(F.col("i.source")), "left")
+    gap = gap.select("c.source", (F.col("rest") - F.col("before") - F.coalesce("words", F.lit(0))).alias("gap"), F.col("out.rank").alias("out_rank"), F.col("out.doc_id").alias("out_id"), F.col("out.size").alias("out_size"))
     gap = materialize(gap, spark)
     # the document that comes nearest to the gap, of those that are not in
     open_rows = rows.where("(bin >= cut_bin OR NOT fits) AND size > 0").withColumn("rank", rank).alias("r").join(gap.alias("g"), F.col("r.source").eqNullSafe(F.col("g.source")))

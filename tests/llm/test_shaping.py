@@ -117,6 +117,21 @@ def test_mixing(spark, docs, texts, empty, odd):
     assert mixing.mix(empty, spark).count() == 0 and mixing.mix(odd, spark).count() == 4
 
 
+@pytest.mark.parametrize(
+    ("sizes", "weights", "most", "want"),
+    [
+        # a target of 900 for one document of 1000 words; of 2900; 1000 left with 100 and 1100 words
+        ({"a": [1000], "b": [800]}, (1, 1), 3, {"a": 1000, "b": 800}),
+        ({"a": [1000], "b": [1900]}, (1000, 1), 9, {"a": 3000, "b": 0}),
+        ({"a": [1100, 100], "b": [800]}, (1, 1), 3, {"a": 1200, "b": 800}),
+    ],
+)
+def test_long_documents_close_the_gap(spark, sizes, weights, most, want):
+    rows = [(i, "w " * n, s) for i, (s, n) in enumerate((s, n) for s in sizes for n in sizes[s])]
+    got = mixing.mixed(spark.createDataFrame(rows, "doc_id long, text string, source string"), spark, weights=weights, most=most).toPandas()
+    assert got.groupby("source")["taken"].sum().to_dict() == want
+
+
 def test_mixed_rows_without_ids(spark):
     """Rows without an id come as often as the mix takes each of them, not as often as any of them."""
     rows = [(None, "w " * n, s) for s, n in zip("aaaabbbbcccc", (3, 5, 7, 200, 11, 13, 17, 300, 19, 23, 29, 20), strict=True)]
