@@ -99,7 +99,7 @@ def _spaced(fresh: Column, value: Column) -> Column:
     return F.array_join(F.transform(F.sequence(F.lit(1), F.length(value)), lambda i: F.when(F.substring(value, i, F.lit(1)) == " ", " ").otherwise(F.substring(fresh, at(i), F.lit(1)))), "")
 
 
-def _numbers(e: Column, kind: Column, digest: Column) -> Column:
+def _numbers(e: Column, kind: Column, digest: Column, attempt: Column) -> Column:
     """A number in the format of ``e``: punctuation, country code and issuer digit stay, a card's check digit is right."""
     digits = F.regexp_replace(e, "[^0-9]", "")
     n = F.length(digits)
@@ -110,17 +110,34 @@ def _numbers(e: Column, kind: Column, digest: Column) -> Column:
     check = F.pmod(-F.aggregate(doubled, F.lit(0), lambda a, d: a + d), F.lit(10))
     fresh = F.when(kind == "card", F.concat(F.slice(fresh, 1, F.greatest(n - 1, F.lit(1))), F.array(check))).otherwise(fresh)
     at = lambda i: F.length(F.regexp_replace(F.substring(e, F.lit(1), i), "[^0-9]", ""))
-    return F.array_join(F.transform(F.sequence(F.lit(1), F.length(e)), lambda i: F.when(F.substring(e, i, F.lit(1)).rlike("[0-9]"), F.get(fresh, at(i) - 1).cast("string")).otherwise(F.substring(e, i, F.lit(1)))), "")
+    written = F.array_join(F.transform(F.sequence(F.lit(1), F.length(e)), lambda i: F.when(F.substring(e, i, F.lit(1)).rlike("[0-9]"), F.get(fresh, at(i) - 1).cast("string")).otherwise(F.substring(e, i, F.lit(1)))), "")
+    # short international numbers grow to nine free digits
+    more = F.substring(_more(list("0123456789"), digest, F.lit(9)), F.lit(1), F.least(wider(attempt) * 3, 9 - (n - kept)))
+    return F.when((kind == "phone") & e.startswith("+") & (attempt > 3) & (n - kept < 9), F.concat(written, more)).otherwise(written)
 
 
-def _name(head: Column, body: Column, digest: Column) -> Column:
-    """Given names by the title's gender, surnames of three syllables; names in Cyrillic keep shape and ending."""
+def wider(attempt: Column) -> Column:
+    """How often the space of surrogates has been widened: once every four attempts."""
+    return F.floor(attempt / 4).cast("int")
+
+
+def _more(pieces: list[str], digest: Column, n: Column) -> Column:
+    """``n`` further pieces, of bytes that nothing else is drawn from."""
+    other = F.transform(F.array(F.sha2(F.concat(digest, F.lit("more")), 512)), lambda d: F.array_join(F.transform(F.sequence(F.lit(1), n), lambda i: F.element_at(F.array(*map(F.lit, pieces)), _byte(d, i) % len(pieces) + 1)), ""))
+    return F.when(n > 0, F.element_at(other, 1)).otherwise(F.lit(""))
+
+
+def _name(head: Column, body: Column, digest: Column, attempt: Column) -> Column:
+    """Given names by the title's gender, surnames of four syllables; names in Cyrillic keep shape and ending.
+
+    Later attempts add syllables, or letters before the ending.
+    """
     words = F.split(body, " ")
     given = F.when(F.trim(head).isin(WOMEN), F.element_at(F.array(*map(F.lit, GIVEN_WOMEN)), _byte(digest, F.lit(1)) % 16 + 1)).otherwise(F.element_at(F.array(*map(F.lit, GIVEN_MEN)), _byte(digest, F.lit(1)) % 16 + 1))
     syllable = lambda k: F.element_at(F.array(*map(F.lit, SYLLABLES)), _byte(digest, F.lit(k)) % 16 + 1)
-    surname = F.initcap(F.concat(*map(syllable, range(2, 6))))
+    surname = F.initcap(F.concat(*map(syllable, range(2, 6)), _more(SYLLABLES, digest, wider(attempt) * 2)))
     latin = F.when(F.size(words) > 1, F.concat(given, F.lit(" "), surname)).otherwise(surname)
-    cyrillic = F.concat(_shaped(F.substring(body, F.lit(1), F.length(body) - 1), digest, F.lit(False)), F.substring(body, F.length(body), F.lit(1)))
+    cyrillic = F.concat(_shaped(F.substring(body, F.lit(1), F.length(body) - 1), digest, F.lit(False)), _more(list(_CYR), digest, wider(attempt) * 2), F.substring(body, F.length(body), F.lit(1)))
     return F.concat(head, F.when(body.rlike("[а-яА-Я]"), cyrillic).otherwise(latin))
 
 
@@ -150,13 +167,15 @@ def surrogate(x: Column, attempt: Column, key: str) -> Column:
 
 def _drawn(e: Column, kind: Column, head: Column, body: Column, digest: Column, attempt: Column) -> Column:
     at, end = F.instr(e, "@"), F.length(F.regexp_extract(e, r"\.[A-Za-z]{2,}$", 0))
-    more = F.when(attempt > 3, F.concat(*[_pick(_LOWER, _byte(digest, F.lit(60 + i))) for i in range(4)])).otherwise(F.lit(""))  # for short names that all collide
+    more = _more(list(_LOWER), digest, wider(attempt) * 4)  # for short names that all collide
     email = F.concat(_shaped(F.substring(e, F.lit(1), at - 1), digest, F.lit(False)), more, F.lit("@"), _shaped(F.substring(e, at + 1, F.length(e) - at - end), F.sha2(digest, 512), F.lit(False)), F.substring(e, F.length(e) - end + 1, end))
     ip = F.concat_ws(".", (_byte(digest, F.lit(1)) % 223 + 1).cast("string"), *[_byte(digest, F.lit(i)).cast("string") for i in (2, 3, 4)])
     hexes = body.rlike("^(?:[0-9a-f]+|[0-9A-F]+)$")
-    plain = F.concat(head, _shaped(body, digest, hexes & (kind == "secret")))
+    longer = F.when(body.rlike("^[0-9]+$"), _more(list("0123456789"), digest, wider(attempt) * 4)).when(body.rlike("^[0-9a-f]+$"), _more(list("0123456789abcdef"), digest, wider(attempt) * 4))
+    longer = longer.when(body.rlike("^[0-9A-Z]+$"), _more(list("0123456789ABCDEF"), digest, wider(attempt) * 4)).otherwise(more)
+    plain = F.concat(head, _shaped(body, digest, hexes & (kind == "secret")), F.when(kind == "secret", longer).otherwise(F.lit("")))
     iban = F.concat(head, _spaced(_shaped(F.replace(body, F.lit(" "), F.lit("")), digest, F.lit(False)), body))
-    return F.when(kind == "email", email).when(kind == "ip", ip).when(kind.isin("phone", "card", "ssn"), _numbers(e, kind, digest)).when(kind == "person", _name(head, body, digest)).when(kind == "iban", iban).otherwise(plain)
+    return F.when(kind == "email", email).when(kind == "ip", ip).when(kind.isin("phone", "card", "ssn"), _numbers(e, kind, digest, attempt)).when(kind == "person", _name(head, body, digest, attempt)).when(kind == "iban", iban).otherwise(plain)
 
 
 def entities(text: Column) -> Column:

@@ -191,3 +191,15 @@ def test_surrogates_of_all_written_forms(spark):
         seen |= new
         at += len(group)
     assert len(seen) == len(forms) and len(set(got[at:])) == len(names)
+
+
+def test_more_entities_than_the_first_space_holds(spark, monkeypatch):
+    """All short Cyrillic names of one ending, more surnames than combinations of four syllables, numbers and secrets of few forms."""
+    monkeypatch.setattr(pii, "SYLLABLES", ["a", "b"] * 8)
+    short = [f"г-н {a}и" for a in pii._CYR_UP]
+    texts = short + [f"Mr. {a}{b}x" for a in "BCDFGHJKLM" for b in "abcde"] + ["password=------", "token: ______"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = [r.text for r in pii.replace_pii(df, spark).orderBy("doc_id").collect()]
+    assert len(set(got)) == len(texts) and not set(got) & set(texts)
+    assert all(re.fullmatch("г-н [А-Я][а-я]*и", g) for g in got[: len(short)]) and all(re.fullmatch("Mr. [A-Z][a-z]+", g) for g in got[len(short) : -2])
+    assert got[-2].startswith("password=------") and got[-1].startswith("token: ______")
