@@ -43,7 +43,7 @@ PATTERNS = [
 ]
 ENTITY = "|".join(PATTERNS)
 #: No entity is found in a text without one of these.
-HINT = rf"[0-9@=:]|(?:{_TITLES}) "
+HINT = rf"[0-9@=:]|(?:{_TITLES}) |AKIA|ASIA|gh[pousr]_|sk-|xox[abp]-"
 ATTEMPTS = 32
 #: The country code at the start of an international number's digits.
 COUNTRY = "^(?:[17]|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|[0-9]{3})"
