@@ -61,12 +61,11 @@ def components(edges: DataFrame, spark: SparkSession, rounds: int = 60) -> DataF
     """
     pairs = edges.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")).where("a <> b")
     pairs = materialize(pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), spark)
-    seen = None
     for _ in range(rounds):
-        state = pairs.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b") % 1_000_003)).first()
-        if seen == tuple(state) or not state[0]:
+        # settled: every id either points to one smaller id or is pointed to
+        ends = pairs.select(F.explode(F.array(F.struct(F.col("a").alias("id"), F.lit(1).alias("up")), F.struct(F.col("b").alias("id"), F.lit(0).alias("up")))).alias("x"))
+        if ends.groupBy("x.id").agg(F.sum("x.up").alias("up"), F.min("x.up").alias("low")).where("up > 1 OR (up = 1 AND low = 0)").isEmpty():
             break
-        seen = tuple(state)
         both = pairs.union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         # large star: the larger neighbours of each node move to the least of its neighbourhood

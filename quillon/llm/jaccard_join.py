@@ -3,25 +3,28 @@
 Sets with a Jaccard similarity of 0.8 or more differ in at most (|A| + |B|) / 9
 elements, D. Each set is cut into blocks by ranges of its elements' hashes, the number of blocks
 set by its size band (a power of two); the XOR of a block's hashes is the block's
-parity sketch. A difference touches one block, so of D + 1 blocks that aren't empty one
-is equal in both sets: sets that share no sketch among the first D + 1 of their
+parity sketch. A difference touches one block, so at most D of a set's non-empty blocks are lacking in the other:
+whatever order all blocks are put in, sets that share no sketch among the first D + 1 of their
 non-empty blocks can't link. Sets with too few non-empty blocks also send their
 first D + 1 elements, which finds the pairs among them. Sets near the lower end of a band
 take part in the band below too.
 
-Documents with equal sets are one class. In a bucket (sketches that are equal) each member is paired
+Documents with equal words are one class. In a bucket (sketches that are equal) each member is paired
 with one pivot only, first inside a map task, then between tasks; for the first
-verification the pivot is the bucket's most central member. Pairs are dropped if a
-1024-bit parity sketch of the whole sets, or a wider one of large sets, shows too large a difference, and the rest are
-verified on the texts: first the best pivot of each document; after that only
-pairs in different components of what has linked so far, in buckets that still
-hold several components. All pairs of a bucket inside one component are never made.
+verification the pivot is the bucket's most central member. After that only pairs in different components of
+what has linked so far are of interest, in buckets that still hold several components. Where such a bucket is
+crowded, as those of a passage that many documents share, its documents take part once more
+with their blocks in the order of their frequency among them, the rarest first: what many hold is then
+beyond the first D + 1 of all documents that hold much else. Pairs are dropped if a
+1024-bit parity sketch of the whole sets, or a wider one of large sets, shows too large a difference;
+the rest are verified on the texts, word by word.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import lru_cache
+from hashlib import sha256
 
 import numpy as np
 import pyarrow as pa
@@ -29,57 +32,65 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillon.llm.common import components, materialize, shuffle_width, table
-from quillon.llm.shingles import SKETCH_BITS, difference, mix, set_print, shingles, sketch
+from quillon.llm.shingles import KNOWN_WORDS, SKETCH_BITS, difference, mix, overlap, shingles, sketch, words_of
 from quillon.llm.url_filter import bloom_words, may_hold
 
 #: Elements of a block in a set at the upper end of its band.
 PER_BLOCK = 3.4
 #: Emitted sketches that a map task combines at a time.
 CHUNK = 1_000_000
+#: A bucket with more members outside its largest component is taken apart by the frequency of blocks.
+CROWD = 16
 WORDS = SKETCH_BITS // 64
 
 
-def block_keys(s: np.ndarray, band: int, most: int) -> np.ndarray:
-    """Keys of the first ``most`` + 1 non-empty blocks of the sorted set ``s`` in the scheme of ``band``."""
+def block_keys(s: np.ndarray, band: int, most: int) -> list[tuple[int, int, np.ndarray]]:
+    """(scheme, ``most``, keys) of the non-empty blocks of the sorted set ``s`` in the scheme of ``band``, and of its elements if those are too few."""
     blocks = max(2, int(np.ceil((2 << band) / PER_BLOCK)))
     at = ((s >> np.uint64(32)) * np.uint64(blocks)) >> np.uint64(32)
     first = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
     xor = np.bitwise_xor.reduceat(s, first)
-    keys = mix(xor ^ mix(at[first] + np.uint64(band << 40)))[: most + 1]
+    found = [(2 * band, most, mix(xor ^ mix(at[first] + np.uint64(band << 40))))]
     if len(first) <= most:
-        keys = np.concatenate((keys, mix(s[: most + 1] ^ np.uint64(0xF1357AEA2E62A9C5 ^ band))))
-    return keys
+        found.append((2 * band + 1, most, mix(s ^ np.uint64(0xF1357AEA2E62A9C5 ^ band))))
+    return found
 
 
-def emitted(s: np.ndarray) -> np.ndarray:
-    """All keys of a set; those of at most three elements link with equal sets only and have none."""
+def schemes(s: np.ndarray) -> list[tuple[int, int, np.ndarray]]:
+    """(scheme, most, keys): in each scheme sets that link share one of the first ``most`` + 1 keys, in any common order.
+
+    Those of at most three elements link with equal sets only and have one key.
+    """
     n = len(s)
     if n < 4:
-        return np.empty(0, dtype=np.uint64)
+        return [(0, 0, mix(np.bitwise_xor.reduce(mix(s ^ np.uint64(0xA24BAED4963EE407)), keepdims=True) + np.uint64(n)))] if n else []
     band = n.bit_length() - 1
-    keys = block_keys(s, band, (n + n * 5 // 4) // 9)
+    found = block_keys(s, band, (n + n * 5 // 4) // 9)
     below = (1 << band) - 1
     if 5 * below >= 4 * n:  # a partner can be in the band below
-        keys = np.concatenate((keys, block_keys(s, band - 1, (below + n) // 9)))
-    return keys
+        found += block_keys(s, band - 1, (below + n) // 9)
+    return found
+
+
+def emitted(s: np.ndarray) -> np.ndarray:
+    """The keys of a set, of each scheme the first in the order of blocks."""
+    return np.concatenate([np.empty(0, dtype=np.uint64), *(keys[: most + 1] for _, most, keys in schemes(s))])
 
 
 def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        n, f1, f2, sk, wide = [], [], [], [], []
+        n, digest, sk, wide = [], [], [], []
         for t in b.column(1):
-            s = shingles(t.as_py() or "")
-            x, y = set_print(s)
+            words = words_of(t.as_py() or "")
+            s = shingles(words)
             n.append(len(s))
-            f1.append(x)
-            f2.append(y)
+            digest.append(sha256(b" ".join(words)).digest())
             sk.append(sketch(s))
             wide.append(sketch(s, 1 << (2 * len(s) - 1).bit_length()).tobytes() if len(s) > SKETCH_BITS // 2 else None)
-        longs = lambda v: pa.array(np.array(v, dtype=np.uint64).view(np.int64))
         flat = pa.array(np.concatenate(sk) if sk else np.empty(0, dtype=np.int64))
         yield pa.RecordBatch.from_arrays(
-            [b.column(0), pa.array(n, pa.int64()), longs(f1), longs(f2), pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1, dtype=np.int32) * WORDS), flat), pa.array(wide, pa.binary())],
-            ["doc_id", "n", "f1", "f2", "sketch", "wide"],
+            [b.column(0), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1, dtype=np.int32) * WORDS), flat), pa.array(wide, pa.binary())],
+            ["doc_id", "n", "digest", "sketch", "wide"],
         )
 
 
@@ -102,11 +113,11 @@ def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     keys, ids, total, seen = [], [], 0, set()
     for b in batches:
         for doc_id, t in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-            s = shingles(t.as_py() or "")
-            if len(s) < 4 or (kind := (len(s), *set_print(s))) in seen:
+            words = words_of(t.as_py() or "")
+            if not words or (kind := sha256(b" ".join(words)).digest()) in seen:
                 continue
             seen.add(kind)
-            got = emitted(s)
+            got = emitted(shingles(words))
             keys.append(got)
             ids.append(doc_id)
             total += len(got)
@@ -116,6 +127,15 @@ def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from combine(keys, ids)
 
 
+def emit_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(x, scheme, most, total, key) of all keys of each scheme."""
+    for b in batches:
+        for doc_id, t in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+            for scheme, most, keys in schemes(shingles(words_of(t.as_py() or ""))):
+                same = lambda v, n=len(keys), kind=pa.int64(): pa.array(np.full(n, v), kind)
+                yield pa.RecordBatch.from_arrays([same(doc_id), same(scheme), same(most), same(len(keys)), pa.array(keys.view(np.int64))], ["x", "scheme", "most", "total", "key"])
+
+
 def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of rows sorted by key and id: members with their pivot, and pivots of several chunks with the first of them."""
     last_key = last_id = None
@@ -185,24 +205,54 @@ def texts_of(ids: DataFrame, docs: DataFrame, spark: SparkSession) -> DataFrame:
 
 
 def verify(pairs: DataFrame, docs: DataFrame, spark: SparkSession, percent: int = 80) -> DataFrame:
-    """Those of ``pairs(a, b)`` whose sets have 100 * intersection >= percent * union."""
+    """Those of ``pairs(a, b)`` whose sets have 100 * intersection >= percent * union, by their words."""
     texts = texts_of(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), docs, spark)
     both = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a")
     both = both.join(texts.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b").select("a", "b", "ta", "tb")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = lru_cache(maxsize=64)(shingles)
+        numbers: dict[bytes, int] = {}
+        coded = lru_cache(maxsize=64)(lambda t: np.array([numbers.setdefault(w, len(numbers)) for w in words_of(t)], dtype=np.int64))
         for b in batches:
             ok = []
             for x, y in zip(b.column(2), b.column(3), strict=True):
-                s, t = known(x.as_py()), known(y.as_py())
-                same = len(np.intersect1d(s, t, assume_unique=True))
-                ok.append(100 * same >= percent * (len(s) + len(t) - same))
+                if len(numbers) > KNOWN_WORDS:
+                    numbers.clear()
+                    coded.cache_clear()
+                s, t, same = overlap(coded(x.as_py()), coded(y.as_py()))
+                ok.append(100 * same >= percent * (s + t - same))
             yield b.filter(pa.array(ok, pa.bool_())).select([0, 1])
 
     return materialize(both.mapInArrow(run, "a long, b long"), spark)
 
 
+def rarest_first(ids: DataFrame, docs: DataFrame, spark: SparkSession) -> DataFrame:
+    """(key, id): of the documents ``ids(id)`` the first keys of each scheme, the rarest among these documents first.
+
+    Keys that one document alone has come before all others and meet nothing, so they only count.
+    """
+    rows = materialize(texts_of(ids, docs, spark).mapInArrow(emit_all, "x long, scheme long, most long, total long, key long"), spark)
+    met = materialize(rows.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1"), spark)
+    held = rows.join(met, "key").groupBy("x", "scheme").agg(F.first("most").alias("most"), F.first("total").alias("total"), F.array_sort(F.collect_list(F.struct("c", "key"))).alias("keys"))  # as long as one text
+    left = F.col("most") + 1 - F.col("total") + F.size("keys")
+    return held.where(left > 0).select(F.col("x").alias("id"), F.explode(F.slice("keys", F.lit(1), left.cast("int"))).alias("k")).select("k.key", "id")
+
+
+def with_major(held: DataFrame) -> DataFrame:
+    """``held(key, id, part)`` with each key's largest component and the number of members outside it."""
+    sizes = held.groupBy("key", "part").agg(F.count(F.lit(1)).alias("c"))
+    of_key = sizes.groupBy("key").agg(F.max(F.struct("c", "part")).alias("top"), F.sum("c").alias("c"))
+    return held.join(of_key.select("key", F.col("top.part").alias("major"), (F.col("c") - F.col("top.c")).alias("outside")).where("outside > 0"), "key")
+
+
+def pairs_of(held: DataFrame, described: DataFrame, spark: SparkSession) -> DataFrame:
+    """Likely pairs (a, b) of the members (key, id, part, major) of buckets; of two rows outside the largest component one is enough."""
+    held = materialize(held.select("key", "id", "part", "major").join(described, F.col("id") == F.col("doc_id")).drop("doc_id"), spark)
+    apart = (F.col("a.part") != F.col("b.part")) & ((F.col("b.part") == F.col("b.major")) | (F.col("a.id") > F.col("b.id")))
+    met = held.where("part <> major").alias("a").join(held.alias("b"), (F.col("a.key") == F.col("b.key")) & apart & close_enough("a", "b"))
+    return met.select(F.greatest("a.id", "b.id").alias("a"), F.least("a.id", "b.id").alias("b")).distinct()
+
+
 def jaccard_components(docs: DataFrame, spark: SparkSession) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_shingles, component_id.
 
@@ -212,11 +262,12 @@ def jaccard_components(docs: DataFrame, spark: SparkSession) -> DataFrame:
     a null component_id. Other columns are not read; an empty table gives an empty result.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    feats = materialize(docs.mapInArrow(describe, "doc_id long, n long, f1 long, f2 long, sketch array<long>, wide binary"), spark)
+    feats = materialize(docs.mapInArrow(describe, "doc_id long, n long, digest binary, sketch array<long>, wide binary"), spark)
     known = docs.where("doc_id IS NOT NULL")
     sets = feats.where("doc_id IS NOT NULL AND n > 0")
-    lowest = sets.groupBy("n", "f1", "f2").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("c"))
-    copies = sets.select("doc_id", "n", "f1", "f2").join(lowest.where("c > 1"), ["n", "f1", "f2"])
+    # equal words make equal sets; sets that are equal for other words meet in the buckets
+    lowest = materialize(sets.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("c")).where("c > 1"), spark)
+    copies = sets.select("doc_id", "digest").join(lowest, "digest")
     copies = materialize(copies.where("doc_id <> rep").select("doc_id", "rep").distinct(), spark)
 
     rows = known.mapInArrow(emit, "key long, x long, p long")
@@ -224,15 +275,16 @@ def jaccard_components(docs: DataFrame, spark: SparkSession) -> DataFrame:
     rows = rows.repartition(shuffle_width(spark), "key", F.when(F.col("x") == F.col("p"), F.lit(0)).otherwise(F.col("x")))
     stars = materialize(rows.sortWithinPartitions("key", "x").mapInArrow(shared, "key long, x long, p long"), spark)
 
-    def rep_of(df: DataFrame, name: str) -> DataFrame:
-        to = copies.select(F.col("doc_id").alias(name), F.col("rep").alias("_rep"))
-        return df.join(to, name, "left").withColumn(name, F.coalesce("_rep", name)).drop("_rep")
+    def replaced(df: DataFrame, to: DataFrame, name: str, out: str) -> DataFrame:
+        """``df`` with ``out``: what ``to(was, now)`` has for the id in ``name``, or the id."""
+        return df.join(to.select(F.col("was").alias(name), "now"), name, "left").withColumn(out, F.coalesce("now", name)).drop("now")
 
+    first_copy = copies.select(F.col("doc_id").alias("was"), F.col("rep").alias("now"))
+    rep_of = lambda df, name: replaced(df, first_copy, name, name)
     described = sets.select("doc_id", "n", "sketch").dropDuplicates(["doc_id"])
     met = stars.groupBy("x", "p").agg(F.count(F.lit(1)).alias("c")).withColumns({"x0": F.col("x"), "p0": F.col("p")})
     met = materialize(rep_of(rep_of(met, "x"), "p").where("x <> p"), spark)
-    pairs = central_pairs(stars)
-    pairs = rep_of(rep_of(pairs, "x"), "p").where("x <> p")
+    pairs = rep_of(rep_of(central_pairs(stars), "x"), "p").where("x <> p")
     pairs = pairs.groupBy("x", "p").agg(F.sum("c").alias("c")).alias("m").join(described.alias("a"), F.col("m.x") == F.col("a.doc_id")).join(described.alias("b"), F.col("m.p") == F.col("b.doc_id"))
     likely = pairs.where(close_enough("a", "b")).select("x", "p", "c")
     best = likely.groupBy("x").agg(F.max(F.struct("c", -F.col("p"))).alias("best")).select(F.col("x").alias("a"), (-F.col("best")["col2"]).alias("b"))
@@ -241,36 +293,35 @@ def jaccard_components(docs: DataFrame, spark: SparkSession) -> DataFrame:
     links = verify(tried, known, spark)
     parts = materialize(components(links, spark), spark)
 
-    def part_of(df: DataFrame, name: str, out: str) -> DataFrame:
-        to = parts.select(F.col("id").alias(name), F.col("component").alias("_part"))
-        return df.join(to, name, "left").withColumn(out, F.coalesce("_part", name)).drop("_part")
+    def part_of(df: DataFrame, name: str, out: str, parts: DataFrame = parts) -> DataFrame:
+        return replaced(df, parts.select(F.col("id").alias("was"), F.col("component").alias("now")), name, out)
 
     # buckets with an edge between components, and what they hold
     crossing = part_of(part_of(met, "x", "cx"), "p", "cp").where("cx <> cp").select(F.col("x0").alias("x"), F.col("p0").alias("p")).distinct()
     mixed = stars.join(crossing, ["x", "p"], "left_semi").select("key").distinct()
     held = stars.join(mixed, "key", "left_semi").select("key", F.explode(F.array("x", "p")).alias("id")).distinct()
     held = materialize(part_of(rep_of(held, "id"), "id", "part").distinct(), spark)
-    sizes = held.groupBy("key", "part").agg(F.count(F.lit(1)).alias("c"))
-    largest = sizes.groupBy("key").agg(F.max(F.struct("c", "part")).alias("top")).select("key", F.col("top.part").alias("major"))
-    held = held.join(largest, "key").join(described, F.col("id") == F.col("doc_id")).select("key", "id", "part", "major", "n", "sketch")
-    held = materialize(held, spark)
-    # of two rows outside the largest component one is enough
-    apart = (F.col("a.part") != F.col("b.part")) & ((F.col("b.part") == F.col("b.major")) | (F.col("a.id") > F.col("b.id")))
-    more = held.where("part <> major").alias("a").join(held.alias("b"), (F.col("a.key") == F.col("b.key")) & apart & close_enough("a", "b"))
-    more = more.select(F.greatest("a.id", "b.id").alias("a"), F.least("a.id", "b.id").alias("b")).distinct()
-    more = materialize(sifted(more.join(tried, ["a", "b"], "left_anti"), large), spark)
-    links = links.union(verify(more, known, spark))
+    held = materialize(with_major(held), spark)
+    more = pairs_of(held.where(F.col("outside") <= CROWD), described, spark)
+    again = part_of(rarest_first(held.where(F.col("outside") > CROWD).select("id").distinct(), known, spark), "id", "part")
+    more = more.union(pairs_of(with_major(materialize(again, spark)), described, spark))
+    more = materialize(sifted(materialize(more.distinct(), spark), large), spark)
+    links = links.union(verify(more.join(tried, ["a", "b"], "left_anti"), known, spark))
     parts = materialize(components(links, spark), spark)
 
     out = feats.select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("id"))
-    out = part_of(rep_of(out, "id"), "id", "component_id")
-    return out.select("doc_id", "n_shingles", "component_id")
+    return part_of(rep_of(out, "id"), "id", "component_id", parts).select("doc_id", "n_shingles", "component_id")
 
 
 def one_of_each(docs: DataFrame, spark: SparkSession) -> DataFrame:
-    """The rows of ``docs``, all columns, of which each component keeps its smallest id."""
-    dropped = jaccard_components(docs, spark).where("doc_id <> component_id").select(F.col("doc_id").alias("_near")).distinct()
-    return docs.join(dropped, F.col("doc_id").cast("long") == F.col("_near"), "left_anti")
+    """The rows of ``docs``, all columns, of which each component keeps its smallest id.
+
+    Rows with a null id, without words, or that repeat an id stay as the component's verdict for their id says:
+    null ids and empty texts always stay. Columns may have any other names; an empty table gives an empty result.
+    """
+    dropped = jaccard_components(docs, spark).where("doc_id <> component_id").select("doc_id").distinct().alias("gone")
+    rows = docs.alias("rows")
+    return rows.join(dropped, F.col("rows.doc_id").cast("long") == F.col("gone.doc_id"), "left_anti")
 
 
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

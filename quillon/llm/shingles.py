@@ -2,37 +2,17 @@
 
 from __future__ import annotations
 
+from hashlib import blake2b
+
 import numpy as np
 
 SHINGLE = 5
 SKETCH_BITS = 1024
-#: Texts are hashed in pieces of about this many bytes, which bounds memory.
-PIECE = 1 << 20
-_RNG = np.random.default_rng(20_240_229)
-_BYTE = _RNG.integers(0, 1 << 64, 256, dtype=np.uint64)
-_SPACE = np.zeros(256, dtype=bool)
-_SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
-_BASE = 0x9E3779B97F4A7C15
+#: Distinct words whose hashes a task remembers.
+KNOWN_WORDS = 1 << 18
 _ROLL = np.uint64(0xD1342543DE82EF95)
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    up, down = np.full(n, _BASE, dtype=np.uint64), np.full(n, pow(_BASE, -1, 1 << 64), dtype=np.uint64)
-    up[0] = down[0] = 1
-    return np.cumprod(up), np.cumprod(down)
-
-
-_UP, _DOWN = _powers(1 << 12)
-
-
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The first ``n`` powers of the base and of its inverse, modulo 2^64."""
-    global _UP, _DOWN
-    if n > len(_UP):
-        _UP, _DOWN = _powers(1 << (n - 1).bit_length())
-    return _UP[:n], _DOWN[:n]
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     x = x ^ (x >> np.uint64(33))
     x = x * np.uint64(0xFF51AFD7ED558CCD)
@@ -41,29 +21,31 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
-def word_hashes(text: str) -> np.ndarray:
-    """A 64-bit hash of each word, in order; A-Z are lower-cased."""
-    raw = text.encode("utf-8", "replace").lower()
-    b = np.frombuffer(raw, dtype=np.uint8)
-    gap = _SPACE[b]
-    edge = np.flatnonzero(np.diff(np.concatenate(([True], gap, [True])).view(np.int8)))
-    starts, ends = edge[0::2], edge[1::2]
-    out, at = [], 0
-    while at < len(starts):
-        low = starts[at]
-        upto = max(at + 1, int(np.searchsorted(ends, low + PIECE, side="right")))
-        part = b[low : ends[upto - 1]]
-        up, down = powers(len(part))
-        total = np.concatenate((np.zeros(1, dtype=np.uint64), np.cumsum(_BYTE[part] * up)))
-        s, e = starts[at:upto] - low, ends[at:upto] - low
-        out.append(mix((total[e] - total[s]) * down[s]))
-        at = upto
-    return np.concatenate(out) if out else np.empty(0, dtype=np.uint64)
-
-
-def shingles(text: str, k: int = SHINGLE) -> np.ndarray:
+class _Known(dict):
+    """The 64-bit hash of each word, worked out once: BLAKE2, so that no texts can be built to collide."""
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= KNOWN_WORDS:
+            self.clear()
+        h = self[word] = int.from_bytes(blake2b(word, digest_size=8).digest(), "little")
+        return h
+
+
+_KNOWN = _Known()
+
+
+def words_of(text: str) -> list[bytes]:
+    """The words of ``text`` in UTF-8, A-Z lower-cased; only ASCII white space parts them."""
+    return text.encode("utf-8", "replace").lower().split()
+
+
+def word_hashes(words: list[bytes]) -> np.ndarray:
+    return np.fromiter(map(_KNOWN.__getitem__, words), dtype=np.uint64, count=len(words))
+
+
+def shingles(words: list[bytes], k: int = SHINGLE) -> np.ndarray:
     """The sorted distinct hashes of the ``k``-word shingles; of fewer words, of the whole sequence."""
-    w = word_hashes(text)
+    w = word_hashes(words)
     if not len(w):
         return w
     n = len(w) - k + 1
@@ -75,11 +57,32 @@ def shingles(text: str, k: int = SHINGLE) -> np.ndarray:
     return np.unique(mix(h))
 
 
-def set_print(s: np.ndarray) -> tuple[int, int]:
-    """Two 64-bit numbers that tell a set apart."""
-    a = int(np.bitwise_xor.reduce(mix(s ^ np.uint64(0xA24BAED4963EE407)))) if len(s) else 0
-    b = int(np.sum(mix(s ^ np.uint64(0x9FB21C651E98DF25)), dtype=np.uint64)) if len(s) else 0
-    return a, b
+def _ranks(x: np.ndarray) -> np.ndarray:
+    return np.unique(x, return_inverse=True)[1]
+
+
+def overlap(x: np.ndarray, y: np.ndarray, k: int = SHINGLE) -> tuple[int, int, int]:
+    """Sizes of two shingle sets and of their intersection, from the texts' words as numbers, without any hash.
+
+    Runs of words are told apart by exact ranks, of two words, of four, then of five.
+    """
+    if len(x) < k or len(y) < k:
+        a, b = (len(np.unique(_windows(z, k))) if len(z) >= k else int(len(z) > 0) for z in (x, y))
+        return a, b, int(len(x) == len(y) > 0 and bool((x == y).all()))
+    both = _windows(np.concatenate((x, y)), k)
+    a, b = np.unique(both[: len(x) - k + 1]), np.unique(both[len(x) :])
+    return len(a), len(b), len(np.intersect1d(a, b, assume_unique=True))
+
+
+def _windows(w: np.ndarray, k: int) -> np.ndarray:
+    """The rank of the run of ``k`` numbers that starts at each place."""
+    rank = first = _ranks(w)
+    depth = 1
+    while depth < k:
+        step = min(depth, k - depth)
+        tail = (rank if step == depth else _windows(first, step))[depth:]
+        rank, depth = _ranks(rank[: len(tail)] * (int(tail.max()) + 1) + tail), depth + step
+    return rank
 
 
 def sketch(s: np.ndarray, bits: int = SKETCH_BITS) -> np.ndarray:

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillon.llm.common import materialize, shuffle_width, table
-from quillon.llm.shingles import _BYTE, mix, powers
+from quillon.llm.shingles import mix
 from quillon.llm.url_filter import bloom_words, may_hold
 
 LENGTH = 200
@@ -34,6 +34,25 @@ TRIGGER = 16
 PART = 1 << 19
 #: Phrases of one trigger that one task compares in memory; with more, their strings are dealt out.
 MOST_PHRASES = 16_000
+_BYTE = np.random.default_rng(20_240_229).integers(0, 1 << 64, 256, dtype=np.uint64)
+_BASE = 0x9E3779B97F4A7C15
+
+
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    up, down = np.full(n, _BASE, dtype=np.uint64), np.full(n, pow(_BASE, -1, 1 << 64), dtype=np.uint64)
+    up[0] = down[0] = 1
+    return np.cumprod(up), np.cumprod(down)
+
+
+_UP, _DOWN = _powers(1 << 12)
+
+
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first ``n`` powers of the base and of its inverse, modulo 2^64."""
+    global _UP, _DOWN
+    if n > len(_UP):
+        _UP, _DOWN = _powers(1 << (n - 1).bit_length())
+    return _UP[:n], _DOWN[:n]
 
 
 def parse(raw: np.ndarray, length: int = LENGTH) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
