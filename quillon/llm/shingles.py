@@ -97,4 +97,4 @@ def difference(a: np.ndarray, b: np.ndarray) -> int:
         a = a[: len(a) // 2] ^ a[len(a) // 2 :]
     while len(b) > len(a):
         b = b[: len(b) // 2] ^ b[len(b) // 2 :]
-    return int(np.bitwise_count(a ^ b).sum())
+    return int(np.bitwise_count((a ^ b).view(np.uint64)).sum())  # of signed numbers it would count the absolute value's bits

@@ -1,10 +1,12 @@
 import hashlib
+import itertools
+import random
 import re
 
 import numpy as np
 import pytest
 
-from quillon.llm import embed_dedup, exact_dedup, jaccard_join, suffix_dedup
+from quillon.llm import embed_dedup, exact_dedup, jaccard_join, shingles, suffix_dedup
 from quillon.llm.common import components
 
 W = re.compile(r"[^\x20\x09-\x0D]+")
@@ -97,6 +99,70 @@ def test_block_keys_meet():
             pytest.fail("small sets can't link unless equal")
 
 
+def test_sketches_bound_the_difference():
+    """At every size, folded or not, two sketches differ in at most as many bits as the sets in elements."""
+    rng = np.random.default_rng(7)
+    for n in (3, 40, 300, 513, 840, 1856, 5000):
+        a = np.unique(rng.integers(0, 1 << 64, n, dtype=np.uint64))
+        b = np.unique(np.concatenate((a[: n - n // 7], rng.integers(0, 1 << 64, n // 5, dtype=np.uint64))))
+        m = len(np.setxor1d(a, b))
+        for u, v in itertools.product((1024, 4096, 1 << 14), repeat=2):
+            assert shingles.difference(shingles.sketch(a, u), shingles.sketch(b, v)) <= m
+        assert shingles.difference(shingles.sketch(a, 1 << 20), shingles.sketch(b, 1 << 20)) >= 0.9 * m
+
+
+def thue_morse(n):
+    x = "0"
+    while len(x) < n:
+        x += x.translate(str.maketrans("01", "10"))
+    return x
+
+
+def test_words_that_a_polynomial_hash_would_mix_up(spark):
+    """Complementary Thue-Morse words are different words, to the hash and to the verification."""
+    a, b = (thue_morse(2048).translate(str.maketrans("01", x)) for x in ("ab", "ba"))
+    rng = np.random.default_rng(8)
+    tail = " ".join(f"w{i}" for i in rng.integers(0, 10**9, 8))
+    df = spark.createDataFrame([(1, f"{tail} {a}"), (2, f"{tail} {b}"), (3, f"x {tail} {a}"), (4, a), (5, b)], "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in jaccard_join.jaccard_components(df, spark).collect()}
+    want = {i: shingle_set(t) for i, t in [(r.doc_id, r.text) for r in df.collect()]}
+    links = [(x, y) for x in want for y in want if x < y and 100 * len(want[x] & want[y]) >= 80 * len(want[x] | want[y])]
+    assert links == [(1, 3)] and got == {1: 1, 2: 2, 3: 1, 4: 4, 5: 5}
+
+
+def test_exact_overlap():
+    rng = np.random.default_rng(9)
+    for _ in range(300):
+        x, y = (rng.integers(0, 4, rng.integers(0, 12)) for _ in range(2))
+        if rng.random() < 0.5:
+            y = np.concatenate((x[: len(x) // 2], y))
+        a, b = (shingle_set(" ".join(map(str, z))) for z in (x, y))
+        assert shingles.overlap(x, y) == (len(a), len(b), len(a & b))
+
+
+@pytest.mark.parametrize("crowd", [16, 0])
+def test_large_sets_and_shared_passages(spark, crowd, monkeypatch):
+    """Sets of over 512 shingles with links just above and just below the threshold, many of which share a passage."""
+    monkeypatch.setattr(jaccard_join, "CROWD", crowd)
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    passage, texts = [word() for _ in range(120)], []
+    for size in (700, 700, 1500, 3000, 300, 12):
+        base = [word() for _ in range(size)]
+        texts.append(passage[: size // 4] + base)
+        for share in (0.005, 0.015, 0.02, 0.022, 0.025, 0.03, 0.04) * (3 if size < 1000 else 1):
+            near = list(base)
+            for i in rng.sample(range(size), max(1, round(share * size))):
+                near[i] = word()
+            texts.append(passage[: size // 4] + near)
+    texts += [passage[:k] + [word() for _ in range(900)] for k in range(60, 120)]
+    sets = {i: shingle_set(" ".join(t)) for i, t in enumerate(texts)}
+    links = [(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string").repartition(4)
+    got = {r.doc_id: r.component_id for r in jaccard_join.jaccard_components(df, spark).collect()}
+    assert len(links) > 50 and got == roots(sets, links)
+
+
 def brute_removed(raws, length):
     where = {}
     for r in raws:
