@@ -42,6 +42,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def boxed(docs: DataFrame, **keys: Column) -> DataFrame:
+    """``docs`` with each row in one struct ``row``, beside ``keys``, so that no name of a column can clash; ``row.*`` opens it."""
+    return docs.select(F.struct(*[F.col("`" + c.replace("`", "``") + "`") for c in docs.columns]).alias("row"), *[c.alias(k) for k, c in keys.items()])
+
+
 def held_out(doc_id: Column) -> Column:
     """True for the quarter of the documents that no model learns from; a null id is never held out."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm.common import components, materialize, shuffle_width, table
+from quillon.llm.common import boxed, components, materialize, shuffle_width, table
 from quillon.llm.shingles import KNOWN_WORDS, SKETCH_BITS, difference, mix, overlap, shingles, sketch, words_of
 from quillon.llm.url_filter import bloom_words, may_hold
 
@@ -77,21 +77,23 @@ def emitted(s: np.ndarray) -> np.ndarray:
     return np.concatenate([np.empty(0, dtype=np.uint64), *(keys[: most + 1] for _, most, keys in schemes(s))])
 
 
+def lists(rows: list[np.ndarray]) -> pa.ListArray:
+    ends = np.cumsum([0, *map(len, rows)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.empty(0, dtype=np.int64), *(x.view(np.int64) for x in rows)])))
+
+
 def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        n, digest, sk, wide = [], [], [], []
+        n, digest, sk, wide, keys = [], [], [], [], []
         for t in b.column(1):
             words = words_of(t.as_py() or "")
             s = shingles(words)
             n.append(len(s))
             digest.append(sha256(b" ".join(words)).digest())
+            keys.append(emitted(s))
             sk.append(sketch(s))
             wide.append(sketch(s, 1 << (2 * len(s) - 1).bit_length()).tobytes() if len(s) > SKETCH_BITS // 2 else None)
-        flat = pa.array(np.concatenate(sk) if sk else np.empty(0, dtype=np.int64))
-        yield pa.RecordBatch.from_arrays(
-            [b.column(0), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1, dtype=np.int32) * WORDS), flat), pa.array(wide, pa.binary())],
-            ["doc_id", "n", "digest", "sketch", "wide"],
-        )
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), lists(sk), pa.array(wide, pa.binary()), lists(keys)], ["doc_id", "n", "digest", "sketch", "wide", "keys"])
 
 
 def combine(keys: list[np.ndarray], ids: list[int]) -> Iterator[pa.RecordBatch]:
@@ -110,14 +112,14 @@ def combine(keys: list[np.ndarray], ids: list[int]) -> Iterator[pa.RecordBatch]:
 
 
 def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The combined keys of rows (doc_id, digest, keys), of equal words in a chunk once."""
     keys, ids, total, seen = [], [], 0, set()
     for b in batches:
-        for doc_id, t in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-            words = words_of(t.as_py() or "")
-            if not words or (kind := sha256(b" ".join(words)).digest()) in seen:
+        flat, ends = b.column(2).flatten().to_numpy().view(np.uint64), np.cumsum(b.column(2).value_lengths().to_numpy())
+        for doc_id, kind, got in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), np.split(flat, ends[:-1]), strict=True):
+            if kind in seen:
                 continue
             seen.add(kind)
-            got = emitted(shingles(words))
             keys.append(got)
             ids.append(doc_id)
             total += len(got)
@@ -262,7 +264,7 @@ def jaccard_components(docs: DataFrame, spark: SparkSession) -> DataFrame:
     a null component_id. Other columns are not read; an empty table gives an empty result.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    feats = materialize(docs.mapInArrow(describe, "doc_id long, n long, digest binary, sketch array<long>, wide binary"), spark)
+    feats = materialize(docs.mapInArrow(describe, "doc_id long, n long, digest binary, sketch array<long>, wide binary, keys array<long>"), spark)
     known = docs.where("doc_id IS NOT NULL")
     sets = feats.where("doc_id IS NOT NULL AND n > 0")
     # equal words make equal sets; sets that are equal for other words meet in the buckets
@@ -270,7 +272,7 @@ def jaccard_components(docs: DataFrame, spark: SparkSession) -> DataFrame:
     copies = sets.select("doc_id", "digest").join(lowest, "digest")
     copies = materialize(copies.where("doc_id <> rep").select("doc_id", "rep").distinct(), spark)
 
-    rows = known.mapInArrow(emit, "key long, x long, p long")
+    rows = sets.select("doc_id", "digest", "keys").mapInArrow(emit, "key long, x long, p long")
     # members of a chunk's bucket are dealt by id as well: only one pivot a chunk meets the others of its key
     rows = rows.repartition(shuffle_width(spark), "key", F.when(F.col("x") == F.col("p"), F.lit(0)).otherwise(F.col("x")))
     stars = materialize(rows.sortWithinPartitions("key", "x").mapInArrow(shared, "key long, x long, p long"), spark)
@@ -316,12 +318,11 @@ def jaccard_components(docs: DataFrame, spark: SparkSession) -> DataFrame:
 def one_of_each(docs: DataFrame, spark: SparkSession) -> DataFrame:
     """The rows of ``docs``, all columns, of which each component keeps its smallest id.
 
-    Rows with a null id, without words, or that repeat an id stay as the component's verdict for their id says:
-    null ids and empty texts always stay. Columns may have any other names; an empty table gives an empty result.
+    Rows with a null id and texts that are null or without words always stay; rows that repeat an id
+    stay or go together. Columns may have any other names; an empty table gives an empty result.
     """
-    dropped = jaccard_components(docs, spark).where("doc_id <> component_id").select("doc_id").distinct().alias("gone")
-    rows = docs.alias("rows")
-    return rows.join(dropped, F.col("rows.doc_id").cast("long") == F.col("gone.doc_id"), "left_anti")
+    gone = jaccard_components(docs, spark).where("doc_id <> component_id").select(F.col("doc_id").alias("id")).distinct()
+    return boxed(docs, id=F.col("doc_id").cast("long")).join(gone, "id", "left_anti").select("row.*")
 
 
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,6 +5,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from quillon.llm import embed_dedup, exact_dedup, jaccard_join, shingles, suffix_dedup
 from quillon.llm.common import components
@@ -61,6 +62,16 @@ def test_verdicts_hold_for_id_and_text(spark):
     assert sorted(((r.doc_id or 0), r.text) for r in kept) == [(0, "alone"), (0, "no  ids"), (0, "no ids"), (1, "a copy"), (2, "twice"), (3, "other text")]
 
 
+@pytest.mark.parametrize("width", [1, 0])
+def test_texts_that_share_a_digest(spark, docs, texts, width, monkeypatch):
+    """With digests of one byte, or one digest for all, groups still go by the whole text."""
+    want = {r.doc_id: r for r in exact_dedup.exact_dedup(docs).collect()}
+    monkeypatch.setattr(exact_dedup, "digest_of", lambda norm: F.unhex(F.substring(F.sha2(norm, 256), 1, 2 * width)))
+    assert {r.doc_id: r for r in exact_dedup.exact_dedup(docs).collect()} == want
+    kept = exact_dedup.keep_first(docs)
+    assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == sorted(i for i, r in want.items() if r.kept)
+
+
 def shingle_set(t):
     w = W.findall("".join(c.lower() if "A" <= c <= "Z" else c for c in t or ""))
     return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set()

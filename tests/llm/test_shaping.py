@@ -109,7 +109,7 @@ def test_mixing(spark, docs, texts, empty, odd):
         assert (g["source_size"] == sizes[s]).all() and g["target"].iloc[0] == pytest.approx(want[s])
         assert abs(g["taken"].sum() - want[s]) <= 0.03 * want[s] + 30
     assert (rows["taken"] <= 3 * rows["size"]).all() and (rows["taken"] == rows["copies"] * rows["size"]).all()
-    assert rows.groupby("source")["copies"].agg(lambda c: c[rows["size"] > 0].max() - c[rows["size"] > 0].min()).max() <= 1
+    assert rows[rows["size"] > 0].groupby("source")["copies"].agg(lambda c: c.max() - c.min()).max() <= 1
     again = mixing.mix(docs.repartition(3), spark).toPandas()
     assert dict(zip(again["doc_id"], again["taken"], strict=True)) == dict(zip(rows["doc_id"], rows["taken"], strict=True))
     out = mixing.mixed_rows(docs, spark)
@@ -132,6 +132,25 @@ def test_long_documents_close_the_gap(spark, sizes, weights, most, want):
     assert got.groupby("source")["taken"].sum().to_dict() == want
 
 
+def test_inclusion_follows_the_odds(spark):
+    """Over many sources of the same sizes, each a draw of its own, a document is taken as often as its probability says."""
+    rng, n = random.Random(3), 160
+    sizes = sorted(rng.randint(5, 100) for _ in range(238)) + [400, 4000]
+    rows = [(s * 1000 + i, "w " * k, f"s{s:04}") for s in range(n) for i, k in enumerate(sizes)]
+    got = mixing.mixed(spark.createDataFrame(rows, "doc_id long, text string, source string"), spark, weights=(2, 5)).toPandas()
+    got = got[got["target"] < got["source_size"]]  # those of the lesser weight: no whole copies
+    rest = got["target"].iloc[0]
+    assert got["copies"].max() == 1 and rest == pytest.approx(sum(sizes) * 4 / 7)
+    # the probabilities: the largest are certain, the others in proportion to size, and the words expected are the rest
+    got["at"] = got["doc_id"] % 1000
+    p, often = got.groupby("at")["p"].first(), got.groupby("at")["copies"].mean()
+    assert sum(p[i] * k for i, k in enumerate(sizes)) == pytest.approx(rest) and p[239] == 1 and p[200] == pytest.approx(sizes[200] / sizes[100] * p[100])
+    assert often[239] == 1 and np.corrcoef(often, p)[0, 1] > 0.9
+    parts = [(often[i : i + 34].mean(), p[i : i + 34].mean()) for i in range(0, 238, 34)]
+    assert max(abs(x - y) for x, y in parts) < 0.06 and all(a[0] < b[0] for a, b in itertools.pairwise(parts)), parts
+    assert np.abs(got.groupby("source")["taken"].sum() - rest).max() < 0.01 * rest
+
+
 def test_mixed_rows_without_ids(spark):
     """Rows without an id come as often as the mix takes each of them, not as often as any of them."""
     rows = [(None, "w " * n, s) for s, n in zip("aaaabbbbcccc", (3, 5, 7, 200, 11, 13, 17, 300, 19, 23, 29, 20), strict=True)]
