@@ -4,11 +4,15 @@ Detected entities are replaced by surrogates of the same kind and format, derive
 digest of the entity's canonical form: the same entity gets the same surrogate in
 every document and every way of writing it. Phone numbers keep the country code and punctuation, cards the
 issuer digit and a valid check digit, addresses the domain ending, secrets their name and alphabet,
-names the title (and so the gender) and the script.
+names the title or the words that introduce them, the gender and the script.
+
+A name is made of two parts: the surname's surrogate hangs on the surname alone, so that a person is the same with
+and without a given name, the given name's on the whole name and the gender. In a document that introduces a
+person, that name is replaced where it stands alone too.
 
 Distinct entities must have distinct surrogates, none of which is an entity of the corpus. All distinct
 entities are checked for that; those that collide, all but the smallest, draw again with the next attempt number
-until none collides. Attempt 0 is computed in place; only entities with a later
+until none collides. Later attempts draw from wider spaces. Attempt 0 is computed in place; only entities with a later
 attempt travel to the documents that hold them.
 """
 
@@ -17,14 +21,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm.common import materialize, table
+from quillon.llm.common import materialize, shuffle_width, table
 
-MEN = ["Mr.", "Mr", "Herr", "Monsieur", "Señor", "г-н"]
-WOMEN = ["Mrs.", "Mrs", "Ms.", "Ms", "Miss", "Frau", "Madame", "Mme", "Señora", "г-жа"]
+MEN = ["Mr.", "Mr", "Herr", "Monsieur", "Señor", "г-н", "Κύριος", "κ."]
+WOMEN = ["Mrs.", "Mrs", "Ms.", "Ms", "Miss", "Frau", "Madame", "Mme", "Señora", "г-жа", "Κυρία", "κα"]
+#: Titles and words that introduce a person without telling the gender.
+CUES = ["Dr.", "Prof.", "my name is", "My name is", "mein Name ist", "Mein Name ist", "je m'appelle", "Je m'appelle", "me llamo", "Me llamo", "меня зовут", "Меня зовут", "με λένε", "Με λένε"]
 GIVEN_MEN = ["Adrian", "Bruno", "Carl", "Daniel", "Emil", "Felix", "Gustav", "Hugo", "Ivan", "Jonas", "Karim", "Lukas", "Martin", "Noel", "Oscar", "Paul"]
 GIVEN_WOMEN = ["Alma", "Berta", "Clara", "Dora", "Elena", "Frida", "Greta", "Helena", "Irene", "Julia", "Karla", "Laura", "Marta", "Nora", "Olga", "Paula"]
 SYLLABLES = ["ba", "der", "fin", "gol", "har", "kem", "lan", "mor", "nel", "os", "per", "rin", "sal", "tor", "vel", "wen"]
-_TITLES = "|".join(x.replace(".", r"\.") for x in sorted(MEN + WOMEN, key=len, reverse=True))
+_TITLES = "|".join(x.replace(".", r"\.") for x in sorted(MEN + WOMEN + CUES, key=len, reverse=True))
 _SECRET = r"(?:password|passwd|pwd|passphrase|token|secret|api[_-]?key|access[_-]?key)"
 PATTERNS = [
     r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
@@ -44,11 +50,16 @@ PATTERNS = [
 ENTITY = "|".join(PATTERNS)
 #: No entity is found in a text without one of these.
 HINT = rf"[0-9@=:]|(?:{_TITLES}) |AKIA|ASIA|gh[pousr]_|sk-|xox[abp]-"
+#: After so many attempts what still collides gets a surrogate with a digest behind it: the format gives way.
 ATTEMPTS = 32
 #: The country code at the start of an international number's digits.
 COUNTRY = "^(?:[17]|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|[0-9]{3})"
 _LOWER, _UPPER = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 _CYR, _CYR_UP = "абвгдежзиклмнопрстуфхцчшэюя", "АБВГДЕЖЗИКЛМНОПРСТУФХЦЧШЭЮЯ"
+_GREEK, _GREEK_UP = "αβγδεζηθικλμνξοπρστυφχψω", "ΑΒΓΔΕΖΗΘΙΚΛΜΝΞΟΠΡΣΤΥΦΧΨΩ"
+_ARMENIAN = "".join(map(chr, range(0x561, 0x586)))
+#: Cased scripts other than Latin whose names keep their script; names in further ones become Latin.
+SCRIPTS = {"Cyrillic": (_CYR, _CYR_UP), "Greek": (_GREEK, _GREEK_UP), "Armenian": (_ARMENIAN, _ARMENIAN.upper())}
 
 
 def kind_of(e: Column) -> Column:
@@ -64,10 +75,16 @@ def head_of(e: Column, kind: Column) -> Column:
     return F.when(kind == "secret", F.regexp_extract(e, rf"^(?:(?i:{_SECRET})\s*[=:]\s*[\"']?|gh[pousr]_|sk-|xox[abp]-)", 0)).when(kind == "person", F.regexp_extract(e, rf"^(?:{_TITLES}) ", 0)).when(kind == "cloud_key", F.substring(e, 1, 4)).when(kind == "iban", F.substring(e, 1, 2)).otherwise(F.lit(""))
 
 
-def canon(e: Column, kind: Column, body: Column) -> Column:
-    """The form that all ways to write an entity share."""
+def gender_of(head: Column, given: Column) -> Column:
+    """By the title, else by the ending of the given name."""
+    return F.when(F.trim(head).isin(WOMEN), "f").when(F.trim(head).isin(MEN), "m").when(given.rlike("[aаяαηա]$"), "f").otherwise("m")
+
+
+def canon(e: Column, kind: Column, head: Column, body: Column) -> Column:
+    """The form that all ways to write an entity share; of a person the gender and all names."""
     digits = F.regexp_replace(e, "[^0-9]", "")
-    return F.when(kind.isin("card", "ssn"), digits).when(kind == "phone", F.concat(F.when(e.startswith("+"), "+").otherwise(""), digits)).when(kind == "iban", F.regexp_replace(e, " ", "")).when(kind.isin("email", "person"), F.lower(body)).otherwise(body)
+    person = F.concat(gender_of(head, F.element_at(F.split(body, " "), 1)), F.lit(" "), F.lower(body))
+    return F.when(kind.isin("card", "ssn"), digits).when(kind == "phone", F.concat(F.when(e.startswith("+"), "+").otherwise(""), digits)).when(kind == "iban", F.regexp_replace(e, " ", "")).when(kind == "email", F.lower(body)).when(kind == "person", person).otherwise(body)
 
 
 def _byte(digest: Column, i: Column) -> Column:
@@ -79,18 +96,22 @@ def _pick(letters: str, n: Column) -> Column:
     return F.substring(F.lit(letters), (n % len(letters) + 1).cast("int"), F.lit(1))
 
 
+def _each(value: Column, one) -> Column:
+    """``value`` with each character changed by ``one(character, place)``; bytes of digests repeat after 64 places."""
+    return F.when(F.length(value) > 0, F.array_join(F.transform(F.sequence(F.lit(1), F.length(value)), lambda i: one(F.substring(value, i, F.lit(1)), i)), "")).otherwise(F.lit(""))
+
+
 def _shaped(value: Column, digest: Column, hexes: Column) -> Column:
-    """Each letter and digit of ``value`` changed for one of its kind; ``hexes``: letters a-f stay hexadecimal."""
+    """Each ASCII letter and digit of ``value`` changed for one of its kind; ``hexes``: letters a-f stay hexadecimal."""
 
-    def one(i: Column) -> Column:
-        c, n = F.substring(value, i, F.lit(1)), _byte(digest, i)
-        # bytes repeat after 64 characters
+    def one(c: Column, i: Column) -> Column:
+        n = _byte(digest, i)
         return (
             F.when(c.rlike("[0-9]"), _pick("0123456789", n)).when(hexes & c.rlike("[a-f]"), _pick("abcdef", n)).when(hexes & c.rlike("[A-F]"), _pick("ABCDEF", n))
-            .when(c.rlike("[a-z]"), _pick(_LOWER, n)).when(c.rlike("[A-Z]"), _pick(_UPPER, n)).when(c.rlike("[а-я]"), _pick(_CYR, n)).when(c.rlike("[А-Я]"), _pick(_CYR_UP, n)).otherwise(c)
+            .when(c.rlike("[a-z]"), _pick(_LOWER, n)).when(c.rlike("[A-Z]"), _pick(_UPPER, n)).otherwise(c)
         )
 
-    return F.when(F.length(value) > 0, F.array_join(F.transform(F.sequence(F.lit(1), F.length(value)), one), "")).otherwise(F.lit(""))
+    return _each(value, one)
 
 
 def _spaced(fresh: Column, value: Column) -> Column:
@@ -127,18 +148,28 @@ def _more(pieces: list[str], digest: Column, n: Column) -> Column:
     return F.when(n > 0, F.element_at(other, 1)).otherwise(F.lit(""))
 
 
-def _name(head: Column, body: Column, digest: Column, attempt: Column) -> Column:
-    """Given names by the title's gender, surnames of four syllables; names in Cyrillic keep shape and ending.
+def _in_script(word: Column, digest: Column, attempt: Column, latin: Column) -> Column:
+    """A name in the script of ``word``: letter for letter, the ending kept, later with more letters before it; ``latin`` for all other scripts."""
+    found = latin
+    for script, (lower, upper) in SCRIPTS.items():
+        one = lambda c, i, lower=lower, upper=upper: F.when(c.rlike(r"\p{Lu}"), _pick(upper, _byte(digest, i))).otherwise(_pick(lower, _byte(digest, i)))
+        shaped = F.concat(_each(F.substring(word, F.lit(1), F.length(word) - 1), one), _more(list(lower), digest, wider(attempt) * 2), F.substring(word, F.length(word), F.lit(1)))
+        found = F.when(word.rlike(rf"^\p{{Is{script}}}"), shaped).otherwise(found)
+    return found
 
-    Later attempts add syllables, or letters before the ending.
-    """
-    words = F.split(body, " ")
-    given = F.when(F.trim(head).isin(WOMEN), F.element_at(F.array(*map(F.lit, GIVEN_WOMEN)), _byte(digest, F.lit(1)) % 16 + 1)).otherwise(F.element_at(F.array(*map(F.lit, GIVEN_MEN)), _byte(digest, F.lit(1)) % 16 + 1))
+
+def _surname(word: Column, digest: Column, attempt: Column) -> Column:
+    """Four syllables, in later attempts more."""
     syllable = lambda k: F.element_at(F.array(*map(F.lit, SYLLABLES)), _byte(digest, F.lit(k)) % 16 + 1)
-    surname = F.initcap(F.concat(*map(syllable, range(2, 6)), _more(SYLLABLES, digest, wider(attempt) * 2)))
-    latin = F.when(F.size(words) > 1, F.concat(given, F.lit(" "), surname)).otherwise(surname)
-    cyrillic = F.concat(_shaped(F.substring(body, F.lit(1), F.length(body) - 1), digest, F.lit(False)), _more(list(_CYR), digest, wider(attempt) * 2), F.substring(body, F.length(body), F.lit(1)))
-    return F.concat(head, F.when(body.rlike("[а-яА-Я]"), cyrillic).otherwise(latin))
+    return _in_script(word, digest, attempt, F.initcap(F.concat(*map(syllable, range(2, 6)), _more(SYLLABLES, digest, wider(attempt) * 2))))
+
+
+def _given(word: Column, female: Column, digest: Column, attempt: Column) -> Column:
+    """One of few names of the gender; in later attempts syllables with an ending by the gender."""
+    pick = lambda names: F.element_at(F.array(*map(F.lit, names)), _byte(digest, F.lit(1)) % 16 + 1)
+    made = F.concat(F.initcap(_more(SYLLABLES, digest, wider(attempt) + 2)), F.when(female, "a").otherwise("o"))
+    listed = F.when(female, pick(GIVEN_WOMEN)).otherwise(pick(GIVEN_MEN))
+    return _in_script(word, digest, attempt, F.when(attempt > 0, made).otherwise(listed))
 
 
 def looked_at(e: Column) -> list:
@@ -147,7 +178,7 @@ def looked_at(e: Column) -> list:
         lambda x: F.struct(x.alias("e"), kind_of(x).alias("kind")),
         lambda x: F.struct(x["e"].alias("e"), x["kind"].alias("kind"), head_of(x["e"], x["kind"]).alias("head")),
         lambda x: F.struct(x["e"].alias("e"), x["kind"].alias("kind"), x["head"].alias("head"), F.substring(x["e"], F.length(x["head"]) + 1, F.length(x["e"])).alias("body")),
-        lambda x: F.struct(x["e"].alias("e"), x["kind"].alias("kind"), x["head"].alias("head"), x["body"].alias("body"), canon(x["e"], x["kind"], x["body"]).alias("name")),
+        lambda x: F.struct(x["e"].alias("e"), x["kind"].alias("kind"), x["head"].alias("head"), x["body"].alias("body"), canon(x["e"], x["kind"], x["head"], x["body"]).alias("name")),
     ]
 
 
@@ -158,14 +189,36 @@ def described(found: Column) -> Column:
     return found
 
 
-def surrogate(x: Column, attempt: Column, key: str) -> Column:
-    """The surrogate of a struct of ``described``."""
-    digest = F.sha2(F.concat_ws("\x1f", F.lit(key), x["kind"], x["name"], attempt.cast("string")), 512)
-    drawn = F.transform(F.array(F.struct(x.alias("x"), digest.alias("digest"), attempt.alias("attempt"))), lambda y: _drawn(y["x"]["e"], y["x"]["kind"], y["x"]["head"], y["x"]["body"], y["digest"], y["attempt"]))
+def last_of(x: Column) -> Column:
+    return F.element_at(F.split(x["body"], " "), -1)
+
+
+def parts_of(x: Column) -> Column:
+    """What is checked for collisions of an entity: itself, or of a person the surname, and the whole name if it has another part."""
+    part = lambda e, kind, name: F.struct(e.alias("e"), F.lit(kind).alias("kind"), F.lit("").alias("head"), e.alias("body"), name.alias("name"))
+    surname, given = part(last_of(x), "surname", F.lower(last_of(x))), part(x["body"], "given", x["name"])
+    return F.when(x["kind"] != "person", F.array(x)).when(x["body"].contains(" "), F.array(surname, given)).otherwise(F.array(surname))
+
+
+def digest_of(kind: Column, name: Column, attempt: Column, key: str) -> Column:
+    return F.sha2(F.concat_ws("\x1f", F.lit(key), kind, name, attempt.cast("string")), 512)
+
+
+def surrogate(x: Column, attempt, key: str) -> Column:
+    """The surrogate of a struct of ``described``, or of a part; ``attempt(kind, name)`` gives the attempt of each part."""
+    last, own = F.lower(last_of(x)), F.when(x["kind"] == "person", "given").otherwise(x["kind"])
+    state = F.struct(x.alias("x"), attempt(own, x["name"]).alias("attempt"), F.when(x["kind"] == "person", attempt(F.lit("surname"), last)).alias("surname"))
+    drawn = F.transform(F.array(state), lambda y: F.struct(y["x"].alias("x"), y["attempt"].alias("attempt"), digest_of(own, x["name"], y["attempt"], key).alias("digest"), y["surname"].alias("surname"), digest_of(F.lit("surname"), last, y["surname"], key).alias("surname_digest")))
+    drawn = F.transform(drawn, lambda y: _drawn(y["x"], y["digest"], y["attempt"], y["surname_digest"], y["surname"]))
     return F.element_at(drawn, 1)
 
 
-def _drawn(e: Column, kind: Column, head: Column, body: Column, digest: Column, attempt: Column) -> Column:
+def _tail(digest: Column, attempt: Column) -> Column:
+    return F.when(attempt >= ATTEMPTS, F.concat(F.lit("-"), F.substring(digest, 97, 32))).otherwise(F.lit(""))
+
+
+def _drawn(x: Column, digest: Column, attempt: Column, surname_digest: Column, surname_attempt: Column) -> Column:
+    e, kind, head, body = x["e"], x["kind"], x["head"], x["body"]
     at, end = F.instr(e, "@"), F.length(F.regexp_extract(e, r"\.[A-Za-z]{2,}$", 0))
     more = _more(list(_LOWER), digest, wider(attempt) * 4)  # for short names that all collide
     email = F.concat(_shaped(F.substring(e, F.lit(1), at - 1), digest, F.lit(False)), more, F.lit("@"), _shaped(F.substring(e, at + 1, F.length(e) - at - end), F.sha2(digest, 512), F.lit(False)), F.substring(e, F.length(e) - end + 1, end))
@@ -175,21 +228,29 @@ def _drawn(e: Column, kind: Column, head: Column, body: Column, digest: Column,
     longer = longer.when(body.rlike("^[0-9A-Z]+$"), _more(list("0123456789ABCDEF"), digest, wider(attempt) * 4)).otherwise(more)
     plain = F.concat(head, _shaped(body, digest, hexes & (kind == "secret")), F.when(kind == "secret", longer).otherwise(F.lit("")))
     iban = F.concat(head, _spaced(_shaped(F.replace(body, F.lit(" "), F.lit("")), digest, F.lit(False)), body))
-    return F.when(kind == "email", email).when(kind == "ip", ip).when(kind.isin("phone", "card", "ssn"), _numbers(e, kind, digest, attempt)).when(kind == "person", _name(head, body, digest, attempt)).when(kind == "iban", iban).otherwise(plain)
+    first = F.element_at(F.split(body, " "), 1)
+    given = F.concat(_given(first, x["name"].startswith("f "), digest, attempt), _tail(digest, attempt))
+    surname = lambda d, a: F.concat(_surname(last_of(x), d, a), _tail(d, a))
+    person = F.concat(head, F.when(body.contains(" "), F.concat(given, F.lit(" "))).otherwise(F.lit("")), surname(surname_digest, surname_attempt))
+    named = F.when(kind == "person", person).when(kind == "given", given).when(kind == "surname", surname(digest, attempt))
+    return named.when(kind == "email", email).otherwise(F.concat(F.when(kind == "ip", ip).when(kind.isin("phone", "card", "ssn"), _numbers(e, kind, digest, attempt)).when(kind == "iban", iban).otherwise(plain), _tail(digest, attempt)))
 
 
 def entities(text: Column) -> Column:
     return F.when(text.rlike(HINT), F.regexp_extract_all(text, F.lit(ENTITY), 0)).otherwise(F.array().cast("array<string>"))
 
 
-def later_attempts(found: DataFrame, spark: SparkSession, key: str) -> DataFrame:
-    """(kind, name, attempt) of the canonical entities that attempt 0 doesn't serve, from ``found(x)``."""
-    forms = materialize(found.select(F.col("x.kind").alias("kind"), F.col("x.name").alias("name"), "x").distinct(), spark)
+def later_attempts(parts: DataFrame, spark: SparkSession, key: str) -> DataFrame:
+    """(kind, name, attempt) of the canonical entities that attempt 0 doesn't serve, from ``parts(x)``."""
+    forms = parts.select(F.col("x.kind").alias("kind"), F.col("x.name").alias("name"), "x").distinct()
+    forms = materialize(forms.repartition(shuffle_width(spark), "kind", "name"), spark)
     known = forms.select("kind", F.col("name").alias("s")).distinct()
-    waiting, taken, redone = forms, None, None
+    waiting, taken, redone = forms, None, spark.createDataFrame([], "kind string, name string, attempt int")
     for attempt in range(ATTEMPTS):
-        drawn = waiting.withColumn("s", surrogate(F.col("x"), F.lit(attempt), key))
-        drawn = materialize(drawn.select("kind", "name", F.element_at(described(F.array("s")), 1)["name"].alias("s")).distinct(), spark)
+        drawn = waiting.withColumn("s", surrogate(F.col("x"), lambda kind, name, n=attempt: F.lit(n), key))
+        # a given name must be distinct among those of its surname
+        same = F.when(F.col("kind") == "surname", F.lower("s")).when(F.col("kind") == "given", F.concat(F.lower("s"), F.lit(" "), F.lower(last_of(F.col("x"))))).otherwise(F.element_at(described(F.array("s")), 1)["name"])
+        drawn = materialize(drawn.select("kind", "name", same.alias("s")).distinct(), spark)
         first = drawn.groupBy("kind", "s").agg(F.min("name").alias("name"))
         free = drawn.join(first, ["kind", "s", "name"]).join(known, ["kind", "s"], "left_anti")
         if taken is not None:
@@ -199,12 +260,21 @@ def later_attempts(found: DataFrame, spark: SparkSession, key: str) -> DataFrame
         good = materialize(drawn.join(lost, ["kind", "name"], "left_anti").select("kind", "s", "name"), spark)
         taken = good.select("kind", "s") if taken is None else taken.union(good.select("kind", "s"))
         if attempt:
-            now = good.select("kind", "name", F.lit(attempt).alias("attempt")).distinct()
-            redone = now if redone is None else redone.union(now)
+            redone = redone.union(good.select("kind", "name", F.lit(attempt).alias("attempt")).distinct())
         waiting = materialize(waiting.join(lost, ["kind", "name"], "left_semi").select("kind", "name", "x"), spark)
         if waiting.isEmpty():
-            return redone if redone is not None else spark.createDataFrame([], "kind string, name string, attempt int")
-    raise RuntimeError(f"surrogates still collide after {ATTEMPTS} attempts")
+            return redone
+    return redone.union(waiting.select("kind", "name", F.lit(ATTEMPTS).alias("attempt")).distinct())
+
+
+def alone(text: Column, found: Column, new: Column) -> Column:
+    """``text`` with the names of the persons in ``found`` replaced where they stand without title, whole names before surnames."""
+    people = F.filter(F.arrays_zip(found.alias("x"), new.alias("s")), lambda y: y["x"]["kind"] == "person")
+    names = F.transform(people, lambda y: F.struct(y["x"]["body"].alias("old"), F.substring(y["s"], F.length(y["x"]["head"]) + 1, F.length(y["s"])).alias("new")))
+    last = F.transform(names, lambda p: F.struct(F.element_at(F.split(p["old"], " "), -1).alias("old"), F.element_at(F.split(p["new"], " "), -1).alias("new")))
+    both = F.array_distinct(F.concat(F.filter(names, lambda p: p["old"].contains(" ")), last))
+    put = lambda t, p: F.when(t.contains(p["old"]), F.regexp_replace(t, F.concat(F.lit(r"(?<![\p{L}\p{M}])"), p["old"], F.lit(r"(?![\p{L}\p{M}])")), p["new"])).otherwise(t)
+    return F.aggregate(both, text, put)
 
 
 def replace_pii(docs: DataFrame, spark: SparkSession, key: str = "quillon") -> DataFrame:
@@ -215,22 +285,26 @@ def replace_pii(docs: DataFrame, spark: SparkSession, key: str = "quillon") -> D
     rows stay, null ids stay null. An empty table gives an empty result; other columns are not read.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    seen = docs.select("doc_id", F.xxhash64("text").alias("h"), F.explode(described(entities(F.col("text")))).alias("x"))
-    seen = materialize(seen, spark)
-    redone = later_attempts(seen, spark, key)
+    docs = docs.withColumn("found", F.coalesce(entities(F.col("text")), F.array().cast("array<string>")))
+    # a text is looked through once: what stands between its entities is written in its place
+    between = F.when(F.size("found") > 0, F.split("text", ENTITY, -1))
+    docs = materialize(docs.select("doc_id", F.when(F.size("found") == 0, F.col("text")).alias("text"), between.alias("between"), F.xxhash64("text").alias("h"), described(F.col("found")).alias("found")), spark)
+    seen = docs.where(F.size("found") > 0).select("doc_id", "h", F.explode("found").alias("x")).select("doc_id", "h", F.explode(parts_of(F.col("x"))).alias("x"))
+    redone = materialize(later_attempts(seen.select("x"), spark, key), spark)
     special = seen.alias("a").join(redone.alias("b"), (F.col("a.x.kind") == F.col("b.kind")) & (F.col("a.x.name") == F.col("b.name")))
-    special = special.select("doc_id", "h", F.col("x.e").alias("e"), surrogate(F.col("x"), F.col("attempt"), key).alias("s")).distinct()
-    special = special.groupBy("doc_id", "h").agg(F.map_from_entries(F.collect_list(F.struct("e", "s"))).alias("other"))
-    special = materialize(special.select(F.col("doc_id").alias("_id"), F.col("h").alias("_h"), "other"), spark)
-    rows = docs.withColumn("found", described(entities(F.col("text")))).join(special, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_h")), "left")
-    new = F.transform("found", lambda x: F.coalesce(F.try_element_at(F.col("other"), x["e"]), surrogate(x, F.lit(0), key)))
-    between = F.split("text", ENTITY, -1)
-    joined = F.array_join(F.flatten(F.zip_with(between, new, lambda a, b: F.array(a, F.coalesce(b, F.lit(""))))), "")
-    return rows.select(
+    special = special.select("doc_id", "h", F.concat_ws("\x1f", "b.kind", "b.name").alias("part"), "attempt").distinct()
+    special = special.groupBy("doc_id", "h").agg(F.map_from_entries(F.collect_list(F.struct("part", "attempt"))).alias("later"))  # as long as one text
+    special = materialize(special.select(F.col("doc_id").alias("_id"), F.col("h").alias("_h"), "later"), spark)
+    rows = docs.join(special, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("h") == F.col("_h")), "left")
+    attempt = lambda kind, name: F.coalesce(F.try_element_at(F.col("later"), F.concat_ws("\x1f", kind, name)), F.lit(0))
+    rows = rows.withColumn("new", F.transform("found", lambda x: surrogate(x, attempt, key)))
+    joined = F.array_join(F.flatten(F.zip_with("between", "new", lambda a, b: F.array(a, F.coalesce(b, F.lit(""))))), "")
+    people = F.exists("found", lambda x: x["kind"] == "person")
+    return rows.withColumn("text", F.when(F.size("found") > 0, joined).otherwise(F.col("text"))).select(
         "doc_id",
-        F.when(F.size("found") > 0, joined).otherwise(F.col("text")).alias("text"),
-        F.greatest(F.size("found"), F.lit(0)).cast("long").alias("n_entities"),
-        F.array_sort(F.array_distinct(F.transform("found", lambda x: x["kind"]))).alias("kinds"),
+        F.when(people, alone(F.col("text"), F.col("found"), F.col("new"))).otherwise(F.col("text")).alias("text"),
+        F.size("found").cast("long").alias("n_entities"),
+        F.when(F.col("h").isNotNull(), F.array_sort(F.array_distinct(F.transform("found", lambda x: x["kind"])))).alias("kinds"),
     )
 
 
