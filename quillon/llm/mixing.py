@@ -70,11 +70,12 @@ def inclusion(base: DataFrame, plan: DataFrame) -> DataFrame:
     With the sizes in falling order, the first size that isn't certain gives c: of the words left beside all
     larger documents, a share in proportion to size is expected from this one and the smaller ones.
     """
-    line = Window.partitionBy("source").orderBy(F.col("size").desc())
+    before = Window.partitionBy("source").orderBy(F.col("size").desc()).rowsBetween(Window.unboundedPreceding, -1)
     n = base.where("size > 0").groupBy("source", "size").agg(F.count(F.lit(1)).alias("n"))
     n = by_source(n, plan.select("source", "rest")).where("size <= rest")
-    larger = F.coalesce(F.sum(F.col("n") * F.col("size")).over(line.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    square = F.sum(F.col("n").cast("decimal(18,0)") * F.col("size").cast("decimal(10,0)") * F.col("size").cast("decimal(10,0)")).over(line.rowsBetween(0, Window.unboundedFollowing))
+    square = F.col("n").cast("decimal(18,0)") * F.col("size").cast("decimal(10,0)") * F.col("size").cast("decimal(10,0)")
+    larger = F.coalesce(F.sum(F.col("n") * F.col("size")).over(before), F.lit(0))
+    square = F.sum(square).over(Window.partitionBy("source")) - F.coalesce(F.sum(square).over(before), F.lit(0))
     c = (F.col("rest") - larger) / square.cast("double")
     return n.withColumn("c", c).where(F.col("c") * F.col("size") < 1).groupBy("source").agg(F.max_by("c", "size").alias("c"))
 

@@ -241,3 +241,34 @@ def test_embedding_dedup(spark):
     assert sum(got[i].component_id == want[i] for i in want) >= 0.97 * len(want)
     assert all(r.kept == (r.vec_id == r.component_id) for r in got.values())
     assert embed_dedup.near_duplicates(df.limit(0), spark).count() == 0
+
+
+def test_vectors_of_several_lengths(spark):
+    """Each length is indexed, however few vectors have it; a rare length, ties, repeated rows and ids, huge and tiny numbers."""
+    rng = np.random.default_rng(5)
+    rows = [(i, rng.standard_normal(64), 0) for i in range(200)]
+    a, b = rng.standard_normal(32), rng.standard_normal(3)
+    rows += [(300, a, 0), (301, a + 0.01 * rng.standard_normal(32), 0), (302, b, 0), (303, b * 1.01, 0), (304, np.ones(1), 0), (305, np.ones(1) * 2, 0), (306, -np.ones(1), 0)]
+    rows += [(307, np.full(64, 1e200), 0), (308, np.full(64, 1e-200), 0), (309, rows[5][1], 0), (309, rows[5][1], 0), (None, rows[5][1], 0)]
+    df = spark.createDataFrame([(i, v.tolist(), label) for i, v, label in rows], "vec_id long, embedding array<double>, label int")
+    got = embed_dedup.near_duplicates(df, spark).collect()
+    linked = {r.vec_id: (r.n_links, r.component_id) for r in got if r.n_links}
+    assert len(got) == len(rows)
+    assert linked == {5: (1, 5), 309: (1, 5), 300: (1, 300), 301: (1, 300), 302: (1, 302), 303: (1, 302), 304: (1, 304), 305: (1, 304), 307: (1, 307), 308: (1, 307)}
+    assert [(r.n_links, r.component_id, r.kept) for r in got if r.vec_id is None] == [(0, None, True)]
+
+
+@pytest.mark.parametrize("dim", [32, 64, 256])
+@pytest.mark.parametrize("mean", [0.0, 0.3, 0.7])
+def test_recall_in_each_band(dim, mean):
+    """Pairs just above the threshold are found too, also where vectors share a mean direction."""
+    rng = np.random.default_rng(dim)
+    x = rng.standard_normal((4000, dim)) / np.sqrt(dim) * np.sqrt(1 - mean) + np.sqrt(mean) * np.eye(1, dim)
+    x = embed_dedup.unit(x)
+    m = embed_dedup.learn(x[:2000], 50_000)
+    assert m["tables"] <= embed_dedup.TABLES
+    for low in (0.93, 0.94, 0.95, 0.97, 0.99):
+        a, b = embed_dedup.pairs_at(x[2000:], low + 0.002, rng, 1500)
+        same = ((a - m["mean"]) @ m["projection"] >= 0) == ((b - m["mean"]) @ m["projection"] >= 0)
+        hit = same.reshape(len(a), m["tables"], m["width"]).all(axis=2).any(axis=1) & ((~same).sum(axis=1) <= m["near"])
+        assert hit.mean() >= 0.95, (low, hit.mean(), m["tables"], m["width"])

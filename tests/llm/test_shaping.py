@@ -229,3 +229,45 @@ def test_secrets_of_letters_alone(spark):
     df = spark.createDataFrame([(i, f"use {s} here") for i, s in enumerate(secrets)], "doc_id long, text string")
     got = pii.replace_pii(df, spark).orderBy("doc_id").collect()
     assert all(r.n_entities == 1 and s not in r.text and r.text.startswith(f"use {s[:3]}") for s, r in zip(secrets, got, strict=True))
+
+
+def test_script_gender_and_coreference(spark):
+    """One surrogate for a surname with and without given name or title; the script and the gender stay."""
+    texts = ["Mr. John Smith met Mr. Smith. Later John Smith left, and Smith wrote.", "Herr Παπαδόπουλος und Κυρία Ελένη Παπαδοπούλου", "г-жа Анна Иванова", "My name is Anna Kovacs and I know Mr. John Smith.", "Ms. Smith", "Smith alone, without a person", "Dr. Արամ Խաչատրյան"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = [r.text for r in pii.replace_pii(df, spark).orderBy("doc_id").collect()]
+    m = re.fullmatch(r"Mr\. (\w+) (\w+) met Mr\. (\w+)\. Later (\w+) (\w+) left, and (\w+) wrote\.", got[0])
+    assert m and m[2] == m[3] == m[5] == m[6] != "Smith" and m[1] == m[4] != "John" and m[1] in pii.GIVEN_MEN
+    m2 = re.fullmatch(r"My name is (\w+) (\w+) and I know Mr\. (\w+) (\w+)\.", got[3])
+    assert m2 and (m2[3], m2[4]) == (m[1], m[2]) and m2[2] != "Kovacs" and m2[1] in pii.GIVEN_WOMEN
+    assert got[4] == f"Ms. {m[2]}" and got[5] == texts[5]
+    assert re.fullmatch(r"Herr [Α-Ω][α-ως]+ς und Κυρία [Α-Ω][α-ω]+η [Α-Ω][α-ω]+υ", got[1]) and not {"Παπαδόπουλος", "Ελένη", "Παπαδοπούλου"} & set(got[1].split())
+    assert re.fullmatch("г-жа [А-Я][а-я]+а [А-Я][а-я]+а", got[2]) and got[2] != texts[2]
+    assert re.fullmatch("Dr\\. [\u0531-\u0556][\u0561-\u0586]+ [\u0531-\u0556][\u0561-\u0586]+", got[6]) and got[6] != texts[6]
+
+
+def test_names_against_brute_force(spark):
+    """Over many names: equal people stay equal, different ones different, and no surrogate is a name of the corpus."""
+    rng = random.Random(12)
+    surnames = ["".join(rng.choice("BDKLMR") + rng.choice("aeiou") + rng.choice("nrst") for _ in range(2)).capitalize() for _ in range(150)]
+    given = {"Mr.": ["John", "Peter", "Max", "Tom", "Jack"], "Ms.": ["Ann", "Eve", "Kim", "Sue", "Liz"]}
+    people = [(t, rng.choice(given[t]), s) for s in surnames for t in given for _ in range(4)]
+    texts = [f"{t} {g} {s} here, {t} {s} there" for t, g, s in people]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = [r.text for r in pii.replace_pii(df, spark).orderBy("doc_id").collect()]
+    whole, sur = {}, {}
+    for (t, g, s), text in zip(people, got, strict=True):
+        m = re.fullmatch(r"(M[rs]\.) (\w+) (\w+) here, (M[rs]\.) (\w+) there", text)
+        assert m and m[1] == m[4] == t and m[3] == m[5]
+        assert whole.setdefault((t, g, s), (t, m[2], m[3])) == (t, m[2], m[3]) and sur.setdefault(s, m[3]) == m[3]
+        assert m[2] in (pii.GIVEN_MEN if t == "Mr." else pii.GIVEN_WOMEN) or m[2].endswith("o" if t == "Mr." else "a")
+    assert len(set(whole.values())) == len(whole) and len(set(sur.values())) == len(sur) and not set(sur.values()) & set(surnames)
+
+
+def test_spaces_that_are_too_small(spark, monkeypatch):
+    """Where no attempt is left the format gives way, not the distinctness, and nothing is raised."""
+    monkeypatch.setattr(pii, "ATTEMPTS", 1)
+    monkeypatch.setattr(pii, "SYLLABLES", ["a"] * 16)
+    texts = [f"Mr. {a}{b}x" for a in "BCDFG" for b in "abcde"]
+    got = [r.text for r in pii.replace_pii(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), spark).collect()]
+    assert len(set(got)) == len(texts) and all(re.fullmatch("Mr. Aaaa(-[0-9a-f]{32})?", g) for g in got)
