@@ -9,9 +9,12 @@ place. A text is thus a parse, a sequence of phrases, and the corpus a dictionar
 Parse: a trigger met once holds no repeat. A trigger that has one phrase only, met more than
 once, holds nothing else. Only where a trigger has several phrases does their content count: the
 suffixes of the dictionary's phrases are ranked to a depth of 200 bytes by prefix doubling, as in
-building a suffix array, and strings of equal rank are repeats. A trigger with very many phrases has its
-suffixes counted by digest instead, dealt over all tasks. Results go back from phrases to the texts
-that hold them.
+building a suffix array, and strings of equal rank are repeats. The phrases of a trigger that has more of them than
+one task should hold are dealt over all tasks string by string, which are grouped by their content. Results go back from
+phrases to the texts that hold them.
+
+The parse's suffix array and its combination with the dictionary's into corpus order are left out: every string of
+interest lies whole in one phrase, so the order of phrases decides nothing.
 """
 
 from __future__ import annotations
@@ -21,6 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,35 +36,17 @@ LENGTH = 200
 TRIGGER = 16
 #: String starts handled at a time; a longer text is parsed in parts, whose phrases end there.
 PART = 1 << 19
-#: Phrases of one trigger that one task compares in memory; with more, their strings are dealt out.
+#: Phrases of one trigger that one task compares in memory; the strings of more are dealt out. Both ways compare content.
 MOST_PHRASES = 16_000
 _BYTE = np.random.default_rng(20_240_229).integers(0, 1 << 64, 256, dtype=np.uint64)
-_BASE = 0x9E3779B97F4A7C15
-
-
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    up, down = np.full(n, _BASE, dtype=np.uint64), np.full(n, pow(_BASE, -1, 1 << 64), dtype=np.uint64)
-    up[0] = down[0] = 1
-    return np.cumprod(up), np.cumprod(down)
-
-
-_UP, _DOWN = _powers(1 << 12)
-
-
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The first ``n`` powers of the base and of its inverse, modulo 2^64."""
-    global _UP, _DOWN
-    if n > len(_UP):
-        _UP, _DOWN = _powers(1 << (n - 1).bit_length())
-    return _UP[:n], _DOWN[:n]
 
 
 def parse(raw: np.ndarray, length: int = LENGTH) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """Phrases of a text's bytes, part by part: trigger, print, first and last + 1 string start."""
     for low in range(0, max(0, len(raw) - length + 1), PART):
         b = raw[low : low + PART + length - 1]
-        g = code = _BYTE[b]
-        n, step = len(b), 1
+        g = _BYTE[b]
+        step = 1
         while step < TRIGGER:
             g = g[:-step] * np.uint64(0x9E3779B97F4A7C15 + 2 * step) + g[step:]
             step *= 2
@@ -76,11 +62,10 @@ def parse(raw: np.ndarray, length: int = LENGTH) -> Iterator[tuple[np.ndarray, n
         at = (m & low_bits).astype(np.int64)
         first = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
         last = np.append(first[1:], len(at))
-        up, down = powers(n)
-        total = np.concatenate((np.zeros(1, dtype=np.uint64), np.cumsum(code * up)))
-        end = last + length - 1
+        end, whole = last + length - 1, memoryview(b)
+        prints = np.fromiter((xxhash.xxh3_64_intdigest(whole[x:y], 20_240_229) for x, y in zip(first.tolist(), end.tolist(), strict=True)), dtype=np.uint64, count=len(first))
         # where the trigger stands in the phrase is part of the print
-        mark = mix((total[end] - total[first]) * down[first] ^ mix((end - first).astype(np.uint64) << np.uint64(20) | (at[first] - first).astype(np.uint64)))
+        mark = mix(prints ^ mix((end - first).astype(np.uint64) << np.uint64(20) | (at[first] - first).astype(np.uint64)))
         yield g[at[first]], mark, first + low, last + low
 
 
@@ -142,13 +127,13 @@ def open_phrases(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(trigger, mark, n, phrase) of the phrases whose trigger has several."""
     for b in batches:
         out, phrases, size = [], [], 0
-        for i, t in enumerate(b.column("text")):
+        for i, (t, copies) in enumerate(zip(b.column("text"), b.column("copies").to_pylist(), strict=True)):
             wanted = flat(b.column("many"), i)
             if not len(wanted):
                 continue
             raw = t.as_buffer().to_pybytes()
             k, mark, first, last, n = chosen(as_bytes(t), wanted)
-            out.append((k, mark, n))
+            out.append((k, mark, n * copies))
             got = [raw[x : y + LENGTH - 1] for x, y in zip(first.tolist(), last.tolist(), strict=True)]
             phrases += got
             size += sum(map(len, got))
@@ -231,12 +216,15 @@ def runs_batch(rows: list) -> pa.RecordBatch:
 
 
 def strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(trigger, mark, n, at, digest) of every string of a phrase."""
+    """(trigger, mark, n, at, string) of every string of a phrase."""
     for b in batches:
         for k, m, n, p in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3), strict=True):
             p = p.as_py()
-            got = [hashlib.blake2b(p[i : i + LENGTH], digest_size=16).digest() for i in range(len(p) - LENGTH + 1)]
-            yield pa.RecordBatch.from_arrays([pa.array([k] * len(got), pa.int64()), pa.array([m] * len(got), pa.int64()), pa.array([n] * len(got), pa.int64()), pa.array(range(len(got)), pa.int32()), pa.array(got, pa.binary())], ["trigger", "mark", "n", "at", "digest"])
+            got = [p[i : i + LENGTH] for i in range(len(p) - LENGTH + 1)]
+            for i in range(0, len(got), 50_000):
+                part = got[i : i + 50_000]
+                same = lambda v, n=len(part): pa.array(np.full(n, v, dtype=np.int64))
+                yield pa.RecordBatch.from_arrays([same(k), same(m), same(n), pa.array(np.arange(i, i + len(part), dtype=np.int32)), pa.array(part, pa.binary())], ["trigger", "mark", "n", "at", "string"])
 
 
 def key_of(trigger: np.ndarray, mark: np.ndarray) -> np.ndarray:
@@ -298,7 +286,7 @@ def finish_lean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def marked_texts(docs: DataFrame, spark: SparkSession) -> DataFrame:
-    """(d, h, text, whole, many) of the distinct texts that hold a repeated trigger: triggers with one phrase, phrases of the others."""
+    """(d, h, text, copies, whole, many) of the distinct texts that hold a repeated trigger: triggers with one phrase, phrases of the others."""
     met = docs.select("text").mapInArrow(triggers, "trigger long, mark long, n long").groupBy("trigger")
     met = met.agg(F.sum("n").alias("n"), F.min("mark").alias("a"), F.max("mark").alias("b")).where("n > 1")
     met = materialize(met.select("trigger", (F.col("a") != F.col("b")).alias("several")), spark)
@@ -315,7 +303,8 @@ def marked_texts(docs: DataFrame, spark: SparkSession) -> DataFrame:
 
     key = F.xxhash64("d", "h")
     hashed = docs.select("d", "h", "text", F.xxhash64(key).alias("h1"), F.xxhash64(key, F.lit(1)).alias("h2"))
-    return materialize(hashed.mapInArrow(likely, "d long, h long, text string").dropDuplicates(["d", "h"]).join(held, ["d", "h"]), spark)
+    found = hashed.mapInArrow(likely, "d long, h long, text string").groupBy("d", "h").agg(F.first("text").alias("text"), F.count(F.lit(1)).alias("copies"))
+    return materialize(found.join(held, ["d", "h"]), spark)
 
 
 def repeats_removed(docs: DataFrame, spark: SparkSession, with_kept: bool = True) -> DataFrame:
@@ -330,15 +319,16 @@ def repeats_removed(docs: DataFrame, spark: SparkSession, with_kept: bool = True
     docs = docs.select("doc_id", F.coalesce("doc_id", F.lit(0)).alias("d"), F.xxhash64("text").alias("h"), "text")
     texts = marked_texts(docs, spark)
 
-    opened = texts.select("text", F.transform("many", lambda x: x["trigger"]).alias("many")).where(F.size("many") > 0)
+    opened = texts.select("text", "copies", F.transform("many", lambda x: x["trigger"]).alias("many")).where(F.size("many") > 0)
     found = opened.mapInArrow(open_phrases, "trigger long, mark long, n long, phrase binary")
     phrases = materialize(found.groupBy("trigger", "mark", "phrase").agg(F.sum("n").alias("n")), spark)
     crowded = phrases.groupBy("trigger").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > MOST_PHRASES).select("trigger")
     few = phrases.join(crowded, "trigger", "left_anti").select("trigger", "mark", "n", "phrase")
     few = few.repartition(shuffle_width(spark), "trigger").sortWithinPartitions("trigger").mapInArrow(compare, "trigger long, mark long, runs array<int>")
-    dealt = phrases.join(crowded, "trigger", "left_semi").select("trigger", "mark", "n", "phrase").mapInArrow(strings, "trigger long, mark long, n long, at int, digest binary")
-    again = dealt.groupBy("digest").agg(F.sum("n").alias("c")).where("c > 1").select("digest")
-    many = dealt.join(again, "digest").groupBy("trigger", "mark").agg(F.flatten(F.collect_list(F.array(F.col("at"), F.col("at") + 1))).alias("runs"))
+    dealt = phrases.join(crowded, "trigger", "left_semi").select("trigger", "mark", "n", "phrase").mapInArrow(strings, "trigger long, mark long, n long, at int, string binary")
+    dealt = materialize(dealt, spark)
+    again = materialize(dealt.groupBy("string").agg(F.sum("n").alias("c")).where("c > 1").select("string"), spark)
+    many = dealt.join(again, "string").groupBy("trigger", "mark").agg(F.flatten(F.collect_list(F.array(F.col("at"), F.col("at") + 1))).alias("runs"))
     runs = materialize(few.union(many), spark)
     held = texts.select("d", "h", F.explode("many").alias("x")).select("x.trigger", "x.mark", "d", "h")
     partly = materialize(held.join(runs, ["trigger", "mark"]).groupBy("d", "h").agg(F.collect_list(F.struct("trigger", "mark", "runs")).alias("partly")), spark)

@@ -207,6 +207,17 @@ def test_suffix_dedup(spark, docs, texts, empty, odd, most, monkeypatch):
         assert sorted((r.doc_id or 0, r.n_removed) for r in rows) == [(0, 0), (0, 0), (1, 420), (1, 420)]
 
 
+def test_repeated_rows_beside_a_shared_trigger(spark):
+    """Rows that repeat id and text repeat each other also where another text shares a trigger in other surroundings."""
+    rng = random.Random(13)
+    base = "".join(rng.choice("abcdefghijklmnop") for _ in range(230))
+    rows = [(1, base), (1, base), (None, base[5:225]), (None, base[5:225]), (2, "x" + base[:120] + "y" * 120), (3, "z" * 90 + base[100:])]
+    rows += [(k, base[:200] + "".join(rng.choice("ab") for _ in range(30))) for k in range(4, 9)]
+    got = suffix_dedup.repeats_removed(spark.createDataFrame(rows, "doc_id long, text string"), spark).collect()
+    want = [(i or 0, int(gone.sum())) for (i, _), gone in zip(rows, brute_removed([t.encode() for _, t in rows], 200), strict=True)]
+    assert sorted((r.doc_id or 0, r.n_removed) for r in got) == sorted(want)
+
+
 def test_parse_parts(monkeypatch):
     """A text parsed in parts has each string in one phrase."""
     raw = np.frombuffer(np.random.default_rng(3).bytes(5000), dtype=np.uint8)
