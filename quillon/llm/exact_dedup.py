@@ -43,6 +43,7 @@ def with_verdicts(rows: DataFrame, docs: DataFrame, salts: int) -> DataFrame:
     of_digest = text_groups(docs, salts).groupBy("digest").agg(F.count(F.lit(1)).alias("texts"), F.min("keep_id").alias("keep_id"), F.max("group_size").alias("group_size"))
     of_digest = materialize(of_digest.where("texts > 1 OR group_size > 1"), spark)
     unlike = of_digest.where("texts > 1").select("digest")
+    of_digest = of_digest.hint("merge")  # grows with the corpus: one plan at every size, never a broadcast
     if unlike.isEmpty():
         return rows.drop("norm").join(of_digest.drop("texts"), "digest", "left")
     apart = rows.join(unlike, "digest", "left_semi")
