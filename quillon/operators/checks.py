@@ -54,12 +54,13 @@ def together(*reports: DataFrame) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b), reports)
 
 
-def results(df: DataFrame, expected: int, partial: bool = False) -> DataFrame:
-    """Retrieval results: row count, unique keys, no nulls, at most four items."""
+def results(df: DataFrame, expected: int | DataFrame, partial: bool = False) -> DataFrame:
+    """Retrieval results: row count (a number, or as many as a table has rows), unique keys, no nulls, at most four items."""
     columns_present(df, ["query_id", "question", "golden_answer", "retrieved_items", "retrieved_count"])
-    n = F.count(F.lit(1))
-    wrong = n.between(1, expected) if partial else n == expected
-    count = df.agg(F.lit("row_count").alias("check"), F.when(wrong, 0).otherwise(1).cast("long").alias("n_violations"))
+    n = df.agg(F.count(F.lit(1)).alias("n"))
+    n = n.withColumn("wanted", F.lit(expected)) if isinstance(expected, int) else n.crossJoin(expected.agg(F.count(F.lit(1)).alias("wanted")))  # one row each
+    right = F.col("n").between(F.lit(1), F.col("wanted")) if partial else F.col("n") == F.col("wanted")
+    count = n.select(F.lit("row_count").alias("check"), F.when(right, 0).otherwise(1).cast("long").alias("n_violations"))
     rows = conditions(df, null_key=F.col("query_id").isNull(), blank_question=T.is_blank(F.col("question")), null_answer=F.col("golden_answer").isNull(), too_many_items=F.size("retrieved_items") > 4, count_differs=F.size("retrieved_items") != F.col("retrieved_count"), error=F.coalesce("retrieval_error", F.lit("")) != "")
     return together(count, unique(df, ["query_id"]), rows)
 

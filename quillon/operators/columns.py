@@ -55,3 +55,8 @@ def sorted_by(df: DataFrame, keys: list[str]) -> DataFrame:
     """Sorted by those of the keys that the table has."""
     found = [k for k in keys if k in df.columns]
     return df.orderBy(*found) if found else df
+
+
+def role_swapped(df: DataFrame, target: str, answer: str = "golden_answer", evidence: str = "reference_evidence") -> DataFrame:
+    """What was the answer becomes the evidence, and ``target`` the answer."""
+    return df.withColumns({evidence: F.col(answer), answer: F.col(target)})

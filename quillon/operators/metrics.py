@@ -9,6 +9,11 @@ from quillon.functions import text as T
 from quillon.operators.ranking import cumulative
 
 
+def normalized_text(df: DataFrame) -> Column:
+    """The column ``norm`` of a table that has it, else its text, normalized."""
+    return F.col("norm") if "norm" in df.columns else T.normalized(F.col("text"))
+
+
 def count_if(c: Column) -> Column:
     return F.count(F.when(c, F.lit(1)))
 
@@ -46,9 +51,8 @@ def full_document(questions: DataFrame, documents: DataFrame, gold: str = "golde
     Inside a document the test is direct; for a gold answer over a border each document is cut to
     its two ends of the gold answer's length, so what is gathered for a question stays small.
     """
-    allowed = questions.select("query_id", F.posexplode("allowed_doc_ids").alias("ord", "doc_id"))
-    docs = documents.select(F.col("doc_id").cast("string").alias("doc_id"), T.normalized(F.col("text")).alias("norm"))
-    parts = allowed.join(docs, "doc_id").join(questions.select("query_id", T.normalized(F.col(gold)).alias("g")), "query_id")
+    allowed = questions.select("query_id", T.normalized(F.col(gold)).alias("g"), F.posexplode("allowed_doc_ids").alias("ord", "doc_id"))
+    parts = allowed.join(documents.select(F.col("doc_id").cast("string").alias("doc_id"), normalized_text(documents).alias("norm")), "doc_id")
     n = F.length("g")
     ends = F.when(F.length("norm") > 2 * n, F.concat(F.expr("left(norm, length(g))"), F.lit("\u0000"), F.expr("right(norm, length(g))"))).otherwise(F.col("norm"))
     found = parts.groupBy("query_id").agg(F.max(T.holds(F.col("g"), F.col("norm"))).alias("inside"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", ends.alias("t")))), lambda x: x["t"]), " ").alias("ends"), F.first("g").alias("g"))
@@ -64,6 +68,12 @@ def curve(flags: DataFrame, full: DataFrame, top_k: int = 4) -> DataFrame:
     return out.withColumns({f"share_{k}": F.try_divide(F.col(f"hits_{k}").cast("double"), F.col("n_ceiling")) for k in range(1, top_k + 1)})
 
 
+def presence_means(flags: DataFrame, *keys: str, top_k: int = 4) -> DataFrame:
+    """Per key: questions, and of each flag exact_k and relaxed_k that the table has the share that holds."""
+    names = [f"{kind}_{k}" for kind in ("exact", "relaxed") for k in range(1, top_k + 1) if f"{kind}_{k}" in flags.columns]
+    return flags.groupBy(*keys).agg(F.countDistinct("query_id").alias("n_questions"), *[F.avg(F.col(n).cast("int")).alias(f"mean_{n}") for n in names])
+
+
 def recall_hit(ranked: DataFrame, qrels: DataFrame, cutoffs: tuple[int, ...] = (1, 2, 3, 4)) -> DataFrame:
     """(arm, k, recall, hit, n_questions): macro means over the questions with relevant units; null without any.
 
@@ -87,8 +97,8 @@ def substring_qrels(questions: DataFrame, units: DataFrame, least_tokens: int =
     Units of fewer tokens count for nothing.
     """
     allowed = questions.select("query_id", "golden_answer", F.explode("allowed_doc_ids").alias("doc_id"))
-    u = units.select("unit_id", F.col("doc_id").cast("string").alias("doc_id"), "text", T.tokens(F.col("text")).alias("t")).where(F.size("t") >= least_tokens)
-    u = u.select("unit_id", "doc_id", "text", F.array_join("t", " ").alias("u"))
+    evidence = F.col("text") if "text" in units.columns else F.col("norm")
+    u = units.select("unit_id", F.col("doc_id").cast("string").alias("doc_id"), evidence.alias("text"), normalized_text(units).alias("u")).where((F.col("u") != "") & (F.size(F.split("u", " ")) >= least_tokens))
     a = allowed.select("query_id", "doc_id", T.normalized(F.col("golden_answer")).alias("g"))
     met = a.join(u, "doc_id").where(F.contains("u", "g") | F.contains("g", "u"))
     return met.select("query_id", "unit_id", "doc_id", F.lit(1).alias("relevance"), F.col("text").alias("evidence")).dropDuplicates(["query_id", "unit_id"])

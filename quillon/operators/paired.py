@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillon.functions.stats import sign_test
+from quillon.operators.checks import require
 from quillon.operators.metrics import count_if
 
 
@@ -16,6 +17,23 @@ def paired(long: DataFrame, a: str, b: str, value: str, *keys: str) -> DataFrame
     return both.where("_n = 2").drop("_n")
 
 
+def require_whole(long: DataFrame, a: str, b: str, *keys: str) -> None:
+    """Raises unless both arms have the same questions."""
+    both = long.where(F.col("arm").isin(a, b)).groupBy(*keys, "query_id").agg(F.countDistinct("arm").alias("arms"))
+    require(both.where("arms < 2").agg(F.lit("paired_keys").alias("check"), F.count(F.lit(1)).alias("n_violations")))
+
+
+def means(pairs: DataFrame, *keys: str) -> DataFrame:
+    """Means of both arms, booleans as 0 and 1, and their difference."""
+    a, b = (F.col(x).cast("double") for x in "ab")
+    return pairs.select(*keys, a.alias("a"), b.alias("b")).groupBy(*keys).agg(F.avg("a").alias("a_mean"), F.avg("b").alias("b_mean"), F.avg(F.col("a") - F.col("b")).alias("difference"))
+
+
+def histograms(pairs: DataFrame, *keys: str) -> DataFrame:
+    """How often each arm has each score 1..5."""
+    return pairs.groupBy(*keys).agg(*[count_if(F.col(x) == k).alias(f"{x}_score_{k}") for x in "ab" for k in range(1, 6)])
+
+
 def contingency(pairs: DataFrame, *keys: str) -> DataFrame:
     """Of two booleans: both, only one, neither, and the exact sign test of the discordant pairs."""
     a, b = F.col("a"), F.col("b")

@@ -5,14 +5,26 @@ Tables: ``units(unit_id, doc_id, text, ...)``, ``questions(query_id, question, a
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillon.functions import text as T
 
 
+def worded(units: DataFrame) -> DataFrame:
+    """``units`` with the normalized text ``norm`` and its ``length`` in tokens in place of the text, to be written and read often."""
+    df = units.withColumn("tokens", T.tokens(F.col("text")))
+    return df.select(*[c for c in units.columns if c != "text"], F.array_join("tokens", " ").alias("norm"), F.size("tokens").alias("length"))
+
+
+def tokens_of(norm: Column) -> Column:
+    return F.when(norm == "", F.array().cast("array<string>")).otherwise(F.split(norm, " ", -1))
+
+
 def tokenized(units: DataFrame) -> DataFrame:
-    """(unit_id, doc_id, tokens, length): what ranking needs, text left behind."""
+    """(unit_id, doc_id, tokens, length) of units with text, or of those of ``worded``: what ranking needs, text left behind."""
+    if "norm" in units.columns:
+        return units.select("unit_id", F.col("doc_id").cast("string").alias("doc_id"), tokens_of(F.col("norm")).alias("tokens"), "length")
     df = units.select("unit_id", F.col("doc_id").cast("string").alias("doc_id"), T.tokens(F.col("text")).alias("tokens"))
     return df.withColumn("length", F.size("tokens"))
 
@@ -33,16 +45,21 @@ def term_frequency(tokenized_units: DataFrame) -> DataFrame:
 
 
 def bm25(questions: DataFrame, units: DataFrame, top_k: int = 4, k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """The best ``top_k`` allowed units of each question: (query_id, rank, unit_id, doc_id, score).
+    """The best ``top_k`` allowed units of each question: (query_id, rank, unit_id, doc_id, score)."""
+    return bm25_arms(questions, units, {"bm25": b}, top_k, k1).drop("arm")
+
+
+def bm25_arms(questions: DataFrame, units: DataFrame, arms: dict[str, float], top_k: int = 4, k1: float = 1.2) -> DataFrame:
+    """The best ``top_k`` allowed units of each question and arm, an arm being a b: (query_id, arm, rank, unit_id, doc_id, score).
 
     Statistics are over all units, candidates only those of allowed documents. A query's tokens
     count once. idf is floored at 0, so a term of more than half of the units adds
     nothing. Units without a match have score 0 and fill up; equal scores (to nine
     digits) go by unit_id. A question that allows nothing has no row.
 
-    The postings are cut down to the questions' vocabulary before anything is joined, and candidates
-    carry ids and lengths only. The vocabulary, the frequencies of its tokens and the single row of statistics are
-    what Spark may broadcast, by its own size checks.
+    The postings are cut down to the questions' vocabulary before anything is joined, those with idf 0 go, and candidates
+    carry ids and lengths only. All arms share the postings and the joins. Units of ``worded`` aren't tokenized again. The
+    vocabulary, the frequencies of its tokens and the single row of statistics are what Spark may broadcast, by its own size checks.
     """
     words = tokenized(units)
     asked = questions.select("query_id", F.explode(F.array_distinct(T.tokens(F.col("question")))).alias("token"))
@@ -51,15 +68,17 @@ def bm25(questions: DataFrame, units: DataFrame, top_k: int = 4, k1: float = 1.2
     met = words.select("unit_id", "doc_id", "length", F.explode("tokens").alias("token")).join(vocabulary, "token", "left_semi")
     postings = met.groupBy("token", "unit_id", "doc_id", "length").agg(F.count(F.lit(1)).alias("tf"))
     idf = postings.groupBy("token").agg(F.count(F.lit(1)).alias("df")).crossJoin(F.broadcast(stats))  # one row
-    idf = idf.select("token", "avgdl", F.greatest(F.log((F.col("n_units") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(0.0)).alias("idf"))
-    norm = F.col("tf") + k1 * (1 - b + b * F.col("length") / F.col("avgdl"))
-    weighed = postings.join(idf, "token").select("token", "unit_id", "doc_id", (F.col("idf") * F.col("tf") * (k1 + 1) / norm).alias("w"))
+    idf = idf.select("token", "avgdl", F.greatest(F.log((F.col("n_units") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(0.0)).alias("idf")).where("idf > 0")
+    norm = lambda b: F.col("tf") + k1 * (1 - b + b * F.col("length") / F.col("avgdl"))
+    weighed = postings.join(idf, "token").select("token", "unit_id", "doc_id", *[(F.col("idf") * F.col("tf") * (k1 + 1) / norm(b)).alias(f"w{i}") for i, b in enumerate(arms.values())])
     allowed = questions.select("query_id", F.explode("allowed_doc_ids").alias("doc_id")).select("query_id", F.col("doc_id").cast("string").alias("doc_id")).distinct()
-    hits = asked.join(allowed, "query_id").join(weighed, ["token", "doc_id"]).groupBy("query_id", "unit_id").agg(F.sum("w").alias("score"))
+    hits = asked.join(allowed, "query_id").join(weighed, ["token", "doc_id"]).groupBy("query_id", "unit_id").agg(*[F.sum(f"w{i}").alias(f"s{i}") for i in range(len(arms))])
     candidates = allowed.join(words.select("unit_id", "doc_id"), "doc_id")
-    scored = candidates.join(hits, ["query_id", "unit_id"], "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
-    order = Window.partitionBy("query_id").orderBy(F.round("score", 9).desc(), "unit_id")
-    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top_k).select("query_id", "rank", "unit_id", "doc_id", "score")
+    scored = candidates.join(hits, ["query_id", "unit_id"], "left")
+    each = F.explode(F.array(*[F.struct(F.lit(arm).alias("arm"), F.coalesce(f"s{i}", F.lit(0.0)).alias("score")) for i, arm in enumerate(arms)])).alias("x")
+    scored = scored.select("query_id", "unit_id", "doc_id", each).select("query_id", "x.arm", "unit_id", "doc_id", "x.score")
+    order = Window.partitionBy("query_id", "arm").orderBy(F.round("score", 9).desc(), "unit_id")
+    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top_k).select("query_id", "arm", "rank", "unit_id", "doc_id", "score")
 
 
 def with_text(ranked: DataFrame, units: DataFrame) -> DataFrame:

@@ -20,7 +20,8 @@ def expand(anchors: DataFrame, sentences: DataFrame, radius: int = 2) -> DataFra
     join needs no comparison of neighbours.
     """
     place = Window.partitionBy("doc_id").orderBy("sentence_ordinal")
-    lines = sentences.withColumn("position", F.row_number().over(place))
+    # only documents with an anchor are put in order
+    lines = sentences.join(anchors.select("doc_id").distinct(), "doc_id", "left_semi").withColumn("position", F.row_number().over(place))
     at = anchors.join(lines.select("doc_id", "paragraph_idx", "sentence_idx", "position"), ["doc_id", "paragraph_idx", "sentence_idx"])
     near = at.select("query_id", "rank", "doc_id", F.explode(F.sequence(F.col("position") - radius, F.col("position") + radius)).alias("position"))
     out = near.join(lines.select("doc_id", "position", "text"), ["doc_id", "position"])

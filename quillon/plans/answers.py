@@ -8,7 +8,9 @@ job's; a blank context is answered without a call.
 from __future__ import annotations
 
 import hashlib
+import json
 import random
+import re
 import time
 from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
@@ -21,9 +23,15 @@ from pyspark.sql import functions as F
 from quillon.functions import text as T
 from quillon.operators import assemble
 
-REFUSAL = "The context does not answer the question."
-GENERATION = "query_id string, arm string, model string, prompt_version string, content_sha256 string, generated_answer string, generation_error string, input_tokens long, output_tokens long, generation_sha256 string"
-JUDGMENT = "query_id string, arm string, judge_model string, judge_mode string, generation_sha256 string, verdict string, score int, reason string, judge_error string, judge_fallback string, judge_total_tokens long"
+# fixed values
+REFUSAL = "Cannot be determined from the supplied context."
+FAILED = "Answer generation failed."
+FILTERED = "content_filter_score_excluded"
+NO_REASON = "No reason returned."
+#: How often a judge is asked for an object of the right form.
+ASKS = 4
+GENERATION = "query_id string, arm string, model string, prompt_version string, content_sha256 string, generated_answer string, generation_error string, input_tokens long, output_tokens long, generation_sha256 string, response_id string, total_tokens long, response_model string, response_provider string, retrieval_context_sha256 string"
+JUDGMENT = "query_id string, arm string, judge_model string, judge_mode string, generation_sha256 string, verdict string, score int, reason string, judge_error string, judge_fallback string, judge_total_tokens long, judge_response_id string, judge_input_tokens long, judge_output_tokens long, judge_response_model string, judge_response_provider string"
 
 
 class Transient(RuntimeError):
@@ -39,6 +47,10 @@ class Reply:
     text: str
     input_tokens: int = 0
     output_tokens: int = 0
+    total_tokens: int | None = None
+    response_id: str = ""
+    model: str = ""
+    provider: str = ""
 
 
 def retried(call: Callable[[], Reply], attempts: int = 8, base: float = 1.0, cap: float = 60.0, sleep: Callable[[float], None] = time.sleep) -> Reply:
@@ -54,8 +66,8 @@ def retried(call: Callable[[], Reply], attempts: int = 8, base: float = 1.0, cap
 
 
 def reply_text(content: str | list) -> str:
-    """The text of a completion, be it a string or a list of parts."""
-    return content if isinstance(content, str) else "".join(p if isinstance(p, str) else p.get("text", "") for p in content or [])
+    """The text of a completion, be it a string or a list of parts, without white space around it."""
+    return (content if isinstance(content, str) else "".join(p if isinstance(p, str) else p.get("text", "") for p in content or [])).strip()
 
 
 def stub_writer(prompt: str) -> Reply:
@@ -66,93 +78,141 @@ def stub_writer(prompt: str) -> Reply:
 
 
 def stub_judge(prompt: str) -> Reply:
-    """A JSON verdict by the prompt's hash, fenced as models like to."""
+    """A JSON judgment of the kind asked for by the prompt's hash, fenced as models like to."""
     n = int(hashlib.sha256(prompt.encode()).hexdigest()[:8], 16)
-    return Reply(f'```json\n{{"verdict": "{"CORRECT" if n % 2 else "INCORRECT"}", "score": {n % 5 + 1}, "reason": "stub"}}\n```', len(prompt.split()), 8)
+    first = f'"score": {n % 5 + 1}' if "score and reason" in prompt.split("\n", 1)[0] else f'"verdict": "{"CORRECT" if n % 2 else "INCORRECT"}"'
+    return Reply(f'```json\n{{{first}, "reason": "stub"}}\n```', len(prompt.split()), 8)
 
 
 def prompt(context: Column, question: Column) -> Column:
     return F.concat(F.lit("Answer from the context alone.\n\nContext:\n"), context, F.lit("\n\nQuestion: "), question)
 
 
-def judge_prompt(question: Column, gold: Column, answer: Column) -> Column:
-    return F.concat(F.lit("Compare the answer with the reference. Reply with a JSON object of verdict, score and reason.\n\nQuestion: "), question, F.lit("\nReference: "), gold, F.lit("\nAnswer: "), answer)
+def judge_prompt(question: Column, gold: Column, answer: Column, mode: str = "binary") -> Column:
+    asked = {"binary": "verdict and reason", "boolean": "correct"}.get(mode, "score and reason")
+    return F.concat(F.lit(f"Compare the answer with the reference. Reply with a JSON object of {asked}.\n\nQuestion: "), question, F.lit("\nReference: "), gold, F.lit("\nAnswer: "), answer)
 
 
-def called(df: DataFrame, adapter: Callable[[str], Reply], column: str = "prompt", attempts: int = 8) -> DataFrame:
-    """``df`` with reply, reply_error, input_tokens and output_tokens; rows whose prompt is null aren't sent."""
+def is_judgment(reply: str, mode: str, lenient: bool = False) -> bool:
+    """Whether a reply holds an object of the mode: its keys and no others, values in their domain."""
+    found = re.search(r"\{.*\}", reply or "", re.DOTALL)
+    try:
+        body = json.loads(found.group()) if found else None
+    except ValueError:
+        return False
+    if not isinstance(body, dict):
+        return False
+    if mode == "boolean":
+        return set(body) == {"correct"} and isinstance(body["correct"], bool)
+    value = body.get("verdict" if mode == "binary" else "score")
+    sound = value in ("CORRECT", "INCORRECT") if mode == "binary" else not isinstance(value, bool) and str(value) in ("1", "2", "3", "4", "5")
+    return sound and (lenient or set(body) == {"verdict" if mode == "binary" else "score", "reason"} and isinstance(body["reason"], str))
+
+
+def called(df: DataFrame, adapter: Callable[[str], Reply], column: str = "prompt", attempts: int = 8, valid: Callable[[str], bool] | None = None) -> DataFrame:
+    """``df`` with what a Reply holds and reply_error; rows whose prompt is null aren't sent.
+
+    A reply that isn't ``valid`` is asked for again, ASKS times in all; the last one is given as it is.
+    """
     names = df.columns
+    extra_kinds = "reply string, reply_error string, input_tokens long, output_tokens long, total_tokens long, response_id string, response_model string, response_provider string"
+    extra_names = [x.split()[0] for x in extra_kinds.split(", ")]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         def one(p: str | None) -> tuple:
             if p is None:
-                return None, "", 0, 0
+                return None, "", 0, 0, 0, "", "", ""
             try:
                 got = retried(lambda: adapter(p), attempts)
-                return got.text, "", got.input_tokens, got.output_tokens
+                for i in range(ASKS - 1 if valid else 0):
+                    if valid(got.text):
+                        break
+                    time.sleep(0.25 * (i + 1))
+                    got = retried(lambda: adapter(p), attempts)
+                total = got.input_tokens + got.output_tokens if got.total_tokens is None else got.total_tokens
+                return got.text, "", got.input_tokens, got.output_tokens, total, got.response_id, got.model, got.provider
             except Exception as e:  # a row's failure is data
-                return None, f"{type(e).__name__}: {e}"[:500], 0, 0
+                return None, f"{type(e).__name__}: {e}"[:500], 0, 0, 0, "", "", ""
 
         with ThreadPoolExecutor(8) as pool:
             for pdf in batches:
                 got = list(pool.map(one, [None if pd.isna(p) else p for p in pdf[column]]))
-                extra = pd.DataFrame(got, columns=["reply", "reply_error", "input_tokens", "output_tokens"], index=pdf.index)
-                yield pd.concat([pdf[names], extra], axis=1)
+                yield pd.concat([pdf[names], pd.DataFrame(got, columns=extra_names, index=pdf.index)], axis=1)
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
-    return df.mapInPandas(run, f"{kinds}, reply string, reply_error string, input_tokens long, output_tokens long")
+    return df.mapInPandas(run, f"{kinds}, {extra_kinds}")
 
 
 def generated(work: DataFrame, adapter: Callable[[str], Reply], model: str, prompt_version: str) -> DataFrame:
-    """Answers for ``work(query_id, arm, question, context)``, as GENERATION."""
+    """Answers for ``work(query_id, arm, question, context)``, as GENERATION.
+
+    A blank context is answered without a call. An empty reply is an error; errors are the name of the exception's type.
+    """
     blank = T.is_blank(F.col("context"))
-    sent = work.select("query_id", "arm", T.sha256(F.concat_ws("\n", "question", "context")).alias("content_sha256"), F.when(~blank, prompt(F.col("context"), F.col("question"))).alias("prompt"))
+    sent = work.select("query_id", "arm", T.sha256(F.concat_ws("\n", "question", "context")).alias("content_sha256"), T.sha256(F.col("context")).alias("retrieval_context_sha256"), F.when(~blank, prompt(F.col("context"), F.col("question"))).alias("prompt"))
     out = called(sent, adapter)
-    answer = F.when(F.col("prompt").isNull(), F.lit(REFUSAL)).otherwise(F.coalesce("reply", F.lit("")))
-    return out.select("query_id", "arm", F.lit(model).alias("model"), F.lit(prompt_version).alias("prompt_version"), "content_sha256", answer.alias("generated_answer"), F.col("reply_error").alias("generation_error"), "input_tokens", "output_tokens", T.sha256(answer).alias("generation_sha256"))
+    answer = F.when(F.col("prompt").isNull(), F.lit(REFUSAL)).otherwise(T.stripped(F.coalesce("reply", F.lit(""))))
+    error = F.when(F.col("reply_error") != "", F.substring_index("reply_error", ":", 1)).when(answer == "", "ValueError").otherwise("")
+    return out.withColumn("answer", answer).withColumn("error", error).select(
+        "query_id", "arm", F.lit(model).alias("model"), F.lit(prompt_version).alias("prompt_version"), "content_sha256", F.col("answer").alias("generated_answer"), F.col("error").alias("generation_error"), "input_tokens", "output_tokens",
+        T.sha256(F.concat_ws("\n", "answer", "error")).alias("generation_sha256"), "response_id", "total_tokens", "response_model", "response_provider", "retrieval_context_sha256",
+    )
 
 
 def judgment_fields(reply: Column, mode: str) -> dict[str, Column]:
-    """verdict, score, reason and what is wrong with a reply: the object's keys are closed and its values in their domain."""
+    """verdict, score, reason and what is wrong with a reply: the object's keys are those of the mode and its values in their domain."""
     body = T.json_object(reply)
-    keys = F.json_object_keys(body)
-    verdict, score = F.get_json_object(body, "$.verdict"), F.get_json_object(body, "$.score").try_cast("int")
-    closed = F.size(F.array_except(keys, F.array(*map(F.lit, ("verdict", "score", "reason"))))) == 0
-    sound = closed & (verdict.isin("CORRECT", "INCORRECT") if mode == "binary" else score.between(1, 5))
+    verdict, score, reason = F.get_json_object(body, "$.verdict"), F.get_json_object(body, "$.score").try_cast("int"), F.get_json_object(body, "$.reason")
+    closed = F.array_sort(F.json_object_keys(body)) == F.array(*map(F.lit, sorted(("verdict" if mode == "binary" else "score", "reason"))))
+    sound = closed & reason.isNotNull() & (verdict.isin("CORRECT", "INCORRECT") if mode == "binary" else score.between(1, 5))
     return {
         "verdict": F.when(F.lit(mode == "binary") & sound, verdict).otherwise(F.lit("")),
         "score": F.when(F.lit(mode != "binary") & sound, score).cast("int"),
-        "reason": F.coalesce(F.get_json_object(body, "$.reason"), F.lit("")),
+        "reason": F.coalesce(reason, F.lit("")),
         "wrong": F.when(body.isNull(), "no object").when(~F.coalesce(sound, F.lit(False)), "invalid object").otherwise(""),
     }
 
 
 def repaired(reply: Column) -> Column:
-    """A lenient reading: the score and the first string there is as the reason, as an object again."""
+    """A lenient reading of a score: its reason, or else the first other text there is, as an object again."""
     body = T.json_object(reply)
-    values = F.map_values(F.from_json(body, "map<string,string>"))
-    reason = F.get(F.filter(values, lambda v: v.try_cast("double").isNull()), F.lit(0))
+    others = F.map_filter(F.from_json(body, "map<string,string>"), lambda k, v: (k != "score") & v.try_cast("double").isNull())
+    reason = F.coalesce(F.get_json_object(body, "$.reason"), F.get(F.map_values(others), F.lit(0)), F.lit(NO_REASON))
     return F.to_json(F.struct(F.get_json_object(body, "$.score").alias("score"), reason.alias("reason")))
 
 
 def judged(work: DataFrame, adapter: Callable[[str], Reply], model: str, mode: str = "binary", lenient: bool = False) -> DataFrame:
     """Judgments of ``work(query_id, arm, question, golden_answer, generated_answer, generation_error, generation_sha256)``.
 
-    A row whose generation failed isn't sent. A refusal gives no score and a fallback tag.
+    A row whose generation failed isn't sent. A refusal gives no score and a fallback tag; both count as INCORRECT
+    where the mode is binary. Replies of another form are asked for again.
     """
     failed = F.coalesce("generation_error", F.lit("")) != ""
-    sent = work.select("query_id", "arm", "generation_sha256", failed.alias("failed"), F.when(~failed, judge_prompt(F.col("question"), F.col("golden_answer"), F.col("generated_answer"))).alias("prompt"))
-    out = called(sent, adapter)
-    reply = repaired(F.col("reply")) if lenient else F.col("reply")
-    x = judgment_fields(reply, mode)
+    sent = work.select("query_id", "arm", "generation_sha256", failed.alias("failed"), F.when(~failed, judge_prompt(F.col("question"), F.col("golden_answer"), F.col("generated_answer"), mode)).alias("prompt"))
+    out = called(sent, adapter, valid=lambda reply: is_judgment(reply, mode, lenient))
+    lenient = lenient and mode != "binary"
+    x = judgment_fields(repaired(F.col("reply")) if lenient else F.col("reply"), mode)
     refused = F.col("reply_error").startswith("Refused")
-    error = F.when(F.col("failed"), "generation error").when(refused, "").when(F.col("reply_error") != "", F.col("reply_error")).otherwise(x["wrong"])
+    error = F.when(F.col("failed"), "generation_error").when(refused, "").when(F.col("reply_error") != "", F.col("reply_error")).otherwise(x["wrong"])
+    wrong = F.lit("INCORRECT" if mode == "binary" else "")
     return out.select(
-        "query_id", "arm", F.lit(model).alias("judge_model"), F.lit(mode).alias("judge_mode"), "generation_sha256", F.coalesce(x["verdict"], F.lit("")).alias("verdict"), x["score"].alias("score"), F.coalesce(x["reason"], F.lit("")).alias("reason"),
-        F.coalesce(error, F.lit("no object")).alias("judge_error"), F.when(refused, "content_filter").otherwise("").alias("judge_fallback"), (F.col("input_tokens") + F.col("output_tokens")).alias("judge_total_tokens"),
+        "query_id", "arm", F.lit(model).alias("judge_model"), F.lit(mode).alias("judge_mode"), "generation_sha256", F.when(F.col("failed") | refused, wrong).otherwise(F.coalesce(x["verdict"], F.lit(""))).alias("verdict"), x["score"].alias("score"),
+        F.when(F.col("failed"), FAILED).when(refused, "The judge's content filter gave no result.").otherwise(F.coalesce(x["reason"], F.lit(""))).alias("reason"),
+        F.coalesce(error, F.lit("no object")).alias("judge_error"), F.when(refused, FILTERED).otherwise("").alias("judge_fallback"), F.col("total_tokens").alias("judge_total_tokens"),
+        F.col("response_id").alias("judge_response_id"), F.col("input_tokens").alias("judge_input_tokens"), F.col("output_tokens").alias("judge_output_tokens"), F.col("response_model").alias("judge_response_model"), F.col("response_provider").alias("judge_response_provider"),
     )
 
 
+def judged_boolean(work: DataFrame, adapter: Callable[[str], Reply], model: str) -> DataFrame:
+    """query_id, arm, judge_model, judge_correct (false where the judge failed), judge_error, judge_total_tokens of ``work(query_id, arm, question, golden_answer, generated_answer)``."""
+    out = called(work.select("query_id", "arm", judge_prompt(F.col("question"), F.col("golden_answer"), F.col("generated_answer"), "boolean").alias("prompt")), adapter)
+    body = T.json_object(F.col("reply"))
+    right = F.get_json_object(body, "$.correct")
+    sound = F.coalesce((F.json_object_keys(body) == F.array(F.lit("correct"))) & right.isin("true", "false"), F.lit(False))
+    error = F.when(F.col("reply_error") != "", F.substring_index("reply_error", ":", 1)).when(sound, "").otherwise("ValueError")
+    return out.select("query_id", "arm", F.lit(model).alias("judge_model"), (sound & (right == "true")).alias("judge_correct"), error.alias("judge_error"), F.col("total_tokens").alias("judge_total_tokens"))
+
+
 def labelled(generations: DataFrame, labels: tuple[str, ...] = ("Entailment", "Contradiction")) -> DataFrame:
     """Label parse and correctness of generations that come with a golden_answer."""
     label = T.leading_label(F.col("generated_answer"), labels)

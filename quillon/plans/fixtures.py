@@ -3,20 +3,35 @@
 ``benchmark`` passages are the questions and their own gold answers; a question allows the documents of one
 source and those that hold its passage. Two BM25 arms and judgments derived from them
 stand for retrieval runs and judges.
+
+Texts are tokenized once a session: the normalized units, the questions, the rankings and the nested results are
+written tables that all queries read.
 """
 
 from __future__ import annotations
 
+import functools
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillon.functions import text as T
 from quillon.operators import metrics, ranking
+from quillon.sources import scratch
 from quillon.sources.tables import table
 
 ARMS = {"bm25": 0.75, "bm25_flat": 0.0}
 
 
+def once(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    @functools.wraps(f)
+    def read(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return scratch.written(spark, (f.__module__, f.__name__, sf_dir), lambda: f(spark, sf_dir))
+
+    return read
+
+
 def units_document(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
     return docs.select(F.lit("document").alias("retrieval_level"), F.col("doc_id").cast("string").alias("doc_id"), F.col("doc_id").cast("string").alias("unit_id"), "text")
@@ -28,6 +43,19 @@ def units_paragraph(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.select(F.lit("paragraph").alias("retrieval_level"), "doc_id", "paragraph_idx", T.compound_id(F.col("doc_id"), F.col("paragraph_idx")).alias("unit_id"), "text")
 
 
+@once
+def words_document(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(unit_id, doc_id, source, norm, length) of the documents as units."""
+    docs = table(spark, sf_dir, "documents", "doc_id", "text", "source")
+    return ranking.worded(docs.select(F.col("doc_id").cast("string").alias("unit_id"), F.col("doc_id").cast("string").alias("doc_id"), "source", "text"))
+
+
+@once
+def words_paragraph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(unit_id, doc_id, paragraph_idx, norm, length) of the paragraphs as units."""
+    return ranking.worded(units_paragraph(spark, sf_dir).select("unit_id", "doc_id", "paragraph_idx", "text"))
+
+
 def sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     order = Window.partitionBy("doc_id").orderBy("paragraph_idx")
     return units_paragraph(spark, sf_dir).select("doc_id", (F.row_number().over(order) - 1).alias("sentence_ordinal"), "paragraph_idx", F.lit(0).alias("sentence_idx"), "text")
@@ -39,38 +67,62 @@ def passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return items.select(T.padded_id(F.lit("bench"), F.col("item_id")).alias("query_id"), F.when(F.col("item_id") % 10 < 7, "dev").otherwise("test").alias("split"), F.col("item_id").alias("source_row"), F.col("text").alias("question"), F.col("text").alias("golden_answer"), F.lit("bench").alias("dataset"))
 
 
+@once
 def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The passages, with the allowed documents in the order of their ids as text.
 
     Documents that hold a passage share its first four tokens in a row, which an equal join finds.
     """
     q = passages(spark, sf_dir).withColumn("t", T.tokens(F.col("question")))
-    docs = table(spark, sf_dir, "documents", "doc_id", "text", "source").select(F.col("doc_id").cast("string").alias("doc_id"), "source", T.tokens(F.col("text")).alias("d"))
+    docs = words_document(spark, sf_dir)
     bucket = q.select("query_id", F.concat(F.lit("src"), F.col("source_row") % 20).alias("source")).join(docs.select("doc_id", "source"), "source").select("query_id", "doc_id")
     first = q.where(F.size("t") >= 4).select("query_id", F.array_join(F.slice("t", 1, 4), " ").alias("gram"), F.array_join("t", " ").alias("g"))
+    d = docs.where("length >= 4").select("doc_id", "norm", ranking.tokens_of(F.col("norm")).alias("d"))
     grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("d") - 3), lambda i: F.concat_ws(" ", F.get("d", i - 1), F.get("d", i), F.get("d", i + 1), F.get("d", i + 2))))
-    near = docs.where(F.size("d") >= 4).select("doc_id", F.explode(grams).alias("gram")).join(first, "gram").select("query_id", "g", "doc_id")
-    held = near.join(docs.select("doc_id", F.array_join("d", " ").alias("norm")), "doc_id")
+    near = d.select("doc_id", F.explode(grams).alias("gram")).join(first, "gram").select("query_id", "g", "doc_id")
+    held = near.join(docs.select("doc_id", "norm"), "doc_id")
     held = held.where(F.contains(F.concat(F.lit(" "), "norm", F.lit(" ")), F.concat(F.lit(" "), "g", F.lit(" ")))).select("query_id", "doc_id")
     allowed = bucket.union(held).groupBy("query_id").agg(F.array_sort(F.collect_set("doc_id")).alias("allowed_doc_ids"))
     return q.drop("t").join(allowed, "query_id", "left").withColumn("allowed_doc_ids", F.coalesce("allowed_doc_ids", F.array().cast("array<string>")))
 
 
-def ranked(spark: SparkSession, sf_dir: str, b: float = 0.75) -> DataFrame:
-    return ranking.bm25(questions(spark, sf_dir), units_document(spark, sf_dir), b=b)
+@once
+def rankings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(query_id, arm, rank, unit_id, doc_id, score) of both arms, from one set of postings."""
+    return ranking.bm25_arms(questions(spark, sf_dir), words_document(spark, sf_dir), ARMS)
+
+
+def ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rankings(spark, sf_dir).where("arm = 'bm25'").drop("arm")
+
+
+@once
+def paragraphs_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best paragraphs of each question's best document."""
+    top = ranked(spark, sf_dir).where("rank = 1").select("query_id", F.array("doc_id").alias("allowed_doc_ids"))
+    return ranking.bm25(passages(spark, sf_dir).join(top, "query_id"), words_paragraph(spark, sf_dir))
+
+
+@once
+def all_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    q, top = questions(spark, sf_dir), ranking.with_text(rankings(spark, sf_dir), units_document(spark, sf_dir))
+    parts = [ranking.nested(q, top.where(F.col("arm") == arm).drop("arm"), arm, bm25_k1=1.2, bm25_b=b, top_k=4) for arm, b in ARMS.items()]
+    return parts[0].unionByName(parts[1])
 
 
 def results(spark: SparkSession, sf_dir: str, *arms: str) -> DataFrame:
     """One row per question and arm with nested items."""
-    q, units, out = questions(spark, sf_dir), units_document(spark, sf_dir), None
-    for arm in arms or tuple(ARMS):
-        part = ranking.nested(q, ranking.with_text(ranking.bm25(q, units, b=ARMS[arm]), units), arm, bm25_k1=1.2, bm25_b=ARMS[arm], top_k=4)
-        out = part if out is None else out.unionByName(part)
-    return out
+    out = all_results(spark, sf_dir)
+    return out.where(F.col("arm").isin(*arms)) if arms else out
+
 
+@once
+def all_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metrics.containment(results(spark, sf_dir)).select("query_id", "arm", "source_row", "split", *[f"exact_{k}" for k in range(1, 5)])
 
-def flags(spark: SparkSession, sf_dir: str, *arms: str) -> DataFrame:
-    return metrics.containment(results(spark, sf_dir, *arms)).select("query_id", "arm", "source_row", "split", *[f"exact_{k}" for k in range(1, 5)])
+
+def flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return all_flags(spark, sf_dir)
 
 
 def judgments(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -86,9 +138,6 @@ def judgments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The four best paragraphs of each question's best document; questions with fewer are left out."""
-    top = ranked(spark, sf_dir).where("rank = 1").select("query_id", F.array("doc_id").alias("allowed_doc_ids"))
-    q = passages(spark, sf_dir).join(top, "query_id")
-    units = units_paragraph(spark, sf_dir)
-    best = ranking.bm25(q, units).join(units.select("unit_id", "paragraph_idx"), "unit_id")
+    best = paragraphs_ranked(spark, sf_dir).join(words_paragraph(spark, sf_dir).select("unit_id", "paragraph_idx"), "unit_id")
     whole = best.groupBy("query_id").agg(F.count(F.lit(1)).alias("n")).where("n = 4")
     return best.join(whole, "query_id", "left_semi").select("query_id", "rank", "doc_id", "paragraph_idx", F.lit(0).alias("sentence_idx"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -53,7 +54,7 @@ def retrieve_external(questions: DataFrame, search: Callable[[str], answers.Repl
     got = answers.called(questions.withColumn("prompt", request), search)
     items = F.from_json("reply", f"array<{tables.EXCERPT}>")
     out = got.withColumn("retrieved_items", F.coalesce(items, F.array().cast(f"array<{tables.EXCERPT}>"))).withColumn("arm", F.lit(arm)).withColumnRenamed("reply_error", "retrieval_error")
-    return out.withColumn("retrieved_count", F.size("retrieved_items").cast("long")).drop("prompt", "reply", "input_tokens", "output_tokens")
+    return out.withColumn("retrieved_count", F.size("retrieved_items").cast("long")).drop("prompt", "reply", "input_tokens", "output_tokens", "total_tokens", "response_id", "response_model", "response_provider")
 
 
 def import_neural(spark: SparkSession, path: str, members: dict[str, str], columns: dict[str, str], order: str, dataset: str = "dataset") -> DataFrame:
@@ -99,10 +100,15 @@ def generate(spark: SparkSession, work: DataFrame, adapter, model: str, prompt_v
     return out
 
 
-def judge(work: DataFrame, generations: DataFrame, adapter, model: str, mode: str = "binary", lenient: bool = False, failed_as_one: bool = False) -> tuple[DataFrame, DataFrame]:
-    """Judgments of generations and their summary by arm."""
+def judge(work: DataFrame, generations: DataFrame, adapter, model: str, mode: str = "binary", lenient: bool = False, failed_as_one: bool = False, checkpoint: str | None = None, batches: int = 4) -> tuple[DataFrame, DataFrame]:
+    """Judgments of generations and their summary by arm; with a ``checkpoint`` only rows without a sound judgment are sent."""
     rows = work.select("query_id", "arm", "question", "golden_answer").join(generations.select("query_id", "arm", "generated_answer", "generation_error", "generation_sha256"), ["query_id", "arm"])
-    out = answers.judged(rows, adapter, model, mode, lenient)
+    if checkpoint:
+        keys = ["query_id", "arm", "judge_model", "judge_mode", "generation_sha256"]
+        tagged = rows.withColumn("judge_model", F.lit(model)).withColumn("judge_mode", F.lit(mode))
+        out = answers.resumed(work.sparkSession, tagged, lambda df: answers.judged(df, adapter, model, mode, lenient), checkpoint, answers.JUDGMENT, keys, "judge_error", batches)
+    else:
+        out = answers.judged(rows, adapter, model, mode, lenient)
     out = metrics.failures_as_one(out) if failed_as_one else out
     return out, metrics.judge_summary(out, "arm")
 
@@ -118,13 +124,16 @@ def prompt_pilot(questions: DataFrame, work: Callable[[DataFrame], DataFrame], a
     return table, sampling.prompt_winner(table)
 
 
-def paired_summary(long: DataFrame, a: str, b: str, value: str, binary: bool, *keys: str) -> DataFrame:
-    """Contingency or score changes of two arms, with transitions for scores."""
+def paired_summary(long: DataFrame, a: str, b: str, value: str, binary: bool, *keys: str, whole: bool = False) -> DataFrame:
+    """Means of two arms with contingency, or with score changes, histograms and transitions; ``whole`` demands the same questions in both."""
+    if whole:
+        paired.require_whole(long, a, b, *keys)
     pairs = paired.paired(long, a, b, value, *keys)
-    if binary:
-        return paired.contingency(pairs, *keys)
-    deltas, moves = paired.deltas(pairs, *keys), paired.transitions(pairs, *keys)
-    return deltas.join(moves, list(keys)) if keys else deltas.crossJoin(F.broadcast(moves))  # one row each
+    parts = [paired.contingency(pairs, *keys)] if binary else [paired.deltas(pairs, *keys), paired.histograms(pairs, *keys), paired.transitions(pairs, *keys)]
+    out = paired.means(pairs, *keys)
+    for part in parts:
+        out = out.join(part, list(keys)) if keys else out.crossJoin(F.broadcast(part))  # one row each
+    return out
 
 
 def wide_result(base: DataFrame, generations: DataFrame, judgments: DataFrame, models: list[str], judges: list[str]) -> DataFrame:
@@ -157,3 +166,42 @@ def manifest(spark: SparkSession, root: str, listed: DataFrame | None = None) ->
 def run_matrix(cells: dict[str, Callable[[], object]], width: int = 4) -> dict[str, object]:
     """Many (dataset, arm, model) cells side by side; all settle before any failure is raised."""
     return answers.settled(cells, width)
+
+
+def paired_matrix(spark: SparkSession, work: DataFrame, arms: tuple[str, str], writers: dict[str, Callable], judges: dict[str, tuple[Callable, str]], prompt_version: str, root: str, width: int = 4) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Both arms of ``work`` with all writers, all their answers with all judges: generations, judgments, paired summaries.
+
+    ``writers`` maps a model to its adapter, ``judges`` to an adapter and a mode. First the rows are checked: both arms have
+    the same questions, each once. Stages settle side by side, each resumes from its own checkpoint under ``root``,
+    and judging starts when all answers are there.
+    """
+    checks.require(checks.unique(work, ["query_id", "arm"]))
+    paired.require_whole(work, *arms)
+    made = run_matrix({m: lambda m=m, f=f: generate(spark, work, f, m, prompt_version, f"{root}/generations/{_slug(m)}") for m, f in writers.items()}, width)
+
+    def cell(m: str, j: str) -> DataFrame:
+        out, _ = judge(work, made[m], judges[j][0], j, judges[j][1], checkpoint=f"{root}/judgments/{_slug(m)}--{_slug(j)}")
+        checks.require(checks.conditions(out, judge_error=F.col("judge_error") != ""))
+        return out.withColumn("generator", F.lit(m))
+
+    judged = run_matrix({f"{m} {j}": lambda m=m, j=j: cell(m, j) for m in writers for j in judges}, width)
+    summaries = []
+    for m in writers:
+        for j, (_, mode) in judges.items():
+            rows = judged[f"{m} {j}"].withColumn("right", F.col("verdict") == "CORRECT")
+            one = paired_summary(rows, *arms, "right" if mode == "binary" else "score", mode == "binary", whole=True)
+            summaries.append(one.withColumns({"generator": F.lit(m), "judge": F.lit(j), "judge_mode": F.lit(mode)}))
+    return assemble.stacked(*made.values()), assemble.stacked(*judged.values()), assemble.stacked(*summaries)
+
+
+def _slug(name: str) -> str:
+    return re.sub(r"[^a-zA-Z0-9._-]+", "-", name).strip("-")
+
+
+def development_rows(frame: DataFrame, method: str, size: int = 100, salt: str = "pilot") -> DataFrame:
+    """The stable sample of a frozen run, after its preconditions: one method, unique ids, no errors, enough development rows."""
+    checks.columns_present(frame, ["dataset", "query_id", "split", "source_row", "question", "golden_answer", "retrieval_method", "retrieved_context", "retrieval_error"])
+    enough = frame.agg(F.lit("development_rows").alias("check"), F.greatest(F.lit(size) - metrics.count_if(F.lower("split") == "dev"), F.lit(0)).alias("n_violations"))
+    rows = checks.conditions(frame, other_method=~F.col("retrieval_method").eqNullSafe(F.lit(method)), error=F.coalesce("retrieval_error", F.lit("")) != "")
+    checks.require(checks.together(enough, rows, checks.unique(frame, ["query_id"])))
+    return sampling.stable_sample(frame, size, salt)

@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-import tempfile
+import hashlib
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillon.functions import text as T
 from quillon.functions.stats import sign_test
-from quillon.operators import assemble, checks, metrics, paired, ranking, sampling, windows
-from quillon.plans import answers, fixtures
+from quillon.operators import assemble, checks, columns, metrics, paired, ranking, sampling, windows
+from quillon.plans import answers, fixtures, pipelines
 from quillon.plans.oracle import norm, tok, with_tables
+from quillon.sources import scratch, tables
 from quillon.sources.tables import table
 
 QUERIES: dict = {}
@@ -83,17 +85,17 @@ def allowed_docs(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("SELECT n AS n_units, round(avgdl, 6) AS avgdl FROM ba_st")
 def corpus_stats(spark: SparkSession, sf: str) -> DataFrame:
-    return ranking.corpus_stats(ranking.tokenized(fixtures.units_document(spark, sf))).withColumn("avgdl", F.round("avgdl", 6))
+    return ranking.corpus_stats(ranking.tokenized(fixtures.words_document(spark, sf))).withColumn("avgdl", F.round("avgdl", 6))
 
 
 @query("SELECT token, df FROM ba_df")
 def document_frequency(spark: SparkSession, sf: str) -> DataFrame:
-    return ranking.document_frequency(ranking.tokenized(fixtures.units_document(spark, sf)))
+    return ranking.document_frequency(ranking.tokenized(fixtures.words_document(spark, sf)))
 
 
 @query("SELECT unit_id, token, tf FROM ba_po")
 def term_frequency(spark: SparkSession, sf: str) -> DataFrame:
-    return ranking.term_frequency(ranking.tokenized(fixtures.units_document(spark, sf)))
+    return ranking.term_frequency(ranking.tokenized(fixtures.words_document(spark, sf)))
 
 
 @query("SELECT query_id, rank, unit_id, doc_id, round(score, 6) AS score FROM ba_top")
@@ -103,9 +105,7 @@ def bm25_top4_document(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("SELECT query_id, rank, unit_id, doc_id, round(score, 6) AS score FROM bp_top")
 def bm25_top4_paragraph(spark: SparkSession, sf: str) -> DataFrame:
-    top = fixtures.ranked(spark, sf).where("rank = 1").select("query_id", F.array("doc_id").alias("allowed_doc_ids"))
-    q = fixtures.passages(spark, sf).join(top, "query_id")
-    return ranking.bm25(q, fixtures.units_paragraph(spark, sf)).withColumn("score", F.round("score", 6)).withColumn("rank", F.col("rank").cast("long"))
+    return fixtures.paragraphs_ranked(spark, sf).withColumn("score", F.round("score", 6)).withColumn("rank", F.col("rank").cast("long"))
 
 
 _WIDE = ", ".join(f"coalesce(max(unit_id) FILTER (rank = {k}), '') AS excerpt_{k}_unit_id, round(max(score) FILTER (rank = {k}), 6) AS excerpt_{k}_score" for k in range(1, 5))
@@ -151,12 +151,12 @@ def relaxed_bigram_flags(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("SELECT query_id, exact_full FROM fulld")
 def full_doc_ceiling(spark: SparkSession, sf: str) -> DataFrame:
-    return metrics.full_document(fixtures.questions(spark, sf), table(spark, sf, "documents", "doc_id", "text"))
+    return metrics.full_document(fixtures.questions(spark, sf), fixtures.words_document(spark, sf))
 
 
 @query("SELECT arm, count(*) AS n_questions, count(*) FILTER (exact_full) AS n_ceiling, " + ", ".join(f"count(*) FILTER (exact_{k}) AS hits_{k}, round(count(*) FILTER (exact_{k}) / nullif(count(*) FILTER (exact_full), 0), 9) AS share_{k}" for k in range(1, 5)) + " FROM fl JOIN fulld USING (query_id) GROUP BY arm")
 def containment_curve(spark: SparkSession, sf: str) -> DataFrame:
-    full = metrics.full_document(fixtures.questions(spark, sf), table(spark, sf, "documents", "doc_id", "text"))
+    full = metrics.full_document(fixtures.questions(spark, sf), fixtures.words_document(spark, sf))
     out = metrics.curve(fixtures.flags(spark, sf), full)
     return out.withColumns({f"share_{k}": F.round(f"share_{k}", 9) for k in range(1, 5)})
 
@@ -166,7 +166,7 @@ _QRELS = "SELECT al.query_id, d.unit_id, d.doc_id FROM al JOIN q USING (query_id
 
 @query(f"SELECT *, 1 AS relevance FROM ({_QRELS})")
 def qrels_substring(spark: SparkSession, sf: str) -> DataFrame:
-    return metrics.substring_qrels(fixtures.questions(spark, sf), fixtures.units_document(spark, sf)).drop("evidence")
+    return metrics.substring_qrels(fixtures.questions(spark, sf), fixtures.words_document(spark, sf)).drop("evidence")
 
 
 @query(f"""SELECT arm, k, round(sum(coalesce(f, 0) / n_gold) / count(*), 9) AS recall, round(count(f) FILTER (f > 0) / count(*), 9) AS hit, count(*) AS n_questions
@@ -174,9 +174,8 @@ def qrels_substring(spark: SparkSession, sf: str) -> DataFrame:
  LEFT JOIN (SELECT r.arm, r.query_id, kk.k, count(*) AS f FROM ranked2 r JOIN ({_QRELS}) x ON x.query_id = r.query_id AND x.unit_id = r.unit_id JOIN (VALUES (1), (2), (3), (4)) kk(k) ON r.rank <= kk.k GROUP BY ALL) h USING (arm, k, query_id) GROUP BY arm, k""")
 def recall_hit_at_k(spark: SparkSession, sf: str) -> DataFrame:
     q = fixtures.questions(spark, sf)
-    qrels = metrics.substring_qrels(q, fixtures.units_document(spark, sf))
-    ranked = fixtures.results(spark, sf).select("query_id", "arm", F.explode("retrieved_items").alias("i")).select("query_id", "arm", "i.rank", "i.unit_id")
-    return metrics.recall_hit(ranked, qrels).withColumns({"recall": F.round("recall", 9), "hit": F.round("hit", 9)})
+    qrels = metrics.substring_qrels(q, fixtures.words_document(spark, sf))
+    return metrics.recall_hit(fixtures.rankings(spark, sf).select("query_id", "arm", "rank", "unit_id"), qrels).withColumns({"recall": F.round("recall", 9), "hit": F.round("hit", 9)})
 
 
 # windows -----------------------------------------------------------------------------------------
@@ -339,10 +338,18 @@ def lookup_last_wins(spark: SparkSession, sf: str) -> DataFrame:
 # checks -----------------------------------------------------------------------------------------------
 
 
-@query("SELECT * FROM (VALUES ('row_count', 0), ('unique_query_id', 0), ('null_key', 0), ('blank_question', 0), ('null_answer', 0), ('too_many_items', 0), ('count_differs', 0), ('error', 0)) v(\"check\", n_violations)")
+_PLANTED = """(WITH c AS (SELECT q.query_id, source_row, count(unit_id) AS n FROM q LEFT JOIN ba_top USING (query_id) GROUP BY ALL), p AS (SELECT * FROM c UNION ALL SELECT * FROM c WHERE source_row % 13 = 0)
+ SELECT *, n * (CASE WHEN source_row % 10 = 0 THEN 2 ELSE 1 END) AS n_items, n + (source_row % 5 = 0)::INT AS told FROM p)"""
+_FAULTS = {"row_count": "CASE WHEN count(*) = (SELECT count(*) FROM benchmark) THEN 0 ELSE 1 END", "unique_query_id": "count(*) - count(DISTINCT query_id)", "null_key": "count(*) FILTER (query_id IS NULL)", "blank_question": "count(*) FILTER (source_row % 7 = 0)", "null_answer": "count(*) FILTER (source_row % 9 = 0)",
+           "too_many_items": "count(*) FILTER (n_items > 4)", "count_differs": "count(*) FILTER (n_items <> told)", "error": "count(*) FILTER (source_row % 11 = 0)"}
+
+
+@query(" UNION ALL ".join(f"SELECT '{name}' AS \"check\", (SELECT {sql} FROM {_PLANTED}) AS n_violations" for name, sql in _FAULTS.items()))
 def dq_result_violations(spark: SparkSession, sf: str) -> DataFrame:
-    r = fixtures.results(spark, sf, "bm25")
-    return checks.results(r, table(spark, sf, "benchmark").count())
+    r, row = fixtures.results(spark, sf, "bm25"), F.col("source_row")
+    r = r.withColumns({"question": F.when(row % 7 == 0, " \t").otherwise(F.col("question")), "golden_answer": F.when(row % 9 != 0, F.col("golden_answer")), "retrieved_items": F.when(row % 10 == 0, F.concat("retrieved_items", "retrieved_items")).otherwise(F.col("retrieved_items")),
+                       "retrieved_count": F.col("retrieved_count") + (row % 5 == 0).cast("int"), "retrieval_error": F.when(row % 11 == 0, "boom").otherwise("")})
+    return checks.results(r.union(r.where(row % 13 == 0)), table(spark, sf, "benchmark", "item_id"))
 
 
 @query("SELECT 'unique_doc_id_source' AS \"check\", (SELECT count(*) FROM (SELECT doc_id, source FROM documents GROUP BY ALL HAVING count(*) > 1)) AS n_violations UNION ALL SELECT 'unique_source', (SELECT count(*) FROM (SELECT source FROM documents GROUP BY ALL HAVING count(*) > 1))")
@@ -351,9 +358,15 @@ def dq_unique(spark: SparkSession, sf: str) -> DataFrame:
     return checks.together(checks.unique(d, ["doc_id", "source"]), checks.unique(d, ["source"]))
 
 
-@query("SELECT * FROM (VALUES ('known_unit', 0), ('allowed_document', 0)) v(\"check\", n_violations)")
+def _tampered(results: DataFrame) -> DataFrame:
+    """The best unit of every sixth question and the document of the second of every eighth are unknown."""
+    item = lambda x: x.withField("unit_id", F.when((x["rank"] == 1) & (F.col("source_row") % 6 == 0), "nowhere").otherwise(x["unit_id"])).withField("doc_id", F.when((x["rank"] == 2) & (F.col("source_row") % 8 == 0), "nowhere").otherwise(x["doc_id"]))
+    return results.withColumn("retrieved_items", F.transform("retrieved_items", item))
+
+
+@query("SELECT 'known_unit' AS \"check\", (SELECT count(*) FROM ranked2 JOIN q USING (query_id) WHERE rank = 1 AND source_row % 6 = 0) AS n_violations UNION ALL SELECT 'allowed_document', (SELECT count(*) FROM ranked2 JOIN q USING (query_id) WHERE rank = 2 AND source_row % 8 = 0)")
 def dq_doc_filter(spark: SparkSession, sf: str) -> DataFrame:
-    return checks.doc_filter(fixtures.results(spark, sf), fixtures.questions(spark, sf), fixtures.units_document(spark, sf))
+    return checks.doc_filter(_tampered(fixtures.results(spark, sf)), fixtures.questions(spark, sf), fixtures.words_document(spark, sf))
 
 
 @query(" UNION ALL ".join(f"SELECT 'monotone_{k}_{k + 1}' AS \"check\", count(*) FILTER (exact_{k} AND NOT exact_{k + 1}) AS n_violations FROM fl" for k in range(1, 4)))
@@ -404,20 +417,152 @@ def _work(spark: SparkSession, sf: str) -> DataFrame:
     return fixtures.results(spark, sf, "bm25").select("query_id", "arm", "question", "golden_answer", ranking.context().alias("context"))
 
 
-@query()
+_GAP = r"[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
+_words = lambda x: f"list_filter(string_split_regex({x}, '{_GAP}'), lambda w: w <> '')"
+_CONTEXT = f"""c AS (SELECT query_id, string_agg(text, chr(10) || chr(10) ORDER BY rank) FILTER (len({_words('text')}) > 0) AS context FROM ba_top JOIN d USING (unit_id) GROUP BY query_id),
+ w AS (SELECT query_id, question, golden_answer, coalesce(context, '') AS context FROM q LEFT JOIN c USING (query_id)),
+ p AS (SELECT *, 'Answer from the context alone.' || repeat(chr(10), 2) || 'Context:' || chr(10) || context || repeat(chr(10), 2) || 'Question: ' || question AS prompt, {_words('context')}[1:12] AS first FROM w),
+ a AS (SELECT *, CASE WHEN len(first) = 0 THEN '{answers.REFUSAL}' ELSE array_to_string(first, ' ') END AS answer, CASE WHEN len(first) = 0 THEN 0 ELSE len({_words('prompt')}) END AS n_in FROM p)"""
+_GENERATED = """SELECT query_id, 'bm25' AS arm, 'stub' AS model, 'v1' AS prompt_version, sha256(question || chr(10) || context) AS content_sha256, answer AS generated_answer, '' AS generation_error, n_in AS input_tokens, len(first) AS output_tokens,
+ sha256(answer || chr(10)) AS generation_sha256, '' AS response_id, n_in + len(first) AS total_tokens, '' AS response_model, '' AS response_provider, sha256(context) AS retrieval_context_sha256 FROM a"""
+
+
+def _after(ctes: str, statement: str) -> str:
+    return f"SELECT * FROM (WITH {ctes} {statement})"
+
+
+@query(_after(_CONTEXT, _GENERATED))
 def stub_generate(spark: SparkSession, sf: str) -> DataFrame:
     return answers.generated(_work(spark, sf), answers.stub_writer, "stub", "v1")
 
 
-@query()
+_JUDGED = """, j AS (SELECT query_id, sha256(answer || chr(10)) AS generation_sha256, 'Compare the answer with the reference. Reply with a JSON object of score and reason.' || repeat(chr(10), 2) || 'Question: ' || question || chr(10) || 'Reference: ' || golden_answer || chr(10) || 'Answer: ' || answer AS ask FROM a)"""
+
+
+@query(_after(_CONTEXT + _JUDGED, f"SELECT query_id, 'bm25' AS arm, 'stub' AS judge_model, 'scale-1-5' AS judge_mode, generation_sha256, '' AS verdict, CAST(CAST('0x' || substr(sha256(ask), 1, 8) AS BIGINT) % 5 + 1 AS INT) AS score, 'stub' AS reason, '' AS judge_error, '' AS judge_fallback, len({_words('ask')}) + 8 AS judge_total_tokens, '' AS judge_response_id, len({_words('ask')}) AS judge_input_tokens, 8 AS judge_output_tokens, '' AS judge_response_model, '' AS judge_response_provider FROM j"))
 def stub_judge(spark: SparkSession, sf: str) -> DataFrame:
     made = stub_generate(spark, sf).select("query_id", "arm", "generated_answer", "generation_error", "generation_sha256")
     return answers.judged(_work(spark, sf).join(made, ["query_id", "arm"]), answers.stub_judge, "stub", "scale-1-5")
 
 
-@query()
+@query(_after(_CONTEXT, _GENERATED))
 def resumed_generate(spark: SparkSession, sf: str) -> DataFrame:
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp()
-    path = f"{root}/quillon-resumed-{spark.sparkContext.applicationId}-{abs(hash(sf))}"
+    """From a checkpoint that hangs on the folder alone, so that a later run goes on where one stopped."""
+    path = f"{scratch.root(spark)}/quillon-resumed-{hashlib.sha256(sf.encode()).hexdigest()[:16]}"
     step = lambda df: answers.generated(df, answers.stub_writer, "stub", "v1")
-    return answers.resumed(spark, _work(spark, sf), step, path, answers.GENERATION, ["query_id", "arm"], "generation_error", batches=2)
+    keys = ["query_id", "arm", "content_sha256"]
+    work = _work(spark, sf).withColumn("content_sha256", T.sha256(F.concat_ws("\n", "question", "context")))
+    return answers.resumed(spark, work, step, path, answers.GENERATION, keys, "generation_error", batches=2)
+
+
+# columns, ids and alignment ---------------------------------------------------------------------------------
+
+
+@query("SELECT conv_id, turn, concat_ws('|', conv_id, CASE WHEN role <> 'user' THEN role END, turn) AS short_id, concat_ws('|', conv_id, CASE WHEN role <> 'user' THEN role ELSE '' END, turn) AS full_id, CASE WHEN turn % 2 = 0 THEN 'own-' || conv_id ELSE concat_ws('|', conv_id, turn) END AS unit_id FROM conversations")
+def compound_ids(spark: SparkSession, sf: str) -> DataFrame:
+    c = table(spark, sf, "conversations", "conv_id", "turn", "role").withColumn("part", F.when(F.col("role") != "user", F.col("role")))
+    given = c.withColumn("unit_id", F.when(F.col("turn") % 2 == 0, F.concat(F.lit("own-"), "conv_id")).otherwise(""))
+    parts = [F.col("conv_id"), F.col("part"), F.col("turn")]
+    return given.select("conv_id", "turn", T.compound_id(*parts).alias("short_id"), T.compound_id(*parts, keep_missing=True).alias("full_id"), columns.excerpt_unit_id(given, ("conv_id", "turn")).alias("unit_id"))
+
+
+@query("SELECT query_id, split AS golden_answer, golden_answer AS reference_evidence, source_row FROM q WHERE source_row % 4 < 3")
+def role_swap(spark: SparkSession, sf: str) -> DataFrame:
+    q = fixtures.passages(spark, sf).withColumn("retrieval_method", F.when(F.col("source_row") % 4 == 0, "bm25").when(F.col("source_row") % 4 == 3, "other").otherwise("okapi"))
+    q = columns.of_dataset(columns.method_rows(q, "bm25", {"bm25": ("okapi",)}), "BENCH")
+    return columns.role_swapped(q, "split").select("query_id", "golden_answer", "reference_evidence", "source_row")
+
+
+@query("SELECT q.query_id, q.source_row, coalesce((SELECT max(s.r) FROM (SELECT CASE WHEN source_row % 4 = 0 THEN source_row + 1000 ELSE source_row END AS r, g FROM q) s WHERE s.r = q.source_row AND s.g = q.g), (SELECT CASE WHEN count(*) = 1 THEN min(s.r) END FROM (SELECT CASE WHEN source_row % 4 = 0 THEN source_row + 1000 ELSE source_row END AS r, g FROM q) s WHERE s.g = q.g)) AS matched_row FROM q")
+def aligned_rows(spark: SparkSession, sf: str) -> DataFrame:
+    q = fixtures.passages(spark, sf)
+    moved = q.withColumn("source_row", F.when(F.col("source_row") % 4 == 0, F.col("source_row") + 1000).otherwise(F.col("source_row")))
+    return assemble.aligned(q, moved, "source_row", T.normalized(F.col("question")), T.normalized(F.col("question"))).select("query_id", "source_row", "matched_row")
+
+
+@query("SELECT conv_id, turn, CASE WHEN turn % 3 = 0 THEN 'not_requested' ELSE 'high' END AS run__effort, CASE WHEN turn % 2 = 0 THEN turn ELSE strlen(role) END AS run__total_tokens FROM conversations")
+def usage_fields(spark: SparkSession, sf: str) -> DataFrame:
+    c = table(spark, sf, "conversations", "conv_id", "turn", "role")
+    c = c.withColumns({"effort": T.effort(F.when(F.col("turn") % 3 == 0, "none").otherwise("high")), "total_tokens": T.total_tokens(F.when(F.col("turn") % 2 == 0, F.col("turn")), F.octet_length("role"))})
+    return assemble.namespaced(c, "run", ["effort", "total_tokens", "absent"], ["conv_id", "turn"])
+
+
+@query("SELECT item_id, CASE WHEN item_id % 6 BETWEEN 1 AND 4 THEN '' ELSE 'excerpt count' END AS retrieval_error, item_id % 6 AS retrieved_count, CASE WHEN item_id % 6 = 0 THEN '' ELSE sha256('part ' || (item_id % 6)) END AS last_sha256 FROM benchmark")
+def imported_rankings(spark: SparkSession, sf: str) -> DataFrame:
+    n = F.col("item_id") % 6
+    parts = F.when(n > 0, F.array_join(F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.concat(F.lit(" part "), i.cast("string"))), "\n ... \n")).otherwise(" ")
+    df = ranking.import_ranked(table(spark, sf, "benchmark", "item_id").withColumn("neural", parts), "neural", "neural")
+    last = F.try_element_at("retrieved_items", F.lit(-1))["text"]
+    return df.select("item_id", "retrieval_error", "retrieved_count", F.when(n > 0, T.sha256(last)).otherwise("").alias("last_sha256"))
+
+
+# means, rates and reports --------------------------------------------------------------------------------------
+
+
+@query(f"SELECT arm, count(DISTINCT query_id) AS n_questions, {', '.join(f'round(avg({kind}_{k}::INT), 9) AS mean_{kind}_{k}' for kind in ('exact', 'relaxed') for k in range(1, 5))} FROM fl JOIN (SELECT query_id, arm, {_RELAXED} FROM (SELECT *, {_GRAMS.format('qt')} AS gg, {', '.join(f'{_GRAMS.format(f"s{k}")} AS e{k}' for k in range(1, 5))} FROM (SELECT *, {', '.join(f"string_split(coalesce(c{k}, ''), ' ') AS s{k}" for k in range(1, 5))} FROM fl))) r USING (query_id, arm) GROUP BY arm")
+def presence_means(spark: SparkSession, sf: str) -> DataFrame:
+    both = fixtures.flags(spark, sf).join(metrics.relaxed(fixtures.results(spark, sf)), ["query_id", "arm"])
+    out = metrics.presence_means(both, "arm")
+    return out.withColumns({c: F.round(c, 9) for c in out.columns if c.startswith("mean_")})
+
+
+@query("SELECT 'exact' AS value, round(avg(a::INT), 9) AS a_mean, round(avg(b::INT), 9) AS b_mean, round(avg(a::INT - b::INT), 9) AS difference FROM pairs UNION ALL SELECT 'score', round(avg(a), 9), round(avg(b), 9), round(avg(a - b), 9) FROM pscore")
+def paired_means(spark: SparkSession, sf: str) -> DataFrame:
+    rows = {"exact": (fixtures.flags(spark, sf), "exact_1"), "score": (fixtures.judgments(spark, sf), "score")}
+    parts = [paired.means(paired.paired(df, "bm25", "bm25_flat", value)).withColumn("value", F.lit(name)) for name, (df, value) in rows.items()]
+    return parts[0].unionByName(parts[1]).select("value", *[F.round(c, 9).alias(c) for c in ("a_mean", "b_mean", "difference")])
+
+
+@query("SELECT " + ", ".join(f"count(*) FILTER ({x} = {k}) AS {x}_score_{k}" for x in "ab" for k in range(1, 6)) + " FROM pscore")
+def paired_histograms(spark: SparkSession, sf: str) -> DataFrame:
+    return paired.histograms(paired.paired(fixtures.judgments(spark, sf), "bm25", "bm25_flat", "score"))
+
+
+@query(r"""WITH c AS (SELECT role, turn, CASE turn % 4 WHEN 0 THEN ' entailment: ' || text WHEN 1 THEN 'CONTRADICTION' WHEN 2 THEN 'True/Entailment' ELSE text END AS reply, CASE WHEN turn % 3 = 0 THEN 'Entailment' ELSE 'Contradiction' END AS gold FROM conversations),
+ l AS (SELECT *, lower(nullif(regexp_extract(reply, '(?i)^\s*(Entailment|Contradiction)($|[\s.,:;!?)\-])', 1), '')) AS label FROM c)
+ SELECT role, count(*) AS n_rows, count(*) FILTER (turn % 5 = 0) AS n_errors, round(avg((label IS NOT NULL)::INT), 9) AS parse_rate, round(avg(coalesce(label = lower(gold), false)::INT), 9) AS label_accuracy FROM l GROUP BY role""")
+def label_rates(spark: SparkSession, sf: str) -> DataFrame:
+    c, turn = table(spark, sf, "conversations", "role", "turn", "text"), F.col("turn") % 4
+    reply = F.when(turn == 0, F.concat(F.lit(" entailment: "), "text")).when(turn == 1, "CONTRADICTION").when(turn == 2, "True/Entailment").otherwise(F.col("text"))
+    made = c.select("role", reply.alias("generated_answer"), F.when(F.col("turn") % 3 == 0, "Entailment").otherwise("Contradiction").alias("golden_answer"), F.when(F.col("turn") % 5 == 0, "boom").otherwise("").alias("generation_error"))
+    out = metrics.label_summary(answers.labelled(made), "role")
+    return out.withColumns({x: F.round(x, 9) for x in ("parse_rate", "label_accuracy")})
+
+
+@query("SELECT 'derived' AS judge, metric, round(max(v) FILTER (arm = 'bm25'), 9) AS bm25, round(max(v) FILTER (arm = 'bm25_flat'), 9) AS bm25_flat FROM (SELECT arm, 'accuracy' AS metric, avg((verdict = 'CORRECT')::INT) FILTER (judge_error = '' AND verdict <> '') AS v FROM ju GROUP BY arm UNION ALL SELECT arm, 'mean_score', avg(score) FILTER (judge_error = '') FROM ju GROUP BY arm) GROUP BY metric")
+def published_metrics(spark: SparkSession, sf: str) -> DataFrame:
+    return pipelines.published_metrics(_summary(fixtures.judgments(spark, sf)).withColumn("judge", F.lit("derived")), ["bm25", "bm25_flat"])
+
+
+@query("SELECT round(avg(n), 9) AS mean_sentences, round(avg(dropped), 9) AS mean_dropped FROM (SELECT query_id, count(*) FILTER (is_first) AS n, count(*) FILTER (NOT is_first) AS dropped FROM win GROUP BY query_id)")
+def window_audit(spark: SparkSession, sf: str) -> DataFrame:
+    audit = pipelines.window_inputs(fixtures.passages(spark, sf), fixtures.anchors(spark, sf), fixtures.sentences(spark, sf))[2]
+    return audit.select(F.round("mean_sentences", 9).alias("mean_sentences"), F.round("mean_dropped", 9).alias("mean_dropped"))
+
+
+@query("SELECT 'outside' AS problem, (SELECT count(*) + count(*) FILTER (source_row % 7 = 0) FROM q WHERE source_row % 5 = 0) AS n UNION ALL SELECT 'repeated', (SELECT count(*) FROM q WHERE source_row % 7 = 0) UNION ALL SELECT 'changed', (SELECT count(*) + count(*) FILTER (source_row % 7 = 0) FROM q WHERE source_row % 3 = 0 AND source_row % 5 <> 0)")
+def cohort_faults(spark: SparkSession, sf: str) -> DataFrame:
+    q = fixtures.passages(spark, sf).select("query_id", "source_row", T.sha256(F.col("question")).alias("h"))
+    prior = q.withColumn("h", F.when(F.col("source_row") % 3 == 0, "other").otherwise(F.col("h")))
+    return sampling.cohort_faults(prior.union(prior.where("source_row % 7 = 0")), q.where("source_row % 5 <> 0"), "query_id", ["h"])
+
+
+@query("SELECT 'summary_score' AS \"check\", (SELECT count(*) FROM ju WHERE score IS NULL OR source_row % 4 = 0) AS n_violations UNION ALL SELECT 'golden_counts', (SELECT count(*) FROM (SELECT source FROM documents GROUP BY source) WHERE source <> 'src1') UNION ALL SELECT 'variants_agree', (SELECT 2 * count(*) FROM q WHERE source_row % 9 = 0) UNION ALL SELECT 'size_limit', (SELECT count(*) FROM documents WHERE strlen(text) > 4096)")
+def dq_agreements(spark: SparkSession, sf: str) -> DataFrame:
+    j, q = fixtures.judgments(spark, sf), fixtures.passages(spark, sf)
+    told = j.withColumn("score", F.when(F.col("source_row") % 4 == 0, F.col("score") + 0.5).otherwise(F.col("score")))
+    n = table(spark, sf, "documents", "source").groupBy("source").agg(F.count(F.lit(1)).alias("n"))
+    wanted = n.withColumn("n", F.when(F.col("source") == "src1", F.col("n")).otherwise(F.col("n") + 1))
+    other = q.withColumn("question", F.when(F.col("source_row") % 9 == 0, "other").otherwise(F.col("question")))
+    sizes = table(spark, sf, "documents", "text").select(F.octet_length("text").alias("bytes"))
+    return checks.together(checks.summary_matches(j, told, ["query_id", "arm"], "score"), checks.golden(n, wanted, "source"), checks.same_except(q, other, "query_id", ["question", "golden_answer"]), checks.size_limit(sizes, 4096))
+
+
+@query("SELECT n_nationkey, n_name, n_regionkey FROM nation")
+def csv_and_json_read_back(spark: SparkSession, sf: str) -> DataFrame:
+    """Half of a table through CSV and half through JSON lines."""
+    n, path = table(spark, sf, "nation", "n_nationkey", "n_name", "n_regionkey"), f"{scratch.root(spark)}/quillon-{uuid.uuid4().hex}"
+    n.where("n_nationkey % 2 = 0").write.option("header", True).csv(f"{path}/csv")
+    n.where("n_nationkey % 2 = 1").write.json(f"{path}/json")
+    read = tables.csv(spark, f"{path}/csv").unionByName(tables.json_lines(spark, f"{path}/json", "n_nationkey string, n_name string, n_regionkey string"))
+    return read.select(*[F.col(f.name).cast(f.dataType) for f in n.schema])

@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import gzip
 import os
-import tempfile
+import uuid
 import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillon.sources import scratch
+
 QUESTION = "query_id string, split string, source_row long, question string, golden_answer string, allowed_doc_ids array<string>, dataset string"
 EXCERPT = "struct<rank:int,unit_id:string,doc_id:string,text:string,score:double>"
 RETRIEVAL = f"query_id string, arm string, retrieved_items array<{EXCERPT}>, retrieved_count long, retrieval_error string"
@@ -50,7 +52,9 @@ def archive(spark: SparkSession, path: str, members: dict[str, str], workdir: st
     ``members`` maps a member's name to ``parquet``, ``csv`` or ``csv.gz``. Members are unpacked
     on the driver to ``workdir``, which on a cluster is a folder that all executors see.
     """
-    workdir = workdir or tempfile.mkdtemp()
+    if not workdir:
+        workdir = os.path.join(scratch.root(spark).removeprefix("file://"), f"quillon-{uuid.uuid4().hex}")
+        os.makedirs(workdir)
     out = None
     with zipfile.ZipFile(path) as z:
         for name, kind in members.items():

@@ -14,7 +14,7 @@ from quillon.sources import sinks, tables
 from quillon.streaming import incremental
 
 SF = "/root/testdata/sf0.001"
-QUICK = ["norm_tokens", "slug_values", "json_object_extract", "label_parse", "units_paragraph", "bm25_top4_document", "exact_topk_flags", "relaxed_bigram_flags", "window_render_gap", "judge_summary", "paired_delta_hist", "sign_test_by_customer", "union_missing_cols", "upsert_latest", "lookup_last_wins", "running_ordinals"]
+QUICK = ["norm_tokens", "slug_values", "json_object_extract", "label_parse", "units_paragraph", "bm25_top4_document", "exact_topk_flags", "relaxed_bigram_flags", "window_render_gap", "judge_summary", "paired_delta_hist", "sign_test_by_customer", "union_missing_cols", "upsert_latest", "lookup_last_wins", "running_ordinals", "stub_generate", "stub_judge", "resumed_generate", "dq_result_violations", "dq_doc_filter", "compound_ids", "role_swap", "aligned_rows", "usage_fields", "imported_rankings", "presence_means", "paired_means", "paired_histograms", "label_rates", "published_metrics", "window_audit", "cohort_faults", "dq_agreements", "csv_and_json_read_back"]
 
 
 def rows_of(df: pd.DataFrame) -> list:
@@ -26,7 +26,7 @@ def rows_of(df: pd.DataFrame) -> list:
 @pytest.mark.parametrize("name", QUICK)
 def test_query_equals_sql(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "benchmark", "conversations", "pages", "events", "orders", "lineitem", "labels"):
+    for t in ("documents", "benchmark", "conversations", "pages", "events", "orders", "lineitem", "labels", "nation"):
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SF}/{t}.parquet')")
     assert rows_of(queries.QUERIES[name](spark, SF).toPandas()) == rows_of(con.sql(queries.ORACLES[name]).df())
 
@@ -80,12 +80,59 @@ def test_judging(spark, work):
     for mode in ("binary", "scale-1-5"):
         out, summary = pipelines.judge(work, made, odd, "j", mode)
         got = {r.query_id: r for r in out.collect()}
-        assert got["q3"].judge_error == "generation error" and (got["q4"].judge_fallback, got["q4"].judge_error, got["q4"].score) == ("content_filter", "", None)
+        assert got["q3"].judge_error == "generation_error" and (got["q4"].judge_fallback, got["q4"].judge_error, got["q4"].score) == (answers.FILTERED, "", None)
+        assert got["q3"].verdict == got["q4"].verdict == ("INCORRECT" if mode == "binary" else "")
         assert got["q6"].judge_error == got["q8"].judge_error == "invalid object"
         assert got["q1"].judge_error == "" and (got["q1"].verdict in ("CORRECT", "INCORRECT")) == (mode == "binary") and (got["q1"].score is None) == (mode == "binary")
         assert summary.first().n_errors == 3
     lenient = answers.judged(work.join(made.drop("arm"), "query_id"), lambda p: answers.Reply('{"why": "because", "score": 4, "more": 2}'), "j", "scale-1-5", lenient=True).first()
     assert (lenient.score, lenient.reason) == (4, "because")
+    for reply, reason in (('{"score": 4, "note": "x", "reason": "y"}', "y"), ('{"score": 4}', answers.NO_REASON)):
+        assert answers.judged(work.join(made.drop("arm"), "query_id"), lambda p, r=reply: answers.Reply(r), "j", "scale-1-5", lenient=True).first().reason == reason
+
+
+def test_invalid_judgments_are_asked_for_again(spark, work, tmp_path):
+    made = answers.generated(work, answers.stub_writer, "m", "v")
+
+    def third(p):
+        seen = tmp_path / answers.hashlib.sha256(p.encode()).hexdigest()
+        n = int(seen.read_text()) if seen.exists() else 0
+        seen.write_text(str(n + 1))
+        return answers.stub_judge(p) if n == 2 else answers.Reply('{"verdict": "CORRECT", "score": 3, "reason": "both"}')
+
+    out, _ = pipelines.judge(work, made, third, "j", "binary", checkpoint=str(tmp_path / "c"), batches=2)
+    rows = out.collect()
+    assert len(rows) == 20 and {r.judge_error for r in rows} == {""} and {r.reason for r in rows} == {"stub"}
+    again, _ = pipelines.judge(work, made, lambda p: answers.Reply("never called"), "j", "binary", checkpoint=str(tmp_path / "c"), batches=2)
+    assert sorted(again.collect()) == sorted(rows)
+    empty = answers.generated(work.where("query_id = 'q1'"), lambda p: answers.Reply("  "), "m", "v").first()
+    assert (empty.generated_answer, empty.generation_error) == ("", "ValueError")
+    right = answers.judged_boolean(made.join(work.drop("arm"), "query_id"), lambda p: answers.Reply('{"correct": true}' if "question 2?" in p else '{"correct": "yes"}'), "j").collect()
+    assert sum(r.judge_correct for r in right) == 1 and sum(r.judge_error == "ValueError" for r in right) == 19
+
+
+def test_paired_matrix(spark, work, tmp_path):
+    both = work.unionByName(work.withColumn("arm", F.lit("neural")).withColumn("context", F.concat("context", F.lit(" more"))))
+    judges = {"strict": (answers.stub_judge, "binary"), "scale": (answers.stub_judge, "scale-1-5")}
+    made, judged, paired = pipelines.paired_matrix(spark, both, ("bm25", "neural"), {"m/1": answers.stub_writer, "m/2": answers.stub_writer}, judges, "v", str(tmp_path))
+    assert made.count() == 80 and judged.count() == 160
+    rows = {(r.generator, r.judge): r for r in paired.collect()}
+    assert len(rows) == 4 and all(r.n == 20 and abs(r.a_mean - r.b_mean - r.difference) < 1e-9 for r in rows.values())
+    assert sum(rows["m/1", "scale"][f"a_score_{k}"] for k in range(1, 6)) == 20 and rows["m/1", "strict"].a_score_1 is None
+    with pytest.raises(checks.CheckFailed, match="paired_keys"):
+        pipelines.paired_matrix(spark, both.where("NOT (arm = 'neural' AND query_id = 'q3')"), ("bm25", "neural"), {}, {}, "v", str(tmp_path))
+
+
+def test_development_rows(spark):
+    rows = [("d", f"q{i}", "dev" if i % 4 else "test", i, "q", "a", "bm25", "c", "") for i in range(40)]
+    names = ["dataset", "query_id", "split", "source_row", "question", "golden_answer", "retrieval_method", "retrieved_context", "retrieval_error"]
+    df = spark.createDataFrame(rows, names)
+    assert pipelines.development_rows(df, "bm25", 20).count() == 20
+    for bad, name in ((df.union(df.limit(1)), "unique"), (df.withColumn("retrieval_error", F.lit("x")), "error"), (df.withColumn("retrieval_method", F.lit("x")), "method"), (df.where("source_row < 9"), "development")):
+        with pytest.raises(checks.CheckFailed, match=name):
+            pipelines.development_rows(bad, "bm25", 20)
+    with pytest.raises(checks.CheckFailed, match="missing"):
+        pipelines.development_rows(df.drop("split"), "bm25")
 
 
 def test_retries():
