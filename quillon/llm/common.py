@@ -6,33 +6,25 @@ Parquet tables in the folder that ``spark.checkpoint.dir`` names.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillon.sources import scratch
+
 #: ASCII white space, as the contracts of the operators have it.
 SPACE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def scratch_root(spark: SparkSession) -> str:
-    """The shared folder for intermediate tables; a local one is made only where the session names none."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found:
-        found = tempfile.mkdtemp(prefix="quillon-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
 def materialize(df: DataFrame, spark: SparkSession) -> DataFrame:
     """``df`` written as a table in the shared folder and read back: a lost executor loses none of it.
 
     What was shuffled on the way is garbage then; the driver is asked to collect it, so that the executors'
     disks don't keep it until memory runs short.
     """
-    path = f"{scratch_root(spark)}/quillon-{uuid.uuid4().hex}"
+    path = f"{scratch.root(spark)}/quillon-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm.common import table
+from quillon.llm.common import shuffle_width, table
 
 #: (verdict, host, path); the fixed list of the query.
 RULES = [
@@ -89,7 +89,8 @@ def filter_urls(pages: DataFrame, rules: DataFrame, spark: SparkSession, default
     hosts = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
     pair = F.flatten(F.transform(F.filter(hosts, lambda h: h != ""), lambda h: F.transform(ends, lambda n: F.struct(h.alias("host"), F.concat(h, F.substring(F.col("path"), F.lit(1), n)).alias("key")))))
     # a verdict hangs on host and path alone, so each pair is looked up once
-    sites = pages.select("host", "path").where("host <> ''").distinct().withColumn("cand", pair)
+    sites = pages.select("host", "path").where("host <> ''").distinct()
+    sites = sites.repartition(shuffle_width(spark), "host", "path").withColumn("cand", pair)  # few bytes, but work in each row
     sites = sites.withColumn("h1", F.transform("cand", lambda c: F.xxhash64(c["key"]))).withColumn("h2", F.transform("cand", lambda c: F.xxhash64(c["key"], F.lit(1))))
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
