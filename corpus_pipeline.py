@@ -13,27 +13,47 @@ from quillon.llm.common import materialize, table
 
 
 def stage_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier accepts; it learns from the labels of learnable documents."""
+    """Documents that the quality classifier accepts; it learns from the labels of learnable documents.
+
+    Null text counts as empty and is judged like any other; rows with a null or repeated id are judged each by its own
+    text; an empty table stays empty. Columns may have any names.
+    """
     return quality.keep_good(docs, quality.train(docs, table(spark, sf_dir, "labels")), spark)
 
 
 def stage_exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the one with the smallest doc_id."""
+    """Of equal texts the one with the smallest doc_id.
+
+    Null and empty texts are one text; a null id goes if a copy has an id; rows that repeat id and text stay or go together;
+    an empty table stays empty. Columns may have any names.
+    """
     return exact_dedup.keep_first(docs)
 
 
 def stage_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the one with the smallest doc_id."""
+    """Of each group of near duplicates the one with the smallest doc_id.
+
+    Null ids and texts without words always stay; rows that repeat an id stay or go together; an empty table stays empty.
+    Columns may have any names.
+    """
     return jaccard_join.one_of_each(docs, spark)
 
 
 def stage_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix of sources takes it."""
+    """Each document as often as the mix of sources takes it.
+
+    A null source is a source, the last; null ids draw by their text, rows that repeat id, source and size are taken or left
+    together; empty texts take a source's whole copies; an empty table stays empty. Columns may have any names.
+    """
     return mixing.mixed_rows(docs, spark)
 
 
 def stage_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents in their sequences."""
+    """The pieces of all documents in their sequences.
+
+    A null text is one end id; null ids stay null; rows that repeat an id are packed each on its own; an empty table
+    gives no pieces. Other columns aren't read.
+    """
     return packing.pack(docs)
 
 
@@ -45,7 +65,7 @@ STAGES = [
     ("packing", stage_packing),
 ]
 
-#: A learned classifier and a tokenizer are beyond SQL; tests hold the stages against brute force instead.
+#: A learned classifier and a tokenizer are beyond SQL; tests/llm/test_pipeline.py works out each stage's rows in plain Python.
 ORACLE_SQL = None
 
 
