@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from quillon.functions import text as T
 from quillon.operators import assemble
+from quillon.sources import sinks
 
 # fixed values
 REFUSAL = "Cannot be determined from the supplied context."
@@ -230,7 +231,7 @@ def resumed(spark: SparkSession, work: DataFrame, step: Callable[[DataFrame], Da
     start = prior().agg(F.coalesce(F.max("batch"), F.lit(-1)) + 1).first()[0]
     for i in range(batches):
         part = work.where(F.pmod(F.xxhash64(*keys), F.lit(batches)) == i)
-        step(assemble.pending(part, prior(), keys, error)).withColumn("batch", F.lit(start + i)).write.mode("append").parquet(path)
+        sinks.append_checkpoint(step(assemble.pending(part, prior(), keys, error)), path, start + i)
     done = prior()
     last = done.groupBy(*keys).agg(F.max_by(F.struct(*done.columns), "batch").alias("r")).select("r.*").drop("batch")
     return last.join(work.select(*keys), keys, "left_semi")

@@ -85,3 +85,39 @@ def test_assembled_results(spark):
     long = spark.createDataFrame([(f"q{i}", arm, i % 5 + 1 - (arm == "b") * (i % 2)) for i in range(10) for arm in "ab"], "query_id string, arm string, score int")
     assert pipelines.paired_summary(long, "a", "b", "score", False).first().wins == 5
     assert pipelines.run_matrix({"x": lambda: 1, "y": lambda: 2}) == {"x": 1, "y": 2}
+
+
+def test_evaluation_commands(spark, tmp_path):
+    import json
+
+    from quillon.sources import tables
+
+    at = lambda name: str(tmp_path / name)
+    read = spark.read.parquet
+    spark.createDataFrame([(f"q{i}", "dev", i) for i in range(6)], "query_id string, split string, source_row long").write.parquet(at("queries"))
+    spark.createDataFrame([(f"q{i}", f"question {i}?", f"a{i}") for i in range(6)], "query_id string, question string, golden_answer string").write.parquet(at("sources"))
+    spark.createDataFrame([(f"q{i}", 0, "d1") for i in range(6)], "query_id string, ord int, doc_id string").write.parquet(at("allowed"))
+    assert main(["prepare", at("queries"), at("sources"), at("allowed"), "set", at("q")]) == 0
+    spark.createDataFrame([("d1", 3, "text")], "doc_id string, paragraph_idx int, text string").write.parquet(at("docs"))
+    assert main(["units", at("docs"), "paragraph", at("u"), "doc_id", "paragraph_idx"]) == 0 and read(at("u")).first().unit_id == "d1|3"
+    spark.createDataFrame([(i, f"question {i}?") for i in range(6)], "source_row long, question string").write.parquet(at("source"))
+    spark.createDataFrame([(0, "http://x/u1", "e", 1)], "source_row long, unit_url string, evidence string, ord int").write.parquet(at("evidence"))
+    assert main(["qrels", at("q"), at("source"), at("evidence"), at("qrels")]) == 0 and read(at("qrels")).first().unit_id == "u1"
+    q = read(at("q"))
+    work = q.select("query_id", "question", "golden_answer", F.lit("bm25").alias("arm"), F.concat(F.lit("context of "), "question").alias("context"))
+    work.union(work.withColumn("arm", F.lit("neural"))).write.parquet(at("work"))
+    assert main(["generate", at("work"), "stub_writer", "m", "v", at("g")]) == 0 and read(at("g")).count() == 12
+    assert main(["judge", at("work"), at("g"), "quillon.plans.answers:stub_judge", "j", at("j"), "--mode", "scale-1-5"]) == 0
+    assert sum(r["n_rows"] for r in json.loads((tmp_path / "j-summary.json").read_text())) == 12
+    summary = tables.json_documents(spark, at("j-summary.json"), "arm string, n_rows long")
+    assert {(r.arm, r.n_rows) for r in summary.collect()} == {("bm25", 6), ("neural", 6)}
+    one = lambda name: read(at(name)).where("arm = 'bm25'").write.parquet(at(f"{name}1"))
+    one("g"), one("j")
+    assert main(["wide", at("q"), at("g1"), at("j1"), at("wide")]) == 0 and "judgment_j__score" in read(at("wide")).columns
+    read(at("j")).groupBy("arm").agg(F.avg("score").alias("mean_score"), F.lit(0.5).alias("accuracy")).withColumn("judge", F.lit("j")).write.parquet(at("summary"))
+    assert main(["metrics", at("summary"), at("cells"), "bm25", "neural"]) == 0 and len(json.loads((tmp_path / "cells.json").read_text())) == 2
+    assert main(["matrix", at("work"), "bm25", "neural", "v", at("m"), "--writer", "w=stub_writer", "--judge", "b=stub_judge=binary", "--judge", "s=stub_judge=scale-1-5"]) == 0
+    assert {r["judge"] for r in json.loads((tmp_path / "m" / "paired.json").read_text())} == {"b", "s"} and json.loads((tmp_path / "m" / "provenance.json").read_text())["arms"] == ["bm25", "neural"]
+    frozen = q.withColumns({"retrieval_method": F.lit("bm25"), "retrieved_context": F.lit("c"), "retrieval_error": F.lit("")})
+    frozen.write.parquet(at("frozen"))
+    assert main(["pilot", at("frozen"), "bm25", at("pilot"), "--size", "4"]) == 0 and read(at("pilot")).count() == 4
