@@ -153,7 +153,7 @@ def test_inclusion_follows_the_odds(spark):
 
 def test_mixed_rows_without_ids(spark):
     """Rows without an id come as often as the mix takes each of them, not as often as any of them."""
-    rows = [(None, "w " * n, s) for s, n in zip("aaaabbbbcccc", (3, 5, 7, 200, 11, 13, 17, 300, 19, 23, 29, 20), strict=True)]
+    rows = [(None, "w " * n, s) for s, n in zip("aaaabbbbccccaabbcc", (3, 5, 7, 200, 11, 13, 17, 300, 19, 23, 29, 20, 80, 90, 81, 91, 82, 92), strict=True)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
     want = sorted((r.size, r.source) for r in mixing.mixed(docs, spark).collect() for _ in range(r.copies))
     assert sorted((len(r.text.split()), r.source) for r in mixing.mixed_rows(docs, spark).collect()) == want
