@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillon.functions import text as T
-from quillon.operators.ranking import cumulative
+from quillon.operators.ranking import with_cumulative_tokens
 
 
 def normalized_text(df: DataFrame) -> Column:
@@ -20,7 +20,7 @@ def count_if(c: Column) -> Column:
 
 def containment(results: DataFrame, gold: str = "golden_answer", top_k: int = 4) -> DataFrame:
     """query_id, arm, and for each k whether the first k texts hold the gold answer, exactly (exact_k) and relaxed (relaxed_k)."""
-    df = results.withColumn("_g", T.tokens(F.col(gold))).withColumn("_c", F.transform(cumulative("retrieved_items", top_k), T.tokens))
+    df = with_cumulative_tokens(results.withColumn("_g", T.tokens(F.col(gold))), "_c", top_k=top_k)
     flags = {}
     for k in range(1, top_k + 1):
         tokens = F.get("_c", F.lit(k - 1))
@@ -31,7 +31,7 @@ def containment(results: DataFrame, gold: str = "golden_answer", top_k: int = 4)
 
 def relaxed(results: DataFrame, gold: str = "golden_answer", top_k: int = 4, max_missing: int = 1) -> DataFrame:
     """relaxed_k flags by exploded bigram counts: one join on (query, bigram), whatever the texts' length."""
-    texts = results.select("query_id", "arm", T.tokens(F.col(gold)).alias("g"), F.transform(cumulative("retrieved_items", top_k), T.tokens).alias("c"))
+    texts = with_cumulative_tokens(results, "c", top_k=top_k).select("query_id", "arm", T.tokens(F.col(gold)).alias("g"), "c")
     pairs = lambda t: F.when(F.size(t) > 1, F.transform(F.sequence(F.lit(1), F.size(t) - 1), lambda i: F.concat_ws(" ", F.get(t, i - 1), F.get(t, i)))).otherwise(F.array().cast("array<string>"))
     want = texts.select("query_id", "arm", F.explode(pairs(F.col("g"))).alias("gram")).groupBy("query_id", "arm", "gram").agg(F.count(F.lit(1)).alias("n"))
     have = texts.select("query_id", "arm", F.posexplode("c").alias("k", "t")).select("query_id", "arm", (F.col("k") + 1).alias("k"), F.explode(pairs(F.col("t"))).alias("gram")).groupBy("query_id", "arm", "k", "gram").agg(F.count(F.lit(1)).alias("m"))

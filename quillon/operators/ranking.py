@@ -104,6 +104,13 @@ def cumulative(items="retrieved_items", top_k: int = 4):
     return F.array(*[F.array_join(F.slice(texts, 1, k), " ") for k in range(1, top_k + 1)])
 
 
+def with_cumulative_tokens(df: DataFrame, name: str, items: str = "retrieved_items", top_k: int = 4) -> DataFrame:
+    """``df`` with an array of the tokens of ``cumulative`` texts: no token spans a space, so each text is tokenized once."""
+    df = df.withColumn("_each", F.transform(items, lambda x: T.tokens(x["text"])))
+    none = F.array().cast("array<string>")
+    return df.withColumn(name, F.array(*[F.coalesce(F.flatten(F.slice("_each", 1, k)), none) for k in range(1, top_k + 1)])).drop("_each")
+
+
 def wide(df: DataFrame, top_k: int = 4) -> DataFrame:
     """Columns excerpt_k, with _unit_id, _doc_id (empty if absent) and _score (null if absent)."""
     columns = {}

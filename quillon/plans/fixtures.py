@@ -107,7 +107,7 @@ def paragraphs_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
 def all_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     q, top = questions(spark, sf_dir), ranking.with_text(rankings(spark, sf_dir), units_document(spark, sf_dir))
     parts = [ranking.nested(q, top.where(F.col("arm") == arm).drop("arm"), arm, bm25_k1=1.2, bm25_b=b, top_k=4) for arm, b in ARMS.items()]
-    return parts[0].unionByName(parts[1])
+    return parts[0].unionByName(parts[1]).repartition(spark.sparkContext.defaultParallelism, "query_id", "arm")  # few rows, long texts
 
 
 def results(spark: SparkSession, sf_dir: str, *arms: str) -> DataFrame:

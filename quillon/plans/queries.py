@@ -129,6 +129,12 @@ def wide_round_trip(spark: SparkSession, sf: str) -> DataFrame:
     return df.select("query_id", F.explode("retrieved_items").alias("i")).select("query_id", F.col("i.rank").cast("long").alias("rank"), "i.unit_id")
 
 
+@query("SELECT q.query_id, " + ", ".join(f"sha256(coalesce(string_agg(text, ' ' ORDER BY rank) FILTER (rank <= {k}), '')) AS sha256_{k}" for k in range(1, 5)) + " FROM q LEFT JOIN (SELECT query_id, rank, text FROM ba_top JOIN d USING (unit_id)) USING (query_id) GROUP BY q.query_id")
+def cumulative_texts(spark: SparkSession, sf: str) -> DataFrame:
+    df = fixtures.results(spark, sf, "bm25").withColumn("c", ranking.cumulative())
+    return df.select("query_id", *[T.sha256(F.get("c", F.lit(k - 1))).alias(f"sha256_{k}") for k in range(1, 5)])
+
+
 # containment -------------------------------------------------------------------------------------
 
 
