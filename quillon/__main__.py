@@ -11,6 +11,8 @@
     generate WORK ADAPTER MODEL VERSION OUT                  answers, resumed from OUT.checkpoint
     judge WORK GENERATIONS ADAPTER MODEL OUT [--mode binary] judgments, resumed from OUT.checkpoint, and their summary
     matrix WORK ARM ARM VERSION OUT --writer MODEL=ADAPTER --judge MODEL=ADAPTER=MODE   both arms with all models
+    dual-label WORK ARM ARM OUT --writer MODEL=ADAPTER --judge MODEL=ADAPTER=MODE   the matrix with a prompt that asks for a label first
+    extra-judge WORK GENERATIONS ARM ARM MODEL ADAPTER OUT [--mode binary] [--existing PAIRED]   one more judge over a matrix
     wide BASE GENERATIONS JUDGMENTS OUT                      one row a question, a column a model and field
     metrics SUMMARY OUT ARM...                               published cells, arms as columns
     judge-summary JUDGMENTS OUT KEY...                       summary.{csv,json}
@@ -18,6 +20,7 @@
     check RUN QUESTIONS UNITS                                the checks; exit 1 if one fails
     manifest ROOT [LISTING]                                  a listing, or what differs from it
 
+With --dataset NAME all tables that have a column dataset are cut down to it.
 An adapter is MODULE:FUNCTION, a function from a prompt to a Reply, or stub_writer or stub_judge.
 """
 
@@ -30,7 +33,7 @@ import sys
 from pyspark.sql import SparkSession
 
 from quillon.functions import text as T
-from quillon.operators import metrics
+from quillon.operators import columns, metrics
 from quillon.plans import answers, pipelines
 from quillon.sources import sinks
 
@@ -52,11 +55,18 @@ def main(argv: list[str]) -> int:
     parser.add_argument("--scores", action="store_true")
     parser.add_argument("--size", type=int, default=100)
     parser.add_argument("--mode", default="binary")
+    parser.add_argument("--dataset")
+    parser.add_argument("--existing")
     for name in ("member", "column", "writer", "judge"):
         parser.add_argument(f"--{name}", action="append", default=[])
     a = parser.parse_args(argv)
     spark = SparkSession.builder.appName("quillon").getOrCreate()
-    read, p, put = spark.read.parquet, a.paths, sinks.write_table
+    p, put = a.paths, sinks.write_table
+
+    def read(path: str):
+        df = spark.read.parquet(path)
+        return columns.of_dataset(df, a.dataset) if a.dataset and "dataset" in df.columns else df
+
     split = lambda items, n: [x.split("=", n) for x in items]
     match a.command:
         case "prepare":
@@ -95,6 +105,19 @@ def main(argv: list[str]) -> int:
             put(judged, f"{p[4]}/judgments")
             sinks.write_summary(paired, f"{p[4]}/paired")
             sinks.write_provenance(f"{p[4]}/provenance.json", {"work": p[0], "arms": p[1:3], "prompt_version": p[3], "writers": a.writer, "judges": a.judge})
+        case "dual-label":
+            writers = {m: adapter(f) for m, f in split(a.writer, 1)}
+            judges = {m: (adapter(f), mode) for m, f, mode in split(a.judge, 2)}
+            made, judged, paired, summary = pipelines.dual_label_matrix(spark, read(p[0]), (p[1], p[2]), writers, judges, f"{p[3]}/checkpoints")
+            put(made, f"{p[3]}/generations")
+            put(judged, f"{p[3]}/judgments")
+            sinks.write_summary(paired, f"{p[3]}/paired")
+            sinks.write_summary(summary, f"{p[3]}/generations-summary")
+        case "extra-judge":
+            judged, paired = pipelines.extra_judge(spark, read(p[0]), read(p[1]), (p[2], p[3]), adapter(p[5]), p[4], a.mode, f"{p[6]}/checkpoints", read(a.existing) if a.existing else None)
+            put(judged, f"{p[6]}/judgments")
+            put(paired, f"{p[6]}/paired-rows")
+            sinks.write_summary(paired, f"{p[6]}/paired")
         case "wide":
             g, j = read(p[1]), read(p[2])
             names = lambda df, c: sorted(r[0] for r in df.select(T.column_slug(df[c])).distinct().collect())  # noqa: E731  a row a model

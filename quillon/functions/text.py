@@ -132,6 +132,15 @@ def trailing_ordinal(query_id: Column) -> Column:
     return F.regexp_extract(query_id, r"(\d+)$", 1).try_cast("bigint")
 
 
+def json_list(values: Column, ascii_only: bool = False) -> Column:
+    """An array of texts as a JSON list with a space behind each comma; ``ascii_only`` writes other characters as UTF-16 escapes."""
+    quoted = lambda x: F.regexp_replace(F.to_json(F.array(x)), r"(?s)^\[(.*)\]$", "$1")
+    units = lambda c: F.regexp_replace(F.lower(F.hex(F.encode(c, "UTF-16BE"))), "(.{4})", r"\\u$1")
+    escaped = lambda x: F.array_join(F.transform(F.split(x, ""), lambda c: F.when(c.rlike(r"^[\x00-\x7f]*$"), c).otherwise(units(c))), "")
+    each = F.transform(values, lambda x: escaped(quoted(x)) if ascii_only else quoted(x))
+    return F.concat(F.lit("["), F.array_join(each, ", "), F.lit("]"))
+
+
 def padded_id(name: Column, ordinal: Column) -> Column:
     return F.format_string("%s-%06d", name, ordinal)
 

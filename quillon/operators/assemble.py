@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillon.operators.checks import require, together, unique
+
 
 def namespaced(df: DataFrame, prefix: str, fields: list[str], keys: list[str]) -> DataFrame:
     """Keys and the fields that ``df`` has, renamed prefix__field."""
@@ -83,3 +85,27 @@ def by_enumeration(df: DataFrame, column: str, values: list[str]) -> DataFrame:
 def ordinals(df: DataFrame, group: str, order: str, name: str = "source_row") -> DataFrame:
     """Running number from 0 within each group."""
     return df.withColumn(name, (F.row_number().over(Window.partitionBy(group).orderBy(order)) - 1).cast("long"))
+
+
+def matched(a: DataFrame, b: DataFrame, keys: list[str], suffixes: tuple[str, str] = ("", "_other")) -> DataFrame:
+    """The inner join of two tables in which each key occurs once; columns that both have get a suffix each. Raises on repeated keys."""
+    require(together(unique(a, keys), unique(b, keys)))
+    both = set(a.columns) & set(b.columns) - set(keys)
+    named = lambda df, suffix: df.withColumnsRenamed({c: c + suffix for c in both})
+    return named(a, suffixes[0]).join(named(b, suffixes[1]), keys)
+
+
+def differing(joined: DataFrame, columns: list[str], suffixes: tuple[str, str] = ("", "_other")) -> DataFrame:
+    """Rows of ``matched`` whose columns of the same name differ, nulls being equal."""
+    return joined.where(reduce(lambda x, y: x | y, [~F.col(c + suffixes[0]).eqNullSafe(F.col(c + suffixes[1])) for c in columns]))
+
+
+def by_position(a: DataFrame, b: DataFrame, group: str, order_a: str, order_b: str, same: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(rows, faults): the n-th row of each group beside the n-th of the other table, in orders that both tables name, and the places
+    where a row lacks on one side or columns of ``same`` differ. Places are explicit numbers, never those in a file."""
+    x, y = ordinals(a, group, order_a, "_at"), ordinals(b, group, order_b, "_at")
+    y = y.select("_at", group, *[F.col(c).alias(f"_{c}") for c in same], *[c for c in b.columns if c not in a.columns], F.lit(True).alias("_there"))
+    j = x.withColumn("_here", F.lit(True)).join(y, [group, "_at"], "full_outer")
+    wrong = reduce(lambda p, q: p | q, [~F.col(c).eqNullSafe(F.col(f"_{c}")) for c in same], F.col("_here").isNull() | F.col("_there").isNull())
+    helpers = ["_here", "_there", *[f"_{c}" for c in same]]
+    return j.where(~wrong).drop("_at", *helpers), j.where(wrong).select(group, F.col("_at").alias("position"))

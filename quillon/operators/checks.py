@@ -108,3 +108,88 @@ def golden(actual: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
 
 def size_limit(files: DataFrame, most: int = 49 << 20) -> DataFrame:
     return _row("size_limit", files.where(F.col("bytes") > most))
+
+
+def _arms(df: DataFrame, arms: list[str]) -> DataFrame:
+    return df.sparkSession.range(1).select(F.explode(F.array(*map(F.lit, arms))).alias("arm"))
+
+
+def handoff(rows: DataFrame, questions: DataFrame, units: DataFrame, arms: list[str], qrels: DataFrame | None = None) -> DataFrame:
+    """Runs as they are handed over: exactly these arms, all questions in each and once, nothing null, known units, allowed
+    documents, as many items as told, relevant units that are known and allowed, and flags (where the table has them) that rise with k."""
+    n = rows.agg(F.count(F.lit(1)).alias("n")).crossJoin(questions.agg(F.count(F.lit(1)).alias("q")))  # one row each
+    count = n.select(F.lit("row_count").alias("check"), F.when(F.col("n") == F.col("q") * len(arms), 0).otherwise(1).cast("long").alias("n_violations"))
+    needed = ["question", "golden_answer", "retrieval_error", "retrieved_count", "retrieved_items"]
+    columns_present(rows, ["query_id", "arm", *needed])
+    filled = F.size(F.filter("retrieved_items", lambda x: F.concat_ws("", x["unit_id"], x["doc_id"], x["text"]) != ""))
+    parts = [equal_sets("arms", rows.select("arm").distinct(), _arms(rows, arms)), count, unique(rows, ["query_id", "arm"]), coverage(rows, questions, arms),
+             conditions(rows, **{f"null_{c}": F.col(c).isNull() for c in needed}, count_differs=filled != F.col("retrieved_count")), doc_filter(rows, questions, units)]
+    if qrels is not None:
+        allowed = questions.select("query_id", F.explode("allowed_doc_ids").alias("doc_id"))
+        parts += [subset("qrels_query", qrels, questions, ["query_id"]), subset("qrels_unit", qrels, units.select("unit_id"), ["unit_id"]), subset("qrels_document", qrels, allowed, ["query_id", "doc_id"])]
+    if "exact_1" in rows.columns:
+        parts.append(monotone(rows))
+    return together(*parts)
+
+
+def matrix(work: DataFrame, generations: DataFrame, judged: DataFrame, models: list[str], judges: list[str], prompt_version: str) -> DataFrame:
+    """A paired matrix: inputs that agree over the arms; every cell of rows, models and judges there, once and without error;
+    prompts of one version; contexts that hash to what was sent, judgments of what was generated, scores in their domain."""
+    agree = work.groupBy("query_id").agg(F.countDistinct(F.struct("question", "golden_answer")).alias("n")).where("n > 1")
+    cells = work.select("query_id", "arm", T.sha256(F.col("context")).alias("wanted")).withColumn("model", F.explode(F.array(*map(F.lit, models))))
+    key = ["query_id", "arm", "model"]
+    rows = conditions(generations, generation_error=F.coalesce("generation_error", F.lit("")) != "", blank_answer=T.is_blank(F.coalesce("generated_answer", F.lit(""))), prompt_version=~F.col("prompt_version").eqNullSafe(F.lit(prompt_version)))
+    context = generations.join(cells, key).where(~F.col("retrieval_context_sha256").eqNullSafe(F.col("wanted")))
+    j = judged.withColumnRenamed("generator", "model")
+    made = generations.select(*key, F.col("generation_sha256").alias("wanted")).withColumn("judge_model", F.explode(F.array(*map(F.lit, judges))))
+    other = j.join(made, [*key, "judge_model"]).where(~F.col("generation_sha256").eqNullSafe(F.col("wanted")))
+    scale, score = F.col("judge_mode") != "binary", T.as_number(F.col("score"))
+    domain = conditions(j, judge_error=F.coalesce("judge_error", F.lit("")) != "", verdict=~scale & ~F.coalesce("verdict", F.lit("")).isin("CORRECT", "INCORRECT"), score=scale & (F.coalesce("judge_fallback", F.lit("")) == "") & ~F.coalesce(score.between(1, 5), F.lit(False)), blank_reason=T.is_blank(F.coalesce("reason", F.lit(""))))
+    return together(
+        _row("inputs_agree", agree), unique(generations, key), subset("missing_generation", cells, generations, key), subset("unknown_generation", generations, cells, key), rows, _row("context_hash", context),
+        unique(j, [*key, "judge_model"]), subset("missing_judgment", made, j, [*key, "judge_model"]), subset("unknown_judgment", j, made, [*key, "judge_model"]), _row("generation_hash", other), domain,
+    )
+
+
+#: Labels that a text parse gave are no published metric.
+FORBIDDEN = ("parsed_label", "label_correct", "label_parse_error")
+
+
+def package(tables: dict[str, DataFrame], wanted: dict[str, int], forbidden: tuple[str, ...] = FORBIDDEN, known_errors: dict[str, int] | None = None) -> DataFrame:
+    """Wide results, a table an arm: exactly the tables and row counts wanted, one arm in each, no blank question or answer, no
+    "nan" in place of a text, no forbidden column, errors empty (of retrieval as many as known), values in their domains, the same questions in all."""
+    spark = next(iter(tables.values())).sparkSession
+    names = sum(c.count(w) > 0 for df in tables.values() for c in df.columns for w in forbidden)
+    parts = [spark.range(1).select(F.explode(F.array(*[F.struct(F.lit(k).alias("check"), F.lit(v).cast("long").alias("n_violations")) for k, v in (("tables", len(set(tables) ^ set(wanted))), ("forbidden_columns", names))])).alias("r")).select("r.*")]
+    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    for name, df in tables.items():
+        bad = {"other_arm": ~F.col("arm").eqNullSafe(F.lit(name)), "blank_question": T.is_blank(text("question")), "nan_text": F.exists("retrieved_items", lambda x: F.lower(T.stripped(F.coalesce(x["text"], F.lit("")))) == "nan")}
+        for c in df.columns:
+            cell, _, field = c.rpartition("__")
+            mode = F.coalesce(F.col(f"{cell}__judge_mode"), F.lit("")) if f"{cell}__judge_mode" in df.columns else F.lit("")
+            if field in ("generation_error", "judge_error"):
+                bad[c] = ~T.is_blank(text(c))
+            elif field == "generated_answer":
+                bad[c] = T.is_blank(text(c))
+            elif field == "judge_correct":
+                bad[c] = F.col(c).isNull()
+            elif field == "score":
+                tag = text(f"{cell}__judge_fallback") if f"{cell}__judge_fallback" in df.columns else F.lit("")
+                number = T.as_number(F.col(c))
+                bad[c] = (mode != "binary") & F.when(number.isNull(), tag == "").otherwise(~number.between(1, 5))
+            elif field == "verdict":
+                bad[c] = (mode != "scale-1-5") & ~text(c).isin("CORRECT", "INCORRECT")
+        each = df.agg(F.count(F.lit(1)).alias("n"), F.countDistinct("query_id").alias("ids"), count_if(~T.is_blank(text("retrieval_error"))).alias("errors"), *[count_if(v).alias(k) for k, v in bad.items()])
+        rows = F.lit(wanted.get(name, -1))
+        told = {"rows": ((F.col("n") != rows) | (F.col("ids") != rows)).cast("long"), "retrieval_errors": F.abs(F.col("errors") - (known_errors or {}).get(name, 0)), **{k: F.col(f"`{k}`") for k in bad}}
+        parts.append(each.select(F.explode(F.array(*[F.struct(F.lit(f"{name}: {k}").alias("check"), v.alias("n_violations")) for k, v in told.items()])).alias("r")).select("r.*"))
+    first = next(iter(tables.values())).select("query_id")
+    parts += [equal_sets(f"{name}: questions", first, df.select("query_id")) for name, df in list(tables.items())[1:]]
+    return together(*parts)
+
+
+def development(frame: DataFrame, method: str, size: int) -> DataFrame:
+    """Preconditions of a frozen run: one method, no errors, unique ids, at least ``size`` development rows."""
+    enough = frame.agg(F.lit("development_rows").alias("check"), F.greatest(F.lit(size) - count_if(F.lower("split") == "dev"), F.lit(0)).alias("n_violations"))
+    rows = conditions(frame, other_method=~F.col("retrieval_method").eqNullSafe(F.lit(method)), error=F.coalesce("retrieval_error", F.lit("")) != "")
+    return together(enough, rows, unique(frame, ["query_id"]))

@@ -129,3 +129,10 @@ def combined(summary: DataFrame, arms: list[str], metric: str, *keys: str) -> Da
 
 def label_summary(generations: DataFrame, *keys: str) -> DataFrame:
     return generations.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_rows"), count_if(F.coalesce("generation_error", F.lit("")) != "").alias("n_errors"), F.avg(F.col("parsed_label").isNotNull().cast("int")).alias("parse_rate"), F.avg(F.coalesce(F.col("parsed_label") == F.col("golden_answer"), F.lit(False)).cast("int")).alias("label_accuracy"))
+
+
+def generation_summary(generations: DataFrame, *keys: str) -> DataFrame:
+    """Per key: questions, errors, answers that are blank, refusals for want of a context (no tokens sent), tokens."""
+    failed = F.coalesce("generation_error", F.lit("")) != ""
+    return generations.groupBy(*keys).agg(F.count(F.lit(1)).alias("questions"), count_if(failed).alias("generation_errors"), count_if(T.is_blank(F.coalesce("generated_answer", F.lit("")))).alias("n_blank"),
+                                          count_if(~failed & (F.col("input_tokens") == 0)).alias("n_unsent"), F.sum("total_tokens").alias("total_tokens"))

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillon.functions import text as T
+
 GAP = "[...]"
 
 
@@ -54,3 +56,20 @@ def anchor_faults(anchors: DataFrame, sentences: DataFrame, top_k: int = 4) -> D
     many = by.where("docs > 1").select("query_id", F.lit("documents").alias("problem"))
     lost = anchors.join(sentences, ["doc_id", "paragraph_idx", "sentence_idx"], "left_anti").select("query_id", F.lit("no sentence").alias("problem")).distinct()
     return wrong.union(many).union(lost)
+
+
+def of_hits(hits: DataFrame) -> DataFrame:
+    """Windows that a search gives with its sentences: (query_id, rank, doc_id, unit_id, score, text, n_units).
+
+    ``hits(query_id, rank, doc_id, unit_id, score, text, context)``, where ``context`` is an array of (unit_id, text); a hit without one
+    is its own window. A unit stays in the best-ranked window that has it; the rest of a window is joined without a mark, also where
+    nothing stays. Equal units within a window count once.
+    """
+    own = F.array(F.struct("unit_id", "text"))
+    units = F.when(F.coalesce(F.size("context"), F.lit(0)) > 0, F.col("context")).otherwise(own)
+    each = hits.select("query_id", "rank", F.posexplode(units).alias("at", "u")).select("query_id", "rank", "at", "u.unit_id", "u.text")
+    best = Window.partitionBy("query_id", "unit_id").orderBy("rank", "at")
+    fresh = each.withColumn("n", F.row_number().over(best)).where("n = 1").groupBy("query_id", "rank").agg(F.array_sort(F.collect_list(F.struct("at", "text"))).alias("kept"))
+    text = F.array_join(F.transform("kept", lambda x: F.coalesce(x["text"], F.lit(""))), "")
+    out = hits.drop("text", "context").join(fresh, ["query_id", "rank"], "left")
+    return out.select("query_id", "rank", "doc_id", "unit_id", "score", F.coalesce(T.stripped(text), F.lit("")).alias("text"), F.coalesce(F.size("kept"), F.lit(0)).alias("n_units"))

@@ -29,6 +29,8 @@ REFUSAL = "Cannot be determined from the supplied context."
 FAILED = "Answer generation failed."
 FILTERED = "content_filter_score_excluded"
 NO_REASON = "No reason returned."
+#: What a writer is asked; other wordings are other prompt versions.
+TEMPLATE = "Answer from the context alone.\n\nContext:\n{context}\n\nQuestion: {question}"
 #: How often a judge is asked for an object of the right form.
 ASKS = 4
 GENERATION = "query_id string, arm string, model string, prompt_version string, content_sha256 string, generated_answer string, generation_error string, input_tokens long, output_tokens long, generation_sha256 string, response_id string, total_tokens long, response_model string, response_provider string, retrieval_context_sha256 string"
@@ -45,7 +47,7 @@ class Refused(RuntimeError):
 
 @dataclass(frozen=True)
 class Reply:
-    text: str
+    text: str | list
     input_tokens: int = 0
     output_tokens: int = 0
     total_tokens: int | None = None
@@ -85,8 +87,10 @@ def stub_judge(prompt: str) -> Reply:
     return Reply(f'```json\n{{{first}, "reason": "stub"}}\n```', len(prompt.split()), 8)
 
 
-def prompt(context: Column, question: Column) -> Column:
-    return F.concat(F.lit("Answer from the context alone.\n\nContext:\n"), context, F.lit("\n\nQuestion: "), question)
+def prompt(context: Column, question: Column, template: str = TEMPLATE) -> Column:
+    """``template`` with {context} and {question} filled in; every other character stands for itself."""
+    filled = {"{context}": context, "{question}": question}
+    return F.concat(*[filled.get(part, F.lit(part)) for part in re.split(r"(\{context\}|\{question\})", template)])
 
 
 def judge_prompt(question: Column, gold: Column, answer: Column, mode: str = "binary") -> Column:
@@ -126,12 +130,12 @@ def called(df: DataFrame, adapter: Callable[[str], Reply], column: str = "prompt
             try:
                 got = retried(lambda: adapter(p), attempts)
                 for i in range(ASKS - 1 if valid else 0):
-                    if valid(got.text):
+                    if valid(reply_text(got.text)):
                         break
                     time.sleep(0.25 * (i + 1))
                     got = retried(lambda: adapter(p), attempts)
                 total = got.input_tokens + got.output_tokens if got.total_tokens is None else got.total_tokens
-                return got.text, "", got.input_tokens, got.output_tokens, total, got.response_id, got.model, got.provider
+                return reply_text(got.text), "", got.input_tokens, got.output_tokens, total, got.response_id, got.model, got.provider
             except Exception as e:  # a row's failure is data
                 return None, f"{type(e).__name__}: {e}"[:500], 0, 0, 0, "", "", ""
 
@@ -144,13 +148,13 @@ def called(df: DataFrame, adapter: Callable[[str], Reply], column: str = "prompt
     return df.mapInPandas(run, f"{kinds}, {extra_kinds}")
 
 
-def generated(work: DataFrame, adapter: Callable[[str], Reply], model: str, prompt_version: str) -> DataFrame:
+def generated(work: DataFrame, adapter: Callable[[str], Reply], model: str, prompt_version: str, template: str = TEMPLATE) -> DataFrame:
     """Answers for ``work(query_id, arm, question, context)``, as GENERATION.
 
     A blank context is answered without a call. An empty reply is an error; errors are the name of the exception's type.
     """
     blank = T.is_blank(F.col("context"))
-    sent = work.select("query_id", "arm", T.sha256(F.concat_ws("\n", "question", "context")).alias("content_sha256"), T.sha256(F.col("context")).alias("retrieval_context_sha256"), F.when(~blank, prompt(F.col("context"), F.col("question"))).alias("prompt"))
+    sent = work.select("query_id", "arm", T.sha256(F.concat_ws("\n", "question", "context")).alias("content_sha256"), T.sha256(F.col("context")).alias("retrieval_context_sha256"), F.when(~blank, prompt(F.col("context"), F.col("question"), template)).alias("prompt"))
     out = called(sent, adapter)
     answer = F.when(F.col("prompt").isNull(), F.lit(REFUSAL)).otherwise(T.stripped(F.coalesce("reply", F.lit(""))))
     error = F.when(F.col("reply_error") != "", F.substring_index("reply_error", ":", 1)).when(answer == "", "ValueError").otherwise("")

@@ -45,16 +45,35 @@ def retrieve(questions: DataFrame, units: DataFrame, arm: str = "bm25", top_k: i
     return ranking.nested(questions, ranking.with_text(top, units), arm, bm25_k1=k1, bm25_b=b, top_k=top_k)
 
 
-def retrieve_external(questions: DataFrame, search: Callable[[str], answers.Reply], arm: str) -> DataFrame:
-    """Rankings of an external service: ``search`` takes a JSON request (query, allowed ids) and gives a JSON array of items.
+def _searched(questions: DataFrame, search: Callable[[str], answers.Reply], arm: str, limit: int, settings: dict) -> DataFrame:
+    """``questions`` with the service's best ``limit`` hits, ranked by their place, and what was asked for as columns."""
+    asked = {"limit": limit, **settings}
+    request = F.to_json(F.struct(F.col("question").alias("query"), F.col("allowed_doc_ids"), *[F.lit(v).alias(k) for k, v in asked.items()]))
+    got = answers.called(questions.withColumn("prompt", request), search)
+    hits = F.slice(F.coalesce(F.from_json("reply", f"array<{tables.HIT}>"), F.array().cast(f"array<{tables.HIT}>")), 1, limit)
+    made = lambda x: F.coalesce(F.nullif(x["unit_id"], F.lit("")), T.compound_id(x["doc_id"], x["paragraph_idx"], x["subparagraph_idx"]))
+    out = got.withColumn("hits", F.transform(hits, lambda x, i: x.withField("rank", (i + 1).cast("int")).withField("unit_id", made(x))))
+    out = out.withColumns({"arm": F.lit(arm), "top_k": F.lit(limit), **{k: F.lit(v) for k, v in settings.items()}}).withColumnRenamed("reply_error", "retrieval_error")
+    return out.drop("prompt", "reply", "input_tokens", "output_tokens", "total_tokens", "response_id", "response_model", "response_provider")
+
 
-    Failures of single questions become their retrieval_error.
+def retrieve_external(questions: DataFrame, search: Callable[[str], answers.Reply], arm: str, limit: int = 4, **settings) -> DataFrame:
+    """Rankings of an external service: ``search`` takes a JSON request (query, allowed ids, limit and the settings, such as level, weight
+    and cutoff) and gives a JSON array of hits. Failures of single questions become their retrieval_error.
     """
-    request = F.to_json(F.struct(F.col("question").alias("query"), F.col("allowed_doc_ids")))
-    got = answers.called(questions.withColumn("prompt", request), search)
-    items = F.from_json("reply", f"array<{tables.EXCERPT}>")
-    out = got.withColumn("retrieved_items", F.coalesce(items, F.array().cast(f"array<{tables.EXCERPT}>"))).withColumn("arm", F.lit(arm)).withColumnRenamed("reply_error", "retrieval_error")
-    return out.withColumn("retrieved_count", F.size("retrieved_items").cast("long")).drop("prompt", "reply", "input_tokens", "output_tokens", "total_tokens", "response_id", "response_model", "response_provider")
+    out = _searched(questions, search, arm, limit, settings)
+    fields = ("rank", "unit_id", "doc_id", "text", "score")
+    out = out.withColumn("retrieved_items", F.transform("hits", lambda x: F.struct(*[x[f].alias(f) for f in fields])))
+    return out.withColumn("retrieved_count", F.size("hits").cast("long")).drop("hits")
+
+
+def retrieve_windows(questions: DataFrame, search: Callable[[str], answers.Reply], arm: str, limit: int = 4, context: int = 2, **settings) -> DataFrame:
+    """As ``retrieve_external`` for hits with their neighbours: windows in the order of their ranks, each sentence in the first that has it."""
+    out = _searched(questions, search, arm, limit, {"context": context, **settings})
+    top = windows.of_hits(out.select("query_id", F.explode("hits").alias("h")).select("query_id", "h.rank", "h.doc_id", "h.unit_id", "h.score", "h.text", "h.context"))
+    items = top.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "unit_id", "doc_id", "text", "score"))).alias("retrieved_items"))
+    out = out.drop("hits").join(items, "query_id", "left").withColumn("retrieved_items", F.coalesce("retrieved_items", F.array().cast(f"array<{tables.EXCERPT}>")))
+    return out.withColumn("retrieved_count", F.size("retrieved_items").cast("long")).withColumn("retrieved_context", ranking.context())
 
 
 def import_neural(spark: SparkSession, path: str, members: dict[str, str], columns: dict[str, str], order: str, dataset: str = "dataset") -> DataFrame:
@@ -91,11 +110,11 @@ def window_inputs(questions: DataFrame, anchors: DataFrame, sentences: DataFrame
     return questions.join(by_rank, "query_id").select(*keep, F.col("ranked_context").alias("context")), questions.join(by_source, "query_id").select(*keep, F.col("source_context").alias("context")), audit
 
 
-def generate(spark: SparkSession, work: DataFrame, adapter, model: str, prompt_version: str, checkpoint: str, batches: int = 4) -> DataFrame:
+def generate(spark: SparkSession, work: DataFrame, adapter, model: str, prompt_version: str, checkpoint: str, batches: int = 4, template: str = answers.TEMPLATE) -> DataFrame:
     """All answers, resumed from ``checkpoint``; raises while any row still fails."""
     keys = ["query_id", "arm", "model", "prompt_version", "content_sha256"]
     tagged = work.withColumn("model", F.lit(model)).withColumn("prompt_version", F.lit(prompt_version)).withColumn("content_sha256", T.sha256(F.concat_ws("\n", "question", "context")))
-    out = answers.resumed(spark, tagged, lambda df: answers.generated(df, adapter, model, prompt_version), checkpoint, answers.GENERATION, keys, "generation_error", batches)
+    out = answers.resumed(spark, tagged, lambda df: answers.generated(df, adapter, model, prompt_version, template), checkpoint, answers.GENERATION, keys, "generation_error", batches)
     checks.require(checks.conditions(out, generation_error=F.col("generation_error") != ""))
     return out
 
@@ -168,16 +187,16 @@ def run_matrix(cells: dict[str, Callable[[], object]], width: int = 4) -> dict[s
     return answers.settled(cells, width)
 
 
-def paired_matrix(spark: SparkSession, work: DataFrame, arms: tuple[str, str], writers: dict[str, Callable], judges: dict[str, tuple[Callable, str]], prompt_version: str, root: str, width: int = 4) -> tuple[DataFrame, DataFrame, DataFrame]:
+def paired_matrix(spark: SparkSession, work: DataFrame, arms: tuple[str, str], writers: dict[str, Callable], judges: dict[str, tuple[Callable, str]], prompt_version: str, root: str, width: int = 4, template: str = answers.TEMPLATE) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Both arms of ``work`` with all writers, all their answers with all judges: generations, judgments, paired summaries.
 
     ``writers`` maps a model to its adapter, ``judges`` to an adapter and a mode. First the rows are checked: both arms have
     the same questions, each once. Stages settle side by side, each resumes from its own checkpoint under ``root``,
-    and judging starts when all answers are there.
+    and judging starts when all answers are there. At the end the whole matrix is checked.
     """
     checks.require(checks.unique(work, ["query_id", "arm"]))
     paired.require_whole(work, *arms)
-    made = run_matrix({m: lambda m=m, f=f: generate(spark, work, f, m, prompt_version, f"{root}/generations/{_slug(m)}") for m, f in writers.items()}, width)
+    made = run_matrix({m: lambda m=m, f=f: generate(spark, work, f, m, prompt_version, f"{root}/generations/{_slug(m)}", template=template) for m, f in writers.items()}, width)
 
     def cell(m: str, j: str) -> DataFrame:
         out, _ = judge(work, made[m], judges[j][0], j, judges[j][1], checkpoint=f"{root}/judgments/{_slug(m)}--{_slug(j)}")
@@ -185,13 +204,63 @@ def paired_matrix(spark: SparkSession, work: DataFrame, arms: tuple[str, str], w
         return out.withColumn("generator", F.lit(m))
 
     judged = run_matrix({f"{m} {j}": lambda m=m, j=j: cell(m, j) for m in writers for j in judges}, width)
-    summaries = []
-    for m in writers:
-        for j, (_, mode) in judges.items():
-            rows = judged[f"{m} {j}"].withColumn("right", F.col("verdict") == "CORRECT")
-            one = paired_summary(rows, *arms, "right" if mode == "binary" else "score", mode == "binary", whole=True)
-            summaries.append(one.withColumns({"generator": F.lit(m), "judge": F.lit(j), "judge_mode": F.lit(mode)}))
-    return assemble.stacked(*made.values()), assemble.stacked(*judged.values()), assemble.stacked(*summaries)
+    if not judged:
+        raise ValueError("a matrix needs a writer and a judge at least")
+    summaries = [_cell_summary(judged[f"{m} {j}"], arms, m, j, mode) for m in writers for j, (_, mode) in judges.items()]
+    made, judged = assemble.stacked(*made.values()), assemble.stacked(*judged.values())
+    checks.require(checks.matrix(work, made, judged, list(writers), list(judges), prompt_version))
+    return made, judged, assemble.stacked(*summaries)
+
+
+def _cell_summary(rows: DataFrame, arms: tuple[str, str], generator: str, judge_model: str, mode: str) -> DataFrame:
+    rows = rows.withColumn("right", F.col("verdict") == "CORRECT")
+    one = paired_summary(rows, *arms, "right" if mode == "binary" else "score", mode == "binary", whole=True)
+    return one.withColumns({"generator": F.lit(generator), "judge": F.lit(judge_model), "judge_mode": F.lit(mode)})
+
+
+def dual_label_matrix(spark: SparkSession, work: DataFrame, arms: tuple[str, str], writers: dict, judges: dict, root: str, prompt_version: str = "dual-label", labels: tuple[str, str] = ("True/Entailment", "False/Contradiction"), width: int = 4) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """The paired matrix with a prompt that asks for one of two labels before the answer, and a summary of each writer's answers.
+
+    What a parse of the label would give is no part of it: answers are measured by the judges alone.
+    """
+    asked = answers.TEMPLATE.replace("\n\n", f" Answer {labels[0]} or {labels[1]}, followed by a brief explanation.\n\n", 1)
+    made, judged, paired_rows = paired_matrix(spark, work, arms, writers, judges, prompt_version, root, width, asked)
+    return made, judged, paired_rows, metrics.generation_summary(made, "model", "prompt_version", "arm")
+
+
+def extra_judge(spark: SparkSession, work: DataFrame, made: DataFrame, arms: tuple[str, str], adapter, model: str, mode: str, root: str, existing: DataFrame | None = None, order: tuple[list[str], list[str]] = ((), ())) -> tuple[DataFrame, DataFrame]:
+    """One more judge over all answers of a matrix: its judgments, and the paired summaries with its rows put in or replaced.
+
+    ``order`` lists generators and judges as the summary has them, others last.
+    """
+    writers = sorted(r[0] for r in made.select("model").distinct().collect())  # a row a writer
+    cells = run_matrix({m: lambda m=m: judge(work, made.where(F.col("model") == m), adapter, model, mode, checkpoint=f"{root}/judgments/{_slug(m)}--{_slug(model)}")[0] for m in writers})
+    rows = {m: df.withColumn("generator", F.lit(m)) for m, df in cells.items()}
+    new = assemble.stacked(*[_cell_summary(df, arms, m, model, mode) for m, df in rows.items()])
+    summary = new if existing is None else assemble.upserted(existing, new, keys=["generator", "judge"])
+    at = [F.when(F.col(c).isin(*names), F.array_position(F.array(*map(F.lit, names)), F.col(c))).otherwise(len(names) + 1) if names else F.lit(0) for c, names in zip(("generator", "judge"), order, strict=True)]
+    return assemble.stacked(*rows.values()), summary.orderBy(*at, "generator", "judge")
+
+
+def arm_matrix(spark: SparkSession, datasets: dict[str, tuple[DataFrame, DataFrame]], arm: str, writers: dict[str, Callable], judges: dict[str, tuple[Callable, str]], prompt_version: str, root: str, width: int = 4) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """One more retrieval arm over many datasets with all writers and judges: generations, judgments, and a summary by dataset, generator and judge.
+
+    ``datasets`` maps a name to (questions, retrieved(source_row, question, context)): the arm's rows must be the questions' in their order. Cells resume
+    from checkpoints of their own; rows that failed are done again; all cells settle before a failure is raised.
+    """
+    works = {}
+    for name, (questions, retrieved) in datasets.items():
+        one = lambda df: df.withColumn("dataset", F.lit(name))  # noqa: E731, B023
+        rows, faults = assemble.by_position(one(questions).drop("context"), one(retrieved), "dataset", "source_row", "source_row", ["question"])
+        checks.require(faults.agg(F.lit(f"{name}: order").alias("check"), F.count(F.lit(1)).alias("n_violations")))
+        works[name] = rows.withColumn("arm", F.lit(arm))
+    made = run_matrix({f"{d} {m}": lambda d=d, m=m: generate(spark, works[d], writers[m], m, prompt_version, f"{root}/{d}/generations/{_slug(m)}") for d in works for m in writers}, width)
+    cells = [(d, m, j) for d in works for m in writers for j in judges]
+    judged = run_matrix({" ".join(c): lambda c=c: judge(works[c[0]], made[f"{c[0]} {c[1]}"], judges[c[2]][0], c[2], judges[c[2]][1], checkpoint=f"{root}/{c[0]}/judgments/{_slug(c[1])}--{_slug(c[2])}")[0] for c in cells}, width)
+    named = lambda c: judged[" ".join(c)].withColumns({"dataset": F.lit(c[0]), "generator": F.lit(c[1]), "judge": F.lit(c[2])})
+    rows = assemble.stacked(*[named(c) for c in cells])
+    answered = assemble.stacked(*[made[f"{d} {m}"].withColumn("dataset", F.lit(d)) for d in works for m in writers])
+    return answered, rows, metrics.judge_summary(rows, "dataset", "arm", "generator", "judge", "judge_mode")
 
 
 def _slug(name: str) -> str:
@@ -201,7 +270,5 @@ def _slug(name: str) -> str:
 def development_rows(frame: DataFrame, method: str, size: int = 100, salt: str = "pilot") -> DataFrame:
     """The stable sample of a frozen run, after its preconditions: one method, unique ids, no errors, enough development rows."""
     checks.columns_present(frame, ["dataset", "query_id", "split", "source_row", "question", "golden_answer", "retrieval_method", "retrieved_context", "retrieval_error"])
-    enough = frame.agg(F.lit("development_rows").alias("check"), F.greatest(F.lit(size) - metrics.count_if(F.lower("split") == "dev"), F.lit(0)).alias("n_violations"))
-    rows = checks.conditions(frame, other_method=~F.col("retrieval_method").eqNullSafe(F.lit(method)), error=F.coalesce("retrieval_error", F.lit("")) != "")
-    checks.require(checks.together(enough, rows, checks.unique(frame, ["query_id"])))
+    checks.require(checks.development(frame, method, size))
     return sampling.stable_sample(frame, size, salt)

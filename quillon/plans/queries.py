@@ -572,3 +572,138 @@ def csv_and_json_read_back(spark: SparkSession, sf: str) -> DataFrame:
     n.where("n_nationkey % 2 = 1").write.json(f"{path}/json")
     read = tables.csv(spark, f"{path}/csv").unionByName(tables.json_lines(spark, f"{path}/json", "n_nationkey string, n_name string, n_regionkey string"))
     return read.select(*[F.col(f.name).cast(f.dataType) for f in n.schema])
+
+
+@query("SELECT row_number() OVER (ORDER BY n_nationkey % 3, n_nationkey) - 1 AS place, n_nationkey FROM nation")
+def parts_in_path_order(spark: SparkSession, sf: str) -> DataFrame:
+    n, path = table(spark, sf, "nation", "n_nationkey"), f"{scratch.root(spark)}/quillon-{uuid.uuid4().hex}"
+    for k in range(3):
+        n.where(F.col("n_nationkey") % 3 == k).coalesce(1).sortWithinPartitions("n_nationkey").write.parquet(f"{path}/part-{k}")
+    df = tables.parts(spark, f"{path}/part-*").withColumn("all", F.lit(""))
+    return assemble.ordinals(df, "all", F.struct("part", "part_row"), "place").select("place", "n_nationkey")
+
+
+# joins by two keys and by place, windows of a search, texts sent ----------------------------------------------------
+
+
+@query("SELECT query_id, source_row, golden_answer, 'other' AS golden_answer_other FROM q WHERE source_row % 6 = 0 AND source_row % 4 <> 0")
+def matched_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """Template rows beside the questions by two keys, and those whose answer isn't the question's."""
+    q = fixtures.passages(spark, sf).select("query_id", "source_row", "question", "golden_answer")
+    template = q.where("source_row % 4 <> 0").withColumn("golden_answer", F.when(F.col("source_row") % 6 == 0, "other").otherwise(F.col("golden_answer")))
+    found = assemble.matched(q, template, ["query_id", "source_row"])
+    return assemble.differing(found, ["question", "golden_answer"]).select("query_id", "source_row", "golden_answer", "golden_answer_other")
+
+
+_PLACES = """(WITH a AS (SELECT conv_id, turn, role, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS place FROM conversations),
+ b AS (SELECT conv_id, CASE WHEN turn % 5 = 0 THEN 'x' ELSE role END AS role, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS place FROM conversations WHERE turn % 4 <> 3)
+ SELECT coalesce(a.conv_id, b.conv_id) AS conv_id, turn, coalesce(a.place, b.place) AS place, coalesce(a.role = b.role, false) AS same FROM a FULL JOIN b ON a.conv_id = b.conv_id AND a.place = b.place)"""
+
+
+@query(f"SELECT conv_id, turn, CAST(NULL AS BIGINT) AS wrong_place FROM {_PLACES} WHERE same UNION ALL SELECT conv_id, NULL, place FROM {_PLACES} WHERE NOT same")
+def joined_by_position(spark: SparkSession, sf: str) -> DataFrame:
+    c = table(spark, sf, "conversations", "conv_id", "turn", "role")
+    other = c.where("turn % 4 <> 3").select("conv_id", F.col("turn").alias("at"), F.when(F.col("turn") % 5 == 0, "x").otherwise(F.col("role")).alias("role"))
+    rows, faults = assemble.by_position(c, other, "conv_id", "turn", "at", ["role"])
+    return assemble.stacked(rows.select("conv_id", "turn"), faults.withColumnRenamed("position", "wrong_place"))
+
+
+@query(f"""SELECT * FROM (WITH k AS (SELECT query_id, rank, string_agg(text, '' ORDER BY position) AS t, count(*) AS n FROM win WHERE is_first GROUP BY ALL)
+ SELECT query_id, w.rank, sha256(coalesce(regexp_replace(t, '^{_GAP}|{_GAP}$', '', 'g'), '')) AS text_sha256, coalesce(n, 0) AS n_units FROM (SELECT DISTINCT query_id, rank FROM win) w LEFT JOIN k USING (query_id, rank))""")
+def windows_of_hits(spark: SparkSession, sf: str) -> DataFrame:
+    w = _windows(spark, sf).withColumn("u", F.struct("position", F.concat_ws("|", "doc_id", "position").alias("unit_id"), "text"))
+    hits = w.groupBy("query_id", "rank").agg(F.first("doc_id").alias("doc_id"), F.array_sort(F.collect_list("u")).alias("u"))
+    context = F.transform("u", lambda x: F.struct(x["unit_id"].alias("unit_id"), x["text"].alias("text")))
+    top = windows.of_hits(hits.select("query_id", "rank", "doc_id", F.lit("").alias("unit_id"), F.lit(0.0).alias("score"), F.lit("").alias("text"), context.alias("context")))
+    return top.select("query_id", F.col("rank").cast("long").alias("rank"), T.sha256(F.col("text")).alias("text_sha256"), F.col("n_units").cast("long").alias("n_units"))
+
+
+@query("SELECT query_id, sha256('Read: ' || golden_answer || chr(10) || '{x} Asked: ' || question || '.') AS prompt_sha256 FROM q")
+def prompt_texts(spark: SparkSession, sf: str) -> DataFrame:
+    q = fixtures.passages(spark, sf)
+    return q.select("query_id", T.sha256(answers.prompt(F.col("golden_answer"), F.col("question"), "Read: {context}\n{x} Asked: {question}.")).alias("prompt_sha256"))
+
+
+@query("SELECT page_id, '[' || to_json(url) || ', ' || to_json('\"' || page_id || '\"') || ']' AS listed FROM pages")
+def json_lists(spark: SparkSession, sf: str) -> DataFrame:
+    p = table(spark, sf, "pages", "page_id", "url")
+    return p.select("page_id", T.json_list(F.array("url", F.concat(F.lit('"'), "page_id", F.lit('"')))).alias("listed"))
+
+
+@query("SELECT role, count(*) AS questions, count(*) FILTER (turn % 5 = 0) AS generation_errors, count(*) FILTER (turn % 3 = 0) AS n_blank, count(*) FILTER (turn % 5 <> 0 AND turn % 4 = 0) AS n_unsent, CAST(sum(turn) AS BIGINT) AS total_tokens FROM conversations GROUP BY role")
+def generation_summary(spark: SparkSession, sf: str) -> DataFrame:
+    c, turn = table(spark, sf, "conversations", "role", "turn"), F.col("turn")
+    made = c.select("role", F.when(turn % 3 == 0, " \t").otherwise("answer").alias("generated_answer"), F.when(turn % 5 == 0, "boom").otherwise("").alias("generation_error"), (turn % 4).alias("input_tokens"), turn.cast("long").alias("total_tokens"))
+    return metrics.generation_summary(made, "role")
+
+
+# whole reports, with planted faults ---------------------------------------------------------------------------------
+
+
+def _report(faults: dict[str, str]) -> str:
+    return " UNION ALL ".join(f"SELECT '{name}' AS \"check\", ({sql}) AS n_violations" for name, sql in faults.items())
+
+
+_ROWS = "(SELECT arm, query_id, source_row FROM armq WHERE NOT (arm = 'bm25_flat' AND source_row % 11 = 0) UNION ALL SELECT 'extra', query_id, source_row FROM q WHERE source_row % 13 = 0)"
+_ITEMS = f"(SELECT rank, source_row FROM (SELECT arm, query_id, rank FROM ranked2 UNION ALL SELECT 'extra', query_id, rank FROM ba_top) i JOIN {_ROWS} r USING (arm, query_id))"
+_QREL = "FROM ba_top JOIN q USING (query_id) WHERE"
+_zeros = lambda *names: {n: "SELECT 0" for n in names}
+
+
+@query(_report({
+    "arms": f"SELECT count(DISTINCT arm) FROM {_ROWS} WHERE arm = 'extra'", "row_count": f"SELECT CASE WHEN (SELECT count(*) FROM {_ROWS}) = 2 * count(*) THEN 0 ELSE 1 END FROM q", "unique_query_id_arm": f"SELECT count(*) - count(DISTINCT (query_id, arm)) FROM {_ROWS}",
+    "missing_key": "SELECT count(*) FROM q WHERE source_row % 11 = 0", "unknown_key": "SELECT count(*) FROM q WHERE source_row % 13 = 0", "null_question": f"SELECT count(*) FROM {_ROWS} WHERE source_row % 7 = 0", **_zeros("null_golden_answer", "null_retrieval_error", "null_retrieved_count", "null_retrieved_items"),
+    "count_differs": f"SELECT count(*) FROM {_ROWS} WHERE source_row % 5 = 0", "known_unit": f"SELECT count(*) FROM {_ITEMS} WHERE rank = 1 AND source_row % 6 = 0", "allowed_document": f"SELECT count(*) FROM {_ITEMS} WHERE rank = 2 AND source_row % 8 = 0",
+    "qrels_query": f"SELECT count(*) {_QREL} rank = 1 AND source_row % 9 = 0", "qrels_unit": f"SELECT count(*) {_QREL} rank = 2 AND source_row % 6 = 0", "qrels_document": f"SELECT count(*) {_QREL} rank = 1 AND source_row % 9 = 0",
+}))
+def dq_handoff(spark: SparkSession, sf: str) -> DataFrame:
+    r, row = _tampered(fixtures.results(spark, sf)), F.col("source_row")
+    r = r.withColumns({"question": F.when(row % 7 != 0, F.col("question")), "retrieved_count": F.col("retrieved_count") + (row % 5 == 0).cast("int")})
+    extra = r.where("arm = 'bm25' AND source_row % 13 = 0").withColumn("arm", F.lit("extra"))
+    q = fixtures.questions(spark, sf)
+    relevant = fixtures.ranked(spark, sf).where("rank <= 2").join(q.select("query_id", "source_row"), "query_id")
+    relevant = relevant.select(F.when((F.col("rank") == 1) & (row % 9 == 0), "nobody").otherwise(F.col("query_id")).alias("query_id"), F.when((F.col("rank") == 2) & (row % 6 == 0), "nowhere").otherwise(F.col("unit_id")).alias("unit_id"), "doc_id")
+    return checks.handoff(r.where("NOT (arm = 'bm25_flat' AND source_row % 11 = 0)").unionByName(extra), q, fixtures.words_document(spark, sf), ["bm25", "bm25_flat"], relevant)
+
+
+_MADE = "FROM armq WHERE NOT (arm = 'bm25' AND source_row % 11 = 0) AND"
+
+
+@query(_report({
+    "inputs_agree": "SELECT count(*) FROM q WHERE source_row % 14 = 0", **_zeros("unique_query_id_arm_model"), "missing_generation": "SELECT count(*) FROM q WHERE source_row % 11 = 0", **_zeros("unknown_generation"),
+    "generation_error": f"SELECT count(*) {_MADE} source_row % 10 = 0", "blank_answer": f"SELECT count(*) {_MADE} source_row % 6 = 0", "prompt_version": f"SELECT count(*) {_MADE} source_row % 7 = 0", "context_hash": f"SELECT count(*) {_MADE} source_row % 9 = 0",
+    **_zeros("unique_query_id_arm_model_judge_model"), "missing_judgment": f"SELECT count(*) {_MADE} source_row % 13 = 0", **_zeros("unknown_judgment"), "generation_hash": f"SELECT count(*) {_MADE} source_row % 13 <> 0 AND source_row % 5 = 0",
+    **_zeros("judge_error", "verdict"), "score": f"SELECT count(*) {_MADE} source_row % 13 <> 0 AND source_row % 8 = 0", "blank_reason": f"SELECT count(*) {_MADE} source_row % 13 <> 0 AND source_row % 15 = 0",
+}))
+def dq_matrix(spark: SparkSession, sf: str) -> DataFrame:
+    row, plant = F.col("source_row"), lambda n, bad, good: F.when(F.col("source_row") % n == 0, bad).otherwise(good)
+    work = fixtures.results(spark, sf).select("query_id", "arm", "source_row", F.when((F.col("arm") == "bm25") & (row % 14 == 0), "other").otherwise(F.col("question")).alias("question"), "golden_answer", ranking.context().alias("context"))
+    made = work.where("NOT (arm = 'bm25' AND source_row % 11 = 0)").select("query_id", "arm", "source_row", F.lit("m").alias("model"), plant(7, "old", "v").alias("prompt_version"), plant(6, " ", "a").alias("generated_answer"), plant(10, "boom", "").alias("generation_error"),
+                                                                          plant(9, "", T.sha256(F.col("context"))).alias("retrieval_context_sha256"), T.sha256(F.col("query_id")).alias("generation_sha256"))
+    judged = made.where("source_row % 13 <> 0").select("query_id", "arm", F.lit("m").alias("generator"), F.lit("j").alias("judge_model"), F.lit("scale-1-5").alias("judge_mode"), plant(5, "", F.col("generation_sha256")).alias("generation_sha256"), F.lit("").alias("verdict"),
+                                                       plant(8, 7, 3).alias("score"), plant(15, " ", "why").alias("reason"), F.lit("").alias("judge_error"), F.lit("").alias("judge_fallback"))
+    return checks.matrix(work, made, judged, ["m"], ["j"], "v")
+
+
+def _packaged(arm: str) -> dict[str, str]:
+    n = lambda k: f"SELECT count(*) FROM q WHERE source_row % {k} = 0"
+    return {f"{arm}: rows": "SELECT CASE WHEN count(*) = 7 THEN 0 ELSE 1 END FROM q", f"{arm}: retrieval_errors": f"SELECT abs(({n(11)}) - 2)", f"{arm}: other_arm": n(10) if arm == "bm25" else "SELECT 0", f"{arm}: blank_question": n(7),
+            f"{arm}: nan_text": f"SELECT count(DISTINCT query_id) FROM ranked2 JOIN q USING (query_id) WHERE arm = '{arm}' AND rank = 1 AND source_row % 6 = 0", f"{arm}: w__generated_answer": n(5), f"{arm}: w__generation_error": n(9), f"{arm}: j__score": n(8), f"{arm}: j__verdict": n(4)}
+
+
+@query(_report({"tables": "SELECT 1", "forbidden_columns": "SELECT 2", **_packaged("bm25"), **_packaged("bm25_flat"), "bm25_flat: questions": "SELECT 2 * count(*) FROM q WHERE source_row % 3 = 0"}))
+def dq_package(spark: SparkSession, sf: str) -> DataFrame:
+    row, plant = F.col("source_row"), lambda n, bad, good: F.when(F.col("source_row") % n == 0, bad).otherwise(good)
+    frames = {}
+    for arm in ("bm25", "bm25_flat"):
+        r = fixtures.results(spark, sf, arm).withColumns({"question": plant(7, " ", F.col("question")), "retrieval_error": plant(11, "boom", ""), "retrieved_items": F.when(row % 6 == 0, F.transform("retrieved_items", lambda x: x.withField("text", F.when(x["rank"] == 1, " NaN").otherwise(x["text"])))).otherwise(F.col("retrieved_items")),
+                                                          "w__generated_answer": plant(5, " ", "a"), "w__generation_error": plant(9, "x", ""), "j__score": F.when(row % 8 == 0, 6).when(row % 5 != 0, 3).cast("int"), "j__judge_fallback": F.when(row % 5 == 0, "filter").otherwise(""), "j__verdict": plant(4, "", "CORRECT"), "parsed_label": F.lit("")})
+        frames[arm] = r.withColumn("arm", plant(10, "other", F.lit(arm))) if arm == "bm25" else r.withColumn("query_id", F.when(row % 3 != 0, F.col("query_id")))
+    return checks.package(frames, {"bm25": 7, "bm25_flat": 7, "neural": 7}, known_errors={"bm25": 2, "bm25_flat": 2})
+
+
+@query(_report({"development_rows": "SELECT greatest(1000000 - count(*) - count(*) FILTER (source_row % 9 = 0), 0) FROM q WHERE split = 'dev'", "other_method": "SELECT count(*) + count(*) FILTER (source_row % 9 = 0) FROM q WHERE source_row % 6 = 0", "error": "SELECT count(*) + count(*) FILTER (source_row % 9 = 0) FROM q WHERE source_row % 10 = 0", "unique_query_id": "SELECT count(*) FROM q WHERE source_row % 9 = 0"}))
+def dq_development(spark: SparkSession, sf: str) -> DataFrame:
+    q, row = fixtures.passages(spark, sf), F.col("source_row")
+    q = q.withColumns({"retrieval_method": F.when(row % 6 != 0, "bm25"), "retrieval_error": F.when(row % 10 == 0, "boom")})
+    return checks.development(q.unionByName(q.where("source_row % 9 = 0")), "bm25", 1000000)

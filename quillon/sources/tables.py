@@ -3,10 +3,14 @@
 from __future__ import annotations
 
 import gzip
+import hashlib
 import os
+import urllib.parse
 import uuid
 import zipfile
+from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,6 +18,7 @@ from quillon.sources import scratch
 
 QUESTION = "query_id string, split string, source_row long, question string, golden_answer string, allowed_doc_ids array<string>, dataset string"
 EXCERPT = "struct<rank:int,unit_id:string,doc_id:string,text:string,score:double>"
+HIT = "struct<rank:int,unit_id:string,doc_id:string,paragraph_idx:int,subparagraph_idx:int,text:string,score:double,context:array<struct<unit_id:string,text:string>>>"
 RETRIEVAL = f"query_id string, arm string, retrieved_items array<{EXCERPT}>, retrieved_count long, retrieval_error string"
 
 
@@ -82,10 +87,31 @@ def routed(spark: SparkSession, root: str, **parts: str) -> DataFrame:
     return df
 
 
+def _hashed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    from pyarrow import fs
+
+    for pdf in batches:
+        sums = []
+        for uri in pdf["path"]:
+            system, path = fs.FileSystem.from_uri(urllib.parse.quote(uri, safe="/:") if uri.startswith("file:") else uri)
+            digest = hashlib.sha256()
+            with system.open_input_stream(path, buffer_size=1 << 20) as f:
+                while block := f.read(1 << 20):
+                    digest.update(block)
+            sums.append(digest.hexdigest())
+        yield pdf.assign(sha256=sums)
+
+
 def files(spark: SparkSession, root: str, skip: str = r"/(\.git|__pycache__|\.pytest_cache)/|\.pyc$") -> DataFrame:
-    """(path, bytes, sha256) of all files under ``root`` except those that match ``skip``."""
+    """(path, bytes, sha256) of all files under ``root`` except those that match ``skip``; files are read in blocks, whatever their size."""
     found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).where(~F.col("path").rlike(skip))
-    return found.select("path", F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+    return found.select("path", F.col("length").alias("bytes")).mapInPandas(_hashed, "path string, bytes long, sha256 string")
+
+
+def parts(spark: SparkSession, glob: str, *columns: str) -> DataFrame:
+    """The rows of all files that ``glob`` matches, with ``part`` and ``part_row``: sorted by both they stand as in the files, taken in the order of their paths."""
+    df = parquet(spark, glob, *columns)
+    return df.select(*df.columns, F.col("_metadata.file_path").alias("part"), F.col("_metadata.row_index").alias("part_row"))
 
 
 def footers(spark: SparkSession, paths: list[str]) -> list[dict]:

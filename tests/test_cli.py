@@ -1,3 +1,5 @@
+import json
+
 from pyspark.sql import functions as F
 
 from quillon.__main__ import main
@@ -34,6 +36,18 @@ def test_external_and_windows(spark, tmp_path):
 
     rows = pipelines.retrieve_external(q, search, "remote").collect()
     assert all(r.retrieved_count == 1 and r.retrieval_error == "" and r.retrieved_items[0].unit_id == "u" for r in rows) and len(rows) == 4
+    def windowed(request):
+        r = json.loads(request)
+        if "source" in r or (r["limit"], r["context"], r["level"], r["weight"]) != (2, 2, "sentence", 0.3):
+            raise ValueError(request)
+        unit = lambda i: {"unit_id": f"d|0|{i}", "text": f"s{i}."}
+        return Reply([json.dumps([{"doc_id": "d", "paragraph_idx": 0, "subparagraph_idx": 3, "text": "s3.", "score": 0.5, "context": [unit(i) for i in range(1, 6)]}, {"doc_id": "d", "text": "s5.", "unit_id": "d|0|5", "context": [unit(i) for i in range(3, 8)]}, {"doc_id": "d", "unit_id": "beyond", "text": "x"}])])
+
+    rows = pipelines.retrieve_windows(q, windowed, "remote", limit=2, level="sentence", weight=0.3).collect()
+    assert len(rows) == 4 and all((r.retrieval_error, r.retrieved_count, r.level, r.top_k) == ("", 2, "sentence", 2) for r in rows)
+    assert rows[0].retrieved_context == "s1.s2.s3.s4.s5.\n\ns6.s7." and rows[0].retrieved_items[0].unit_id == "d|0|3"
+    failed = pipelines.retrieve_windows(q, windowed, "remote", limit=3, level="sentence", weight=0.3).first()
+    assert failed.retrieval_error.startswith("ValueError") and failed.retrieved_count == 0 and failed.retrieved_context == ""
     sentences = spark.createDataFrame([("d", i, i, 0, f"s{i}") for i in range(9)], "doc_id string, sentence_ordinal long, paragraph_idx long, sentence_idx long, text string")
     anchors = spark.createDataFrame([("bench-000000", k, "d", p, 0) for k, p in ((1, 7), (2, 0), (3, 4), (4, 8))], "query_id string, rank int, doc_id string, paragraph_idx long, sentence_idx long")
     ranked, source, audit = pipelines.window_inputs(q.select("query_id", "question"), anchors, sentences)

@@ -14,7 +14,7 @@ from quillon.sources import sinks, tables
 from quillon.streaming import incremental
 
 SF = "/root/testdata/sf0.001"
-QUICK = ["norm_tokens", "slug_values", "json_object_extract", "label_parse", "units_paragraph", "bm25_top4_document", "exact_topk_flags", "relaxed_bigram_flags", "window_render_gap", "judge_summary", "paired_delta_hist", "sign_test_by_customer", "union_missing_cols", "upsert_latest", "lookup_last_wins", "running_ordinals", "stub_generate", "stub_judge", "resumed_generate", "dq_result_violations", "dq_doc_filter", "compound_ids", "role_swap", "aligned_rows", "usage_fields", "imported_rankings", "presence_means", "paired_means", "paired_histograms", "label_rates", "published_metrics", "window_audit", "cohort_faults", "dq_agreements", "csv_and_json_read_back"]
+QUICK = ["norm_tokens", "slug_values", "json_object_extract", "label_parse", "units_paragraph", "bm25_top4_document", "exact_topk_flags", "relaxed_bigram_flags", "window_render_gap", "judge_summary", "paired_delta_hist", "sign_test_by_customer", "union_missing_cols", "upsert_latest", "lookup_last_wins", "running_ordinals", "stub_generate", "stub_judge", "resumed_generate", "dq_result_violations", "dq_doc_filter", "compound_ids", "role_swap", "aligned_rows", "usage_fields", "imported_rankings", "presence_means", "paired_means", "paired_histograms", "label_rates", "published_metrics", "window_audit", "cohort_faults", "dq_agreements", "csv_and_json_read_back", "parts_in_path_order", "matched_rows", "joined_by_position", "windows_of_hits", "prompt_texts", "json_lists", "generation_summary", "dq_handoff", "dq_matrix", "dq_package", "dq_development"]
 
 
 def rows_of(df: pd.DataFrame) -> list:
@@ -187,7 +187,49 @@ def test_sources_and_sinks(spark, tmp_path):
     listed = spark.createDataFrame(tables.files(spark, str(tmp_path / "files")).toPandas())
     (tmp_path / "files" / "a.txt").write_text("b")
     (tmp_path / "files" / "b.txt").write_text("b")
+    (tmp_path / "files" / "c d%é.pyc").write_text("skipped")
     assert {r.path.rsplit("/", 1)[1]: r.problem for r in pipelines.manifest(spark, str(tmp_path / "files"), listed).collect()} == {"a.txt": "changed", "b.txt": "unlisted"}
     units = spark.createDataFrame([("document", 1, "1", "x"), ("paragraph", 1, "1|0", "x")], "retrieval_level string, doc_id long, unit_id string, text string")
     assert tables.sql_units(spark, units, "paragraph").collect()[0].doc_id == "1"
     assert tables.footers(spark, [str(tmp_path / "m.parquet")])[0]["rows"] == 2
+
+
+def test_matrix_variants(spark, work, tmp_path):
+    both = work.unionByName(work.withColumn("arm", F.lit("neural")))
+    seen = tmp_path / "prompt"
+
+    def writer(p):
+        seen.write_text(p)
+        return answers.stub_writer(p)
+
+    made, judged, _, summary = pipelines.dual_label_matrix(spark, both, ("bm25", "neural"), {"m": writer}, {"strict": (answers.stub_judge, "binary")}, str(tmp_path / "dual"))
+    assert "True/Entailment or False/Contradiction" in seen.read_text().split("\n")[0] and {(r.arm, r.questions, r.n_unsent) for r in summary.collect()} == {("bm25", 20, 4), ("neural", 20, 4)}
+    assert judged.count() == 40
+    old = spark.createDataFrame([("m", "strict", "binary", 3), ("m", "late", "binary", 4)], "generator string, judge string, judge_mode string, n long")
+    rows, merged = pipelines.extra_judge(spark, both, made, ("bm25", "neural"), answers.stub_judge, "strict", "binary", str(tmp_path / "more"), old, (["m"], ["strict", "late"]))
+    assert rows.count() == 40 and [(r.judge, r.n) for r in merged.collect()] == [("strict", 20), ("late", 4)]
+    bad = checks.matrix(both, made, judged.where("query_id <> 'q3'"), ["m"], ["strict"], "other").where("n_violations > 0").collect()
+    assert {(r.check, r.n_violations) for r in bad} == {("prompt_version", 40), ("missing_judgment", 2)}
+
+
+def test_arm_matrix(spark, work, tmp_path):
+    q = work.withColumn("source_row", F.regexp_extract("query_id", r"\d+", 0).cast("long"))
+    sets = {d: (q, q.select("source_row", "question", "context")) for d in ("one", "two")}
+    run = lambda s: pipelines.arm_matrix(spark, s, "embedding", {"m": answers.stub_writer}, {"scale": (answers.stub_judge, "scale-1-5")}, "v", str(tmp_path))
+    made, judged, summary = run(sets)
+    assert made.count() == judged.count() == 40 and {(r.dataset, r.arm, r.n_rows) for r in summary.collect()} == {("one", "embedding", 20), ("two", "embedding", 20)}
+    with pytest.raises(checks.CheckFailed, match="two: order"):
+        run({"two": (q, sets["two"][1].where("source_row <> 4"))})
+
+
+def test_json_lists_and_joins(spark):
+    from quillon.functions import text as T
+    from quillon.operators import assemble
+
+    texts = [["a", 'q"\\/', "\n\t"], ["é", "\U0001f600 x", "[b]"], []]
+    df = spark.createDataFrame([(t,) for t in texts], "v array<string>").select("v", T.json_list(F.col("v")).alias("a"), T.json_list(F.col("v"), ascii_only=True).alias("b"))
+    assert all(r.a == json.dumps(r.v, ensure_ascii=False) and r.b == json.dumps(r.v) for r in df.collect())
+    a = spark.createDataFrame([(1, "x"), (2, None)], "k long, v string")
+    assert assemble.differing(assemble.matched(a, a, ["k"]), ["v"]).count() == 0
+    with pytest.raises(checks.CheckFailed, match="unique_k"):
+        assemble.matched(a, a.union(a), ["k"])
