@@ -20,7 +20,7 @@ interest lies whole in one phrase, so the order of phrases decides nothing.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -36,37 +36,82 @@ LENGTH = 200
 TRIGGER = 16
 #: String starts handled at a time; a longer text is parsed in parts, whose phrases end there.
 PART = 1 << 19
+#: Bytes of short texts that are parsed at a time.
+TOGETHER = 1 << 16
 #: Phrases of one trigger that one task compares in memory; the strings of more are dealt out. Both ways compare content.
 MOST_PHRASES = 16_000
 _BYTE = np.random.default_rng(20_240_229).integers(0, 1 << 64, 256, dtype=np.uint64)
 
 
-def parse(raw: np.ndarray, length: int = LENGTH) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """Phrases of a text's bytes, part by part: trigger, print, first and last + 1 string start."""
-    for low in range(0, max(0, len(raw) - length + 1), PART):
-        b = raw[low : low + PART + length - 1]
-        g = _BYTE[b]
-        step = 1
-        while step < TRIGGER:
-            g = g[:-step] * np.uint64(0x9E3779B97F4A7C15 + 2 * step) + g[step:]
-            step *= 2
-        g = mix(g)
-        low_bits = np.uint64((1 << 20) - 1)
-        m = (g & ~low_bits) | np.arange(len(g), dtype=np.uint64)
-        span, step = length - TRIGGER + 1, 1
-        while 2 * step <= span:
-            m = np.minimum(m[:-step], m[step:])
-            step *= 2
-        if span > step:
-            m = np.minimum(m[: len(m) - (span - step)], m[span - step :])
-        at = (m & low_bits).astype(np.int64)
-        first = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
-        last = np.append(first[1:], len(at))
-        end, whole = last + length - 1, memoryview(b)
-        prints = np.fromiter((xxhash.xxh3_64_intdigest(whole[x:y], 20_240_229) for x, y in zip(first.tolist(), end.tolist(), strict=True)), dtype=np.uint64, count=len(first))
-        # where the trigger stands in the phrase is part of the print
-        mark = mix(prints ^ mix((end - first).astype(np.uint64) << np.uint64(20) | (at[first] - first).astype(np.uint64)))
-        yield g[at[first]], mark, first + low, last + low
+def parse(b: np.ndarray, ends: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, ...]:
+    """Phrases of the texts that stand one behind the other in the bytes ``b``, up to ``ends``: trigger, print, first and last + 1 string start in ``b``."""
+    if len(b) < length:
+        return (np.empty(0, dtype=np.uint64),) * 2 + (np.empty(0, dtype=np.int64),) * 2
+    g = _BYTE[b]
+    step = 1
+    while step < TRIGGER:
+        g = g[:-step] * np.uint64(0x9E3779B97F4A7C15 + 2 * step) + g[step:]
+        step *= 2
+    g = mix(g)
+    low_bits = np.uint64((1 << 20) - 1)
+    m = (g & ~low_bits) | np.arange(len(g), dtype=np.uint64)
+    span, step = length - TRIGGER + 1, 1
+    while 2 * step <= span:
+        m = np.minimum(m[:-step], m[step:])
+        step *= 2
+    if span > step:
+        m = np.minimum(m[: len(m) - (span - step)], m[span - step :])
+    at = (m & low_bits).astype(np.int64)
+    # the last starts of a text, whose strings would run into the next one, have none; so no phrase is of two texts
+    within = np.ones(len(at) + 2, dtype=bool)
+    within[[0, -1]] = False
+    for end in ends[:-1].tolist():
+        within[max(1, end - length + 2) : end + 1] = False
+    same = np.concatenate(([False], at[1:] == at[:-1], [False]))
+    first = np.flatnonzero(within[1:-1] & ~(within[:-2] & same[:-1]))
+    last = np.flatnonzero(within[1:-1] & ~(within[2:] & same[1:])) + 1
+    end, whole = last + length - 1, memoryview(b)
+    prints = np.fromiter((xxhash.xxh3_64_intdigest(whole[x:y], 20_240_229) for x, y in zip(first.tolist(), end.tolist(), strict=True)), dtype=np.uint64, count=len(first))
+    # where the trigger stands in the phrase is part of the print
+    mark = mix(prints ^ mix((end - first).astype(np.uint64) << np.uint64(20) | (at[first] - first).astype(np.uint64)))
+    return g[at[first]], mark, first, last
+
+
+def parsed(texts: Iterable[np.ndarray], length: int = LENGTH) -> Iterator[tuple[np.ndarray, ...]]:
+    """Phrases of texts in their order, several short texts at a time: trigger, print, first and last + 1 string start in the text, phrases of each text."""
+
+    def close() -> tuple[np.ndarray, ...]:
+        ends = np.cumsum([len(x) for x in waiting])
+        k, mark, first, last = parse(np.concatenate(waiting), ends, length)
+        owner = np.searchsorted(ends, first, side="right")
+        begin = (ends - [len(x) for x in waiting])[owner]
+        return k, mark, first - begin, last - begin, np.bincount(owner, minlength=len(waiting))
+
+    waiting, size = [], 0
+    for raw in texts:
+        if waiting and size + len(raw) > TOGETHER:
+            yield close()
+            waiting, size = [], 0
+        if len(raw) <= TOGETHER:
+            waiting.append(raw)
+            size += len(raw)
+            continue
+        parts = []
+        for low in range(0, max(1, len(raw) - length + 1), PART):
+            b = raw[low : low + PART + length - 1]
+            k, mark, first, last = parse(b, np.array([len(b)]), length)
+            parts.append((k, mark, first + low, last + low))
+        yield *(np.concatenate(x) for x in zip(*parts, strict=True)), np.array([sum(len(x[0]) for x in parts)])
+    if waiting:
+        yield close()
+
+
+def each_parsed(texts: Iterable[np.ndarray]) -> Iterator[tuple[np.ndarray, ...]]:
+    """Trigger, print, first and last + 1 string start of the phrases of each text."""
+    for *columns, n in parsed(texts):
+        ends = np.cumsum(n).tolist()
+        for low, high in zip([0, *ends], ends, strict=False):
+            yield tuple(c[low:high] for c in columns)
 
 
 def as_bytes(text: pa.Scalar) -> np.ndarray:
@@ -78,15 +123,12 @@ def longs(x: np.ndarray) -> pa.Array:
 
 
 def triggers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(trigger, print, n) of each text, equal phrases of a text together."""
+    """(trigger, print, n), equal phrases of a few texts together."""
     for b in batches:
         rows = []
-        for t in b.column(0):
-            got = list(parse(as_bytes(t)))
-            if got:
-                k, mark = (np.concatenate([x[j] for x in got]) for j in (0, 1))
-                _, at, n = np.unique(key_of(k, mark), return_index=True, return_counts=True)
-                rows.append((k[at], mark[at], n))
+        for k, mark, *_ in parsed(map(as_bytes, b.column(0))):
+            _, at, n = np.unique(key_of(k, mark), return_index=True, return_counts=True)
+            rows.append((k[at], mark[at], n))
         if rows:
             k, p, n = (np.concatenate(x) for x in zip(*rows, strict=True))
             for i in range(0, len(k), 200_000):
@@ -94,31 +136,33 @@ def triggers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(trigger, mark, d, h): which texts hold a phrase, equal phrases of a text once."""
+    """(trigger, mark, d, h): which texts hold a phrase, equal phrases of a text once, rows that a task meets again not at all."""
+    seen = set()
     for b in batches:
-        parts, n = [(np.empty(0, dtype=np.uint64),) * 2], []
-        for t in b.column(2):
-            if got := list(parse(as_bytes(t))):
-                k, mark = (np.concatenate([x[j] for x in got]) for j in (0, 1))
-                at = np.unique(key_of(k, mark), return_index=True)[1]
-                parts.append((k[at], mark[at]))
-                n.append(len(at))
-            else:
-                n.append(0)
-        k, m = (np.concatenate([p[j] for p in parts]) for j in (0, 1))
-        d, h = np.repeat(b.column(0).to_numpy(), n), np.repeat(b.column(1).to_numpy(), n)
+        parts, ids = [(np.empty(0, dtype=np.uint64),) * 2 + (np.empty(0, dtype=np.int64),)], []
+        for i, x in enumerate(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)):
+            if x not in seen:
+                seen.add(x)
+                ids.append(i)
+        low = 0
+        for k, mark, _, _, n in parsed(as_bytes(b.column(2)[i]) for i in ids):
+            owner, key = np.repeat(np.arange(low, low + len(n)), n), key_of(k, mark)
+            low += len(n)
+            order = np.lexsort((key, owner))
+            o, x = owner[order], key[order]
+            at = order[np.concatenate(([True], (o[1:] != o[:-1]) | (x[1:] != x[:-1])))] if len(order) else order
+            parts.append((k[at], mark[at], owner[at]))
+        k, m, owner = (np.concatenate([p[j] for p in parts]) for j in range(3))
+        row = np.array(ids, dtype=np.int64)[owner]
+        d, h = b.column(0).to_numpy()[row], b.column(1).to_numpy()[row]
         for i in range(0, len(k), 200_000):
             yield pa.RecordBatch.from_arrays([longs(k[i : i + 200_000]), longs(m[i : i + 200_000]), pa.array(d[i : i + 200_000]), pa.array(h[i : i + 200_000])], ["trigger", "mark", "d", "h"])
 
 
-def chosen(raw: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Trigger, print, start and end of the phrases whose trigger is wanted, one of each print, and how often it occurs."""
-    parts = []
-    for k, mark, first, last in parse(raw):
-        at = np.minimum(np.searchsorted(wanted, k), len(wanted) - 1)
-        hit = wanted[at] == k
-        parts.append((k[hit], mark[hit], first[hit], last[hit]))
-    k, mark, first, last = (np.concatenate(x) for x in zip(*parts, strict=True))
+def chosen(phrases: tuple[np.ndarray, ...], wanted: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Of a text's phrases those whose trigger is wanted, one of each print: trigger, print, start and end, and how often it occurs."""
+    at = np.minimum(np.searchsorted(wanted, phrases[0]), len(wanted) - 1)
+    k, mark, first, last = (x[wanted[at] == phrases[0]] for x in phrases)
     _, at, n = np.unique(key_of(k, mark), return_index=True, return_counts=True)
     return k[at], mark[at], first[at], last[at], n
 
@@ -127,12 +171,12 @@ def open_phrases(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(trigger, mark, n, phrase) of the phrases whose trigger has several."""
     for b in batches:
         out, phrases, size = [], [], 0
-        for i, (t, copies) in enumerate(zip(b.column("text"), b.column("copies").to_pylist(), strict=True)):
+        for i, (t, copies, found) in enumerate(zip(b.column("text"), b.column("copies").to_pylist(), each_parsed(map(as_bytes, b.column("text"))), strict=True)):
             wanted = flat(b.column("many"), i)
             if not len(wanted):
                 continue
             raw = t.as_buffer().to_pybytes()
-            k, mark, first, last, n = chosen(as_bytes(t), wanted)
+            k, mark, first, last, n = chosen(found, wanted)
             out.append((k, mark, n * copies))
             got = [raw[x : y + LENGTH - 1] for x, y in zip(first.tolist(), last.tolist(), strict=True)]
             phrases += got
@@ -231,26 +275,25 @@ def key_of(trigger: np.ndarray, mark: np.ndarray) -> np.ndarray:
     return mix(trigger * np.uint64(0x9E3779B97F4A7C15) + mark)
 
 
-def removed(raw: np.ndarray, whole: np.ndarray, keys: np.ndarray, bounds: np.ndarray, runs: np.ndarray) -> np.ndarray:
-    """Which bytes of a text are covered by strings that occur elsewhere.
+def removed(size: int, phrases: tuple[np.ndarray, ...], whole: np.ndarray, keys: np.ndarray, bounds: np.ndarray, runs: np.ndarray) -> np.ndarray:
+    """Which of a text's ``size`` bytes are covered by strings that occur elsewhere.
 
     ``whole`` triggers (sorted) repeat all their strings; of the phrases with sorted ``keys``, number i repeats
     the starts in runs[bounds[i] : bounds[i + 1]].
     """
-    step = np.zeros(len(raw) + 1, dtype=np.int32)
-    for k, mark, first, last in parse(raw):
-        if len(whole):
-            at = np.minimum(np.searchsorted(whole, k), len(whole) - 1)
-            hit = whole[at] == k
-            np.add.at(step, first[hit], 1)
-            np.add.at(step, last[hit] + LENGTH - 1, -1)
-        if len(keys):
-            key = key_of(k, mark)
-            at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
-            for i in np.flatnonzero(keys[at] == key):
-                r = first[i] + runs[bounds[at[i]] : bounds[at[i] + 1]]
-                np.add.at(step, r[0::2], 1)
-                np.add.at(step, r[1::2] + LENGTH - 1, -1)
+    step, (k, mark, first, last) = np.zeros(size + 1, dtype=np.int32), phrases
+    if len(whole):
+        at = np.minimum(np.searchsorted(whole, k), len(whole) - 1)
+        hit = whole[at] == k
+        np.add.at(step, first[hit], 1)
+        np.add.at(step, last[hit] + LENGTH - 1, -1)
+    if len(keys):
+        key = key_of(k, mark)
+        at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+        for i in np.flatnonzero(keys[at] == key):
+            r = first[i] + runs[bounds[at[i]] : bounds[at[i] + 1]]
+            np.add.at(step, r[0::2], 1)
+            np.add.at(step, r[1::2] + LENGTH - 1, -1)
     return np.cumsum(step[:-1]) > 0
 
 
@@ -263,7 +306,7 @@ def flat(lists: pa.Array, i: int) -> np.ndarray:
 def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         rows = []
-        for i, (t, part) in enumerate(zip(b.column("text"), b.column("partly"), strict=True)):
+        for i, (t, part, found) in enumerate(zip(b.column("text"), b.column("partly"), each_parsed(map(as_bytes, b.column("text"))), strict=True)):
             raw, keys, bounds, runs = as_bytes(t), np.empty(0, dtype=np.uint64), np.zeros(1, dtype=np.int64), np.empty(0, dtype=np.int64)
             if part.is_valid and len(part.values):
                 k, m, r = (part.values.field(j) for j in range(3))
@@ -272,7 +315,7 @@ def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 at = np.cumsum(n) - n
                 runs = np.concatenate([v[at[j] : at[j] + n[j]] for j in order]).astype(np.int64)
                 keys, bounds = keys[order], np.concatenate(([0], np.cumsum(n[order])))
-            gone = removed(raw, flat(b.column("whole"), i), keys, bounds, runs)
+            gone = removed(len(raw), found, flat(b.column("whole"), i), keys, bounds, runs)
             spans = int(gone[0]) + int((gone[1:] & ~gone[:-1]).sum()) if len(gone) else 0
             kept = raw[~gone].tobytes()
             rows.append((int(gone.sum()), spans, hashlib.sha256(kept).hexdigest(), kept))

@@ -223,13 +223,28 @@ def test_parse_parts(monkeypatch):
     raw = np.frombuffer(np.random.default_rng(3).bytes(5000), dtype=np.uint8)
     for part in (1 << 19, 700):
         monkeypatch.setattr(suffix_dedup, "PART", part)
+        monkeypatch.setattr(suffix_dedup, "TOGETHER", part)
         seen = np.zeros(5000 - 199, dtype=int)
-        for _, _, first, last in suffix_dedup.parse(raw):
+        for _, _, first, last in suffix_dedup.each_parsed([raw]):
             for a, b in zip(first, last, strict=True):
                 seen[a:b] += 1
         assert (seen == 1).all()
 
 
+@pytest.mark.parametrize("together", [0, 700, 1 << 16])
+def test_texts_parsed_together(monkeypatch, together):
+    """Texts have the same phrases whether they are parsed alone or with others, and none reaches into the next text."""
+    rng = np.random.default_rng(5)
+    texts = [np.frombuffer(x, dtype=np.uint8) for x in (b"", b"ab", bytes(199), bytes(200), b"q" * 600, rng.bytes(200), rng.bytes(201), rng.bytes(1000), b"", rng.integers(97, 99, 2000, dtype=np.uint8).tobytes(), b"x")]
+    alone = [next(suffix_dedup.each_parsed([t])) for t in texts]
+    monkeypatch.setattr(suffix_dedup, "TOGETHER", together)
+    got = list(suffix_dedup.each_parsed(texts))
+    assert len(got) == len(texts) and all(np.array_equal(x, y) for a, g in zip(alone, got, strict=True) for x, y in zip(a, g, strict=True))
+    for t, (_, _, first, last) in zip(texts, got, strict=True):
+        starts = [i for a, b in zip(first, last, strict=True) for i in range(a, b)]
+        assert starts == list(range(len(t) - 199))
+
+
 def test_embedding_dedup(spark):
     rng = np.random.default_rng(4)
     rows, base = [], rng.standard_normal((60, 64))
