@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quillon.llm import embed_dedup, exact_dedup, jaccard_join, langid, mixing, packing, pii, quality, suffix_dedup, url_filter
+from quillon.llm import bestfit_packing, embed_dedup, exact_dedup, importance, jaccard_join, langid, mixing, packing, pii, quality, suffix_dedup, url_filter, whitening
 
 QUERIES = {
     "op1_langid": langid.op1_langid,
@@ -15,6 +15,9 @@ QUERIES = {
     "op8_packing": packing.op8_packing,
     "op9_mixing": mixing.op9_mixing,
     "op10_pii": pii.op10_pii,
+    "op11_whitening": whitening.op11_whitening,
+    "op12_bestfit_packing": bestfit_packing.op12_bestfit_packing,
+    "op13_importance": importance.op13_importance,
 }
 
 ORACLES = {
