@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillon.functions import text as T
+from quillon.operators import substring
 from quillon.operators.ranking import with_cumulative_tokens
 
 
@@ -94,14 +95,28 @@ def recall_hit(ranked: DataFrame, qrels: DataFrame, cutoffs: tuple[int, ...] = (
 def substring_qrels(questions: DataFrame, units: DataFrame, least_tokens: int = 4) -> DataFrame:
     """(query_id, unit_id, doc_id, relevance, evidence): units of allowed documents that lie in the gold answer or hold it.
 
-    Units of fewer tokens count for nothing.
+    Units of fewer tokens count for nothing; an empty gold answer lies in every unit. ``evidence`` is the gold answer. Questions without
+    the column ``allowed_doc_ids`` allow everything. Pairs come from the rarest run of tokens of whichever text lies in the other
+    (``substring.containing``), so those that are compared are about as many as those that are found.
     """
-    allowed = questions.select("query_id", "golden_answer", F.explode("allowed_doc_ids").alias("doc_id"))
-    evidence = F.col("text") if "text" in units.columns else F.col("norm")
-    u = units.select("unit_id", F.col("doc_id").cast("string").alias("doc_id"), evidence.alias("text"), normalized_text(units).alias("u")).where((F.col("u") != "") & (F.size(F.split("u", " ")) >= least_tokens))
-    a = allowed.select("query_id", "doc_id", T.normalized(F.col("golden_answer")).alias("g"))
-    met = a.join(u, "doc_id").where(F.contains("u", "g") | F.contains("g", "u"))
-    return met.select("query_id", "unit_id", "doc_id", F.lit(1).alias("relevance"), F.col("text").alias("evidence")).dropDuplicates(["query_id", "unit_id"])
+    u = units.select("unit_id", F.col("doc_id").cast("string").alias("doc_id"), normalized_text(units).alias("u")).where((F.col("u") != "") & (F.size(F.split("u", " ")) >= least_tokens))
+    gold = questions.select("query_id", T.normalized(F.col("golden_answer")).alias("g"))
+    named = lambda df, i, x, to: df.select(F.col(i).alias(f"{to}_id"), F.col(x).alias(to))
+    pairs = substring.containing(named(gold, "query_id", "g", "needle"), named(u, "unit_id", "u", "text")).toDF("query_id", "unit_id")
+    # a unit that lies in a gold answer is no longer than the longest
+    longest = gold.agg(F.coalesce(F.max(F.length("g")), F.lit(0)).alias("longest"))  # one row
+    small = u.crossJoin(F.broadcast(longest)).where(F.length("u") <= F.col("longest"))
+    inside = substring.containing(named(small, "unit_id", "u", "needle"), named(gold, "query_id", "g", "text")).select(F.col("text_id").alias("query_id"), F.col("needle_id").alias("unit_id"))
+    rows = pairs.unionByName(inside).distinct().join(u.select("unit_id", "doc_id"), "unit_id")
+    empty = gold.where("g = ''").select("query_id")
+    if "allowed_doc_ids" in questions.columns:
+        allowed = questions.select("query_id", F.explode("allowed_doc_ids").alias("doc_id")).select("query_id", F.col("doc_id").cast("string").alias("doc_id")).distinct()
+        rows = rows.join(allowed, ["query_id", "doc_id"], "left_semi")
+        rows = rows.unionByName(empty.join(allowed, "query_id").join(u.select("unit_id", "doc_id"), "doc_id").select(*rows.columns))
+    else:
+        rows = rows.unionByName(u.select("unit_id", "doc_id").crossJoin(empty).select(*rows.columns))  # each such question finds all units
+    rows = rows.dropDuplicates(["query_id", "unit_id"]).join(questions.select("query_id", F.col("golden_answer").alias("evidence")), "query_id")
+    return rows.select("query_id", "unit_id", "doc_id", F.lit(1).alias("relevance"), "evidence")
 
 
 def judge_summary(judgments: DataFrame, *keys: str) -> DataFrame:

@@ -5,6 +5,9 @@ Tables: ``units(unit_id, doc_id, text, ...)``, ``questions(query_id, question, a
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -49,46 +52,139 @@ def bm25(questions: DataFrame, units: DataFrame, top_k: int = 4, k1: float = 1.2
     return bm25_arms(questions, units, {"bm25": b}, top_k, k1).drop("arm")
 
 
-def bm25_arms(questions: DataFrame, units: DataFrame, arms: dict[str, float], top_k: int = 4, k1: float = 1.2) -> DataFrame:
-    """The best ``top_k`` allowed units of each question and arm, an arm being a b: (query_id, arm, rank, unit_id, doc_id, score).
+#: About so many units share a block of postings.
+BLOCK = 512
+#: A question's threshold comes from its rarest tokens, which together occur in about so many units.
+SEEDS = 16_384
+#: Bounds may miss by what the order of a sum changes, and scores are compared to nine digits.
+SLACK = 1e-6
 
-    Statistics are over all units, candidates only those of allowed documents. A query's tokens
-    count once. idf is floored at 0, so a term of more than half of the units adds
-    nothing. Units without a match have score 0 and fill up; equal scores (to nine
-    digits) go by unit_id. A question that allows nothing has no row.
 
-    The postings are cut down to the questions' vocabulary before anything is joined, those with idf 0 go, and candidates
-    carry ids and lengths only. All arms share the postings and the joins. Units of ``worded`` aren't tokenized again. The
-    vocabulary, the frequencies of its tokens and the single row of statistics are what Spark may broadcast, by its own size checks.
-    """
-    words = tokenized(units)
-    asked = questions.select("query_id", F.explode(F.array_distinct(T.tokens(F.col("question")))).alias("token"))
-    vocabulary = asked.select("token").distinct()
+class Index(NamedTuple):
+    """What a ranking reads: ``postings(token, block, unit_id, doc_id, w0, w1, ...)`` with a weight for each arm, ``frequent(token, df, idf)``
+    without tokens of idf 0, ``bounds(token, block, m0, m1, ...)`` with the greatest weights of each block, and a function that scores chosen pairs."""
+
+    postings: DataFrame
+    frequent: DataFrame
+    bounds: DataFrame
+    exact: Callable[[DataFrame], DataFrame]
+
+
+def indexed(words: DataFrame, asked: DataFrame, bs: list[float], k1: float = 1.2, keep: Callable[[DataFrame], DataFrame] = lambda df: df) -> Index:
+    """The postings of the tokens in ``asked(query_id, token)``, in blocks of units of similar length, so that a block's bounds are near its weights."""
     stats = corpus_stats(words)
-    met = words.select("unit_id", "doc_id", "length", F.explode("tokens").alias("token")).join(vocabulary, "token", "left_semi")
-    postings = met.groupBy("token", "unit_id", "doc_id", "length").agg(F.count(F.lit(1)).alias("tf"))
-    idf = postings.groupBy("token").agg(F.count(F.lit(1)).alias("df")).crossJoin(F.broadcast(stats))  # one row
-    idf = idf.select("token", "avgdl", F.greatest(F.log((F.col("n_units") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(0.0)).alias("idf")).where("idf > 0")
+    met = words.select("unit_id", "doc_id", "length", F.explode("tokens").alias("token")).join(asked.select("token").distinct(), "token", "left_semi")
+    postings = keep(met.groupBy("token", "unit_id", "doc_id", "length").agg(F.count(F.lit(1)).alias("tf")))
+    df = postings.groupBy("token").agg(F.count(F.lit(1)).alias("df")).crossJoin(F.broadcast(stats))  # one row
+    frequent = keep(df.select("token", "df", "avgdl", "n_units", F.greatest(F.log((F.col("n_units") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(0.0)).alias("idf")).where("idf > 0"))
     norm = lambda b: F.col("tf") + k1 * (1 - b + b * F.col("length") / F.col("avgdl"))
-    weighed = postings.join(idf, "token").select("token", "unit_id", "doc_id", *[(F.col("idf") * F.col("tf") * (k1 + 1) / norm(b)).alias(f"w{i}") for i, b in enumerate(arms.values())])
-    allowed = questions.select("query_id", F.explode("allowed_doc_ids").alias("doc_id")).select("query_id", F.col("doc_id").cast("string").alias("doc_id")).distinct()
-    hits = asked.join(allowed, "query_id").join(weighed, ["token", "doc_id"]).groupBy("query_id", "unit_id").agg(*[F.sum(f"w{i}").alias(f"s{i}") for i in range(len(arms))])
-    candidates = allowed.join(words.select("unit_id", "doc_id"), "doc_id")
-    scored = candidates.join(hits, ["query_id", "unit_id"], "left")
-    each = F.explode(F.array(*[F.struct(F.lit(arm).alias("arm"), F.coalesce(f"s{i}", F.lit(0.0)).alias("score")) for i, arm in enumerate(arms)])).alias("x")
-    scored = scored.select("query_id", "unit_id", "doc_id", each).select("query_id", "x.arm", "unit_id", "doc_id", "x.score")
+    weights = [(F.col("idf") * F.col("tf") * (k1 + 1) / norm(b)).alias(f"w{i}") for i, b in enumerate(bs)]
+    # units of a length class are dealt out by hash; 16 classes or so hold nearly all units
+    block = F.struct(F.floor(2 * F.log2(F.col("length") + 1)).alias("band"), F.pmod(F.xxhash64("unit_id"), F.ceil(F.col("n_units") / (16 * BLOCK))).alias("part"))
+    weighed = postings.join(frequent, "token").select("token", block.alias("block"), "unit_id", "doc_id", *weights)
+    bounds = weighed.groupBy("token", "block").agg(*[F.max(f"w{i}").alias(f"m{i}") for i in range(len(bs))])
+
+    def exact(pairs: DataFrame) -> DataFrame:
+        """(query_id, unit_id, doc_id, s0, s1, ...) of ``pairs(query_id, unit_id)``: the postings of all tokens, of these units only."""
+        found = pairs.join(asked, "query_id").join(weighed, ["token", "unit_id"])
+        return found.groupBy("query_id", "unit_id", "doc_id").agg(*[F.sum(f"w{i}").alias(f"s{i}") for i in range(len(bs))])
+
+    return Index(weighed, frequent, bounds, exact)
+
+
+def thresholds(asked: DataFrame, index: Index, allowed: DataFrame | None, arms: int, top_k: int) -> DataFrame:
+    """(query_id, t0, t1, ...): scores that ``top_k`` allowed units of the question reach at least; no row where that isn't known.
+
+    A question's rarest tokens make most of a score and have the shortest postings: what they alone add up to is a lower bound.
+    """
+    before = Window.partitionBy("query_id").orderBy("df", "token").rowsBetween(Window.unboundedPreceding, -1)
+    rare = asked.join(index.frequent.select("token", "df"), "token").withColumn("upto", F.coalesce(F.sum("df").over(before), F.lit(0))).where(F.col("upto") < SEEDS)
+    sums = permitted(rare.select("query_id", "token").join(index.postings, "token"), allowed).groupBy("query_id", "unit_id").agg(*[F.sum(f"w{i}").alias(f"p{i}") for i in range(arms)])
+    for i in range(arms):
+        sums = sums.withColumn(f"n{i}", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc(f"p{i}"))))
+    return sums.groupBy("query_id").agg(*[F.max(F.when(F.col(f"n{i}") == top_k, F.col(f"p{i}"))).alias(f"t{i}") for i in range(arms)]).where("t0 IS NOT NULL")
+
+
+def permitted(rows: DataFrame, allowed: DataFrame | None) -> DataFrame:
+    """Rows of units in documents that their question allows."""
+    return rows if allowed is None else rows.join(allowed, ["query_id", "doc_id"], "left_semi")
+
+
+def contenders(asked: DataFrame, index: Index, allowed: DataFrame | None, arms: int, top_k: int) -> DataFrame:
+    """(query_id, unit_id): allowed units that can be among the best ``top_k`` in an arm.
+
+    In each block a question's tokens are put in the order of their idf. As long as the greatest weights of the commonest ones
+    add up to less than the threshold, no unit of the block gets there by these alone: their postings are passed over, and a block
+    where that goes for all tokens isn't looked at. What the units found by the other tokens may still gain is bounded by the tokens
+    passed over; those that can't reach the threshold with it go.
+    """
+    t = [F.coalesce(F.col(f"t{i}"), F.lit(0.0)) - SLACK for i in range(arms)]
+    line = Window.partitionBy("query_id", "block").orderBy("idf", "token").rowsBetween(Window.unboundedPreceding, 0)
+    bounds = asked.join(index.frequent.select("token", "idf"), "token").join(index.bounds, "token").join(thresholds(asked, index, allowed, arms, top_k), "query_id", "left")
+    passed = F.lit(True)
+    for i in range(arms):
+        bounds = bounds.withColumn(f"r{i}", F.sum(f"m{i}").over(line))
+        passed = passed & (F.col(f"r{i}") < t[i])
+    whole = Window.partitionBy("query_id", "block")
+    bounds = bounds.withColumn("passed", passed).withColumns({f"rest{i}": F.coalesce(F.max(F.when(passed, F.col(f"r{i}"))).over(whole), F.lit(0.0)) for i in range(arms)})
+    needed = bounds.where(~F.col("passed")).select("query_id", "token", "block", *[f"rest{i}" for i in range(arms)], *[c.alias(f"t{i}") for i, c in enumerate(t)])
+    found = permitted(needed.join(index.postings, ["token", "block"]), allowed)
+    sums = found.groupBy("query_id", "unit_id").agg(*[(F.sum(f"w{i}") + F.first(f"rest{i}") - F.first(f"t{i}")).alias(f"over{i}") for i in range(arms)])
+    return sums.where(F.greatest(*[F.col(f"over{i}") for i in range(arms)], F.lit(-1.0)) >= 0).select("query_id", "unit_id")
+
+
+def bm25_arms(questions: DataFrame, units: DataFrame, arms: dict[str, float], top_k: int = 4, k1: float = 1.2, keep: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
+    """The best ``top_k`` allowed units of each question and arm, an arm being a b: (query_id, arm, rank, unit_id, doc_id, score).
+
+    Statistics are over all units, candidates only those of allowed documents; questions without the column ``allowed_doc_ids`` allow
+    everything. A query's tokens count once. idf is floored at 0, so a term of more than half of the units adds
+    nothing. Units without a match have score 0 and fill up; equal scores (to nine digits) go by unit_id. A question that allows
+    nothing has no row.
+
+    The postings are cut down to the questions' vocabulary before anything is joined, and those with idf 0 go. A threshold for each
+    question lets blocks and common tokens be passed over (``contenders``); only contenders are scored in full. Questions with
+    fewer matches than ``top_k`` are filled up from the least unit ids. All arms share the joins. Units of ``worded`` aren't
+    tokenized again. ``keep`` may write tables that are read several times (the questions' tokens, the postings, the frequencies, the contenders' scores).
+    """
+    words, n = tokenized(units), len(arms)
+    asked = keep(questions.select("query_id", F.explode(F.array_distinct(T.tokens(F.col("question")))).alias("token")))
+    allowed = None
+    if "allowed_doc_ids" in questions.columns:
+        allowed = questions.select("query_id", F.explode("allowed_doc_ids").alias("doc_id")).select("query_id", F.col("doc_id").cast("string").alias("doc_id")).distinct()
+    index = indexed(words, asked, list(arms.values()), k1, keep)
+    hits = keep(index.exact(contenders(asked, index, allowed, n, top_k)))
+    fill = _fill(questions.select("query_id").distinct(), words, hits, allowed, top_k)
+    rows = hits.unionByName(fill.withColumns({f"s{i}": F.lit(0.0) for i in range(n)}))
+    each = F.explode(F.array(*[F.struct(F.lit(arm).alias("arm"), F.col(f"s{i}").alias("score")) for i, arm in enumerate(arms)])).alias("x")
+    rows = rows.select("query_id", "unit_id", "doc_id", each).select("query_id", "x.arm", "unit_id", "doc_id", "x.score")
     order = Window.partitionBy("query_id", "arm").orderBy(F.round("score", 9).desc(), "unit_id")
-    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top_k).select("query_id", "arm", "rank", "unit_id", "doc_id", "score")
+    return rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top_k).select("query_id", "arm", "rank", "unit_id", "doc_id", "score")
+
+
+def _fill(ids: DataFrame, words: DataFrame, hits: DataFrame, allowed: DataFrame | None, top_k: int) -> DataFrame:
+    """(query_id, unit_id, doc_id) of units without a match, the least ids first, for questions that match fewer than ``top_k``."""
+    lacking = ids.join(hits.groupBy("query_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= top_k), "query_id", "left_anti")
+    least = words.select("unit_id", "doc_id")
+    if allowed is None:  # fewer than top_k match, so twice as many ids are enough for any question
+        rows = lacking.crossJoin(F.broadcast(least.orderBy("unit_id").limit(2 * top_k)))
+    else:
+        rows = lacking.join(allowed, "query_id").join(least, "doc_id").select("query_id", "unit_id", "doc_id")
+        rows = rows.withColumn("n", F.row_number().over(Window.partitionBy("query_id").orderBy("unit_id"))).where(F.col("n") <= 2 * top_k).drop("n")
+    return rows.join(hits.select("query_id", "unit_id"), ["query_id", "unit_id"], "left_anti").select("query_id", "unit_id", "doc_id")
 
 
 def with_text(ranked: DataFrame, units: DataFrame) -> DataFrame:
-    return ranked.join(units.select("unit_id", "text"), "unit_id", "left")
+    """``ranked`` with the units' text, and their paragraph_idx and subparagraph_idx where they have such columns."""
+    return ranked.join(units.select("unit_id", "text", *[c for c in ("paragraph_idx", "subparagraph_idx") if c in units.columns]), "unit_id", "left")
 
 
 def nested(questions: DataFrame, ranked_text: DataFrame, arm: str, **constants) -> DataFrame:
-    """One row per question: arm, constants, retrieved_items in rank order, retrieved_count, retrieval_error."""
-    items = ranked_text.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "unit_id", "doc_id", "text", "score"))).alias("retrieved_items"))
-    out = questions.join(items, "query_id", "left").withColumn("retrieved_items", F.coalesce("retrieved_items", F.array().cast("array<struct<rank:int,unit_id:string,doc_id:string,text:string,score:double>>")))
+    """One row per question: arm, constants, retrieved_items in rank order (with the paragraph ids that ``ranked_text`` has), retrieved_count, retrieval_error."""
+    extra = [c for c in ("paragraph_idx", "subparagraph_idx") if c in ranked_text.columns]
+    item = F.struct(F.col("rank").cast("int").alias("rank"), "unit_id", "doc_id", "text", "score", *[F.col(c).cast("long").alias(c) for c in extra])
+    items = ranked_text.groupBy("query_id").agg(F.array_sort(F.collect_list(item)).alias("retrieved_items"))
+    kind = "array<struct<rank:int,unit_id:string,doc_id:string,text:string,score:double" + "".join(f",{c}:bigint" for c in extra) + ">>"
+    out = questions.join(items, "query_id", "left").withColumn("retrieved_items", F.coalesce("retrieved_items", F.array().cast(kind)))
     out = out.withColumn("arm", F.lit(arm)).withColumn("retrieved_count", F.size("retrieved_items").cast("long")).withColumn("retrieval_error", F.lit(""))
     return out.withColumns({k: F.lit(v) for k, v in constants.items()})
 

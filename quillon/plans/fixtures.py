@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillon.functions import text as T
-from quillon.operators import metrics, ranking
+from quillon.operators import metrics, ranking, substring
 from quillon.sources import scratch
 from quillon.sources.tables import table
 
@@ -69,19 +69,15 @@ def passages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @once
 def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The passages, with the allowed documents in the order of their ids as text.
-
-    Documents that hold a passage share its first four tokens in a row, which an equal join finds.
-    """
+    """The passages, with the allowed documents in the order of their ids as text: those of a source, and those that hold the passage at token borders."""
     q = passages(spark, sf_dir).withColumn("t", T.tokens(F.col("question")))
     docs = words_document(spark, sf_dir)
     bucket = q.select("query_id", F.concat(F.lit("src"), F.col("source_row") % 20).alias("source")).join(docs.select("doc_id", "source"), "source").select("query_id", "doc_id")
-    first = q.where(F.size("t") >= 4).select("query_id", F.array_join(F.slice("t", 1, 4), " ").alias("gram"), F.array_join("t", " ").alias("g"))
-    d = docs.where("length >= 4").select("doc_id", "norm", ranking.tokens_of(F.col("norm")).alias("d"))
-    grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("d") - 3), lambda i: F.concat_ws(" ", F.get("d", i - 1), F.get("d", i), F.get("d", i + 1), F.get("d", i + 2))))
-    near = d.select("doc_id", F.explode(grams).alias("gram")).join(first, "gram").select("query_id", "g", "doc_id")
-    held = near.join(docs.select("doc_id", "norm"), "doc_id")
-    held = held.where(F.contains(F.concat(F.lit(" "), "norm", F.lit(" ")), F.concat(F.lit(" "), "g", F.lit(" ")))).select("query_id", "doc_id")
+    spaced = lambda c: F.concat(F.lit(" "), F.col(c), F.lit(" "))
+    needles = q.where(F.size("t") >= 4).select(F.col("query_id").alias("needle_id"), F.array_join("t", " ").alias("needle"))
+    held = substring.candidates(needles, docs.select(F.col("doc_id").alias("text_id"), F.col("norm").alias("text")))
+    held = held.join(needles, "needle_id").join(docs.select(F.col("doc_id").alias("text_id"), "norm"), "text_id")
+    held = held.where(F.contains(spaced("norm"), spaced("needle"))).select(F.col("needle_id").alias("query_id"), F.col("text_id").alias("doc_id"))
     allowed = bucket.union(held).groupBy("query_id").agg(F.array_sort(F.collect_set("doc_id")).alias("allowed_doc_ids"))
     return q.drop("t").join(allowed, "query_id", "left").withColumn("allowed_doc_ids", F.coalesce("allowed_doc_ids", F.array().cast("array<string>")))
 
@@ -89,7 +85,7 @@ def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
 @once
 def rankings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(query_id, arm, rank, unit_id, doc_id, score) of both arms, from one set of postings."""
-    return ranking.bm25_arms(questions(spark, sf_dir), words_document(spark, sf_dir), ARMS)
+    return ranking.bm25_arms(questions(spark, sf_dir), words_document(spark, sf_dir), ARMS, keep=scratch.kept)
 
 
 def ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -98,7 +94,13 @@ def ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @once
 def paragraphs_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The best paragraphs of each question's best document."""
+    """The best paragraphs of all documents that a question allows."""
+    return ranking.bm25_arms(questions(spark, sf_dir), words_paragraph(spark, sf_dir), {"bm25": 0.75}, keep=scratch.kept).drop("arm")
+
+
+@once
+def paragraphs_of_best(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best paragraphs of each question's best document: windows have the anchors of one document."""
     top = ranked(spark, sf_dir).where("rank = 1").select("query_id", F.array("doc_id").alias("allowed_doc_ids"))
     return ranking.bm25(passages(spark, sf_dir).join(top, "query_id"), words_paragraph(spark, sf_dir))
 
@@ -137,7 +139,6 @@ def judgments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The four best paragraphs of each question's best document; questions with fewer are left out."""
-    best = paragraphs_ranked(spark, sf_dir).join(words_paragraph(spark, sf_dir).select("unit_id", "paragraph_idx"), "unit_id")
-    whole = best.groupBy("query_id").agg(F.count(F.lit(1)).alias("n")).where("n = 4")
-    return best.join(whole, "query_id", "left_semi").select("query_id", "rank", "doc_id", "paragraph_idx", F.lit(0).alias("sentence_idx"))
+    """The best paragraphs, four at most, of each question's best document."""
+    best = paragraphs_of_best(spark, sf_dir).join(words_paragraph(spark, sf_dir).select("unit_id", "paragraph_idx"), "unit_id")
+    return best.select("query_id", "rank", "doc_id", "paragraph_idx", F.lit(0).alias("sentence_idx"))

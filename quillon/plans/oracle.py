@@ -42,8 +42,9 @@ CTES = {
     "ju": "SELECT query_id, arm, source_row, CASE WHEN source_row % 19 = 0 THEN '' WHEN exact_4 THEN 'CORRECT' ELSE 'INCORRECT' END AS verdict, CASE WHEN source_row % 19 <> 0 AND source_row % 17 <> 0 THEN 1 + exact_1::INT + exact_2::INT + exact_3::INT + exact_4::INT END AS score, CASE WHEN source_row % 19 = 0 THEN 'failed' ELSE '' END AS judge_error, CASE WHEN source_row % 17 = 0 AND source_row % 19 <> 0 THEN 'content_filter' ELSE '' END AS judge_fallback, source_row + 100 AS judge_total_tokens FROM fl",
     "para": f"SELECT CAST(doc_id AS VARCHAR) AS doc_id, i - 1 AS paragraph_idx, CAST(doc_id AS VARCHAR) || '|' || (i - 1) AS unit_id, line AS text, {tok('line')} AS t FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents) WHERE trim(line, ' ' || chr(9) || chr(13) || chr(11) || chr(12)) <> ''",
     "al1": "SELECT query_id, doc_id FROM ba_top WHERE rank = 1",
-    **_bm25("para", "qtok", "al1", 0.75, "bp"),
-    "anc": "SELECT t.query_id, t.rank, t.doc_id, p.paragraph_idx FROM bp_top t JOIN para p USING (unit_id) WHERE t.query_id IN (SELECT query_id FROM bp_top GROUP BY query_id HAVING count(*) = 4)",
+    **_bm25("para", "qtok", "al", 0.75, "bp"),
+    **_bm25("para", "qtok", "al1", 0.75, "b1"),
+    "anc": "SELECT t.query_id, t.rank, t.doc_id, p.paragraph_idx FROM b1_top t JOIN para p USING (unit_id)",
     "pos": "SELECT doc_id, paragraph_idx, text, row_number() OVER (PARTITION BY doc_id ORDER BY paragraph_idx) AS position FROM para",
     "win": "SELECT a.query_id, a.rank, a.doc_id, n.position, n.text, row_number() OVER (PARTITION BY a.query_id, a.doc_id, n.position ORDER BY a.rank) = 1 AS is_first FROM anc a JOIN pos p ON p.doc_id = a.doc_id AND p.paragraph_idx = a.paragraph_idx JOIN pos n ON n.doc_id = a.doc_id AND n.position BETWEEN p.position - 2 AND p.position + 2",
     "pairs": "SELECT query_id, bool_or(exact_1) FILTER (arm = 'bm25') AS a, bool_or(exact_1) FILTER (arm = 'bm25_flat') AS b FROM fl GROUP BY query_id",

@@ -170,9 +170,10 @@ def containment_curve(spark: SparkSession, sf: str) -> DataFrame:
 _QRELS = "SELECT al.query_id, d.unit_id, d.doc_id FROM al JOIN q USING (query_id) JOIN d USING (doc_id) WHERE len(d.t) >= 4 AND (contains(array_to_string(d.t, ' '), g) OR contains(g, array_to_string(d.t, ' ')))"
 
 
-@query(f"SELECT *, 1 AS relevance FROM ({_QRELS})")
+@query(f"SELECT x.*, 1 AS relevance, sha256(golden_answer) AS evidence FROM ({_QRELS}) x JOIN q USING (query_id)")
 def qrels_substring(spark: SparkSession, sf: str) -> DataFrame:
-    return metrics.substring_qrels(fixtures.questions(spark, sf), fixtures.words_document(spark, sf)).drop("evidence")
+    out = metrics.substring_qrels(fixtures.questions(spark, sf), fixtures.words_document(spark, sf))
+    return out.withColumn("evidence", T.sha256(F.col("evidence")))
 
 
 @query(f"""SELECT arm, k, round(sum(coalesce(f, 0) / n_gold) / count(*), 9) AS recall, round(count(f) FILTER (f > 0) / count(*), 9) AS hit, count(*) AS n_questions
@@ -540,9 +541,12 @@ def published_metrics(spark: SparkSession, sf: str) -> DataFrame:
     return pipelines.published_metrics(_summary(fixtures.judgments(spark, sf)).withColumn("judge", F.lit("derived")), ["bm25", "bm25_flat"])
 
 
-@query("SELECT round(avg(n), 9) AS mean_sentences, round(avg(dropped), 9) AS mean_dropped FROM (SELECT query_id, count(*) FILTER (is_first) AS n, count(*) FILTER (NOT is_first) AS dropped FROM win GROUP BY query_id)")
+@query("SELECT round(avg(n), 9) AS mean_sentences, round(avg(dropped), 9) AS mean_dropped FROM (SELECT query_id, count(*) FILTER (is_first) AS n, count(*) FILTER (NOT is_first) AS dropped FROM win WHERE query_id IN (SELECT query_id FROM anc GROUP BY query_id HAVING count(*) = 4) GROUP BY query_id)")
 def window_audit(spark: SparkSession, sf: str) -> DataFrame:
-    audit = pipelines.window_inputs(fixtures.passages(spark, sf), fixtures.anchors(spark, sf), fixtures.sentences(spark, sf))[2]
+    """Of the questions whose anchors pass the checks: four ranks in one document."""
+    anchors, sentences = fixtures.anchors(spark, sf), fixtures.sentences(spark, sf)
+    sound = anchors.join(windows.anchor_faults(anchors, sentences), "query_id", "left_anti")
+    audit = pipelines.window_inputs(fixtures.passages(spark, sf), sound, sentences)[2]
     return audit.select(F.round("mean_sentences", 9).alias("mean_sentences"), F.round("mean_dropped", 9).alias("mean_dropped"))
 
 

@@ -32,3 +32,10 @@ def written(spark: SparkSession, key: tuple, build: Callable[[], DataFrame]) ->
         _WRITTEN[place] = path, df.schema
     path, schema = _WRITTEN[place]
     return spark.read.schema(schema).parquet(path)
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """``df``, written and read back."""
+    path = f"{root(df.sparkSession)}/quillon-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
