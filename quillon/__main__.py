@@ -8,7 +8,8 @@
     score QUESTIONS DOCUMENTS QRELS OUT RUN...               flags, curve.{csv,json}, rates.{csv,json}
     windows QUESTIONS ANCHORS SENTENCES OUT                  contexts in rank and in source order, audit
     pilot RUN METHOD OUT [--size 100]                        the development rows of a frozen run
-    generate WORK ADAPTER MODEL VERSION OUT                  answers, resumed from OUT.checkpoint
+    prompt-pilot WORK OUT SELECTING --writer MODEL=ADAPTER --judge MODEL=ADAPTER --prompt VERSION=TEXT --judge-prompt VERSION=TEXT   system prompts against each other, and the one that wins
+    generate WORK ADAPTER MODEL VERSION OUT [--system TEXT --concurrency N]   answers, resumed from OUT.checkpoint
     judge WORK GENERATIONS ADAPTER MODEL OUT [--mode binary] judgments, resumed from OUT.checkpoint, and their summary
     matrix WORK ARM ARM VERSION OUT --writer MODEL=ADAPTER --judge MODEL=ADAPTER=MODE   both arms with all models
     dual-label WORK ARM ARM OUT --writer MODEL=ADAPTER --judge MODEL=ADAPTER=MODE   the matrix with a prompt that asks for a label first
@@ -55,9 +56,11 @@ def main(argv: list[str]) -> int:
     parser.add_argument("--scores", action="store_true")
     parser.add_argument("--size", type=int, default=100)
     parser.add_argument("--mode", default="binary")
+    parser.add_argument("--concurrency", type=int)
+    parser.add_argument("--system", default="")
     parser.add_argument("--dataset")
     parser.add_argument("--existing")
-    for name in ("member", "column", "writer", "judge"):
+    for name in ("member", "column", "writer", "judge", "prompt", "judge-prompt"):
         parser.add_argument(f"--{name}", action="append", default=[])
     a = parser.parse_args(argv)
     spark = SparkSession.builder.appName("quillon").getOrCreate()
@@ -91,8 +94,15 @@ def main(argv: list[str]) -> int:
             sinks.write_summary(audit, f"{p[3]}/audit")
         case "pilot":
             put(pipelines.development_rows(read(p[0]), p[1], a.size), p[2])
+        case "prompt-pilot":
+            named = lambda items: {m: adapter(f) for m, f in split(items, 1)}
+            made, judged, cells, winner = pipelines.prompt_pilot(read(p[0]), named(a.writer), named(a.judge), dict(split(a.prompt, 1)), dict(split(a.judge_prompt, 1)), p[2], concurrency=a.concurrency)
+            put(made, f"{p[1]}/generations")
+            put(judged, f"{p[1]}/judgments")
+            sinks.write_summary(cells, f"{p[1]}/cells")
+            sinks.write_summary(winner, f"{p[1]}/selected-prompt")
         case "generate":
-            put(pipelines.generate(spark, read(p[0]), adapter(p[1]), p[2], p[3], f"{p[4]}.checkpoint"), p[4])
+            put(pipelines.generate(spark, read(p[0]), adapter(p[1]), p[2], p[3], f"{p[4]}.checkpoint", settings=answers.Settings(a.system), concurrency=a.concurrency), p[4])
         case "judge":
             rows, summary = pipelines.judge(read(p[0]), read(p[1]), adapter(p[2]), p[3], a.mode, checkpoint=f"{p[4]}.checkpoint")
             put(rows, p[4])

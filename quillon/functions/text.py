@@ -113,9 +113,13 @@ def json_object(x: Column) -> Column:
     return F.nullif(F.regexp_extract(x, r"(?s)\{.*\}", 0), F.lit(""))
 
 
+#: Fixed value: what may follow a label, as the inside of a character class.
+LABEL_ENDS = r"""\s:.,;!?)\]}'"\-—"""
+
+
 def leading_label(x: Column, labels: tuple[str, ...]) -> Column:
-    """The label that opens ``x`` in any case, followed by its end or punctuation; null otherwise."""
-    found = F.regexp_extract(x, rf"(?i)^\s*({'|'.join(labels)})(?=$|[\s.,:;!?)\-])", 1)
+    """The label that opens ``x`` in any case, followed by its end or one of LABEL_ENDS; null otherwise."""
+    found = F.regexp_extract(x, rf"(?iU)^\s*({'|'.join(labels)})(?=$|[{LABEL_ENDS}])", 1)
     return F.initcap(F.nullif(found, F.lit("")))
 
 

@@ -28,6 +28,8 @@ from quillon.sources import sinks
 REFUSAL = "Cannot be determined from the supplied context."
 FAILED = "Answer generation failed."
 FILTERED = "content_filter_score_excluded"
+FILTERED_REASON = "Judge returned no result because of content filtering; excluded from the 1--5 mean by evaluation policy."
+FILTER = "content_filter"
 NO_REASON = "No reason returned."
 #: What a writer is asked; other wordings are other prompt versions.
 TEMPLATE = "Answer from the context alone.\n\nContext:\n{context}\n\nQuestion: {question}"
@@ -54,6 +56,33 @@ class Reply:
     response_id: str = ""
     model: str = ""
     provider: str = ""
+    finish_reason: str = ""
+
+
+@dataclass(frozen=True)
+class Settings:
+    """What goes with every prompt of a run: the system message, limits, and the JSON schema of a reply (as JSON, empty for free text)."""
+
+    system: str = ""
+    max_tokens: int = 2048
+    effort: str = "none"
+    response_schema: str = ""
+
+
+class Request(str):
+    """A user prompt with the settings of its run: an adapter that needs no settings takes it for the text it is."""
+
+    settings: Settings
+
+    def __new__(cls, prompt: str, settings: Settings):
+        request = super().__new__(cls, prompt)
+        request.settings = settings
+        return request
+
+    def messages(self) -> list[dict[str, str]]:
+        """The messages of a chat completion."""
+        system = [{"role": "system", "content": self.settings.system}] if self.settings.system else []
+        return [*system, {"role": "user", "content": str(self)}]
 
 
 def retried(call: Callable[[], Reply], attempts: int = 8, base: float = 1.0, cap: float = 60.0, sleep: Callable[[float], None] = time.sleep) -> Reply:
@@ -114,48 +143,57 @@ def is_judgment(reply: str, mode: str, lenient: bool = False) -> bool:
     return sound and (lenient or set(body) == {"verdict" if mode == "binary" else "score", "reason"} and isinstance(body["reason"], str))
 
 
-def called(df: DataFrame, adapter: Callable[[str], Reply], column: str = "prompt", attempts: int = 8, valid: Callable[[str], bool] | None = None) -> DataFrame:
+#: Threads of one task that wait for replies.
+THREADS = 8
+
+
+def called(df: DataFrame, adapter: Callable[[Request], Reply], column: str = "prompt", attempts: int = 8, valid: Callable[[str], bool] | None = None, settings: Settings = Settings(), concurrency: int | None = None) -> DataFrame:
     """``df`` with what a Reply holds and reply_error; rows whose prompt is null aren't sent.
 
-    A reply that isn't ``valid`` is asked for again, ASKS times in all; the last one is given as it is.
+    A reply that isn't ``valid`` is asked for again, ASKS times in all; the last one is given as it is, and one that the
+    content filter ended at once. ``concurrency`` bounds the calls at one time over the whole cluster: the rows are dealt to so many tasks that
+    these with their threads make no more.
     """
     names = df.columns
-    extra_kinds = "reply string, reply_error string, input_tokens long, output_tokens long, total_tokens long, response_id string, response_model string, response_provider string"
+    extra_kinds = "reply string, reply_error string, input_tokens long, output_tokens long, total_tokens long, response_id string, response_model string, response_provider string, finish_reason string"
     extra_names = [x.split()[0] for x in extra_kinds.split(", ")]
+    threads = THREADS if concurrency is None else max(1, min(THREADS, concurrency))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         def one(p: str | None) -> tuple:
             if p is None:
-                return None, "", 0, 0, 0, "", "", ""
+                return None, "", 0, 0, 0, "", "", "", ""
+            request = Request(p, settings)
             try:
-                got = retried(lambda: adapter(p), attempts)
+                got = retried(lambda: adapter(request), attempts)
                 for i in range(ASKS - 1 if valid else 0):
-                    if valid(reply_text(got.text)):
+                    if got.finish_reason == FILTER or valid(reply_text(got.text)):
                         break
                     time.sleep(0.25 * (i + 1))
-                    got = retried(lambda: adapter(p), attempts)
+                    got = retried(lambda: adapter(request), attempts)
                 total = got.input_tokens + got.output_tokens if got.total_tokens is None else got.total_tokens
-                return reply_text(got.text), "", got.input_tokens, got.output_tokens, total, got.response_id, got.model, got.provider
+                return reply_text(got.text), "", got.input_tokens, got.output_tokens, total, got.response_id, got.model, got.provider, got.finish_reason
             except Exception as e:  # a row's failure is data
-                return None, f"{type(e).__name__}: {e}"[:500], 0, 0, 0, "", "", ""
+                return None, f"{type(e).__name__}: {e}"[:500], 0, 0, 0, "", "", "", ""
 
-        with ThreadPoolExecutor(8) as pool:
+        with ThreadPoolExecutor(threads) as pool:
             for pdf in batches:
                 got = list(pool.map(one, [None if pd.isna(p) else p for p in pdf[column]]))
                 yield pd.concat([pdf[names], pd.DataFrame(got, columns=extra_names, index=pdf.index)], axis=1)
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
-    return df.mapInPandas(run, f"{kinds}, {extra_kinds}")
+    dealt = df if concurrency is None else df.repartition(max(1, concurrency // threads))
+    return dealt.mapInPandas(run, f"{kinds}, {extra_kinds}")
 
 
-def generated(work: DataFrame, adapter: Callable[[str], Reply], model: str, prompt_version: str, template: str = TEMPLATE) -> DataFrame:
+def generated(work: DataFrame, adapter: Callable[[str], Reply], model: str, prompt_version: str, template: str = TEMPLATE, settings: Settings = Settings(), concurrency: int | None = None) -> DataFrame:
     """Answers for ``work(query_id, arm, question, context)``, as GENERATION.
 
-    A blank context is answered without a call. An empty reply is an error; errors are the name of the exception's type.
+    An empty context is answered without a call; one of white space is sent. An empty reply is an error; errors are the name of the exception's type.
     """
-    blank = T.is_blank(F.col("context"))
+    blank = F.coalesce("context", F.lit("")) == ""
     sent = work.select("query_id", "arm", T.sha256(F.concat_ws("\n", "question", "context")).alias("content_sha256"), T.sha256(F.col("context")).alias("retrieval_context_sha256"), F.when(~blank, prompt(F.col("context"), F.col("question"), template)).alias("prompt"))
-    out = called(sent, adapter)
+    out = called(sent, adapter, settings=settings, concurrency=concurrency)
     answer = F.when(F.col("prompt").isNull(), F.lit(REFUSAL)).otherwise(T.stripped(F.coalesce("reply", F.lit(""))))
     error = F.when(F.col("reply_error") != "", F.substring_index("reply_error", ":", 1)).when(answer == "", "ValueError").otherwise("")
     return out.withColumn("answer", answer).withColumn("error", error).select(
@@ -186,31 +224,32 @@ def repaired(reply: Column) -> Column:
     return F.to_json(F.struct(F.get_json_object(body, "$.score").alias("score"), reason.alias("reason")))
 
 
-def judged(work: DataFrame, adapter: Callable[[str], Reply], model: str, mode: str = "binary", lenient: bool = False) -> DataFrame:
+def judged(work: DataFrame, adapter: Callable[[str], Reply], model: str, mode: str = "binary", lenient: bool = False, settings: Settings = Settings(max_tokens=256), concurrency: int | None = None) -> DataFrame:
     """Judgments of ``work(query_id, arm, question, golden_answer, generated_answer, generation_error, generation_sha256)``.
 
     A row whose generation failed isn't sent. A refusal gives no score and a fallback tag; both count as INCORRECT
-    where the mode is binary. Replies of another form are asked for again.
+    where the mode is binary. Replies of another form are asked for again. A refusal is a reply that the content filter ended, whose ids and
+    tokens are kept, or a Refused that the adapter raises.
     """
     failed = F.coalesce("generation_error", F.lit("")) != ""
     sent = work.select("query_id", "arm", "generation_sha256", failed.alias("failed"), F.when(~failed, judge_prompt(F.col("question"), F.col("golden_answer"), F.col("generated_answer"), mode)).alias("prompt"))
-    out = called(sent, adapter, valid=lambda reply: is_judgment(reply, mode, lenient))
+    out = called(sent, adapter, valid=lambda reply: is_judgment(reply, mode, lenient), settings=settings, concurrency=concurrency)
     lenient = lenient and mode != "binary"
     x = judgment_fields(repaired(F.col("reply")) if lenient else F.col("reply"), mode)
-    refused = F.col("reply_error").startswith("Refused")
+    refused = F.col("reply_error").startswith("Refused") | ((F.col("finish_reason") == FILTER) & (F.coalesce(x["wrong"], F.lit("no object")) != ""))
     error = F.when(F.col("failed"), "generation_error").when(refused, "").when(F.col("reply_error") != "", F.col("reply_error")).otherwise(x["wrong"])
     wrong = F.lit("INCORRECT" if mode == "binary" else "")
     return out.select(
-        "query_id", "arm", F.lit(model).alias("judge_model"), F.lit(mode).alias("judge_mode"), "generation_sha256", F.when(F.col("failed") | refused, wrong).otherwise(F.coalesce(x["verdict"], F.lit(""))).alias("verdict"), x["score"].alias("score"),
-        F.when(F.col("failed"), FAILED).when(refused, "The judge's content filter gave no result.").otherwise(F.coalesce(x["reason"], F.lit(""))).alias("reason"),
+        "query_id", "arm", F.lit(model).alias("judge_model"), F.lit(mode).alias("judge_mode"), "generation_sha256", F.when(F.col("failed") | refused, wrong).otherwise(F.coalesce(x["verdict"], F.lit(""))).alias("verdict"), F.when(~refused, x["score"]).alias("score"),
+        F.when(F.col("failed"), FAILED).when(refused, FILTERED_REASON).otherwise(F.coalesce(x["reason"], F.lit(""))).alias("reason"),
         F.coalesce(error, F.lit("no object")).alias("judge_error"), F.when(refused, FILTERED).otherwise("").alias("judge_fallback"), F.col("total_tokens").alias("judge_total_tokens"),
         F.col("response_id").alias("judge_response_id"), F.col("input_tokens").alias("judge_input_tokens"), F.col("output_tokens").alias("judge_output_tokens"), F.col("response_model").alias("judge_response_model"), F.col("response_provider").alias("judge_response_provider"),
     )
 
 
-def judged_boolean(work: DataFrame, adapter: Callable[[str], Reply], model: str) -> DataFrame:
+def judged_boolean(work: DataFrame, adapter: Callable[[str], Reply], model: str, settings: Settings = Settings(max_tokens=256), concurrency: int | None = None) -> DataFrame:
     """query_id, arm, judge_model, judge_correct (false where the judge failed), judge_error, judge_total_tokens of ``work(query_id, arm, question, golden_answer, generated_answer)``."""
-    out = called(work.select("query_id", "arm", judge_prompt(F.col("question"), F.col("golden_answer"), F.col("generated_answer"), "boolean").alias("prompt")), adapter)
+    out = called(work.select("query_id", "arm", judge_prompt(F.col("question"), F.col("golden_answer"), F.col("generated_answer"), "boolean").alias("prompt")), adapter, settings=settings, concurrency=concurrency)
     body = T.json_object(F.col("reply"))
     right = F.get_json_object(body, "$.correct")
     sound = F.coalesce((F.json_object_keys(body) == F.array(F.lit("correct"))) & right.isin("true", "false"), F.lit(False))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from quillon.functions import text as T
 from quillon.operators import assemble, checks, metrics, paired, ranking, sampling, windows
 from quillon.plans import answers
-from quillon.sources import sinks, tables
+from quillon.sources import scratch, sinks, tables
 
 
 def prepare_questions(queries: DataFrame, sources: DataFrame, allowed: DataFrame, dataset: str) -> DataFrame:
@@ -110,11 +110,11 @@ def window_inputs(questions: DataFrame, anchors: DataFrame, sentences: DataFrame
     return questions.join(by_rank, "query_id").select(*keep, F.col("ranked_context").alias("context")), questions.join(by_source, "query_id").select(*keep, F.col("source_context").alias("context")), audit
 
 
-def generate(spark: SparkSession, work: DataFrame, adapter, model: str, prompt_version: str, checkpoint: str, batches: int = 4, template: str = answers.TEMPLATE) -> DataFrame:
+def generate(spark: SparkSession, work: DataFrame, adapter, model: str, prompt_version: str, checkpoint: str, batches: int = 4, template: str = answers.TEMPLATE, settings: answers.Settings = answers.Settings(), concurrency: int | None = None) -> DataFrame:
     """All answers, resumed from ``checkpoint``; raises while any row still fails."""
     keys = ["query_id", "arm", "model", "prompt_version", "content_sha256"]
     tagged = work.withColumn("model", F.lit(model)).withColumn("prompt_version", F.lit(prompt_version)).withColumn("content_sha256", T.sha256(F.concat_ws("\n", "question", "context")))
-    out = answers.resumed(spark, tagged, lambda df: answers.generated(df, adapter, model, prompt_version, template), checkpoint, answers.GENERATION, keys, "generation_error", batches)
+    out = answers.resumed(spark, tagged, lambda df: answers.generated(df, adapter, model, prompt_version, template, settings, concurrency), checkpoint, answers.GENERATION, keys, "generation_error", batches)
     checks.require(checks.conditions(out, generation_error=F.col("generation_error") != ""))
     return out
 
@@ -132,15 +132,32 @@ def judge(work: DataFrame, generations: DataFrame, adapter, model: str, mode: st
     return out, metrics.judge_summary(out, "arm")
 
 
-def prompt_pilot(questions: DataFrame, work: Callable[[DataFrame], DataFrame], adapter, prompts: dict[str, str], size: int = 100, salt: str = "pilot") -> tuple[DataFrame, DataFrame]:
-    """Label accuracy of each prompt on a stable sample, and the prompt that wins."""
-    sample = sampling.stable_sample(questions, size, salt)
-    cells = []
-    for name, text in prompts.items():
-        made = answers.labelled(answers.generated(work(sample), adapter, "pilot", name).join(questions.select("query_id", "golden_answer"), "query_id"))
-        cells.append(made.agg(F.avg(F.col("label_correct").cast("int")).alias("accuracy")).select(F.lit(name).alias("prompt_name"), F.lit(text).alias("prompt"), "accuracy"))
-    table = assemble.stacked(*cells)
-    return table, sampling.prompt_winner(table)
+def prompt_pilot(work: DataFrame, writers: dict[str, Callable], judges: dict[str, Callable], prompts: dict[str, str], judge_prompts: dict[str, str], selecting: str, template: str = answers.TEMPLATE, concurrency: int | None = None, keep: Callable[[DataFrame], DataFrame] = scratch.kept) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Which system prompt writes the best answers: (generations, judgments, cells, winner) over the rows of a cohort.
+
+    ``work(query_id, arm, question, context, golden_answer)``; ``prompts`` and ``judge_prompts`` map a version to its system prompt. Every
+    writer answers every row with every prompt, every judge judges every answer true or false with each of its prompts, and a cell is one
+    writer, prompt, judge and judge's prompt with its accuracy and the label accuracy of its answers. The winner has the highest mean accuracy over the
+    cells of the judge's prompt ``selecting``; ties go to fewer UTF-8 bytes, then the version. ``keep`` writes answers before they are judged.
+    """
+    if selecting not in judge_prompts or not (writers and judges and prompts):
+        raise ValueError("a pilot needs a writer, a judge, a prompt and the selecting judge's prompt")
+    checks.require(checks.unique(work, ["query_id", "arm"]))
+    made, judged = [], []
+    for model, adapter in writers.items():
+        for version, system in prompts.items():
+            out = keep(answers.generated(work, adapter, model, version, template, answers.Settings(system), concurrency))
+            made.append(answers.labelled(out.join(work.select("query_id", "arm", "question", "golden_answer"), ["query_id", "arm"])).withColumn("prompt_sha256", T.sha256(F.lit(system))))
+            for judge_model, judge_adapter in judges.items():
+                for judge_version, judge_system in judge_prompts.items():
+                    rows = answers.judged_boolean(made[-1], judge_adapter, judge_model, answers.Settings(judge_system, 256), concurrency)
+                    judged.append(rows.select("*", F.lit(model).alias("model"), F.lit(version).alias("prompt_version"), F.lit(judge_version).alias("judge_prompt_version"), T.sha256(F.lit(judge_system)).alias("judge_prompt_sha256")))
+    made, judged = assemble.stacked(*made), keep(assemble.stacked(*judged))
+    right = judged.groupBy("model", "prompt_version", "judge_model", "judge_prompt_version").agg(F.count(F.lit(1)).alias("n_rows"), metrics.count_if(F.col("judge_error") != "").alias("n_errors"), F.avg(F.col("judge_correct").cast("int")).alias("accuracy"))
+    cells = right.join(metrics.label_summary(made, "model", "prompt_version").select("model", "prompt_version", "parse_rate", "label_accuracy"), ["model", "prompt_version"])
+    texts = work.sparkSession.createDataFrame(list(prompts.items()), "prompt_name string, prompt string")
+    selected = cells.where(F.col("judge_prompt_version") == selecting).select(F.col("prompt_version").alias("prompt_name"), "accuracy").join(texts, "prompt_name")
+    return made, judged, cells, sampling.prompt_winner(selected)
 
 
 def paired_summary(long: DataFrame, a: str, b: str, value: str, binary: bool, *keys: str, whole: bool = False) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import hashlib
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillon.functions import text as T
@@ -53,13 +53,24 @@ def json_object_extract(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "events", "event_id", "props").select("event_id", T.json_object(F.concat(F.lit("Sure: ```json "), props, F.lit(" ``` done"))).alias("body"), T.sha256(F.col("props")).alias("props_sha256"))
 
 
-@query(r"""WITH c AS (SELECT conv_id, turn, CASE turn % 4 WHEN 0 THEN ' entailment: ' || text WHEN 1 THEN 'CONTRADICTION' WHEN 2 THEN 'True/Entailment' ELSE text END AS reply FROM conversations),
- l AS (SELECT *, lower(nullif(regexp_extract(reply, '(?i)^\s*(Entailment|Contradiction)($|[\s.,:;!?)\-])', 1), '')) AS label FROM c)
- SELECT conv_id, turn, upper(label[1]) || label[2:] AS label FROM l""")
+#: What follows the planted labels, by (conv_id + turn) modulo their number; the last three don't end a label.
+_CLOSERS = [" ", "\n", ":", ".", ",", ";", "!", "?", ")", "]", "}", "'", '"', "-", "—", "", "s", "/", "–"]
+_ENDS = T.LABEL_ENDS.replace("'", "''")
+_CLOSER = "[" + ", ".join("'" + c.replace("'", "''") + "'" for c in _CLOSERS) + f"][1 + (conv_id + turn) % {len(_CLOSERS)}]"
+_REPLIES = f"CASE turn % 4 WHEN 0 THEN ' entailment' || {_CLOSER} || CASE WHEN conv_id % 2 = 0 THEN '' ELSE 'yes' END WHEN 1 THEN 'CONTRADICTION' WHEN 2 THEN 'True/Entailment' ELSE text END AS reply"
+_LABEL = f"lower(nullif(regexp_extract(reply, '(?i)^\\s*(Entailment|Contradiction)($|[{_ENDS}])', 1), ''))"
+
+
+def _replies() -> Column:
+    n, turn = (F.col("conv_id") + F.col("turn")) % len(_CLOSERS), F.col("turn") % 4
+    closed = F.concat(F.lit(" entailment"), F.get(F.array(*map(F.lit, _CLOSERS)), n.cast("int")), F.when(F.col("conv_id") % 2 == 0, "").otherwise("yes"))
+    return F.when(turn == 0, closed).when(turn == 1, "CONTRADICTION").when(turn == 2, "True/Entailment").otherwise(F.col("text"))
+
+
+@query(f"WITH c AS (SELECT conv_id, turn, {_REPLIES} FROM conversations), l AS (SELECT *, {_LABEL} AS label FROM c) SELECT conv_id, turn, upper(label[1]) || label[2:] AS label FROM l")
 def label_parse(spark: SparkSession, sf: str) -> DataFrame:
-    c, turn = table(spark, sf, "conversations", "conv_id", "turn", "text"), F.col("turn") % 4
-    reply = F.when(turn == 0, F.concat(F.lit(" entailment: "), "text")).when(turn == 1, "CONTRADICTION").when(turn == 2, "True/Entailment").otherwise(F.col("text"))
-    return c.select("conv_id", "turn", T.leading_label(reply, ("Entailment", "Contradiction")).alias("label"))
+    c = table(spark, sf, "conversations", "conv_id", "turn", "text")
+    return c.select("conv_id", "turn", T.leading_label(_replies(), ("Entailment", "Contradiction")).alias("label"))
 
 
 # units -----------------------------------------------------------------------------------------
@@ -525,13 +536,11 @@ def paired_histograms(spark: SparkSession, sf: str) -> DataFrame:
     return paired.histograms(paired.paired(fixtures.judgments(spark, sf), "bm25", "bm25_flat", "score"))
 
 
-@query(r"""WITH c AS (SELECT role, turn, CASE turn % 4 WHEN 0 THEN ' entailment: ' || text WHEN 1 THEN 'CONTRADICTION' WHEN 2 THEN 'True/Entailment' ELSE text END AS reply, CASE WHEN turn % 3 = 0 THEN 'Entailment' ELSE 'Contradiction' END AS gold FROM conversations),
- l AS (SELECT *, lower(nullif(regexp_extract(reply, '(?i)^\s*(Entailment|Contradiction)($|[\s.,:;!?)\-])', 1), '')) AS label FROM c)
+@query(f"""WITH c AS (SELECT role, turn, {_REPLIES}, CASE WHEN turn % 3 = 0 THEN 'Entailment' ELSE 'Contradiction' END AS gold FROM conversations), l AS (SELECT *, {_LABEL} AS label FROM c)
  SELECT role, count(*) AS n_rows, count(*) FILTER (turn % 5 = 0) AS n_errors, round(avg((label IS NOT NULL)::INT), 9) AS parse_rate, round(avg(coalesce(label = lower(gold), false)::INT), 9) AS label_accuracy FROM l GROUP BY role""")
 def label_rates(spark: SparkSession, sf: str) -> DataFrame:
-    c, turn = table(spark, sf, "conversations", "role", "turn", "text"), F.col("turn") % 4
-    reply = F.when(turn == 0, F.concat(F.lit(" entailment: "), "text")).when(turn == 1, "CONTRADICTION").when(turn == 2, "True/Entailment").otherwise(F.col("text"))
-    made = c.select("role", reply.alias("generated_answer"), F.when(F.col("turn") % 3 == 0, "Entailment").otherwise("Contradiction").alias("golden_answer"), F.when(F.col("turn") % 5 == 0, "boom").otherwise("").alias("generation_error"))
+    c = table(spark, sf, "conversations", "conv_id", "role", "turn", "text")
+    made = c.select("role", _replies().alias("generated_answer"), F.when(F.col("turn") % 3 == 0, "Entailment").otherwise("Contradiction").alias("golden_answer"), F.when(F.col("turn") % 5 == 0, "boom").otherwise("").alias("generation_error"))
     out = metrics.label_summary(answers.labelled(made), "role")
     return out.withColumns({x: F.round(x, 9) for x in ("parse_rate", "label_accuracy")})
 
