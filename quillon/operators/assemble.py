@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillon.operators.checks import require, together, unique
+from quillon.sources import scratch
 
 
 def namespaced(df: DataFrame, prefix: str, fields: list[str], keys: list[str]) -> DataFrame:
@@ -82,9 +84,23 @@ def by_enumeration(df: DataFrame, column: str, values: list[str]) -> DataFrame:
     return df.orderBy(F.when(at == 0, len(values) + 1).otherwise(at), column)
 
 
-def ordinals(df: DataFrame, group: str, order: str, name: str = "source_row") -> DataFrame:
-    """Running number from 0 within each group."""
-    return df.withColumn(name, (F.row_number().over(Window.partitionBy(group).orderBy(order)) - 1).cast("long"))
+def ordinals(df: DataFrame, group: str, order: str | Column, name: str = "source_row", keep: Callable[[DataFrame], DataFrame] = scratch.kept) -> DataFrame:
+    """Running number from 0 within each group, without a group having to fit into a task.
+
+    The rows are range-partitioned by group, order and a number of their own, so that neither one group nor many equal
+    places make a large partition. A row's number is its place in its partition, less the place where its group begins there, plus the rows of the
+    group in the partitions before; the counts for that are a row for each partition and group. ``keep`` writes the sorted rows, which are read
+    twice: a range partitioning that is worked out again may fall differently.
+    """
+    place = F.monotonically_increasing_id()
+    line = df.withColumn("_order", F.col(order) if isinstance(order, str) else order).withColumn("_own", place)
+    line = line.repartitionByRange(group, "_order", "_own").sortWithinPartitions(group, "_order", "_own").drop("_order", "_own")
+    line = keep(line.withColumn("_part", F.spark_partition_id()).withColumn("_place", place.bitwiseAND(F.lit((1 << 33) - 1))))
+    counts = line.groupBy(group, "_part").agg(F.count(F.lit(1)).alias("_n"), F.min("_place").alias("_first"))
+    before = Window.partitionBy(group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select(F.col(group).alias("_group"), F.col("_part").alias("_p"), (F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first")).alias("_start"))
+    out = line.join(starts, F.col(group).eqNullSafe(F.col("_group")) & (F.col("_part") == F.col("_p")))
+    return out.withColumn(name, (F.col("_place") + F.col("_start")).cast("long")).select(*[c for c in df.columns if c != name], name)
 
 
 def matched(a: DataFrame, b: DataFrame, keys: list[str], suffixes: tuple[str, str] = ("", "_other")) -> DataFrame:
