@@ -11,6 +11,10 @@ written tables that all queries read.
 from __future__ import annotations
 
 import functools
+import os
+import re
+import uuid
+import zipfile
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -142,3 +146,46 @@ def anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The best paragraphs, four at most, of each question's best document."""
     best = paragraphs_of_best(spark, sf_dir).join(words_paragraph(spark, sf_dir).select("unit_id", "paragraph_idx"), "unit_id")
     return best.select("query_id", "rank", "doc_id", "paragraph_idx", F.lit(0).alias("sentence_idx"))
+
+
+# services over the driver's tables, which stand for remote ones ------------------------------------------
+
+
+def database(address: str):
+    """A DB-API connection to a database that has the documents as units."""
+    import duckdb
+
+    con = duckdb.connect()
+    source = f"{address}/documents.parquet"
+    found = f"read_parquet('{source}/*.parquet')" if os.path.isdir(source) else f"read_parquet('{source}')"
+    con.execute(f"CREATE VIEW units AS SELECT 'document' AS retrieval_level, CAST(doc_id AS VARCHAR) AS doc_id, CAST(doc_id AS VARCHAR) AS unit_id, doc_id AS doc_key, text FROM {found}")
+    return con
+
+
+def search(request: dict, address: str) -> list[dict]:
+    """The allowed documents that hold the most of a question's words, equal ones by their id."""
+    words = sorted(set(re.findall("[a-z]+", request["query"].lower())))
+    con = database(address)
+    try:
+        rows = con.execute("SELECT doc_id, text, len(list_filter(?::VARCHAR[], lambda w: contains(lower(text), w))) AS score FROM units WHERE doc_id IN (SELECT unnest(?::VARCHAR[])) ORDER BY score DESC, doc_id LIMIT ?", [words, request["allowed_doc_ids"], request["limit"]]).fetchall()
+    finally:
+        con.close()
+    return [{"doc_id": d, "text": t, "score": float(s)} for d, t, s in rows]
+
+
+def archive_of_names(spark: SparkSession, sf_dir: str) -> str:
+    """A zip file with the customers as Parquet and the suppliers as compressed CSV."""
+    root = scratch.root(spark).removeprefix("file:").replace("//", "/")
+    made = {
+        "customer.parquet": table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("key"), F.col("c_name").alias("name"), F.col("c_mktsegment").alias("segment")),
+        "supplier.csv.gz": table(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("string").alias("key"), F.col("s_name").alias("name")),
+    }
+    path = f"{root}/quillon-{uuid.uuid4().hex}.zip"
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+        for name, df in made.items():
+            part = f"{root}/quillon-{uuid.uuid4().hex}"
+            one = df.coalesce(1).write
+            one.parquet(part) if name.endswith("parquet") else one.option("header", True).option("compression", "gzip").csv(part)
+            [found] = [f for f in os.listdir(part) if f.startswith("part-")]
+            z.write(f"{part}/{found}", f"data/{name}")
+    return path

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from quillon.functions import text as T
 from quillon.operators import assemble, checks, metrics, paired, ranking, sampling, windows
 from quillon.plans import answers
-from quillon.sources import scratch, sinks, tables
+from quillon.sources import archives, scratch, sinks, tables
 
 
 def prepare_questions(queries: DataFrame, sources: DataFrame, allowed: DataFrame, dataset: str) -> DataFrame:
@@ -54,7 +54,7 @@ def _searched(questions: DataFrame, search: Callable[[str], answers.Reply], arm:
     made = lambda x: F.coalesce(F.nullif(x["unit_id"], F.lit("")), T.compound_id(x["doc_id"], x["paragraph_idx"], x["subparagraph_idx"]))
     out = got.withColumn("hits", F.transform(hits, lambda x, i: x.withField("rank", (i + 1).cast("int")).withField("unit_id", made(x))))
     out = out.withColumns({"arm": F.lit(arm), "top_k": F.lit(limit), **{k: F.lit(v) for k, v in settings.items()}}).withColumnRenamed("reply_error", "retrieval_error")
-    return out.drop("prompt", "reply", "input_tokens", "output_tokens", "total_tokens", "response_id", "response_model", "response_provider")
+    return out.drop("prompt", "reply", "input_tokens", "output_tokens", "total_tokens", "response_id", "response_model", "response_provider", "finish_reason")
 
 
 def retrieve_external(questions: DataFrame, search: Callable[[str], answers.Reply], arm: str, limit: int = 4, **settings) -> DataFrame:
@@ -76,12 +76,21 @@ def retrieve_windows(questions: DataFrame, search: Callable[[str], answers.Reply
     return out.withColumn("retrieved_count", F.size("retrieved_items").cast("long")).withColumn("retrieved_context", ranking.context())
 
 
+def retrieve_searched(questions: DataFrame, hits: DataFrame, arm: str, limit: int = 4, **settings) -> DataFrame:
+    """Rankings of ``hits`` as ``remote.search_hits`` has them, one row a question: settings, items, and the error of a question that failed."""
+    item = F.struct("rank", "unit_id", "doc_id", "text", "score", "paragraph_idx", "subparagraph_idx")
+    by = hits.groupBy("query_id").agg(F.array_sort(F.collect_list(F.when(F.col("retrieval_error") == "", item))).alias("retrieved_items"), F.max("retrieval_error").alias("retrieval_error"))
+    out = questions.join(by, "query_id", "left").withColumns({"arm": F.lit(arm), "top_k": F.lit(limit), **{k: F.lit(v) for k, v in settings.items()}})
+    out = out.withColumn("retrieved_items", F.coalesce("retrieved_items", F.array().cast(by.schema["retrieved_items"].dataType))).withColumn("retrieval_error", F.coalesce("retrieval_error", F.lit("")))
+    return out.withColumn("retrieved_count", F.size("retrieved_items").cast("long")).withColumn("retrieved_context", ranking.context())
+
+
 def import_neural(spark: SparkSession, path: str, members: dict[str, str], columns: dict[str, str], order: str, dataset: str = "dataset") -> DataFrame:
     """Long retrieval rows of an archive: ``columns`` maps an arm to the column with its excerpts.
 
     Rows are numbered within their dataset by the column ``order``, never by their place in a file.
     """
-    df = assemble.ordinals(tables.archive(spark, path, members), dataset, order)
+    df = assemble.ordinals(archives.archive(spark, path, members), dataset, order)
     checks.require(checks.conditions(df, **{f"null_{c}": F.col(c).isNull() for c in (dataset, "question", "golden_answer")}))
     df = df.withColumn("query_id", T.padded_id(F.col(dataset), F.col("source_row")))
     return assemble.stacked(*[ranking.import_ranked(df, c, arm).drop(*columns.values()) for arm, c in columns.items()])

@@ -13,7 +13,7 @@ from quillon.functions.stats import sign_test
 from quillon.operators import assemble, checks, columns, metrics, paired, ranking, sampling, windows
 from quillon.plans import answers, fixtures, pipelines
 from quillon.plans.oracle import norm, tok, with_tables
-from quillon.sources import scratch, tables
+from quillon.sources import archives, remote, scratch, tables
 from quillon.sources.tables import table
 
 QUERIES: dict = {}
@@ -720,3 +720,43 @@ def dq_development(spark: SparkSession, sf: str) -> DataFrame:
     q, row = fixtures.passages(spark, sf), F.col("source_row")
     q = q.withColumns({"retrieval_method": F.when(row % 6 != 0, "bm25"), "retrieval_error": F.when(row % 10 == 0, "boom")})
     return checks.development(q.unionByName(q.where("source_row % 9 = 0")), "bm25", 1000000)
+
+
+# remote services, archives, footers ----------------------------------------------------------------------
+
+
+@query("SELECT doc_id, unit_id, sha256(text) AS text_sha256 FROM d")
+def remote_units(spark: SparkSession, sf: str) -> DataFrame:
+    """The units of a level through SQL: the level is a filter of the database, whose rows come in eight parts."""
+    units = remote.sql_units(spark, "quillon.plans.fixtures:database", sf, "document", partitionColumn="doc_key", numPartitions=8)
+    return units.select("doc_id", "unit_id", T.sha256(F.col("text")).alias("text_sha256"))
+
+
+_SEARCHED = "SELECT al.query_id, d.doc_id, d.text, len(list_filter(list_distinct(regexp_extract_all(lower(question), '[a-z]+')), lambda w: contains(lower(d.text), w))) AS score FROM al JOIN q USING (query_id) JOIN d USING (doc_id)"
+
+
+@query(f"SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank, doc_id AS unit_id, CAST(score AS DOUBLE) AS score, sha256(text) AS text_sha256 FROM ({_SEARCHED}) QUALIFY rank <= 4")
+def searched_hits(spark: SparkSession, sf: str) -> DataFrame:
+    """The four best hits of a search service for every question, a task for each page of questions."""
+    q = fixtures.questions(spark, sf).select("query_id", "question", "allowed_doc_ids")
+    asked = scratch.kept(q).inputFiles()[0].rpartition("/")[0]
+    hits = remote.search_hits(spark, asked, "quillon.plans.fixtures:search", sf)
+    rows = pipelines.retrieve_searched(q, hits, "search").select("query_id", F.explode("retrieved_items").alias("i"))
+    return rows.select("query_id", F.col("i.rank").cast("long").alias("rank"), "i.unit_id", "i.score", T.sha256(F.col("i.text")).alias("text_sha256"))
+
+
+@query("SELECT CAST(c_custkey AS VARCHAR) AS \"key\", c_name AS name, c_mktsegment AS segment FROM customer UNION ALL SELECT CAST(s_suppkey AS VARCHAR), s_name, NULL FROM supplier")
+def archive_members(spark: SparkSession, sf: str) -> DataFrame:
+    path = fixtures.archive_of_names(spark, sf)
+    return archives.archive(spark, path, {"data/customer.parquet": "parquet", "data/supplier.csv.gz": "csv.gz"}).select("key", "name", "segment")
+
+
+_FOOTED = {"orders": "o_orderkey", "customer": "c_custkey", "documents": "doc_id", "embeddings": "vec_id"}
+
+
+@query(" UNION ALL ".join(f"SELECT '{t}' AS name, count(*) AS n_rows, count(*) - count({c}) AS nulls, min({c}) AS least, max({c}) AS greatest FROM {t}" for t, c in _FOOTED.items()))
+def parquet_footers(spark: SparkSession, sf: str) -> DataFrame:
+    """Rows, nulls and the ends of key columns, from the footers of the tables' files."""
+    found = archives.footers(spark, *[f"{sf}/{t}.parquet" for t in _FOOTED]).where(F.col("column").isin(*_FOOTED.values()))
+    name = F.regexp_extract("path", r"/([a-z]+)\.parquet", 1)
+    return found.groupBy(name.alias("name")).agg(F.sum("rows").alias("n_rows"), F.sum("nulls").alias("nulls"), F.min(F.col("least").cast("long")).alias("least"), F.max(F.col("greatest").cast("long")).alias("greatest"))

@@ -2,20 +2,14 @@
 
 from __future__ import annotations
 
-import gzip
 import hashlib
-import os
 import urllib.parse
-import uuid
-import zipfile
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.sources import scratch
-
 QUESTION = "query_id string, split string, source_row long, question string, golden_answer string, allowed_doc_ids array<string>, dataset string"
 EXCERPT = "struct<rank:int,unit_id:string,doc_id:string,text:string,score:double>"
 HIT = "struct<rank:int,unit_id:string,doc_id:string,paragraph_idx:int,subparagraph_idx:int,text:string,score:double,context:array<struct<unit_id:string,text:string>>>"
@@ -51,34 +45,6 @@ def csv(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
     return (reader.schema(schema) if schema else reader).csv(path).na.fill("")  # bare empty fields come as the sentinel
 
 
-def archive(spark: SparkSession, path: str, members: dict[str, str], workdir: str | None = None) -> DataFrame:
-    """The union of an archive's members, columns that lack filled with null.
-
-    ``members`` maps a member's name to ``parquet``, ``csv`` or ``csv.gz``. Members are unpacked
-    on the driver to ``workdir``, which on a cluster is a folder that all executors see.
-    """
-    if not workdir:
-        workdir = os.path.join(scratch.root(spark).removeprefix("file://"), f"quillon-{uuid.uuid4().hex}")
-        os.makedirs(workdir)
-    out = None
-    with zipfile.ZipFile(path) as z:
-        for name, kind in members.items():
-            target = os.path.join(workdir, os.path.basename(name).removesuffix(".gz"))
-            with z.open(name) as packed, open(target, "wb") as f:
-                source = gzip.GzipFile(fileobj=packed) if kind.endswith(".gz") else packed
-                while block := source.read(1 << 20):
-                    f.write(block)
-            part = parquet(spark, target) if kind == "parquet" else csv(spark, target)
-            out = part if out is None else out.unionByName(part, allowMissingColumns=True)
-    return out
-
-
-def sql_units(spark: SparkSession, units: DataFrame, level: str) -> DataFrame:
-    """The units of one level through SQL, ids as text."""
-    units.createOrReplaceTempView("quillon_units")
-    return spark.sql("SELECT CAST(doc_id AS STRING) AS doc_id, unit_id, text FROM quillon_units WHERE retrieval_level = :level", {"level": level})
-
-
 def routed(spark: SparkSession, root: str, **parts: str) -> DataFrame:
     """A partitioned table cut down to partitions, such as dataset=, arm= or model=."""
     df = spark.read.parquet(root)
@@ -112,8 +78,3 @@ def parts(spark: SparkSession, glob: str, *columns: str) -> DataFrame:
     """The rows of all files that ``glob`` matches, with ``part`` and ``part_row``: sorted by both they stand as in the files, taken in the order of their paths."""
     df = parquet(spark, glob, *columns)
     return df.select(*df.columns, F.col("_metadata.file_path").alias("part"), F.col("_metadata.row_index").alias("part_row"))
-
-
-def footers(spark: SparkSession, paths: list[str]) -> list[dict]:
-    """Rows and columns of Parquet tables; the counts come from the footers."""
-    return [{"path": p, "rows": (df := spark.read.parquet(p)).count(), "columns": len(df.columns)} for p in paths]
