@@ -81,7 +81,8 @@ def main(argv: list[str]) -> int:
         case "import":
             put(pipelines.import_neural(spark, p[0], dict(split(a.member, 1)), dict(split(a.column, 1)), p[1]), p[2])
         case "bm25":
-            put(pipelines.retrieve(read(p[0]), read(p[1]), top_k=a.top_k, k1=a.k1, b=a.b), p[2])
+            questions = read(p[0])
+            pipelines.write_run(pipelines.retrieve(questions, read(p[1]), top_k=a.top_k, k1=a.k1, b=a.b), p[2], questions.count(), a.top_k)
         case "score":
             flags, curve, rates = pipelines.handoff(read(p[0]), read(p[1]), [read(x) for x in p[4:]], read(p[2]))
             put(flags, f"{p[3]}/flags")

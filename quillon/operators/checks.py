@@ -9,10 +9,7 @@ from pyspark.sql import functions as F
 
 from quillon.functions import text as T
 from quillon.operators.metrics import count_if
-
-
-class CheckFailed(ValueError):
-    pass
+from quillon.sources.sinks import CheckFailed
 
 
 def _row(name: str, n: DataFrame) -> DataFrame:
@@ -41,13 +38,19 @@ def subset(name: str, rows: DataFrame, known: DataFrame, keys: list[str]) -> Dat
 
 
 def equal_sets(name: str, a: DataFrame, b: DataFrame) -> DataFrame:
-    return _row(name, a.exceptAll(b).union(b.exceptAll(a)))
+    """Rows, repeats counted, that one side has and the other lacks: both sides are read once and meet in one aggregation."""
+    signed = a.withColumn("_n", F.lit(1)).unionAll(b.withColumn("_n", F.lit(-1)))
+    return signed.groupBy(*a.columns).agg(F.abs(F.sum("_n")).alias("_n")).agg(F.lit(name).alias("check"), F.coalesce(F.sum("_n"), F.lit(0)).alias("n_violations"))
+
+
+def listed(one: DataFrame, counts: dict[str, Column]) -> DataFrame:
+    """A one-row aggregate as a report."""
+    return one.select(F.explode(F.array(*[F.struct(F.lit(n).alias("check"), c.cast("long").alias("n_violations")) for n, c in counts.items()])).alias("r")).select("r.*")
 
 
 def conditions(df: DataFrame, **violations: Column) -> DataFrame:
     """All row conditions in one pass; each argument is what must not be."""
-    one = df.agg(*[count_if(c).alias(n) for n, c in violations.items()])
-    return one.select(F.explode(F.array(*[F.struct(F.lit(n).alias("check"), F.col(n).alias("n_violations")) for n in violations])).alias("r")).select("r.*")
+    return listed(df.agg(*[count_if(c).alias(n) for n, c in violations.items()]), {n: F.col(f"`{n}`") for n in violations})
 
 
 def together(*reports: DataFrame) -> DataFrame:
@@ -110,25 +113,27 @@ def size_limit(files: DataFrame, most: int = 49 << 20) -> DataFrame:
     return _row("size_limit", files.where(F.col("bytes") > most))
 
 
-def _arms(df: DataFrame, arms: list[str]) -> DataFrame:
-    return df.sparkSession.range(1).select(F.explode(F.array(*map(F.lit, arms))).alias("arm"))
-
-
 def handoff(rows: DataFrame, questions: DataFrame, units: DataFrame, arms: list[str], qrels: DataFrame | None = None) -> DataFrame:
     """Runs as they are handed over: exactly these arms, all questions in each and once, nothing null, known units, allowed
     documents, as many items as told, relevant units that are known and allowed, and flags (where the table has them) that rise with k."""
-    n = rows.agg(F.count(F.lit(1)).alias("n")).crossJoin(questions.agg(F.count(F.lit(1)).alias("q")))  # one row each
-    count = n.select(F.lit("row_count").alias("check"), F.when(F.col("n") == F.col("q") * len(arms), 0).otherwise(1).cast("long").alias("n_violations"))
     needed = ["question", "golden_answer", "retrieval_error", "retrieved_count", "retrieved_items"]
     columns_present(rows, ["query_id", "arm", *needed])
     filled = F.size(F.filter("retrieved_items", lambda x: F.concat_ws("", x["unit_id"], x["doc_id"], x["text"]) != ""))
-    parts = [equal_sets("arms", rows.select("arm").distinct(), _arms(rows, arms)), count, unique(rows, ["query_id", "arm"]), coverage(rows, questions, arms),
-             conditions(rows, **{f"null_{c}": F.col(c).isNull() for c in needed}, count_differs=filled != F.col("retrieved_count")), doc_filter(rows, questions, units)]
+    bad = {**{f"null_{c}": F.col(c).isNull() for c in needed}, "count_differs": filled != F.col("retrieved_count")}
+    if "exact_1" in rows.columns:
+        bad |= {f"monotone_{k}_{k + 1}": F.col(f"exact_{k}") & ~F.col(f"exact_{k + 1}") for k in range(1, 4)}
+    # all that hangs on keys and single rows in one pass: counts by key beside the keys that must be there
+    by_key = rows.groupBy("query_id", "arm").agg(F.count(F.lit(1)).alias("n"), *[count_if(c).alias(k) for k, c in bad.items()])
+    grid = questions.groupBy("query_id").agg(F.count(F.lit(1)).alias("wanted")).withColumn("arm", F.explode(F.array(*map(F.lit, arms))))
+    both = by_key.join(grid, ["query_id", "arm"], "full_outer")
+    there, wanted = F.col("n").isNotNull(), F.col("wanted").isNotNull()
+    one = both.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("wanted"), F.lit(0)).alias("wanted"), count_if(F.col("n") > 1).alias("repeated"), F.sum(F.when(~there, F.col("wanted")).otherwise(0)).alias("missing"), F.sum(F.when(~wanted, F.col("n")).otherwise(0)).alias("unknown"),
+                   F.countDistinct(F.when(there & ~F.coalesce(F.col("arm").isin(arms), F.lit(False)), F.coalesce("arm", F.lit("")))).alias("other_arms"), *[F.coalesce(F.max((there & (F.col("arm") == a)).cast("int")), F.lit(0)).alias(f"has_{i}") for i, a in enumerate(arms)], *[F.sum(k).alias(k) for k in bad])
+    told = {"arms": F.col("other_arms") + sum((1 - F.col(f"has_{i}") for i in range(len(arms))), F.lit(0)), "row_count": (F.col("n") != F.col("wanted")).cast("long"), "unique_query_id_arm": F.col("repeated"), "missing_key": F.coalesce("missing", F.lit(0)), "unknown_key": F.coalesce("unknown", F.lit(0)), **{k: F.coalesce(k, F.lit(0)) for k in bad}}
+    parts = [listed(one, told), doc_filter(rows, questions, units)]
     if qrels is not None:
         allowed = questions.select("query_id", F.explode("allowed_doc_ids").alias("doc_id"))
         parts += [subset("qrels_query", qrels, questions, ["query_id"]), subset("qrels_unit", qrels, units.select("unit_id"), ["unit_id"]), subset("qrels_document", qrels, allowed, ["query_id", "doc_id"])]
-    if "exact_1" in rows.columns:
-        parts.append(monotone(rows))
     return together(*parts)
 
 
@@ -162,7 +167,8 @@ def package(tables: dict[str, DataFrame], wanted: dict[str, int], forbidden: tup
     names = sum(c.count(w) > 0 for df in tables.values() for c in df.columns for w in forbidden)
     parts = [spark.range(1).select(F.explode(F.array(*[F.struct(F.lit(k).alias("check"), F.lit(v).cast("long").alias("n_violations")) for k, v in (("tables", len(set(tables) ^ set(wanted))), ("forbidden_columns", names))])).alias("r")).select("r.*")]
     text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
-    for name, df in tables.items():
+    frames, counts = [], {}
+    for i, (name, df) in enumerate(tables.items()):
         bad = {"other_arm": ~F.col("arm").eqNullSafe(F.lit(name)), "blank_question": T.is_blank(text("question")), "nan_text": F.exists("retrieved_items", lambda x: F.lower(T.stripped(F.coalesce(x["text"], F.lit("")))) == "nan")}
         for c in df.columns:
             cell, _, field = c.rpartition("__")
@@ -179,13 +185,18 @@ def package(tables: dict[str, DataFrame], wanted: dict[str, int], forbidden: tup
                 bad[c] = (mode != "binary") & F.when(number.isNull(), tag == "").otherwise(~number.between(1, 5))
             elif field == "verdict":
                 bad[c] = (mode != "scale-1-5") & ~text(c).isin("CORRECT", "INCORRECT")
-        each = df.agg(F.count(F.lit(1)).alias("n"), F.countDistinct("query_id").alias("ids"), count_if(~T.is_blank(text("retrieval_error"))).alias("errors"), *[count_if(v).alias(k) for k, v in bad.items()])
-        rows = F.lit(wanted.get(name, -1))
-        told = {"rows": ((F.col("n") != rows) | (F.col("ids") != rows)).cast("long"), "retrieval_errors": F.abs(F.col("errors") - (known_errors or {}).get(name, 0)), **{k: F.col(f"`{k}`") for k in bad}}
-        parts.append(each.select(F.explode(F.array(*[F.struct(F.lit(f"{name}: {k}").alias("check"), v.alias("n_violations")) for k, v in told.items()])).alias("r")).select("r.*"))
-    first = next(iter(tables.values())).select("query_id")
-    parts += [equal_sets(f"{name}: questions", first, df.select("query_id")) for name, df in list(tables.items())[1:]]
-    return together(*parts)
+        bad["retrieval_errors"] = ~T.is_blank(text("retrieval_error"))
+        frames.append(df.select("query_id", F.lit(1).alias(f"n{i}"), *[v.cast("int").alias(f"n{i} {k}") for k, v in bad.items()]))
+        rows, same = F.lit(wanted.get(name, -1)), {f"{name}: questions": F.col(f"differ{i}")} if i else {}
+        counts |= {f"{name}: rows": (F.col(f"n{i}") != rows) | (F.col(f"ids{i}") != rows), **{f"{name}: {k}": F.col(f"`n{i} {k}`") for k in bad}, **same}
+        counts[f"{name}: retrieval_errors"] = F.abs(F.col(f"`n{i} retrieval_errors`") - (known_errors or {}).get(name, 0))
+    # each table is read once: flags and numbers of rows by question, then their sums
+    stacked = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
+    flags = [c for c in stacked.columns if c != "query_id"]
+    by_question = stacked.groupBy("query_id").agg(*[F.coalesce(F.sum(f"`{c}`"), F.lit(0)).alias(c) for c in flags])
+    n = range(len(frames))
+    one = by_question.agg(*[F.coalesce(F.sum(f"`{c}`"), F.lit(0)).alias(c) for c in flags], *[count_if((F.col(f"n{i}") > 0) & F.col("query_id").isNotNull()).alias(f"ids{i}") for i in n], *[F.coalesce(F.sum(F.abs(F.col(f"n{i}") - F.col("n0"))), F.lit(0)).alias(f"differ{i}") for i in n])
+    return together(*parts, listed(one, counts))
 
 
 def development(frame: DataFrame, method: str, size: int) -> DataFrame:

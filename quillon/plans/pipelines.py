@@ -45,6 +45,13 @@ def retrieve(questions: DataFrame, units: DataFrame, arm: str = "bm25", top_k: i
     return ranking.nested(questions, ranking.with_text(top, units), arm, bm25_k1=k1, bm25_b=b, top_k=top_k)
 
 
+def write_run(run: DataFrame, path: str, n_questions: int, top_k: int = 4) -> None:
+    """A run is written if it has a row for each question, no null, as many items as told, ``top_k`` at most, and no error."""
+    checks.columns_present(run, ["query_id", "question", "golden_answer", "retrieved_items", "retrieved_count", "retrieval_error"])
+    bad = {"blank_question": T.is_blank(F.col("question")), "null_answer": F.col("golden_answer").isNull(), "too_many_items": F.size("retrieved_items") > top_k, "count_differs": F.size("retrieved_items") != F.col("retrieved_count"), "error": F.coalesce("retrieval_error", F.lit("")) != ""}
+    sinks.write_checked(run, path, bad, n_questions, "query_id")
+
+
 def _searched(questions: DataFrame, search: Callable[[str], answers.Reply], arm: str, limit: int, settings: dict) -> DataFrame:
     """``questions`` with the service's best ``limit`` hits, ranked by their place, and what was asked for as columns."""
     asked = {"limit": limit, **settings}

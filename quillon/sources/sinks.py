@@ -5,15 +5,44 @@ from __future__ import annotations
 import json
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from quillon.sources import scratch
+
+
+class CheckFailed(ValueError):
+    """A table that must not be used."""
+
 
 def write_table(df: DataFrame, path: str, *partition_by: str) -> None:
     writer = df.write.mode("overwrite")
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
 
 
+def write_checked(df: DataFrame, path: str, violations: dict[str, Column], rows: int | None = None, key: str | None = None) -> dict[str, int]:
+    """Writes ``df`` if none of its rows violates a check, and raises otherwise; gives the counts.
+
+    The counts are observed in the pass that works the rows out, into a table in the shared folder; only a sound one is copied to ``path``. ``rows`` is
+    the number wanted; ``key`` must not be null and must not repeat, which needs a second pass over that column alone.
+    """
+    seen = Observation()
+    metrics = [F.count(F.lit(1)).alias("rows"), *[F.count(F.when(c, F.lit(1))).alias(n) for n, c in violations.items()]]
+    if key:
+        metrics.append(F.count(F.when(F.col(key).isNull(), F.lit(1))).alias("null_key"))
+    staged = scratch.kept(df.observe(seen, *metrics))
+    found = dict(seen.get)
+    bad = {n: v for n, v in found.items() if n != "rows" and v}
+    if rows is not None and found["rows"] != rows:
+        bad["rows"] = found["rows"]
+    if key and (repeated := staged.groupBy(key).count().where("count > 1").count()):
+        bad["repeated_key"] = repeated
+    if bad:
+        raise CheckFailed(", ".join(f"{n}: {v}" for n, v in bad.items()))
+    write_table(staged, path)
+    return found
+
+
 def append_checkpoint(df: DataFrame, path: str, batch: int) -> None:
     """One more batch of a checkpoint; readers take the latest row of each key."""
     df.withColumn("batch", F.lit(batch)).write.mode("append").parquet(path)
