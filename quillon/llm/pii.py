@@ -32,6 +32,8 @@ GIVEN_WOMEN = ["Alma", "Berta", "Clara", "Dora", "Elena", "Frida", "Greta", "Hel
 SYLLABLES = ["ba", "der", "fin", "gol", "har", "kem", "lan", "mor", "nel", "os", "per", "rin", "sal", "tor", "vel", "wen"]
 _TITLES = "|".join(x.replace(".", r"\.") for x in sorted(MEN + WOMEN + CUES, key=len, reverse=True))
 _SECRET = r"(?:password|passwd|pwd|passphrase|token|secret|api[_-]?key|access[_-]?key)"
+#: A name to its end: inner capitals, hyphens and apostrophes belong to it, a possessive ending doesn't.
+_NAME = r"\p{Lu}(?:[\p{L}\p{M}]|-(?=\p{L})|['’](?=\p{L})(?!s(?!\p{L})))+"
 PATTERNS = [
     r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
     r"(?<![A-Za-z0-9])(?:AKIA|ASIA)[0-9A-Z]{16}(?![A-Za-z0-9])",
@@ -45,11 +47,11 @@ PATTERNS = [
     r"\+[0-9]{1,3}[ .-]?(?:\([0-9]{3}\)|[0-9]{3})[ .-]?[0-9]{3}[ .-]?[0-9]{4}(?![0-9])",
     r"\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)|[0-9]{1,4})(?:[ .-]?[0-9]{2,4}){2,4}(?!\.?[0-9])",
     r"(?<![0-9A-Za-z])(?:\([0-9]{3}\) ?|[0-9]{3}[.-])[0-9]{3}[.-][0-9]{4}(?![0-9])",
-    rf"(?<!\p{{L}})(?:{_TITLES}) \p{{Lu}}\p{{Ll}}+(?: \p{{Lu}}\p{{Ll}}+)?",
+    rf"(?<!\p{{L}})(?:{_TITLES})\s+{_NAME}(?: (?:\p{{Lu}}\. )?{_NAME})?",
 ]
 ENTITY = "|".join(PATTERNS)
 #: No entity is found in a text without one of these.
-HINT = rf"[0-9@=:]|(?:{_TITLES}) |AKIA|ASIA|gh[pousr]_|sk-|xox[abp]-"
+HINT = rf"[0-9@=:]|(?:{_TITLES})\s|AKIA|ASIA|gh[pousr]_|sk-|xox[abp]-"
 #: After so many attempts what still collides gets a surrogate with a digest behind it: the format gives way.
 ATTEMPTS = 32
 #: The country code at the start of an international number's digits.
@@ -72,19 +74,34 @@ def kind_of(e: Column) -> Column:
 
 def head_of(e: Column, kind: Column) -> Column:
     """What a surrogate keeps: a secret's name, a title, the first letters of a key."""
-    return F.when(kind == "secret", F.regexp_extract(e, rf"^(?:(?i:{_SECRET})\s*[=:]\s*[\"']?|gh[pousr]_|sk-|xox[abp]-)", 0)).when(kind == "person", F.regexp_extract(e, rf"^(?:{_TITLES}) ", 0)).when(kind == "cloud_key", F.substring(e, 1, 4)).when(kind == "iban", F.substring(e, 1, 2)).otherwise(F.lit(""))
+    return F.when(kind == "secret", F.regexp_extract(e, rf"^(?:(?i:{_SECRET})\s*[=:]\s*[\"']?|gh[pousr]_|sk-|xox[abp]-)", 0)).when(kind == "person", F.regexp_extract(e, rf"^(?:{_TITLES})\s+", 0)).when(kind == "cloud_key", F.substring(e, 1, 4)).when(kind == "iban", F.substring(e, 1, 2)).otherwise(F.lit(""))
 
 
-def gender_of(head: Column, given: Column) -> Column:
-    """By the title, else by the ending of the given name."""
-    return F.when(F.trim(head).isin(WOMEN), "f").when(F.trim(head).isin(MEN), "m").when(given.rlike("[aаяαηա]$"), "f").otherwise("m")
+#: Added to the attempt of a whole name whose titles say another gender than its ending.
+OTHER = 1 << 16
+
+
+def first_of(name: Column) -> Column:
+    return F.element_at(F.split(name, " "), 1)
+
+
+def is_woman(given: Column) -> Column:
+    """By the ending of a given name."""
+    return F.coalesce(F.lower(given).rlike("[aаяαηա]$"), F.lit(False))
+
+
+def told_otherwise(seen: DataFrame) -> DataFrame:
+    """(name) of the whole names whose titles in the corpus, where these agree, say another gender than their ending."""
+    title = F.regexp_replace(F.col("x.head"), r"\s+$", "")
+    told = seen.where((F.col("x.kind") == "person") & F.col("x.body").contains(" ")).groupBy(F.col("x.name").alias("name")).agg(F.max(title.isin(WOMEN)).alias("woman"), F.max(title.isin(MEN)).alias("man"))
+    return told.where((F.col("woman") != F.col("man")) & (F.col("woman") != is_woman(first_of(F.col("name"))))).select("name")
 
 
 def canon(e: Column, kind: Column, head: Column, body: Column) -> Column:
-    """The form that all ways to write an entity share; of a person the gender and all names."""
+    """The form that all ways to write an entity share; of a person first and last name, of a number with an area code in brackets the one of its country."""
     digits = F.regexp_replace(e, "[^0-9]", "")
-    person = F.concat(gender_of(head, F.element_at(F.split(body, " "), 1)), F.lit(" "), F.lower(body))
-    return F.when(kind.isin("card", "ssn"), digits).when(kind == "phone", F.concat(F.when(e.startswith("+"), "+").otherwise(""), digits)).when(kind == "iban", F.regexp_replace(e, " ", "")).when(kind == "email", F.lower(body)).when(kind == "person", person).otherwise(body)
+    person = F.lower(F.when(body.contains(" "), F.concat(first_of(body), F.lit(" "), F.element_at(F.split(body, " "), -1))).otherwise(body))
+    return F.when(kind.isin("card", "ssn"), digits).when(kind == "phone", F.concat(F.when(e.startswith("+"), "+").otherwise("+1"), digits)).when(kind == "iban", F.regexp_replace(e, " ", "")).when(kind == "email", F.lower(body)).when(kind == "person", person).otherwise(body)
 
 
 def _byte(digest: Column, i: Column) -> Column:
@@ -125,7 +142,8 @@ def _numbers(e: Column, kind: Column, digest: Column, attempt: Column) -> Column
     digits = F.regexp_replace(e, "[^0-9]", "")
     n = F.length(digits)
     kept = F.when(kind == "card", 1).when(e.startswith("+"), F.length(F.regexp_extract(digits, COUNTRY, 0))).otherwise(0)
-    fresh = F.transform(F.sequence(F.lit(1), n), lambda i: F.when(i <= kept, F.substring(digits, i, F.lit(1)).cast("int")).when((i == kept + 1) & (kind == "phone"), _byte(digest, i) % 8 + 2).otherwise(_byte(digest, i) % 10))
+    ahead = F.when((kind == "phone") & ~e.startswith("+"), 1).otherwise(0)  # the country code that isn't written
+    fresh = F.transform(F.sequence(F.lit(1), n), lambda i: F.when(i <= kept, F.substring(digits, i, F.lit(1)).cast("int")).when((i == kept + 1) & (kind == "phone"), _byte(digest, i + ahead) % 8 + 2).otherwise(_byte(digest, i + ahead) % 10))
     # the check digit: of the others, from the right, each first is doubled
     doubled = F.transform(F.slice(fresh, 1, F.greatest(n - 1, F.lit(1))), lambda d, i: F.when(F.pmod(n - i, F.lit(2)) == 0, F.when(d * 2 > 9, d * 2 - 9).otherwise(d * 2)).otherwise(d))
     check = F.pmod(-F.aggregate(doubled, F.lit(0), lambda a, d: a + d), F.lit(10))
@@ -208,8 +226,9 @@ def surrogate(x: Column, attempt, key: str) -> Column:
     """The surrogate of a struct of ``described``, or of a part; ``attempt(kind, name)`` gives the attempt of each part."""
     last, own = F.lower(last_of(x)), F.when(x["kind"] == "person", "given").otherwise(x["kind"])
     state = F.struct(x.alias("x"), attempt(own, x["name"]).alias("attempt"), F.when(x["kind"] == "person", attempt(F.lit("surname"), last)).alias("surname"))
-    drawn = F.transform(F.array(state), lambda y: F.struct(y["x"].alias("x"), y["attempt"].alias("attempt"), digest_of(own, x["name"], y["attempt"], key).alias("digest"), y["surname"].alias("surname"), digest_of(F.lit("surname"), last, y["surname"], key).alias("surname_digest")))
-    drawn = F.transform(drawn, lambda y: _drawn(y["x"], y["digest"], y["attempt"], y["surname_digest"], y["surname"]))
+    state = F.transform(F.array(state), lambda y: F.struct(y["x"].alias("x"), (y["attempt"] % OTHER).alias("attempt"), (y["attempt"] >= OTHER).alias("other"), y["surname"].alias("surname")))
+    drawn = F.transform(state, lambda y: F.struct(y["x"].alias("x"), y["attempt"].alias("attempt"), (y["other"] != is_woman(first_of(x["name"]))).alias("woman"), digest_of(own, x["name"], y["attempt"], key).alias("digest"), y["surname"].alias("surname"), digest_of(F.lit("surname"), last, y["surname"], key).alias("surname_digest")))
+    drawn = F.transform(drawn, lambda y: _drawn(y["x"], y["digest"], y["attempt"], y["woman"], y["surname_digest"], y["surname"]))
     return F.element_at(drawn, 1)
 
 
@@ -217,7 +236,7 @@ def _tail(digest: Column, attempt: Column) -> Column:
     return F.when(attempt >= ATTEMPTS, F.concat(F.lit("-"), F.substring(digest, 97, 32))).otherwise(F.lit(""))
 
 
-def _drawn(x: Column, digest: Column, attempt: Column, surname_digest: Column, surname_attempt: Column) -> Column:
+def _drawn(x: Column, digest: Column, attempt: Column, woman: Column, surname_digest: Column, surname_attempt: Column) -> Column:
     e, kind, head, body = x["e"], x["kind"], x["head"], x["body"]
     at, end = F.instr(e, "@"), F.length(F.regexp_extract(e, r"\.[A-Za-z]{2,}$", 0))
     more = _more(list(_LOWER), digest, wider(attempt) * 4)  # for short names that all collide
@@ -229,7 +248,7 @@ def _drawn(x: Column, digest: Column, attempt: Column, surname_digest: Column, s
     plain = F.concat(head, _shaped(body, digest, hexes & (kind == "secret")), F.when(kind == "secret", longer).otherwise(F.lit("")))
     iban = F.concat(head, _spaced(_shaped(F.replace(body, F.lit(" "), F.lit("")), digest, F.lit(False)), body))
     first = F.element_at(F.split(body, " "), 1)
-    given = F.concat(_given(first, x["name"].startswith("f "), digest, attempt), _tail(digest, attempt))
+    given = F.concat(_given(first, woman, digest, attempt), _tail(digest, attempt))
     surname = lambda d, a: F.concat(_surname(last_of(x), d, a), _tail(d, a))
     person = F.concat(head, F.when(body.contains(" "), F.concat(given, F.lit(" "))).otherwise(F.lit("")), surname(surname_digest, surname_attempt))
     named = F.when(kind == "person", person).when(kind == "given", given).when(kind == "surname", surname(digest, attempt))
@@ -240,41 +259,64 @@ def entities(text: Column) -> Column:
     return F.when(text.rlike(HINT), F.regexp_extract_all(text, F.lit(ENTITY), 0)).otherwise(F.array().cast("array<string>"))
 
 
-def later_attempts(parts: DataFrame, spark: SparkSession, key: str) -> DataFrame:
-    """(kind, name, attempt) of the canonical entities that attempt 0 doesn't serve, from ``parts(x)``."""
+def later_attempts(parts: DataFrame, others: DataFrame, spark: SparkSession, key: str) -> DataFrame:
+    """(kind, name, attempt) of the canonical entities that attempt 0 doesn't serve, from ``parts(x)``, and of the whole names ``others`` whose gender is told by titles."""
     forms = parts.select(F.col("x.kind").alias("kind"), F.col("x.name").alias("name"), "x").distinct()
+    flips = others.select(F.lit("given").alias("kind"), "name", F.lit(OTHER).alias("flip"))
+    forms = forms.join(flips, ["kind", "name"], "left").withColumn("flip", F.coalesce("flip", F.lit(0)))
     forms = materialize(forms.repartition(shuffle_width(spark), "kind", "name"), spark)
     known = forms.select("kind", F.col("name").alias("s")).distinct()
     waiting, taken, redone = forms, None, spark.createDataFrame([], "kind string, name string, attempt int")
     for attempt in range(ATTEMPTS):
-        drawn = waiting.withColumn("s", surrogate(F.col("x"), lambda kind, name, n=attempt: F.lit(n), key))
+        drawn = waiting.withColumn("s", surrogate(F.col("x"), lambda kind, name, n=attempt: F.lit(n) + F.col("flip"), key))
         # a given name must be distinct among those of its surname
         same = F.when(F.col("kind") == "surname", F.lower("s")).when(F.col("kind") == "given", F.concat(F.lower("s"), F.lit(" "), F.lower(last_of(F.col("x"))))).otherwise(F.element_at(described(F.array("s")), 1)["name"])
-        drawn = materialize(drawn.select("kind", "name", same.alias("s")).distinct(), spark)
+        drawn = materialize(drawn.select("kind", "name", "flip", same.alias("s")).distinct(), spark)
         first = drawn.groupBy("kind", "s").agg(F.min("name").alias("name"))
         free = drawn.join(first, ["kind", "s", "name"]).join(known, ["kind", "s"], "left_anti")
         if taken is not None:
             free = free.join(taken, ["kind", "s"], "left_anti")
         # a name is served when the surrogates of all its written forms are free
         lost = materialize(drawn.join(free, ["kind", "s", "name"], "left_anti").select("kind", "name").distinct(), spark)
-        good = materialize(drawn.join(lost, ["kind", "name"], "left_anti").select("kind", "s", "name"), spark)
+        good = materialize(drawn.join(lost, ["kind", "name"], "left_anti").select("kind", "s", "name", "flip"), spark)
         taken = good.select("kind", "s") if taken is None else taken.union(good.select("kind", "s"))
-        if attempt:
-            redone = redone.union(good.select("kind", "name", F.lit(attempt).alias("attempt")).distinct())
-        waiting = materialize(waiting.join(lost, ["kind", "name"], "left_semi").select("kind", "name", "x"), spark)
+        redone = redone.union(good.where(F.lit(attempt) + F.col("flip") > 0).select("kind", "name", (F.lit(attempt) + F.col("flip")).alias("attempt")).distinct())
+        waiting = materialize(waiting.join(lost, ["kind", "name"], "left_semi").select("kind", "name", "flip", "x"), spark)
         if waiting.isEmpty():
             return redone
-    return redone.union(waiting.select("kind", "name", F.lit(ATTEMPTS).alias("attempt")).distinct())
+    return redone.union(waiting.select("kind", "name", (F.lit(ATTEMPTS) + F.col("flip")).alias("attempt")).distinct())
 
 
-def alone(text: Column, found: Column, new: Column) -> Column:
-    """``text`` with the names of the persons in ``found`` replaced where they stand without title, whole names before surnames."""
+def with_givens(found: Column, new: Column) -> Column:
+    """``new`` with a person known by one word named as the whole name in the same text whose first name that is."""
+    pairs = F.arrays_zip(found.alias("x"), new.alias("s"))
+    whole = F.filter(pairs, lambda y: (y["x"]["kind"] == "person") & y["x"]["body"].contains(" "))
+
+    def one(y: Column) -> Column:
+        x = y["x"]
+        owner = F.get(F.filter(whole, lambda w: first_of(w["x"]["body"]) == x["body"]), F.lit(0))
+        given = first_of(F.substring(owner["s"], F.length(owner["x"]["head"]) + 1, F.length(owner["s"])))
+        return F.when((x["kind"] == "person") & ~x["body"].contains(" ") & owner.isNotNull(), F.concat(x["head"], given)).otherwise(y["s"])
+
+    return F.when(F.size(whole) > 0, F.transform(pairs, one)).otherwise(new)
+
+
+def alone(text: Column, found: Column, new: Column, plain: Column) -> Column:
+    """``text`` with the names of the persons in ``found`` replaced where they stand without title: whole names, then surnames, then given names.
+
+    A word that ``plain``, the text as it was, also has in lower case or before or after a number is a word of the language as well, so it stays
+    where it stands alone.
+    """
     people = F.filter(F.arrays_zip(found.alias("x"), new.alias("s")), lambda y: y["x"]["kind"] == "person")
     names = F.transform(people, lambda y: F.struct(y["x"]["body"].alias("old"), F.substring(y["s"], F.length(y["x"]["head"]) + 1, F.length(y["s"])).alias("new")))
-    last = F.transform(names, lambda p: F.struct(F.element_at(F.split(p["old"], " "), -1).alias("old"), F.element_at(F.split(p["new"], " "), -1).alias("new")))
-    both = F.array_distinct(F.concat(F.filter(names, lambda p: p["old"].contains(" ")), last))
-    put = lambda t, p: F.when(t.contains(p["old"]), F.regexp_replace(t, F.concat(F.lit(r"(?<![\p{L}\p{M}])"), p["old"], F.lit(r"(?![\p{L}\p{M}])")), p["new"])).otherwise(t)
-    return F.aggregate(both, text, put)
+    part = lambda p, at: F.struct(F.element_at(F.split(p["old"], " "), at).alias("old"), F.element_at(F.split(p["new"], " "), at).alias("new"))
+    whole = F.filter(names, lambda p: p["old"].contains(" "))
+    all_names = F.array_distinct(F.concat(whole, F.transform(names, lambda p: part(p, -1)), F.transform(whole, lambda p: part(p, 1))))
+    border = lambda x: F.concat(F.lit(r"(?<![\p{L}\p{M}])"), x, F.lit(r"(?![\p{L}\p{M}])"))
+    exact = lambda x: F.concat(F.lit(r"\Q"), x, F.lit(r"\E"))
+    common = lambda old: (plain.contains(F.lower(old)) & F.regexp_like(plain, border(exact(F.lower(old))))) | F.regexp_like(plain, F.concat(F.lit(r"[0-9][.,]?\s+"), exact(old), F.lit(r"(?![\p{L}\p{M}])|(?<![\p{L}\p{M}])"), exact(old), F.lit(r",?\s+[0-9]")))
+    put = lambda t, p: F.when(t.contains(p["old"]), F.when(p["old"].contains(" ") | ~common(p["old"]), F.regexp_replace(t, border(exact(p["old"])), p["new"])).otherwise(t)).otherwise(t)
+    return F.aggregate(all_names, text, put)
 
 
 def replace_pii(docs: DataFrame, spark: SparkSession, key: str = "quillon") -> DataFrame:
@@ -290,7 +332,8 @@ def replace_pii(docs: DataFrame, spark: SparkSession, key: str = "quillon") -> D
     between = F.when(F.size("found") > 0, F.split("text", ENTITY, -1))
     docs = materialize(docs.select("doc_id", F.when(F.size("found") == 0, F.col("text")).alias("text"), between.alias("between"), F.xxhash64("text").alias("h"), described(F.col("found")).alias("found")), spark)
     seen = docs.where(F.size("found") > 0).select("doc_id", "h", F.explode("found").alias("x")).select("doc_id", "h", F.explode(parts_of(F.col("x"))).alias("x"))
-    redone = materialize(later_attempts(seen.select("x"), spark, key), spark)
+    people = docs.where(F.size("found") > 0).select(F.explode("found").alias("x"))
+    redone = materialize(later_attempts(seen.select("x"), materialize(told_otherwise(people), spark), spark, key), spark)
     special = seen.alias("a").join(redone.alias("b"), (F.col("a.x.kind") == F.col("b.kind")) & (F.col("a.x.name") == F.col("b.name")))
     special = special.select("doc_id", "h", F.concat_ws("\x1f", "b.kind", "b.name").alias("part"), "attempt").distinct()
     special = special.groupBy("doc_id", "h").agg(F.map_from_entries(F.collect_list(F.struct("part", "attempt"))).alias("later"))  # as long as one text
@@ -298,11 +341,12 @@ def replace_pii(docs: DataFrame, spark: SparkSession, key: str = "quillon") -> D
     rows = docs.join(special, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("h") == F.col("_h")), "left")
     attempt = lambda kind, name: F.coalesce(F.try_element_at(F.col("later"), F.concat_ws("\x1f", kind, name)), F.lit(0))
     rows = rows.withColumn("new", F.transform("found", lambda x: surrogate(x, attempt, key)))
+    rows = rows.withColumn("new", with_givens(F.col("found"), F.col("new")))
     joined = F.array_join(F.flatten(F.zip_with("between", "new", lambda a, b: F.array(a, F.coalesce(b, F.lit(""))))), "")
     people = F.exists("found", lambda x: x["kind"] == "person")
     return rows.withColumn("text", F.when(F.size("found") > 0, joined).otherwise(F.col("text"))).select(
         "doc_id",
-        F.when(people, alone(F.col("text"), F.col("found"), F.col("new"))).otherwise(F.col("text")).alias("text"),
+        F.when(people, alone(F.col("text"), F.col("found"), F.col("new"), F.array_join("between", "\n"))).otherwise(F.col("text")).alias("text"),
         F.size("found").cast("long").alias("n_entities"),
         F.when(F.col("h").isNotNull(), F.array_sort(F.array_distinct(F.transform("found", lambda x: x["kind"])))).alias("kinds"),
     )
