@@ -259,14 +259,17 @@ def jaccard_components(docs: DataFrame, spark: SparkSession) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_shingles, component_id.
 
     Documents without words have an empty set and link with nothing, not with each other. Equal sets
-    link whatever their texts; doc_id is taken to tell documents apart, rows that repeat both id
-    and text are one document. A row with a null id keeps its n_shingles, links with nothing and has
+    link whatever their texts. Rows that repeat both id and words are one document; rows that repeat an id with other words are
+    documents of their own, linked by the id that they share, in whatever order the rows come. A row with a null id keeps its n_shingles, links with nothing and has
     a null component_id. Other columns are not read; an empty table gives an empty result.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     feats = materialize(docs.mapInArrow(describe, "doc_id long, n long, digest binary, sketch array<long>, wide binary, keys array<long>"), spark)
     known = docs.where("doc_id IS NOT NULL")
     sets = feats.where("doc_id IS NOT NULL AND n > 0")
+    shared_ids = materialize(sets.groupBy("doc_id").agg(F.min("digest").alias("low"), F.max("digest").alias("high")).where("low <> high").select("doc_id"), spark)
+    if not shared_ids.isEmpty():
+        return _with_own_ids(docs, shared_ids, spark)
     # equal words make equal sets; sets that are equal for other words meet in the buckets
     lowest = materialize(sets.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("c")).where("c > 1"), spark)
     copies = sets.select("doc_id", "digest").join(lowest, "digest")
@@ -315,6 +318,24 @@ def jaccard_components(docs: DataFrame, spark: SparkSession) -> DataFrame:
     return part_of(rep_of(out, "id"), "id", "component_id", parts).select("doc_id", "n_shingles", "component_id")
 
 
+def _with_own_ids(docs: DataFrame, shared_ids: DataFrame, spark: SparkSession) -> DataFrame:
+    """``jaccard_components`` where ``shared_ids(doc_id)`` have several texts: each of these texts gets an id that no row has, and at the
+    end the components that an id has a part in become one."""
+    keyed = docs.withColumn("h", F.sha2(F.col("text").cast("binary"), 256))
+    texts = keyed.where("h IS NOT NULL").join(shared_ids, "doc_id", "left_semi").select("doc_id", "h").distinct()
+    low, high = docs.agg(F.min("doc_id"), F.max("doc_id")).first()
+    number = F.monotonically_increasing_id()
+    own = materialize(texts.withColumn("own", F.lit(low) - 1 - number if low > -(1 << 62) else F.lit(high) + 1 + number), spark)
+    renamed = keyed.join(own, ["doc_id", "h"], "left").select(F.coalesce("own", "doc_id").alias("doc_id"), "text")
+    found = jaccard_components(renamed, spark)
+    was = own.select("own", F.col("doc_id").alias("was"))
+    for c in ("doc_id", "component_id"):
+        found = found.join(was, F.col(c) == F.col("own"), "left").withColumn(c, F.coalesce("was", c)).drop("own", "was")
+    found = materialize(found, spark)
+    parts = components(found.select(F.col("doc_id").alias("a"), F.col("component_id").alias("b")), spark)
+    return found.join(parts.select(F.col("id").alias("doc_id"), "component"), "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+
+
 def one_of_each(docs: DataFrame, spark: SparkSession) -> DataFrame:
     """The rows of ``docs``, all columns, of which each component keeps its smallest id.
 
