@@ -88,6 +88,7 @@ def main(argv: list[str]) -> int:
             put(flags, f"{p[3]}/flags")
             sinks.write_summary(curve, f"{p[3]}/curve")
             sinks.write_summary(rates, f"{p[3]}/rates")
+            sinks.write_summary(pipelines.handoff_summary(flags, rates), f"{p[3]}/summary")
         case "windows":
             ranked, source, audit = pipelines.window_inputs(read(p[0]), read(p[1]), read(p[2]))
             put(ranked, f"{p[3]}/ranked")

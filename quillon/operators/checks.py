@@ -93,6 +93,25 @@ def judgments(df: DataFrame) -> DataFrame:
     return conditions(df, verdict=~F.coalesce("verdict", F.lit("")).isin("CORRECT", "INCORRECT", ""), score=score.isNotNull() & ~score.between(1, 5), score_missing=score.isNull() & (tag == ""), error=F.coalesce("judge_error", F.lit("")) != "")
 
 
+def identities(df: DataFrame, **wanted: str) -> DataFrame:
+    """A row of the report for each column: rows whose value isn't the one told, such as the model, its effort or the version of the prompt; null is none."""
+    columns_present(df, list(wanted))
+    return conditions(df, **{f"other_{c}": ~F.col(c).cast("string").eqNullSafe(F.lit(v)) for c, v in wanted.items()})
+
+
+def outputs(work: DataFrame, generations: DataFrame, judged: DataFrame, writer: dict[str, str], judge: dict[str, str]) -> DataFrame:
+    """Answers and judgments of one model: every question and arm once, of the identity told (``writer`` and ``judge`` map columns to values), without errors,
+    blank answers or reasons, verdicts in their domain."""
+    key, problem = ["query_id", "arm"], lambda c: F.coalesce(c, F.lit("")) != ""
+    g = conditions(generations, generation_error=problem("generation_error"), blank_answer=T.is_blank(F.coalesce("generated_answer", F.lit(""))))
+    j = conditions(judged, judge_error=problem("judge_error"), verdict=~F.coalesce("verdict", F.lit("")).isin("CORRECT", "INCORRECT"), blank_reason=T.is_blank(F.coalesce("reason", F.lit(""))))
+    named = lambda report, side: report.withColumn("check", F.concat(F.lit(f"{side}_"), "check"))
+    sides = []
+    for side, df, told, report in (("generation", generations, writer, g), ("judgment", judged, judge, j)):
+        sides.append(named(together(subset("missing", work, df, key), subset("unknown", df, work, key), unique(df, key), identities(df, **told), report), side))
+    return together(*sides)
+
+
 def summary_matches(summary: DataFrame, recomputed: DataFrame, keys: list[str], value: str, within: float = 1e-12) -> DataFrame:
     j = summary.alias("a").join(recomputed.alias("b"), keys, "full_outer")
     return _row(f"summary_{value}", j.where(~(F.abs(F.col(f"a.{value}") - F.col(f"b.{value}")) <= within) | F.col(f"a.{value}").isNull() | F.col(f"b.{value}").isNull()))

@@ -19,31 +19,55 @@ def count_if(c: Column) -> Column:
     return F.count(F.when(c, F.lit(1)))
 
 
+def _contexts(results: DataFrame, name: str, top_k: int) -> DataFrame:
+    """``results`` with the tokens of the context up to each rank, and ``_own``: whether the run has contexts of its own.
+
+    A run's ``containment_context_k`` that isn't null stands for the first k excerpts; runs without the column, or with a null there, have their
+    excerpts joined.
+    """
+    df = with_cumulative_tokens(results, name, top_k=top_k)
+    given = [c for k in range(1, top_k + 1) if (c := f"containment_context_{k}") in results.columns]
+    if not given:
+        return df.withColumn("_own", F.lit(False))
+    at = [F.get(name, F.lit(k - 1)) for k in range(1, top_k + 1)]
+    used = [F.when(F.col(c).isNotNull(), T.tokens(F.col(c))).otherwise(at[k]) if (c := f"containment_context_{k + 1}") in given else at[k] for k in range(top_k)]
+    return df.withColumns({"_own": F.coalesce(*given).isNotNull(), name: F.array(*used)})
+
+
 def containment(results: DataFrame, gold: str = "golden_answer", top_k: int = 4) -> DataFrame:
-    """query_id, arm, and for each k whether the first k texts hold the gold answer, exactly (exact_k) and relaxed (relaxed_k)."""
-    df = with_cumulative_tokens(results.withColumn("_g", T.tokens(F.col(gold))), "_c", top_k=top_k)
-    flags = {}
-    for k in range(1, top_k + 1):
-        tokens = F.get("_c", F.lit(k - 1))
-        flags[f"exact_{k}"] = T.holds(F.array_join("_g", " "), F.array_join(tokens, " "))
-    df = df.withColumns(flags)
-    return df
+    """``results`` with exact_k for each k: whether the context up to rank k holds the gold answer."""
+    df = _contexts(results.withColumn("_g", T.tokens(F.col(gold))), "_c", top_k)
+    flags = {f"exact_{k}": T.holds(F.array_join("_g", " "), F.array_join(F.get("_c", F.lit(k - 1)), " ")) for k in range(1, top_k + 1)}
+    return df.withColumns(flags).drop("_g", "_c", "_own")
+
+
+def _bigrams(t: Column) -> Column:
+    return F.when(F.size(t) > 1, F.transform(F.sequence(F.lit(1), F.size(t) - 1), lambda i: F.concat_ws(" ", F.get(t, i - 1), F.get(t, i)))).otherwise(F.array().cast("array<string>"))
 
 
 def relaxed(results: DataFrame, gold: str = "golden_answer", top_k: int = 4, max_missing: int = 1) -> DataFrame:
-    """relaxed_k flags by exploded bigram counts: one join on (query, bigram), whatever the texts' length."""
-    texts = with_cumulative_tokens(results, "c", top_k=top_k).select("query_id", "arm", T.tokens(F.col(gold)).alias("g"), "c")
-    pairs = lambda t: F.when(F.size(t) > 1, F.transform(F.sequence(F.lit(1), F.size(t) - 1), lambda i: F.concat_ws(" ", F.get(t, i - 1), F.get(t, i)))).otherwise(F.array().cast("array<string>"))
-    want = texts.select("query_id", "arm", F.explode(pairs(F.col("g"))).alias("gram")).groupBy("query_id", "arm", "gram").agg(F.count(F.lit(1)).alias("n"))
-    have = texts.select("query_id", "arm", F.posexplode("c").alias("k", "t")).select("query_id", "arm", (F.col("k") + 1).alias("k"), F.explode(pairs(F.col("t"))).alias("gram")).groupBy("query_id", "arm", "k", "gram").agg(F.count(F.lit(1)).alias("m"))
-    met = want.join(have, ["query_id", "arm", "gram"]).groupBy("query_id", "arm", "k").agg(F.sum(F.least("n", "m")).alias("met"))
-    spread = met.groupBy("query_id", "arm").pivot("k", list(range(1, top_k + 1))).agg(F.first("met"))
-    out = texts.join(spread, ["query_id", "arm"], "left")
-    size, flags = F.size("g"), {}
+    """relaxed_k flags by bigram counts: one join on (query, bigram), whatever the texts' length.
+
+    Each excerpt's bigrams are exploded once, with its rank; a bigram over the border of two excerpts belongs to the later one. Those
+    that the gold answer lacks meet no partner in the join, before anything is counted. Contexts of a run's own need not extend each other and are exploded for each k.
+    """
+    texts = _contexts(results, "c", top_k).select("query_id", "arm", T.tokens(F.col(gold)).alias("g"), "c", "_own")
+    want = texts.select("query_id", "arm", F.explode(_bigrams(F.col("g"))).alias("gram")).groupBy("query_id", "arm", "gram").agg(F.count(F.lit(1)).alias("n"))
+    parts = []
     for k in range(1, top_k + 1):
-        tokens = F.get("c", F.lit(k - 1))
-        flags[f"relaxed_{k}"] = F.when(size == 0, False).when(size == 1, F.array_contains(tokens, F.get("g", F.lit(0)))).otherwise(size - 1 - F.coalesce(F.col(str(k)), F.lit(0)) <= max_missing)
-    return out.select("query_id", "arm", *[v.alias(n) for n, v in flags.items()])
+        upto = F.get("c", F.lit(k - 1))
+        before = F.size(F.get("c", F.lit(k - 2))) if k > 1 else F.lit(0)
+        start = F.greatest(before, F.lit(1))  # the last token of the rank before
+        fresh = F.slice(upto, start, F.greatest(F.size(upto) - start + 1, F.lit(0)))
+        parts.append(F.struct(F.lit(k).alias("k"), F.when(F.col("_own"), upto).otherwise(fresh).alias("t")))
+    have = texts.select("query_id", "arm", "_own", F.explode(F.array(*parts)).alias("p")).select("query_id", "arm", "_own", "p.k", F.explode(_bigrams(F.col("p.t"))).alias("gram"))
+    met = have.join(want, ["query_id", "arm", "gram"]).groupBy("query_id", "arm", "gram", "n")
+    met = met.agg(*[count_if(F.when(F.col("_own"), F.col("k") == k).otherwise(F.col("k") <= k)).alias(f"m{k}") for k in range(1, top_k + 1)])
+    met = met.groupBy("query_id", "arm").agg(*[F.sum(F.least("n", f"m{k}")).alias(f"m{k}") for k in range(1, top_k + 1)])
+    slim = texts.select("query_id", "arm", F.size("g").alias("size"), *[F.array_contains(F.get("c", F.lit(k - 1)), F.get("g", F.lit(0))).alias(f"one{k}") for k in range(1, top_k + 1)])
+    out = slim.join(met, ["query_id", "arm"], "left")
+    flag = lambda k: F.when(F.col("size") == 0, False).when(F.col("size") == 1, F.col(f"one{k}")).otherwise(F.col("size") - 1 - F.coalesce(f"m{k}", F.lit(0)) <= max_missing)
+    return out.select("query_id", "arm", *[flag(k).alias(f"relaxed_{k}") for k in range(1, top_k + 1)])
 
 
 def full_document(questions: DataFrame, documents: DataFrame, gold: str = "golden_answer") -> DataFrame:
@@ -70,9 +94,10 @@ def curve(flags: DataFrame, full: DataFrame, top_k: int = 4) -> DataFrame:
 
 
 def presence_means(flags: DataFrame, *keys: str, top_k: int = 4) -> DataFrame:
-    """Per key: questions, and of each flag exact_k and relaxed_k that the table has the share that holds."""
-    names = [f"{kind}_{k}" for kind in ("exact", "relaxed") for k in range(1, top_k + 1) if f"{kind}_{k}" in flags.columns]
-    return flags.groupBy(*keys).agg(F.countDistinct("query_id").alias("n_questions"), *[F.avg(F.col(n).cast("int")).alias(f"mean_{n}") for n in names])
+    """Per key: questions, errors of the retrieval, and of each flag exact_k, relaxed_k and exact_full the share that holds; what the table lacks is left out."""
+    names = [n for n in [f"{kind}_{k}" for kind in ("exact", "relaxed") for k in range(1, top_k + 1)] + ["exact_full"] if n in flags.columns]
+    errors = [count_if(F.coalesce("retrieval_error", F.lit("")) != "").alias("retrieval_errors")] if "retrieval_error" in flags.columns else []
+    return flags.groupBy(*keys).agg(F.countDistinct("query_id").alias("n_questions"), *errors, *[F.avg(F.col(n).cast("int")).alias(f"mean_{n}") for n in names])
 
 
 def recall_hit(ranked: DataFrame, qrels: DataFrame, cutoffs: tuple[int, ...] = (1, 2, 3, 4)) -> DataFrame:

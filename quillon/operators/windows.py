@@ -49,13 +49,18 @@ def rendered(windows: DataFrame, by_rank: bool, gap: str | None = GAP) -> DataFr
     return kept.groupBy(*keys).agg(F.array_join(F.transform(ordered, lambda x: x["text"]), " ").alias("window_text"), F.count(F.lit(1)).alias("n_sentences"))
 
 
-def anchor_faults(anchors: DataFrame, sentences: DataFrame, top_k: int = 4) -> DataFrame:
-    """(query_id, problem): ranks other than 1..k, several documents, or a sentence that isn't there."""
+def anchor_faults(anchors: DataFrame, sentences: DataFrame, top_k: int = 4, questions: DataFrame | None = None) -> DataFrame:
+    """(query_id, problem): ranks other than 1..k, several documents, a sentence that isn't there, or, with ``questions``, a document that the question doesn't allow."""
     by = anchors.groupBy("query_id").agg(F.array_sort(F.collect_list(F.col("rank").cast("int"))).alias("ranks"), F.countDistinct("doc_id").alias("docs"))
     wrong = by.where(F.col("ranks") != F.array(*[F.lit(k) for k in range(1, top_k + 1)])).select("query_id", F.lit("ranks").alias("problem"))
     many = by.where("docs > 1").select("query_id", F.lit("documents").alias("problem"))
     lost = anchors.join(sentences, ["doc_id", "paragraph_idx", "sentence_idx"], "left_anti").select("query_id", F.lit("no sentence").alias("problem")).distinct()
-    return wrong.union(many).union(lost)
+    faults = wrong.union(many).union(lost)
+    if questions is None:
+        return faults
+    allowed = questions.select("query_id", F.explode("allowed_doc_ids").alias("doc_id")).select("query_id", F.col("doc_id").cast("string").alias("doc_id"))
+    used = anchors.select("query_id", F.col("doc_id").cast("string").alias("doc_id"))
+    return faults.union(used.join(allowed, ["query_id", "doc_id"], "left_anti").select("query_id", F.lit("document not allowed").alias("problem")).distinct())
 
 
 def of_hits(hits: DataFrame) -> DataFrame:

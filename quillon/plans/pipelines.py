@@ -107,15 +107,25 @@ def handoff(questions: DataFrame, documents: DataFrame, arms: list[DataFrame], q
     """All arms together with containment flags; the containment curve; recall and hit rates."""
     rows = assemble.stacked(*arms)
     flagged = metrics.containment(rows)
-    flagged = flagged.join(metrics.relaxed(rows), ["query_id", "arm"], "left").drop("_g", "_c")
+    flagged = flagged.join(metrics.relaxed(rows), ["query_id", "arm"], "left")
     full = metrics.full_document(questions, documents)
     items = rows.select("query_id", "arm", F.explode("retrieved_items").alias("i")).select("query_id", "arm", "i.rank", "i.unit_id")
     return flagged.join(full, "query_id", "left"), metrics.curve(flagged, full), metrics.recall_hit(items, qrels)
 
 
+def handoff_summary(flags: DataFrame, rates: DataFrame | None = None, top_k: int = 4) -> DataFrame:
+    """One row an arm of a handoff's flags: questions, errors of the retrieval, the share of each flag and of the full documents, and with ``rates`` recall and hit at each k."""
+    out = metrics.presence_means(flags, "arm", top_k=top_k)
+    if rates is None:
+        return out
+    at = lambda name, k: F.max(F.when(F.col("k") == k, F.col(name))).alias(f"{name}_{k}")
+    return out.join(rates.groupBy("arm").agg(*[at(name, k) for name in ("recall", "hit") for k in range(1, top_k + 1)]), "arm", "left")
+
+
 def window_inputs(questions: DataFrame, anchors: DataFrame, sentences: DataFrame, radius: int = 2) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Contexts in rank order and in source order of the same sentences, and an audit of both."""
-    bad = windows.anchor_faults(anchors, sentences)
+    allowed = questions if "allowed_doc_ids" in questions.columns else None
+    bad = windows.anchor_faults(anchors, sentences, questions=allowed)
     checks.require(bad.agg(F.lit("anchors").alias("check"), F.count(F.lit(1)).alias("n_violations")))
     w = windows.expand(anchors, sentences, radius)
     by_rank = windows.rendered(w, by_rank=True).groupBy("query_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "window_text"))), lambda x: x["window_text"]), "\n\n").alias("ranked_context"))

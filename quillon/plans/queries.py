@@ -524,6 +524,40 @@ def presence_means(spark: SparkSession, sf: str) -> DataFrame:
     return out.withColumns({c: F.round(c, 9) for c in out.columns if c.startswith("mean_")})
 
 
+_GIVEN = "SELECT * REPLACE (CASE WHEN arm = 'bm25_flat' AND source_row % 7 = 0 THEN 'before ' || g || ' after' ELSE c1 END AS c1, CASE WHEN arm = 'bm25_flat' AND source_row % 5 = 0 THEN '' ELSE c2 END AS c2) FROM fl"
+_RATES = f"""SELECT arm, {', '.join(f"round(sum(coalesce(f, 0) / n_gold) FILTER (k = {k}) / count(*) FILTER (k = {k}), 9) AS recall_{k}, round(count(f) FILTER (k = {k}) / count(*) FILTER (k = {k}), 9) AS hit_{k}" for k in range(1, 5))}
+ FROM (SELECT query_id, count(*) AS n_gold FROM ({_QRELS}) GROUP BY query_id) g CROSS JOIN (VALUES ('bm25'), ('bm25_flat')) a(arm) CROSS JOIN (VALUES (1), (2), (3), (4)) k(k)
+ LEFT JOIN (SELECT r.arm, r.query_id, kk.k, count(*) AS f FROM ranked2 r JOIN ({_QRELS}) x ON x.query_id = r.query_id AND x.unit_id = r.unit_id JOIN (VALUES (1), (2), (3), (4)) kk(k) ON r.rank <= kk.k GROUP BY ALL) h USING (arm, k, query_id) GROUP BY arm"""
+
+
+@query(f"""SELECT * FROM (SELECT arm, count(DISTINCT query_id) AS n_questions, count(*) FILTER (arm = 'bm25' AND source_row % 13 = 0) AS retrieval_errors,
+ {', '.join(f"round(avg((g <> '' AND contains(coalesce(c{k}, ''), g))::INT), 9) AS mean_exact_{k}, round(avg(relaxed_{k}::INT), 9) AS mean_relaxed_{k}" for k in range(1, 5))}, round(avg(exact_full::INT), 9) AS mean_exact_full
+ FROM ({_GIVEN}) JOIN (SELECT query_id, arm, {_RELAXED} FROM (SELECT *, {_GRAMS.format('qt')} AS gg, {', '.join(f'{_GRAMS.format(f"s{k}")} AS e{k}' for k in range(1, 5))} FROM (SELECT *, {', '.join(f"string_split(coalesce(c{k}, ''), ' ') AS s{k}" for k in range(1, 5))} FROM ({_GIVEN})))) r USING (query_id, arm)
+ JOIN fulld USING (query_id) GROUP BY arm) JOIN ({_RATES}) USING (arm)""")
+def handoff_summary(spark: SparkSession, sf: str) -> DataFrame:
+    """Two arms, of which one has errors and the other contexts of its own for some questions, one of them empty."""
+    q, docs = fixtures.questions(spark, sf), fixtures.words_document(spark, sf)
+    arm, row = fixtures.results(spark, sf), F.col("source_row")
+    failing = arm.where("arm = 'bm25'").withColumn("retrieval_error", F.when(row % 13 == 0, "timeout").otherwise(""))
+    own = arm.where("arm = 'bm25_flat'").withColumns({"containment_context_1": F.when(row % 7 == 0, F.concat(F.lit("Before: "), "golden_answer", F.lit(" ... after"))), "containment_context_2": F.when(row % 5 == 0, "")})
+    flags, _, rates = pipelines.handoff(q, docs, [failing, own], metrics.substring_qrels(q, docs))
+    out = pipelines.handoff_summary(flags, rates)
+    return out.withColumns({c: F.round(c, 9) for c in out.columns if c.startswith(("mean_", "recall_", "hit_"))})
+
+
+@query("""SELECT 'generation_missing' AS "check", (SELECT count(*) FROM armq WHERE source_row % 23 = 0 AND arm = 'bm25') AS n_violations UNION ALL SELECT 'generation_unknown', 0 UNION ALL SELECT 'generation_unique_query_id_arm', 0
+ UNION ALL SELECT 'generation_other_model', (SELECT count(*) FROM armq WHERE source_row % 11 = 0 AND NOT (source_row % 23 = 0 AND arm = 'bm25')) UNION ALL SELECT 'generation_other_effort', (SELECT count(*) FROM armq WHERE source_row % 9 = 0 AND NOT (source_row % 23 = 0 AND arm = 'bm25'))
+ UNION ALL SELECT 'generation_generation_error', 0 UNION ALL SELECT 'generation_blank_answer', (SELECT count(*) FROM armq WHERE source_row % 8 = 0 AND NOT (source_row % 23 = 0 AND arm = 'bm25'))
+ UNION ALL SELECT 'judgment_missing', 0 UNION ALL SELECT 'judgment_unknown', 0 UNION ALL SELECT 'judgment_unique_query_id_arm', 0 UNION ALL SELECT 'judgment_other_judge_model', 0
+ UNION ALL SELECT 'judgment_judge_error', (SELECT count(*) FROM ju WHERE judge_error <> '') UNION ALL SELECT 'judgment_verdict', (SELECT count(*) FROM ju WHERE verdict = '') UNION ALL SELECT 'judgment_blank_reason', (SELECT count(*) FROM armq WHERE source_row % 6 = 0)""")
+def dq_outputs(spark: SparkSession, sf: str) -> DataFrame:
+    """Answers of one model with planted faults: rows of another model or effort, lacking rows, blank answers and reasons, failed judgments."""
+    work, row = fixtures.results(spark, sf).select("query_id", "arm", "source_row", "golden_answer"), F.col("source_row")
+    made = work.where(~((row % 23 == 0) & (F.col("arm") == "bm25"))).select("query_id", "arm", F.when(row % 11 == 0, "other").otherwise("m").alias("model"), F.when(row % 9 != 0, "low").alias("effort"), F.when(row % 8 == 0, " \t").otherwise("said").alias("generated_answer"), F.lit("").alias("generation_error"))
+    judged = fixtures.judgments(spark, sf).withColumns({"judge_model": F.lit("j"), "reason": F.when(row % 6 != 0, "because")})
+    return checks.outputs(work, made, judged, {"model": "m", "effort": "low"}, {"judge_model": "j"})
+
+
 @query("SELECT 'exact' AS value, round(avg(a::INT), 9) AS a_mean, round(avg(b::INT), 9) AS b_mean, round(avg(a::INT - b::INT), 9) AS difference FROM pairs UNION ALL SELECT 'score', round(avg(a), 9), round(avg(b), 9), round(avg(a - b), 9) FROM pscore")
 def paired_means(spark: SparkSession, sf: str) -> DataFrame:
     rows = {"exact": (fixtures.flags(spark, sf), "exact_1"), "score": (fixtures.judgments(spark, sf), "score")}
