@@ -10,6 +10,7 @@
     pilot RUN METHOD OUT [--size 100]                        the development rows of a frozen run
     prompt-pilot WORK OUT SELECTING --writer MODEL=ADAPTER --judge MODEL=ADAPTER --prompt VERSION=TEXT --judge-prompt VERSION=TEXT   system prompts against each other, and the one that wins
     generate WORK ADAPTER MODEL VERSION OUT [--system TEXT --concurrency N]   answers, resumed from OUT.checkpoint
+    follow WORK ADAPTER MODEL VERSION OUT [--rows N --most 8]   answers to questions as their files arrive, until N are done or for ever
     judge WORK GENERATIONS ADAPTER MODEL OUT [--mode binary] judgments, resumed from OUT.checkpoint, and their summary
     matrix WORK ARM ARM VERSION OUT --writer MODEL=ADAPTER --judge MODEL=ADAPTER=MODE   both arms with all models
     dual-label WORK ARM ARM OUT --writer MODEL=ADAPTER --judge MODEL=ADAPTER=MODE   the matrix with a prompt that asks for a label first
@@ -37,6 +38,7 @@ from quillon.functions import text as T
 from quillon.operators import columns, metrics
 from quillon.plans import answers, pipelines
 from quillon.sources import sinks
+from quillon.streaming import attempts
 
 COMMANDS = [line.split()[0] for line in __doc__.splitlines() if line.startswith("    ")]
 
@@ -58,6 +60,9 @@ def main(argv: list[str]) -> int:
     parser.add_argument("--mode", default="binary")
     parser.add_argument("--concurrency", type=int)
     parser.add_argument("--system", default="")
+    parser.add_argument("--rows", type=int)
+    parser.add_argument("--seconds", type=float, default=3600)
+    parser.add_argument("--most", type=int, default=8)
     parser.add_argument("--dataset")
     parser.add_argument("--existing")
     for name in ("member", "column", "writer", "judge", "prompt", "judge-prompt"):
@@ -105,6 +110,11 @@ def main(argv: list[str]) -> int:
             sinks.write_summary(winner, f"{p[1]}/selected-prompt")
         case "generate":
             put(pipelines.generate(spark, read(p[0]), adapter(p[1]), p[2], p[3], f"{p[4]}.checkpoint", settings=answers.Settings(a.system), concurrency=a.concurrency), p[4])
+        case "follow":
+            query = pipelines.followed(spark, p[0], adapter(p[1]), p[2], p[3], f"{p[4]}.attempts", settings=answers.Settings(a.system), concurrency=a.concurrency, most=a.most)
+            if a.rows is None:
+                query.awaitTermination()
+            put(attempts.settled(query, spark, f"{p[4]}.attempts", answers.GENERATION, a.rows, a.seconds), p[4])
         case "judge":
             rows, summary = pipelines.judge(read(p[0]), read(p[1]), adapter(p[2]), p[3], a.mode, checkpoint=f"{p[4]}.checkpoint")
             put(rows, p[4])

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from quillon.functions import text as T
 from quillon.operators import assemble
-from quillon.sources import sinks
+from quillon.sources import scratch, sinks
 
 # fixed values
 REFUSAL = "Cannot be determined from the supplied context."
@@ -186,14 +186,14 @@ def called(df: DataFrame, adapter: Callable[[Request], Reply], column: str = "pr
     return dealt.mapInPandas(run, f"{kinds}, {extra_kinds}")
 
 
-def generated(work: DataFrame, adapter: Callable[[str], Reply], model: str, prompt_version: str, template: str = TEMPLATE, settings: Settings = Settings(), concurrency: int | None = None) -> DataFrame:
+def generated(work: DataFrame, adapter: Callable[[str], Reply], model: str, prompt_version: str, template: str = TEMPLATE, settings: Settings = Settings(), concurrency: int | None = None, attempts: int = 8) -> DataFrame:
     """Answers for ``work(query_id, arm, question, context)``, as GENERATION.
 
     An empty context is answered without a call; one of white space is sent. An empty reply is an error; errors are the name of the exception's type.
     """
     blank = F.coalesce("context", F.lit("")) == ""
     sent = work.select("query_id", "arm", T.sha256(F.concat_ws("\n", "question", "context")).alias("content_sha256"), T.sha256(F.col("context")).alias("retrieval_context_sha256"), F.when(~blank, prompt(F.col("context"), F.col("question"), template)).alias("prompt"))
-    out = called(sent, adapter, settings=settings, concurrency=concurrency)
+    out = called(sent, adapter, attempts=attempts, settings=settings, concurrency=concurrency)
     answer = F.when(F.col("prompt").isNull(), F.lit(REFUSAL)).otherwise(T.stripped(F.coalesce("reply", F.lit(""))))
     error = F.when(F.col("reply_error") != "", F.substring_index("reply_error", ":", 1)).when(answer == "", "ValueError").otherwise("")
     return out.withColumn("answer", answer).withColumn("error", error).select(
@@ -267,14 +267,15 @@ def resumed(spark: SparkSession, work: DataFrame, step: Callable[[DataFrame], Da
     """All rows of ``work`` through ``step``, in batches that are each appended to the checkpoint at ``path``.
 
     What a checkpoint holds without an error isn't done again, however often and wherever the job stopped;
-    failed rows are. Batches are split by the hash of the keys, and the result is the latest row of each key.
+    failed rows are. Batches are split by the hash of the keys, so the checkpoint is read and what is left to do written once, before the
+    first; the result is the latest row of each key.
     """
     spark.createDataFrame([], schema + ", batch int").write.mode("append").parquet(path)
     prior = lambda: spark.read.schema(schema + ", batch int").parquet(path)
     start = prior().agg(F.coalesce(F.max("batch"), F.lit(-1)) + 1).first()[0]
+    todo = scratch.kept(assemble.pending(work, prior(), keys, error).withColumn("_part", F.pmod(F.xxhash64(*keys), F.lit(batches))))
     for i in range(batches):
-        part = work.where(F.pmod(F.xxhash64(*keys), F.lit(batches)) == i)
-        sinks.append_checkpoint(step(assemble.pending(part, prior(), keys, error)), path, start + i)
+        sinks.append_checkpoint(step(todo.where(F.col("_part") == i).drop("_part")), path, start + i)
     done = prior()
     last = done.groupBy(*keys).agg(F.max_by(F.struct(*done.columns), "batch").alias("r")).select("r.*").drop("batch")
     return last.join(work.select(*keys), keys, "left_semi")

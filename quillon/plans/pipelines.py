@@ -7,11 +7,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from quillon.functions import text as T
 from quillon.operators import assemble, checks, metrics, paired, ranking, sampling, windows
 from quillon.plans import answers
 from quillon.sources import archives, scratch, sinks, tables
+from quillon.streaming import attempts
 
 
 def prepare_questions(queries: DataFrame, sources: DataFrame, allowed: DataFrame, dataset: str) -> DataFrame:
@@ -145,6 +147,16 @@ def generate(spark: SparkSession, work: DataFrame, adapter, model: str, prompt_v
     return out
 
 
+def followed(spark: SparkSession, folder: str, adapter, model: str, prompt_version: str, path: str, template: str = answers.TEMPLATE, settings: answers.Settings = answers.Settings(), concurrency: int | None = None, most: int = 8, wait_ms: int = 1000) -> StreamingQuery:
+    """Answers to the questions that arrive in ``folder`` as Parquet, as a running query; failed calls come again by timers, at most ``most`` times.
+
+    ``attempts.results(spark, path, answers.GENERATION)`` reads what is done. A call is made once an attempt; no task sleeps.
+    """
+    stream = spark.readStream.schema(spark.read.parquet(folder).schema).parquet(folder)
+    step = lambda df: answers.generated(df, adapter, model, prompt_version, template, settings, concurrency, attempts=1)
+    return attempts.retried(stream, step, path, ["query_id", "arm"], "generation_error", most, wait_ms)
+
+
 def judge(work: DataFrame, generations: DataFrame, adapter, model: str, mode: str = "binary", lenient: bool = False, failed_as_one: bool = False, checkpoint: str | None = None, batches: int = 4) -> tuple[DataFrame, DataFrame]:
     """Judgments of generations and their summary by arm; with a ``checkpoint`` only rows without a sound judgment are sent."""
     rows = work.select("query_id", "arm", "question", "golden_answer").join(generations.select("query_id", "arm", "generated_answer", "generation_error", "generation_sha256"), ["query_id", "arm"])

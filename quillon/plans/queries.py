@@ -15,6 +15,7 @@ from quillon.plans import answers, fixtures, pipelines
 from quillon.plans.oracle import norm, tok, with_tables
 from quillon.sources import archives, remote, scratch, tables
 from quillon.sources.tables import table
+from quillon.streaming import attempts
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -473,6 +474,19 @@ def resumed_generate(spark: SparkSession, sf: str) -> DataFrame:
     return answers.resumed(spark, work, step, path, answers.GENERATION, keys, "generation_error", batches=2)
 
 
+@query(r"""SELECT page_id, ordinal, CASE WHEN ordinal IS NULL THEN 'no ordinal' ELSE '' END AS error, CASE WHEN ordinal IS NULL THEN 2 ELSE 1 END AS attempts
+ FROM (SELECT page_id, TRY_CAST(nullif(regexp_extract(url, '(\d+)$', 1), '') AS BIGINT) AS ordinal FROM pages)""")
+def timed_attempts(spark: SparkSession, sf: str) -> DataFrame:
+    """Pages as a stream; those whose url ends in no number come a second time, when their timer is up."""
+    pages = table(spark, sf, "pages", "page_id", "url")
+    stream = spark.readStream.schema(pages.schema).parquet(f"{sf}/pages.parque[t]")  # a pattern, since a stream's path that is one file must not be its base
+    ordinal = T.trailing_ordinal(F.col("url"))
+    step = lambda df: df.select("page_id", ordinal.alias("ordinal"), F.when(ordinal.isNull(), "no ordinal").otherwise("").alias("error"))
+    path = f"{scratch.root(spark)}/quillon-{uuid.uuid4().hex}"
+    running = attempts.retried(stream, step, path, ["page_id"], "error", most=2, wait_ms=200, every="200 milliseconds", partitions=8)
+    return attempts.settled(running, spark, path, f"{pages.select('page_id').schema.toDDL()}, ordinal long, error string", pages.select("page_id").distinct().count(), 900)
+
+
 # columns, ids and alignment ---------------------------------------------------------------------------------
 
 

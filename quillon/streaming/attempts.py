@@ -10,11 +10,12 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
+from pyspark.sql.types import IntegerType, LongType, StructType
 
 PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 #: What stands beside a row on its way: which attempt comes next, and when, in milliseconds (0: at once).
-WAY = "attempt int, due_ms long"
+WAY = {"attempt": IntegerType(), "due_ms": LongType()}
 
 
 class Attempts(StatefulProcessor):
@@ -25,8 +26,8 @@ class Attempts(StatefulProcessor):
     that isn't due yet waits in the state with a timer.
     """
 
-    def __init__(self, schema: str, columns: list[str]) -> None:
-        self.schema, self.columns = schema, columns
+    def __init__(self, schema: StructType) -> None:
+        self.schema, self.columns = schema, schema.names
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
@@ -69,17 +70,20 @@ def _has_rows(spark: SparkSession, path: str, schema: str) -> bool:
         return False
 
 
-def retried(stream: DataFrame, step: Callable[[DataFrame], DataFrame], path: str, schema: str, keys: list[str], error: str, most: int = 4, wait_ms: int = 2000, every: str = "1 second") -> StreamingQuery:
-    """A running query that puts each row of ``stream`` (columns ``schema``) through ``step``, at most ``most`` times.
+def retried(stream: DataFrame, step: Callable[[DataFrame], DataFrame], path: str, keys: list[str], error: str, most: int = 4, wait_ms: int = 2000, every: str = "1 second", partitions: int | None = None) -> StreamingQuery:
+    """A running query that puts each row of ``stream`` through ``step``, at most ``most`` times.
 
     ``step`` returns a row for each of its rows: the keys, ``error`` and what else a result has. A row with an error comes again
     after ``wait_ms``, then twice and four times that, and so on; meanwhile it rests in keyed state and no task sleeps. Its last error
     stays. Results are in ``path/results``, one row a key (``results`` reads them). A batch's replies are written before anything
     else, and a batch that runs again, after the driver was lost, takes them from there: what was answered isn't asked twice;
     only calls whose replies weren't written yet are repeated. Null keys are a key like others; rows that repeat a
-    key count once. A key's state is one number for as long as ``path`` is kept; it holds the row only while the row waits.
+    key count once. A key's state is one number for as long as ``path`` is kept; it holds the row only while the row waits. ``partitions`` of the
+    state (the session's shuffle partitions otherwise) stay as they are for as long as ``path`` is kept.
     """
-    spark, way = stream.sparkSession, f"{schema}, {WAY}"
+    spark, way = stream.sparkSession, StructType(list(stream.schema.fields))
+    for name, kind in WAY.items():
+        way.add(name, kind)
     spark.createDataFrame([], way).write.mode("append").parquet(f"{path}/again")
     work, columns = stream.columns, [*stream.columns, "attempt", "due_ms"]
     first = stream.select("*", F.lit(0).alias("attempt"), F.lit(0).cast("long").alias("due_ms"))
@@ -105,13 +109,16 @@ def retried(stream: DataFrame, step: Callable[[DataFrame], DataFrame], path: str
         later = (F.col("at_ms") + F.lit(wait_ms) * F.pow(F.lit(2.0), F.col("attempt"))).cast("long").alias("due_ms")
         replies.where(~final).select("row.*", (F.col("attempt") + 1).alias("attempt"), later).write.mode("append").parquet(f"{path}/again")
 
-    before = spark.conf.get(PROVIDER)
-    spark.conf.set(PROVIDER, ROCKSDB)  # a query keeps the settings that it starts with
+    wanted = {PROVIDER: ROCKSDB} | ({"spark.sql.shuffle.partitions": str(partitions)} if partitions else {})
+    before = {k: spark.conf.get(k) for k in wanted}
+    for k, v in wanted.items():
+        spark.conf.set(k, v)  # a query keeps the settings that it starts with
     try:
-        due = first.union(again).groupBy(*keys).transformWithState(Attempts(way, columns), way, "Append", "ProcessingTime")
+        due = first.union(again).groupBy(*keys).transformWithState(Attempts(way), way, "Append", "ProcessingTime")
         return due.writeStream.foreachBatch(batch).option("checkpointLocation", f"{path}/state").trigger(processingTime=every).start()
     finally:
-        spark.conf.set(PROVIDER, before)
+        for k, v in before.items():
+            spark.conf.set(k, v)
 
 
 def results(spark: SparkSession, path: str, schema: str) -> DataFrame:

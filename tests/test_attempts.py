@@ -32,7 +32,7 @@ def test_attempts_are_timed_kept_and_never_sent_twice(spark, tmp_path):
     fails = {f"q{i}": i % 3 for i in range(6)} | {"hopeless": 9, "late": 0}
     calls = lambda: Counter(os.path.basename(f).split("-")[0] for f in glob.glob(f"{log}/*"))
     put = lambda ids: spark.createDataFrame([(q, f"text {q}") for q in ids], WORK).coalesce(1).write.mode("append").parquet(work)
-    start = lambda: attempts.retried(spark.readStream.schema(WORK).parquet(work), step(log, fails), path, WORK, ["query_id"], "error", most=3, wait_ms=300, every="200 milliseconds")
+    start = lambda: attempts.retried(spark.readStream.schema(WORK).parquet(work), step(log, fails), path, ["query_id"], "error", most=3, wait_ms=300, every="200 milliseconds")
 
     put([q for q in fails if q != "late"] + ["q0", "q2"])
     got = {r.query_id: r for r in attempts.settled(start(), spark, path, DONE, 7, 150).collect()}

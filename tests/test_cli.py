@@ -121,6 +121,8 @@ def test_evaluation_commands(spark, tmp_path):
     work = q.select("query_id", "question", "golden_answer", F.lit("bm25").alias("arm"), F.concat(F.lit("context of "), "question").alias("context"))
     work.union(work.withColumn("arm", F.lit("neural"))).write.parquet(at("work"))
     assert main(["generate", at("work"), "stub_writer", "m", "v", at("g")]) == 0 and read(at("g")).count() == 12
+    assert main(["follow", at("work"), "stub_writer", "m", "v", at("f"), "--rows", "12", "--seconds", "120"]) == 0
+    assert {r.generated_answer for r in read(at("f")).collect()} == {r.generated_answer for r in read(at("g")).collect()} and read(at("f")).where("attempts = 1 AND generation_error = ''").count() == 12
     assert main(["judge", at("work"), at("g"), "quillon.plans.answers:stub_judge", "j", at("j"), "--mode", "scale-1-5"]) == 0
     assert sum(r["n_rows"] for r in json.loads((tmp_path / "j-summary.json").read_text())) == 12
     summary = tables.json_documents(spark, at("j-summary.json"), "arm string, n_rows long")

@@ -14,7 +14,7 @@ from quillon.sources import archives, sinks, tables
 from quillon.streaming import incremental
 
 SF = "/root/testdata/sf0.001"
-QUICK = ["norm_tokens", "slug_values", "json_object_extract", "label_parse", "units_paragraph", "bm25_top4_document", "exact_topk_flags", "relaxed_bigram_flags", "window_render_gap", "judge_summary", "paired_delta_hist", "sign_test_by_customer", "union_missing_cols", "upsert_latest", "lookup_last_wins", "running_ordinals", "stub_generate", "stub_judge", "resumed_generate", "dq_result_violations", "dq_doc_filter", "compound_ids", "role_swap", "aligned_rows", "usage_fields", "imported_rankings", "presence_means", "paired_means", "paired_histograms", "label_rates", "published_metrics", "window_audit", "cohort_faults", "dq_agreements", "csv_and_json_read_back", "parts_in_path_order", "matched_rows", "joined_by_position", "windows_of_hits", "prompt_texts", "json_lists", "generation_summary", "dq_handoff", "dq_matrix", "dq_package", "dq_development"]
+QUICK = ["norm_tokens", "slug_values", "json_object_extract", "label_parse", "units_paragraph", "bm25_top4_document", "exact_topk_flags", "relaxed_bigram_flags", "window_render_gap", "judge_summary", "paired_delta_hist", "sign_test_by_customer", "union_missing_cols", "upsert_latest", "lookup_last_wins", "running_ordinals", "stub_generate", "stub_judge", "resumed_generate", "timed_attempts", "dq_result_violations", "dq_doc_filter", "compound_ids", "role_swap", "aligned_rows", "usage_fields", "imported_rankings", "presence_means", "paired_means", "paired_histograms", "label_rates", "published_metrics", "window_audit", "cohort_faults", "dq_agreements", "csv_and_json_read_back", "parts_in_path_order", "matched_rows", "joined_by_position", "windows_of_hits", "prompt_texts", "json_lists", "generation_summary", "dq_handoff", "dq_matrix", "dq_package", "dq_development"]
 
 
 def rows_of(df: pd.DataFrame) -> list:
