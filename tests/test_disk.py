@@ -56,3 +56,11 @@ def test_qrels_write_their_pairs(spark):
     kept = []
     got = metrics.substring_qrels(asked, units, keep=lambda df: kept.append(df.count()) or df).collect()
     assert [(r.query_id, r.unit_id) for r in got] == [("q", "u7")] and len(kept) == 4 and max(kept) < 40
+
+
+def test_search_stays_small_beside_other_tasks(tmp_path, spark):
+    """Each search task has a thread and a bound on memory of its own, not the machine's."""
+    spark.createDataFrame([(1, "a")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    con = fixtures.database(str(tmp_path))
+    assert con.execute("SELECT current_setting('threads')").fetchone() == (1,) and con.execute("SELECT current_setting('memory_limit')").fetchone()[0] == "488.2 MiB"
+    con.close()
