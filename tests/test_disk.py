@@ -4,8 +4,9 @@ import random
 
 from pyspark.sql import functions as F
 
-from quillon.operators import metrics, ranking
+from quillon.operators import metrics, ranking, substring
 from quillon.plans import fixtures
+from quillon.sources import scratch
 
 
 def plan(df):
@@ -64,3 +65,40 @@ def test_search_stays_small_beside_other_tasks(tmp_path, spark):
     con = fixtures.database(str(tmp_path))
     assert con.execute("SELECT current_setting('threads')").fetchone() == (1,) and con.execute("SELECT current_setting('memory_limit')").fetchone()[0] == "488.2 MiB"
     con.close()
+
+
+def test_counts_go_to_many_documents_and_no_text(spark, monkeypatch):
+    """Units are counted below the join with the documents that questions allow, so that no text is shuffled for it."""
+    monkeypatch.setattr(ranking, "FEW", 1)
+    units = ranking.worded(spark.createDataFrame([(f"u{i}", f"d{i}", f"some text of number{i}") for i in range(9)], "unit_id string, doc_id string, text string"))
+    asked = spark.createDataFrame([("q", "number3"), ("q", "number4")], "query_id string, token string")
+    allowed = spark.createDataFrame([("q", f"d{i}") for i in range(4)], "query_id string, doc_id string")
+    hits, _ = ranking.scored_where_allowed(units, asked, allowed, [0.75], 1.2, lambda df: df)
+    assert plan(hits).index("strategy=shuffle_hash") < plan(hits).index("zip_with") and [r.unit_id for r in hits.collect()] == ["u3"]
+
+
+def test_statistics_and_frequencies_in_one_pass(spark):
+    units = ranking.worded(spark.createDataFrame([("u1", "d", "a b b"), ("u2", "d", "b c"), ("u3", "e", ""), ("u4", "e", "z z z")], "unit_id string, doc_id string, text string"))
+    asked = spark.createDataFrame([("q", t) for t in "abx"] + [("r", "b")], "query_id string, token string")
+    got = ranking.frequencies(ranking.tokenized(units), asked)
+    assert sorted(tuple(r) for r in got.select("token", "df", "n_units", "avgdl").collect()) == [("a", 1, 4, 2.0), ("b", 2, 4, 2.0)]
+    assert not ranking.frequencies(ranking.tokenized(units.where("false")), asked).collect()
+
+
+def test_windows_write_no_paragraphs(spark, tmp_path):
+    """Of paragraphs outside the best documents only the statistics are of use; anchors name theirs by the unit's id."""
+    texts = [(i, f"first line of {i}\n\nthe answer is number{i} and more\nlast", "src1") for i in range(5)]
+    spark.createDataFrame(texts, "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, "answer is number3 and")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    rows = sorted((r.rank, r.doc_id, r.paragraph_idx) for r in fixtures.anchors(spark, str(tmp_path)).collect())
+    assert rows == [(1, "3", 2), (2, "3", 0), (3, "3", 3)]
+    assert not any("words_paragraph" in key and str(tmp_path) in key for key in scratch._WRITTEN)
+
+
+def test_candidates_write_the_chosen_keys(spark):
+    """The rarest key of each needle is written, so that the join can see how few these are; occurrences are combined before they are shuffled."""
+    texts = spark.createDataFrame([(i, f"the same words and number{i} the same words") for i in range(30)], "text_id long, text string")
+    needles = spark.createDataFrame([(1, "x the same number7 y"), (2, "words and number7 the same")], "needle_id long, needle string")
+    kept = []
+    pairs = substring.candidates(needles, texts, keep=lambda df: kept.append([tuple(r) for r in df.collect()]) or df)
+    assert kept == [[], [(2, "and number7")]] and [tuple(r) for r in pairs.collect()] == [(2, 7)]
