@@ -95,6 +95,13 @@ def test_windows_write_no_paragraphs(spark, tmp_path):
     assert not any("words_paragraph" in key and str(tmp_path) in key for key in scratch._WRITTEN)
 
 
+def test_results_leave_allowed_documents_to_the_questions(spark, tmp_path):
+    spark.createDataFrame([(i, f"text of number{i} and more", "src1") for i in range(3)], "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, "text of number2 and")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    df = fixtures.results(spark, str(tmp_path))
+    assert "allowed_doc_ids" not in df.columns and [(r.retrieved_items[0].doc_id, r.retrieved_count) for r in df.collect()] == [("2", 3)] * 2
+
+
 def test_candidates_write_the_chosen_keys(spark):
     """The rarest key of each needle is written, so that the join can see how few these are; occurrences are combined before they are shuffled."""
     texts = spark.createDataFrame([(i, f"the same words and number{i} the same words") for i in range(30)], "text_id long, text string")
