@@ -13,7 +13,9 @@ Documents with equal words are one class. In a bucket (sketches that are equal)
 with one pivot only, first inside a map task, then between tasks; for the first
 verification the pivot is the bucket's most central member. After that only pairs in different components of
 what has linked so far are of interest, in buckets that still hold several components. Where such a bucket is
-crowded, as those of a passage that many documents share, its documents take part once more
+crowded, as those of a passage that many documents share, crowded sketches go to the end of the common order:
+only the sketches that come into a document's first D + 1 for them are sent, and of the others those
+that meet one of these. Documents that hold too little else, or meet in crowded buckets again, take part once more
 with their blocks in the order of their frequency among them, the rarest first: what many hold is then
 beyond the first D + 1 of all documents that hold much else. Pairs are dropped if a
 1024-bit parity sketch of the whole sets, or a wider one of large sets, shows too large a difference;
@@ -39,9 +41,16 @@ from quillon.llm.url_filter import bloom_words, may_hold
 PER_BLOCK = 3.4
 #: Emitted sketches that a map task combines at a time.
 CHUNK = 1_000_000
-#: A bucket with more members outside its largest component is taken apart by the frequency of blocks.
-CROWD = 16
+#: A bucket with more members outside its largest component is crowded; as many comparisons of sketches cost about what it takes to send a document again.
+CROWD = 64
 WORDS = SKETCH_BITS // 64
+#: Both hashes of a key for a filter; keys are hashes themselves, and the places that a filter takes from each overlap little.
+SPREAD = ("key", "shiftrightunsigned(key, 34) | shiftleft(key, 30)")
+
+
+def spread(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``SPREAD`` of an array of keys."""
+    return keys, (keys >> np.uint64(34)) | (keys << np.uint64(30))
 
 
 def block_keys(s: np.ndarray, band: int, most: int) -> list[tuple[int, int, np.ndarray]]:
@@ -228,6 +237,46 @@ def verify(pairs: DataFrame, docs: DataFrame, spark: SparkSession, percent: int
     return materialize(both.mapInArrow(run, "a long, b long"), spark)
 
 
+def replaced_keys(crowded: DataFrame, texts: DataFrame, spark: SparkSession) -> tuple[DataFrame, DataFrame]:
+    """(key, id) and (id): with the ``crowded(key)`` last in the order of keys, what can still make the documents ``texts(id, text)`` meet in
+    other buckets than before, and those that can also meet in crowded ones.
+
+    The order is by a filter of at most 8 MB over the crowded keys, the same for all documents, so keys that it
+    holds by mistake are only late. Documents that share a key among their first ones in this order share one that came into the first ones
+    of either for a crowded key, or one of the filter (then both have too few others), or met in a bucket that isn't crowded.
+    """
+    late = spark.sparkContext.broadcast(bloom_words(crowded, spark, most_bytes=8 << 20, hashes=SPREAD))
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            before, came, short, none = [], [], [], np.empty(0, dtype=np.uint64)
+            for t in b.column(1):
+                old, new, few = [], [], False
+                for _, most, keys in schemes(shingles(words_of(t.as_py() or ""))):
+                    hit = may_hold(late.value, *spread(keys))
+                    at = np.flatnonzero(~hit)
+                    few |= len(at) <= most and bool(hit.any())
+                    at = at[: most + 1]
+                    old.append(keys[at[at <= most]])
+                    new.append(keys[at[at > most]])
+                before.append(np.concatenate([none, *old]))
+                came.append(np.concatenate([none, *new]))
+                short.append(few)
+            yield pa.RecordBatch.from_arrays([b.column(0), lists(before), lists(came), pa.array(short, pa.bool_())], ["id", "before", "came", "short"])
+
+    parts = materialize(texts.mapInArrow(split, "id long, before array<long>, came array<long>, short boolean"), spark)
+    came = parts.select(F.explode("came").alias("key"), "id")
+    wanted = spark.sparkContext.broadcast(bloom_words(came.select("key").distinct(), spark, most_bytes=8 << 20, hashes=SPREAD))
+
+    def meeting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            flat, ids = b.column(1).flatten(), np.repeat(b.column(0).to_numpy(), b.column(1).value_lengths().to_numpy())
+            ok = may_hold(wanted.value, *spread(flat.to_numpy().view(np.uint64)))
+            yield pa.RecordBatch.from_arrays([flat.filter(pa.array(ok)), pa.array(ids[ok])], ["key", "id"])
+
+    return came.union(parts.select("id", "before").mapInArrow(meeting, "key long, id long")), parts.where("short").select("id")
+
+
 def rarest_first(ids: DataFrame, docs: DataFrame, spark: SparkSession) -> DataFrame:
     """(key, id): of the documents ``ids(id)`` the first keys of each scheme, the rarest among these documents first.
 
@@ -308,8 +357,15 @@ def jaccard_components(docs: DataFrame, spark: SparkSession) -> DataFrame:
     held = materialize(part_of(rep_of(held, "id"), "id", "part").distinct(), spark)
     held = materialize(with_major(held), spark)
     more = pairs_of(held.where(F.col("outside") <= CROWD), described, spark)
-    again = part_of(rarest_first(held.where(F.col("outside") > CROWD).select("id").distinct(), known, spark), "id", "part")
-    more = more.union(pairs_of(with_major(materialize(again, spark)), described, spark))
+    crowded = held.where(F.col("outside") > CROWD)
+    if not crowded.isEmpty():
+        texts = texts_of(crowded.select("id").distinct(), known, spark)
+        moved, short = replaced_keys(crowded.select("key").distinct(), texts, spark)
+        moved = materialize(with_major(materialize(part_of(moved, "id", "part").distinct(), spark)), spark)
+        more = more.union(pairs_of(moved.where(F.col("outside") <= CROWD), described, spark))
+        left = moved.where(F.col("outside") > CROWD).select("id").union(short).distinct()
+        again = part_of(rarest_first(left, texts.withColumnRenamed("id", "doc_id"), spark), "id", "part")
+        more = more.union(pairs_of(with_major(materialize(again, spark)), described, spark))
     more = materialize(sifted(materialize(more.distinct(), spark), large), spark)
     links = links.union(verify(more.join(tried, ["a", "b"], "left_anti"), known, spark))
     parts = materialize(components(links, spark), spark)

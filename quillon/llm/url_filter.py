@@ -42,15 +42,15 @@ def entry_key(host: Column, path: Column) -> Column:
     return F.concat(host, path)
 
 
-def bloom_words(keys: DataFrame, spark: SparkSession, bits_per_key: int = 16, most_bytes: int = 64 << 20) -> np.ndarray:
+def bloom_words(keys: DataFrame, spark: SparkSession, bits_per_key: int = 16, most_bytes: int = 64 << 20, hashes: tuple[str, str] = ("xxhash64(key)", "xxhash64(key, 1)")) -> np.ndarray:
     """The filter over ``keys(key)``: blocks of eight words, one bit set in each word of a key's block.
 
     Bits are combined in Spark; what reaches the driver is the filter, at most ``most_bytes``. A list
-    too long for that makes the filter denser, which costs false positives and no result.
+    too long for that makes the filter denser, which costs false positives and no result. ``hashes`` are two expressions of ``key``.
     """
     n = keys.count()
     blocks = int(max(1, min(most_bytes // 64, -(-n * bits_per_key // 512))))
-    h1, h2 = F.xxhash64("key"), F.xxhash64("key", F.lit(1))
+    h1, h2 = map(F.expr, hashes)
     bit = [F.struct(F.lit(i).alias("w"), F.expr(f"shiftleft(1L, cast(shiftrightunsigned(h2, {6 * i}) & 63 AS int))").alias("m")) for i in range(BLOCK_WORDS)]
     rows = keys.select(h1.alias("h1"), h2.alias("h2")).select(F.pmod(F.expr("shiftrightunsigned(h1, 16)"), F.lit(blocks)).alias("b"), F.explode(F.array(*bit)).alias("x"))
     words = np.zeros(blocks * BLOCK_WORDS, dtype=np.int64)

@@ -174,6 +174,30 @@ def test_large_sets_and_shared_passages(spark, crowd, monkeypatch):
     assert len(links) > 50 and got == roots(sets, links)
 
 
+@pytest.mark.parametrize("crowd", [16, 0])
+def test_a_line_that_many_documents_share(spark, crowd, monkeypatch):
+    """Crowded buckets are told apart by the few keys that take their place; few documents send all of their keys again, and no link is lost."""
+    sent = []
+    rarest_first = jaccard_join.rarest_first
+    monkeypatch.setattr(jaccard_join, "CROWD", crowd)
+    monkeypatch.setattr(jaccard_join, "rarest_first", lambda ids, *more: sent.append(ids.count()) or rarest_first(ids, *more))
+    rng = random.Random(17)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    line, texts = [word() for _ in range(25)], []
+    for _ in range(150):
+        base = [word() for _ in range(rng.randint(240, 400))]
+        texts.append(line + base)
+        for share in (0.012, 0.02, 0.03):
+            if rng.random() < 0.3:
+                texts.append(line + [word() if rng.random() < share else w for w in base])
+    sets = {i: shingle_set(" ".join(t)) for i, t in enumerate(texts)}
+    links = [(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string").repartition(4)
+    got = {r.doc_id: r.component_id for r in jaccard_join.jaccard_components(df, spark).collect()}
+    assert len(links) > 50 and got == roots(sets, links)
+    assert not crowd or sum(sent) <= len(texts) // 3, (sent, len(texts))
+
+
 def brute_removed(raws, length):
     where = {}
     for r in raws:
