@@ -51,12 +51,12 @@ def bloom_words(keys: DataFrame, spark: SparkSession, bits_per_key: int = 16, mo
     n = keys.count()
     blocks = int(max(1, min(most_bytes // 64, -(-n * bits_per_key // 512))))
     h1, h2 = map(F.expr, hashes)
-    bit = [F.struct(F.lit(i).alias("w"), F.expr(f"shiftleft(1L, cast(shiftrightunsigned(h2, {6 * i}) & 63 AS int))").alias("m")) for i in range(BLOCK_WORDS)]
-    rows = keys.select(h1.alias("h1"), h2.alias("h2")).select(F.pmod(F.expr("shiftrightunsigned(h1, 16)"), F.lit(blocks)).alias("b"), F.explode(F.array(*bit)).alias("x"))
-    words = np.zeros(blocks * BLOCK_WORDS, dtype=np.int64)
-    got = rows.groupBy("b", "x.w").agg(F.bit_or("x.m").alias("m")).toPandas()
-    words[got["b"].to_numpy(dtype=np.int64) * BLOCK_WORDS + got["w"].to_numpy(dtype=np.int64)] = got["m"].to_numpy(dtype=np.int64)
-    return words.view(np.uint64)
+    bits = [F.bit_or(F.expr(f"shiftleft(1L, cast(shiftrightunsigned(h2, {6 * i}) & 63 AS int))")).alias(f"m{i}") for i in range(BLOCK_WORDS)]
+    rows = keys.select(h1.alias("h1"), h2.alias("h2")).select(F.pmod(F.expr("shiftrightunsigned(h1, 16)"), F.lit(blocks)).alias("b"), "h2")
+    words = np.zeros((blocks, BLOCK_WORDS), dtype=np.int64)
+    got = rows.groupBy("b").agg(*bits).toPandas()
+    words[got["b"].to_numpy(dtype=np.int64)] = got.drop(columns="b").to_numpy(dtype=np.int64)
+    return words.reshape(-1).view(np.uint64)
 
 
 def may_hold(words: np.ndarray, h1: np.ndarray, h2: np.ndarray) -> np.ndarray:

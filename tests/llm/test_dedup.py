@@ -1,4 +1,5 @@
 import hashlib
+import inspect
 import itertools
 import random
 import re
@@ -7,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quillon.llm import embed_dedup, exact_dedup, jaccard_join, shingles, suffix_dedup
+from quillon.llm import embed_dedup, exact_dedup, jaccard_join, shingles, suffix_dedup, url_filter
 from quillon.llm.common import components
 
 W = re.compile(r"[^\x20\x09-\x0D]+")
@@ -198,6 +199,16 @@ def test_a_line_that_many_documents_share(spark, crowd, monkeypatch):
     assert not crowd or sum(sent) <= len(texts) // 3, (sent, len(texts))
 
 
+def test_filter_of_keys(spark):
+    """The filter is made with one row a key, holds them all and hardly any other; numpy's hashes of a key are Spark's."""
+    keys = np.random.default_rng(18).integers(0, 1 << 64, 6000, dtype=np.uint64)
+    df = spark.createDataFrame([(int(k),) for k in keys[:3000].view(np.int64)], "key long").cache()
+    words = url_filter.bloom_words(df, spark, hashes=jaccard_join.SPREAD)
+    hit = url_filter.may_hold(words, *jaccard_join.spread(keys))
+    assert hit[:3000].all() and hit[3000:].mean() < 0.02
+    assert "explode" not in inspect.getsource(url_filter.bloom_words)
+
+
 def brute_removed(raws, length):
     where = {}
     for r in raws:
