@@ -3,7 +3,7 @@
 import random
 import re
 
-from quillon.operators import metrics
+from quillon.operators import checks, metrics
 
 ASKED = "query_id string, golden_answer string, allowed_doc_ids array<string>"
 
@@ -53,3 +53,11 @@ def test_full_document_over_borders(spark):
     alone = {q: bool(g) and any(g in texts.get(d, "") for d in ids) for q, g, ids in asked}
     assert got == want
     assert sum(want.values()) - sum(alone.values()) > 10
+
+
+def test_doc_filter_sends_no_lists(spark, tmp_path):
+    asked = written(spark, tmp_path, [("q", "a", ["1", "2"]), ("r", "a", [])], ASKED)
+    units = written(spark, tmp_path, [("u1", "1"), ("u2", "2")], "unit_id string, doc_id string")
+    rows = [("q", [("u1", "1"), ("u2", "3")]), ("r", [("u9", "1")])]
+    df = checks.doc_filter(spark.createDataFrame(rows, "query_id string, retrieved_items array<struct<unit_id: string, doc_id: string>>"), asked, units)
+    assert not sent_lists(df) and {r["check"]: r.n_violations for r in df.collect()} == {"known_unit": 1, "allowed_document": 2}
