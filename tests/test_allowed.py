@@ -3,7 +3,7 @@
 import random
 import re
 
-from quillon.operators import checks, metrics
+from quillon.operators import checks, metrics, substring
 
 ASKED = "query_id string, golden_answer string, allowed_doc_ids array<string>"
 
@@ -61,3 +61,26 @@ def test_doc_filter_sends_no_lists(spark, tmp_path):
     rows = [("q", [("u1", "1"), ("u2", "3")]), ("r", [("u9", "1")])]
     df = checks.doc_filter(spark.createDataFrame(rows, "query_id string, retrieved_items array<struct<unit_id: string, doc_id: string>>"), asked, units)
     assert not sent_lists(df) and {r["check"]: r.n_violations for r in df.collect()} == {"known_unit": 1, "allowed_document": 2}
+
+
+def test_qrels_send_no_lists(spark, tmp_path):
+    asked = written(spark, tmp_path, [("q", "the b c d e", ["1", "2", "4"]), ("r", "", ["3", "9"]), ("s", "b c d e f", [])], ASKED)
+    texts = ["x the b c d e y", "b c d e", "g h i j", "b c d", "h b c d"]
+    units = written(spark, tmp_path, [(f"u{i}", f"{i}", t) for i, t in enumerate(texts, 1)], "unit_id string, doc_id string, text string")
+    df = metrics.substring_qrels(asked, units)
+    assert not sent_lists(df) and sorted((r.query_id, r.unit_id) for r in df.collect()) == [("q", "u1"), ("q", "u2"), ("r", "u3")]
+
+
+def test_units_that_lie_in_no_answer_go_before_their_keys(spark):
+    """Of many short units, those whose first inner run no gold answer has are neither written nor are their runs sent to every task."""
+    asked = spark.createDataFrame([("q", "z number7 and more x", ["d7"])], ASKED)
+    units = spark.createDataFrame([(f"u{i}", f"d{i}", f"z number{i} and more") for i in range(40)], "unit_id string, doc_id string, text string")
+    kept = []
+    got = metrics.substring_qrels(asked, units, keep=lambda df: kept.append(df.count()) or df).collect()
+    assert [(r.query_id, r.unit_id) for r in got] == [("q", "u7")] and max(kept) == 1
+
+
+def test_possible_needles(spark):
+    needles = spark.createDataFrame([(1, "a b c d"), (2, "a c b d"), (3, "x y"), (4, "bb a b c"), (5, "")], "needle_id long, needle string")
+    texts = spark.createDataFrame([(1, "a b c d e"), (2, "")], "text_id long, text string")
+    assert sorted(r.needle_id for r in substring.possible(needles, texts).collect()) == [1, 3, 4, 5]
