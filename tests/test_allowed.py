@@ -4,6 +4,7 @@ import random
 import re
 
 from quillon.operators import checks, metrics, substring
+from quillon.plans import pipelines
 
 ASKED = "query_id string, golden_answer string, allowed_doc_ids array<string>"
 
@@ -84,3 +85,14 @@ def test_possible_needles(spark):
     needles = spark.createDataFrame([(1, "a b c d"), (2, "a c b d"), (3, "x y"), (4, "bb a b c"), (5, "")], "needle_id long, needle string")
     texts = spark.createDataFrame([(1, "a b c d e"), (2, "")], "text_id long, text string")
     assert sorted(r.needle_id for r in substring.possible(needles, texts).collect()) == [1, 3, 4, 5]
+
+
+def test_handoff_sends_no_lists(spark, tmp_path):
+    """What the full documents hold is written once, by a plan without lists, and no plan of the results has the lists again."""
+    asked = written(spark, tmp_path, [("q", "a b", ["1", "2"])], ASKED)
+    documents = spark.createDataFrame([("1", "x a"), ("2", "b y")], "doc_id string, text string")
+    item = "array<struct<rank: int, unit_id: string, doc_id: string, text: string, score: double>>"
+    arm = spark.createDataFrame([("q", "m", "a b", [(1, "1", "1", "x a", 1.0)], "")], f"query_id string, arm string, golden_answer string, retrieved_items {item}, retrieval_error string")
+    flags, curve, _ = pipelines.handoff(asked, documents, [arm], spark.createDataFrame([("q", "1")], "query_id string, unit_id string"))
+    assert not any("allowed_doc_ids" in df._jdf.queryExecution().executedPlan().toString() for df in (flags, curve))
+    assert flags.first().exact_full and curve.first().n_ceiling == 1
